@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from twinlathe.llm import bpe, mixing
+from twinlathe.llm import bpe, mixing, token_files
 
-_MODULES = (mixing, bpe)
+_MODULES = (mixing, bpe, token_files)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
