@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from twinlathe.llm import bpe, language_id, mixing, token_files
+from twinlathe.llm import bpe, language_id, mixing, quality_rules, token_files
 
-_MODULES = (mixing, language_id, bpe, token_files)
+_MODULES = (mixing, language_id, bpe, token_files, quality_rules)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
