@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from twinlathe.llm import bpe, embedding_dedup, jaccard_join, language_id, mixing, quality_rules, token_files
+from twinlathe.llm import bpe, embedding_dedup, jaccard_join, language_id, mixing, quality_rules, token_files, warc
 
-_MODULES = (mixing, language_id, jaccard_join, bpe, token_files, quality_rules, embedding_dedup)
+_MODULES = (mixing, language_id, jaccard_join, embedding_dedup, bpe, warc, token_files, quality_rules)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
