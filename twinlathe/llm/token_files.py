@@ -1,7 +1,6 @@
 """Operator 8: token ids in binary files, frequency-ranked and byte-aligned.
 
-Texts are encoded once (tokenizers library; chunks between white space that occur often
-are cached), with ``end_id`` after each document. A global count gives every id its
+Texts are encoded once (tokenizers library, with a cache of words), with ``end_id`` after each document. A global count gives every id its
 rank by frequency, so that frequent ids take one byte. Documents are range-partitioned
 by doc_id, and each partition becomes one file::
 
@@ -31,6 +30,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,14 +41,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from twinlathe.llm.bytetext import column_bytes
 from twinlathe.llm.storage import Scratch
 
 BYTE_BPE = "byte_bpe_50k.json"
 END_ID = 0
 MAGIC, VERSION = b"TLTF", 1
 BLOCK_IDS = 1 << 18
-CACHE_CHUNKS = 600_000
-CACHED_CHUNK_LENGTH = 64
+#: Words of one generation of the cache, and the longest word kept.
+CACHE_WORDS = 300_000
+CACHED_WORD_LENGTH = 64
 _HEAD = struct.Struct("<4sII")
 _BLOCK = struct.Struct("<IIII")
 
@@ -78,16 +80,45 @@ def unpack(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     return out.view(np.uint32).ravel()
 
 
+class _Irregular(Exception):
+    """White space whose pieces depend on what surrounds it."""
+
+
+class _Words(dict):
+    """Ids of ' ' + word, by word. Of two generations the older one is forgotten."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.encoder, self.old = encoder, {}
+
+    def __missing__(self, word: str) -> bytes:
+        if not word or word.isspace():
+            raise _Irregular
+        ids = self.old.get(word)
+        if ids is None:
+            if "\n" in word and self.encoder.plain(word):
+                return self.encoder.lines(word)
+            ids = self.encoder.library_ids(" " + word)
+            if len(word) > CACHED_WORD_LENGTH:
+                return ids
+        if len(self) >= CACHE_WORDS:
+            self.old = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
+
+
 class Encoder:
-    """The library's encoding, with frequent chunks cached.
+    """The tokenizers library with a cache of words.
 
-    The splitting pattern never joins characters over white space but for one space
-    before a word, so a text may be cut into such chunks and white-space runs first.
+    The library's splitting pattern always begins a piece at a space that stands between
+    two characters other than white space, so a text is cut at its spaces and each word is
+    encoded, with its space, by itself. Texts with two spaces in one run of white space,
+    or with a special token, are encoded whole.
     """
 
     chunks = re.compile(r" ?\S+|\s+(?!\S)|\s+").findall
-    #: The library and Python agree on white space within these ranges.
-    plain = re.compile("[\t\n\x0b\x0c\r\x20-\x7e\xa0-ɏ‐-‧‰-⁞€]*").fullmatch
+    plain = re.compile("[\t\n\r\x20-\x7e\xa1-ɏ‐-‧‰-⁞€]*").fullmatch
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -95,30 +126,45 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str | None], end_id: int) -> list[bytes]:
-        """Ids (int32) of each text, the end id included."""
-        end = np.int32(end_id).tobytes()
-        plans = [self.chunks(t) if t and self.plain(t) and not any(s in t for s in self.special) else None for t in texts]
-        new = {c for plan in plans if plan for c in plan}.difference(self.cache)
-        if len(self.cache) + len(new) > CACHE_CHUNKS:
-            self.cache.clear()
-            new = {c for plan in plans if plan for c in plan}
-        new = list(new)
-        for part in range(0, len(new), 4096):
-            words = new[part : part + 4096]
-            for word, e in zip(words, self.library.encode_batch_fast(words, add_special_tokens=False)):
-                self.cache[word] = np.array(e.ids, np.int32).tobytes()
-        get = self.cache.__getitem__
-        out = [
-            (b"".join(map(get, plan)) if plan is not None else np.array(self.library.encode(t or "", add_special_tokens=False).ids, np.int32).tobytes()) + end
-            for t, plan in zip(texts, plans)
-        ]
-        for word in new:
-            if len(word) > CACHED_CHUNK_LENGTH:
-                del self.cache[word]
-        return out
+        self.kind = id_type(self.library.get_vocab_size())
+        self.words = _Words(self)
+        self.bare: dict[str, bytes] = {}
+
+    def library_ids(self, text: str) -> bytes:
+        return array(self.kind, self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def lines(self, word: str) -> bytes:
+        """' ' + a word that has line ends in it."""
+        out = []
+        for c in self.chunks(" " + word):
+            if c[0] == " " and not c.isspace():
+                out.append(self.words[c[1:]])
+                continue
+            ids = self.bare.get(c)
+            if ids is None:
+                ids = self.library_ids(c)
+                if len(c) <= CACHED_WORD_LENGTH:
+                    if len(self.bare) >= CACHE_WORDS // 4:
+                        self.bare.clear()
+                    self.bare[c] = ids
+            out.append(ids)
+        return b"".join(out)
+
+    def encode(self, text: str | None) -> bytes:
+        """Ids of a text, as many bytes each as ``id_type`` says."""
+        text = text or ""
+        if not any(s in text for s in self.special):
+            first, *rest = text.split(" ")
+            try:
+                return (self.library_ids(first) if first else b"") + b"".join(map(self.words.__getitem__, rest))
+            except _Irregular:
+                pass
+        return self.library_ids(text)
+
+
+def id_type(vocabulary: int) -> str:
+    """Array type code of an id: two bytes where they suffice, else four."""
+    return "H" if vocabulary <= 1 << 16 else "I"
 
 
 @functools.lru_cache(maxsize=2)
@@ -128,31 +174,51 @@ def encoder(path: str) -> Encoder:
 
 def _encode(path: str, end_id: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     code = encoder(path)
+    end = array(code.kind, [end_id])
     for batch in batches:
-        for first in range(0, batch.num_rows, 256):
-            part = batch.slice(first, 256)
-            ids = code.encode(part.column(1).to_pylist(), end_id)
-            offsets = np.zeros(len(ids) + 1, np.int32)
-            np.cumsum([len(x) // 4 for x in ids], out=offsets[1:])
-            flat = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(ids))])
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), flat)], ["doc_id", "ids"])
-
-
-def encode(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """doc_id, ids (array of int)."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        functools.partial(_encode, path, end_id), "doc_id long, ids array<int>"
+        for first in range(0, batch.num_rows, 1024):
+            part = batch.slice(first, 1024)
+            ids = [code.encode(t.as_py()) + end.tobytes() for t in part.column(1)]
+            counts = np.array([len(x) // end.itemsize for x in ids], np.int64)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts), pa.array(ids, pa.binary())], ["doc_id", "n_ids", "ids"])
+
+
+class Encoded:
+    """Documents as ids: ``table`` has doc_id, n_ids and ids (little-endian ``dtype``)."""
+
+    def __init__(self, table: DataFrame, dtype: str):
+        self.table, self.dtype = table, dtype
+
+
+def encode(docs: DataFrame, path: str, scratch: Scratch, end_id: int = END_ID) -> Encoded:
+    kind = encoder(path).kind
+    table = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+        functools.partial(_encode, path, end_id), "doc_id long, n_ids long, ids binary"
     )
+    return Encoded(scratch.cut(table, "ids"), "<u2" if kind == "H" else "<u4")
+
+
+def _count(dtype: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(0, np.int64)
+    for batch in batches:
+        data, offsets = column_bytes(batch.column(0))
+        counts = np.bincount(data[offsets[0] : offsets[-1]].view(dtype))
+        if len(counts) > len(total):
+            total, counts = counts.astype(np.int64), total
+        total[: len(counts)] += counts
+    ids = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], ["id", "n"])
 
 
-def frequency_ranks(encoded: DataFrame) -> np.ndarray:
+def frequency_ranks(encoded: Encoded) -> np.ndarray:
     """Ids by falling frequency, ties by id. Collected: no longer than the vocabulary."""
-    counts = encoded.select(F.explode("ids").alias("id")).groupBy("id").count()
-    rows = counts.orderBy(F.col("count").desc(), "id").select("id").toArrow()
-    return rows.column(0).to_numpy().astype(np.uint32)
+    counts = encoded.table.select("ids").mapInArrow(functools.partial(_count, encoded.dtype), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    rows = counts.toArrow()
+    ids, n = rows["id"].to_numpy(), rows["n"].to_numpy()
+    return ids[np.lexsort((ids, -n))].astype(np.uint32)
 
 
-def _write(folder: str, ids_by_rank: bytes, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _write(folder: str, ids_by_rank: bytes, dtype: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     by_rank = np.frombuffer(ids_by_rank, np.uint32)
     rank_of = np.zeros(int(by_rank.max(initial=0)) + 1, np.uint32)
     rank_of[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
@@ -176,9 +242,11 @@ def _write(folder: str, ids_by_rank: bytes, batches: Iterator[pa.RecordBatch]) -
         at += len(block)
 
     keys, lengths, ids, held = [], [], [], 0
+    width = np.dtype(dtype).itemsize
     for batch in batches:
-        column = batch.column(1)
-        offsets, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+        data, offsets = column_bytes(batch.column(1))
+        flat = data[offsets[0] : offsets[-1]].view(dtype)
+        offsets = (offsets - offsets[0]) // width
         nulls = batch.column(0).is_null().to_numpy(zero_copy_only=False).astype(np.uint8)
         docs = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
         first = 0
@@ -205,11 +273,12 @@ def _write(folder: str, ids_by_rank: bytes, batches: Iterator[pa.RecordBatch]) -
 _MANIFEST = "file string, part int, block int, offset long, bytes long, n_docs long, n_ids long"
 
 
-def write_files(encoded: DataFrame, folder: str, scratch: Scratch) -> DataFrame:
+def write_files(encoded: Encoded, folder: str, scratch: Scratch) -> DataFrame:
     """Writes the files below ``folder``; returns the manifest."""
     by_rank = frequency_ranks(encoded).tobytes()
-    ordered = encoded.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.size("ids"), "ids")
-    return scratch.cut(ordered.mapInArrow(functools.partial(_write, folder, by_rank), _MANIFEST), "manifest")
+    key = F.col("doc_id").asc_nulls_first()
+    ordered = encoded.table.repartitionByRange(key).sortWithinPartitions(key, "n_ids", "ids").select("doc_id", "ids")
+    return scratch.cut(ordered.mapInArrow(functools.partial(_write, folder, by_rank, encoded.dtype), _MANIFEST), "manifest")
 
 
 def read_block(f, offset: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -283,10 +352,10 @@ def read_files(manifest: DataFrame, folder: str) -> DataFrame:
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "tokens")
-    encoded = scratch.cut(encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path(BYTE_BPE)), "ids")
+    encoded = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path(BYTE_BPE), scratch)
     folder = scratch.folder("files")
     manifest = write_files(encoded, folder, scratch)
-    scratch.drop(encoded)
+    scratch.drop(encoded.table)
     return read_files(manifest, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
