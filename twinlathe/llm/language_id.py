@@ -38,6 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from twinlathe.llm import bytetext
+from twinlathe.llm.storage import Scratch
 
 DOCS_PER_LANG = 200
 SLICE_CHARS = 1000
@@ -204,6 +205,8 @@ def training_text(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, slice_cha
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id"))
     # ranked without the texts; each task keeps no more than docs_per_lang of a language
     chosen = usable.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= docs_per_lang).select("doc_id").distinct()
+    # docs_per_lang ids a language: written first, so that their size decides on a broadcast and texts aren't shuffled
+    chosen = Scratch(docs.sparkSession, "language").cut(chosen, "chosen")
     most = F.greatest(F.length("text") - slice_chars, F.lit(0)) + 1
     slice_ = F.substring("text", F.pmod(F.xxhash64("doc_id"), most).cast("int") + 1, F.lit(slice_chars))
     rows = usable.where(F.length("text") > 0).join(chosen, "doc_id", "left_semi").select("lang", "doc_id", slice_.alias("text"))
