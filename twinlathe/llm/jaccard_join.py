@@ -14,20 +14,22 @@ agrees, however common single n-grams are.
 
 Keys never become rows: a slice of a batch sends, for each range of keys, one packed
 array, after joining its own equal keys to their smallest node (map-side combining, so a
-key held by a third of all documents shrinks by the slice before the shuffle). Ranges
+key key held by a third of all documents shrinks by the slice before the shuffle). Ranges
 are as many as keep each near ``KEYS_PER_RANGE``. Equal keys give a star around their
-smallest node, not all pairs.
+smallest node, not all pairs; of the centres of a node's keys, the node is paired with
+the smallest only, and that one with the others, so pairs grow as nodes do.
 
 Bounds. Each node has a bitmap of its n-grams' hashes; the bits in which two bitmaps
 differ bound the differing n-grams from below and so the intersection from above. Pairs
 that pass are compared exactly, by intersecting sorted arrays.
 
-Completion. Pairs of a star whose ends lie in different components may hide links
-between other members. Their common keys are looked up again over all documents (in
-rounds of at most ``KEYS_PER_ROUND`` keys, which bounds what is broadcast), and members
-in different components are compared in blocks of a key (tiles again), first by sizes
-and bitmaps, then exactly. After that every pair that shares a key is in one component
-or has been refuted: components are exact, up to equal 64-bit hashes.
+Completion. A pair whose ends lie in different components in the end may hide links
+between other members of its keys. Members of those keys are looked up over all documents
+(in rounds of at most ``KEYS_PER_ROUND`` keys, which bounds what is broadcast). Of each
+key, the members outside its largest component are compared with the members of other
+components, block by block, first by sizes and bitmaps, then exactly. After that every
+two nodes that share a key are in one component or have been refuted: components are
+exact, up to equal 64-bit hashes.
 
 Defined cases: null, empty or wordless text has an empty set, links with nothing and is
 its own component; texts with fewer words than n have their whole sequence as one
@@ -43,6 +45,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -178,61 +181,75 @@ def _describe(percent: int, n: int, batches: Iterator[pa.RecordBatch]) -> Iterat
         )
 
 
-def _packed(parts: list[int], keys: list[bytes], nodes: list[bytes], pairs: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(parts, pa.int32()), pa.array(keys, pa.binary()), pa.array(nodes, pa.binary()), pa.array(pairs, pa.binary())], ["part", "keys", "nodes", "pairs"]
-    )
+_SENT = "part int, keys binary, nodes binary, a long, b long, shared array<long>"
 
 
-def _stars(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct keys, smallest node of each, distinct pairs of it and the key's others)."""
+def _stars(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Table]:
+    """(distinct keys, smallest node of each, pairs with the keys they stand for)."""
     order = np.lexsort((nodes, keys))
     keys, nodes = keys[order], nodes[order]
     new = np.ones(len(keys), bool)
     new[1:] = keys[1:] != keys[:-1]
     head = np.flatnonzero(new)
     centre = np.repeat(nodes[head], np.diff(np.append(head, len(keys))))
-    other = centre != nodes
-    pairs = np.unique(np.stack([centre[other], nodes[other]], 1), axis=0) if other.any() else np.zeros((0, 2), np.int64)
-    return keys[head], nodes[head], pairs
+    other = np.flatnonzero(centre != nodes)
+    key, node, centre = keys[other].view(np.int64), nodes[other], centre[other]
+    order = np.lexsort((centre, node))
+    key, node, centre = key[order], node[order], centre[order]
+    begin = np.flatnonzero(np.append(True, node[1:] != node[:-1])) if len(node) else np.zeros(0, np.int64)
+    parent = np.repeat(centre[begin], np.diff(np.append(begin, len(node))))
+    apart = parent != centre
+    a, b, k = (np.concatenate([parent, parent[apart]]), np.concatenate([node, centre[apart]]), np.concatenate([key, key[apart]]))
+    order = np.lexsort((k, b, a))
+    a, b, k = a[order], b[order], k[order]
+    pair = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])) if len(a) else np.zeros(0, bool)
+    keep = pair | np.append(True, k[1:] != k[:-1]) if len(a) else pair
+    a, b, k, pair = a[keep], b[keep], k[keep], pair[keep]
+    first = np.flatnonzero(pair)
+    shared = pa.ListArray.from_arrays(pa.array(np.append(first, len(a)).astype(np.int32)), pa.array(k))
+    return keys[head], nodes[head], pa.table({"a": pa.array(a[first]), "b": pa.array(b[first]), "shared": shared})
 
 
 def _send(percent: int, n: int, ranges: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     p = plan(percent, n)
+    none = lambda kind, size: pa.nulls(size, kind)
+    names = ["part", "keys", "nodes", "a", "b", "shared"]
     for _, sets in _slices(batches, n):
         _, rows = np.unique(sets.node, return_index=True)
         keys, owner = sets.keys(p, rows)
         keys, nodes, pairs = _stars(keys, sets.node[owner])
         part = ((keys >> U64(32)) * U64(ranges) >> U64(32)).astype(np.int64)
         cut = np.searchsorted(part, np.arange(ranges + 1))  # keys are sorted, so parts are
-        filled = np.flatnonzero(np.diff(cut))
-        if len(filled):
-            yield _packed(
-                filled.tolist(), [keys[cut[i] : cut[i + 1]].tobytes() for i in filled], [nodes[cut[i] : cut[i + 1]].tobytes() for i in filled],
-                [pairs.tobytes() if k == 0 else b"" for k in range(len(filled))],
-            )
+        filled = np.flatnonzero(np.diff(cut)).tolist()
+        if filled:
+            columns = [pa.array(filled, pa.int32()), *[pa.array([x[cut[i] : cut[i + 1]].tobytes() for i in filled], pa.binary()) for x in (keys, nodes)]]
+            yield pa.RecordBatch.from_arrays([*columns, none(pa.int64(), len(filled)), none(pa.int64(), len(filled)), none(pa.list_(pa.int64()), len(filled))], names)
+        if size := pairs.num_rows:
+            to = pa.array((pairs["b"].to_numpy() % ranges).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([to, none(pa.binary(), size), none(pa.binary(), size), *[pairs[c].combine_chunks() for c in ("a", "b", "shared")]], names)
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by part."""
 
-    def ended(keys: list[bytes], nodes: list[bytes], pairs: list[bytes]) -> pa.RecordBatch:
-        found = _stars(np.frombuffer(b"".join(keys), U64), np.frombuffer(b"".join(nodes), np.int64))[2]
-        both = np.concatenate([found, np.frombuffer(b"".join(pairs), np.int64).reshape(-1, 2)])
-        both = np.unique(both, axis=0) if len(both) else both
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))], ["a", "b"])
+    def ended(keys: list[bytes], nodes: list[bytes]) -> list[pa.RecordBatch]:
+        return _stars(np.frombuffer(b"".join(keys), U64), np.frombuffer(b"".join(nodes), np.int64))[2].to_batches()
 
-    now, held = None, ([], [], [])
+    now, keys, nodes = None, [], []
     for batch in batches:
-        for part, *columns in zip(*[c.to_pylist() for c in batch.columns]):
-            if part != now and held[0]:
-                yield ended(*held)
-                held = ([], [], [])
+        is_pair = batch.column(3).is_valid()
+        if is_pair.true_count:
+            yield pa.RecordBatch.from_arrays(batch.columns[3:], ["a", "b", "shared"]).filter(is_pair)
+        ranges = pa.RecordBatch.from_arrays(batch.columns[:3], ["part", "keys", "nodes"]).filter(pc.invert(is_pair))
+        for part, k, v in zip(*[c.to_pylist() for c in ranges.columns]):
+            if part != now and keys:
+                yield from ended(keys, nodes)
+                keys, nodes = [], []
             now = part
-            for h, c in zip(held, columns):
-                h.append(c)
-    if held[0]:
-        yield ended(*held)
+            keys.append(k)
+            nodes.append(v)
+    if keys:
+        yield from ended(keys, nodes)
 
 
 def _grams(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,14 +258,6 @@ def _grams(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(sets.node), bytetext.binary_column(chunks)], ["node", "grams"])
 
 
-def _own_keys(percent: int, n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    p = plan(percent, n)
-    for _, sets in _slices(batches, n):
-        _, rows = np.unique(sets.node, return_index=True)
-        keys, owner = sets.keys(p, rows)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sets.node[owner])], ["key", "node"])
-
-
 def _members(percent: int, n: int, wanted, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     p, asked = plan(percent, n), np.frombuffer(wanted.value, np.int64)
     for _, sets in _slices(batches, n):
@@ -298,12 +307,12 @@ class Join:
         self.nodes = self.scratch.cut(own, "nodes")
 
     def pairs(self) -> DataFrame:
-        """a, b: stars of the nodes that share a key."""
+        """a, b, shared: pairs of nodes, and the keys for which they stand."""
         total = self.nodes.agg(F.sum("n_keys")).first()[0] or 0
         ranges = max(8, -(-total // KEYS_PER_RANGE))
-        sent = self.docs.mapInArrow(functools.partial(_send, self.percent, self.n, ranges), "part int, keys binary, nodes binary, pairs binary")
-        met = sent.repartition(ranges, "part").sortWithinPartitions("part").mapInArrow(_meet, "a long, b long")
-        return self.scratch.cut(met.distinct(), "pairs")
+        sent = self.docs.mapInArrow(functools.partial(_send, self.percent, self.n, ranges), _SENT)
+        met = sent.repartition(ranges, "part").sortWithinPartitions("part").mapInArrow(_meet, "a long, b long, shared array<long>")
+        return self.scratch.cut(met, "pairs")
 
     def bounded(self, pairs: DataFrame) -> DataFrame:
         """The pairs that sizes and bitmaps allow."""
@@ -329,41 +338,32 @@ class Join:
         return links
 
     def unsettled_keys(self, pairs: DataFrame, roots: DataFrame) -> DataFrame:
-        """Keys common to the ends of pairs that lie in different components."""
+        """Keys of the pairs that lie in different components."""
         ra = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         rb = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        apart = pairs.join(ra, "a", "left").join(rb, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-        apart = self.scratch.cut(apart, "apart")
-        ends = apart.select(F.col("a").alias("node")).unionByName(apart.select(F.col("b").alias("node"))).distinct()
-        keys = self.texts_of(ends).mapInArrow(functools.partial(_own_keys, self.percent, self.n), "key long, node long").distinct()
-        keys = self.scratch.cut(keys.groupBy("node").agg(F.collect_list("key").alias("keys")), "own")  # as many as the set has parts
-        ka = keys.select(F.col("node").alias("a"), F.col("keys").alias("ka"))
-        kb = keys.select(F.col("node").alias("b"), F.col("keys").alias("kb"))
-        common = apart.join(ka, "a").join(kb, "b").select(F.explode(F.array_intersect("ka", "kb")).alias("key")).distinct()
-        return self.scratch.cut(common, "keys")
-
-    def complete(self, keys: DataFrame, roots: DataFrame) -> DataFrame:
+        apart = pairs.join(ra, "a", "left").join(rb, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
+        return self.scratch.cut(apart.select(F.explode("shared").alias("key")).distinct(), "keys")
+
+    def complete(self, keys: DataFrame, roots: DataFrame) -> DataFrame | None:
         """Pairs of nodes in different components that share one of ``keys`` and may link."""
-        count = keys.count()
-        rounds = -(-count // KEYS_PER_ROUND)
+        rounds = -(-keys.count() // KEYS_PER_ROUND)
         found = None
         for k in range(rounds):
             mine = keys.where(F.pmod(F.xxhash64("key"), F.lit(rounds)) == k)
             wanted = self.spark.sparkContext.broadcast(np.sort(mine.toArrow().column(0).to_numpy()).tobytes())
-            members = self.scratch.cut(self.docs.mapInArrow(functools.partial(_members, self.percent, self.n, wanted), "key long, node long").distinct(), "members")
-            sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-            full = (
-                members.join(sizes, "key").join(self.nodes.select("node", "n", "bitmap"), "node").join(roots, "node", "left")
-                .select("key", "node", "n", "bitmap", F.coalesce("root", "node").alias("root"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-            )
-            full = self.scratch.cut(full, "full")
+            members = self.docs.mapInArrow(functools.partial(_members, self.percent, self.n, wanted), "key long, node long").distinct()
+            members = members.join(self.nodes.select("node", "n", "bitmap"), "node").join(roots, "node", "left")
+            full = self.scratch.cut(members.select("key", "node", "n", "bitmap", F.coalesce("root", "node").alias("root")), "members")
+            per_root = full.groupBy("key", "root").agg(F.count("*").alias("size"))
+            sizes = per_root.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.ceil(F.sum("size") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("roots"))
+            placed = full.join(sizes.where("roots > 1").drop("roots"), "key")
             side = lambda s: [F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("bitmap").alias(f"bitmap_{s}"), F.col("root").alias(f"root_{s}")]
-            left = full.select("key", *side("a"), F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
-            right = full.select("key", *side("b"), F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), "block")).alias("i"))
-            apart = (F.col("root_a") != F.col("root_b")) & ((F.col("i") < F.col("j")) | (F.col("a") < F.col("b")))
-            pairs = left.join(right, ["key", "i", "j"]).where(apart & may_link(self.percent)).select("a", "b")
-            pairs = self.scratch.cut(pairs.distinct(), "pairs")
-            self.scratch.drop(members, full)
+            left = placed.where(F.col("root") != F.col("main")).select("key", *side("a"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+            right = placed.select("key", *side("b"), (F.col("root") == F.col("main")).alias("is_main"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+            apart = (F.col("root_a") != F.col("root_b")) & (F.col("is_main") | (F.col("a") < F.col("b")))
+            met = left.join(right, ["key", "block"]).where(apart & may_link(self.percent))
+            pairs = self.scratch.cut(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+            self.scratch.drop(full)
             wanted.unpersist()
             found = pairs if found is None else found.unionByName(pairs)
         return found
@@ -371,7 +371,7 @@ class Join:
     def run(self) -> DataFrame:
         """doc_id, n_shingles, component_id."""
         pairs = self.pairs()
-        links = self.exact(self.scratch.cut(self.bounded(pairs), "bounded"))
+        links = self.exact(self.scratch.cut(self.bounded(pairs.select("a", "b").distinct()), "bounded"))
         roots = components(links, self.scratch)
         keys = self.unsettled_keys(pairs, roots)
         more = self.complete(keys, roots)
