@@ -54,10 +54,10 @@ class Scratch:
         self.paths.append(new_path(self.spark, f"{self.name}-{what}"))
         return self.paths[-1]
 
-    def cut(self, df: DataFrame, what: str) -> DataFrame:
+    def cut(self, df: DataFrame, what: str, codec: str | None = None) -> DataFrame:
         """``df`` written out and read back."""
         path = self.folder(what)
-        df.write.parquet(path)
+        df.write.parquet(path, compression=codec)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *tables: DataFrame) -> None:

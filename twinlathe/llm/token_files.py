@@ -5,13 +5,15 @@ rank by frequency, so that frequent ids take one byte. Documents are range-parti
 by doc_id, and each partition becomes one file::
 
     "TLTF" | u32 version | u32 n_ranks | n_ranks x u32 (id of each rank) | block*
-    block: u32 n_docs | u32 n_ids | u32 data_bytes | u32 crc32 of what follows
+    block: u32 n_docs | u32 control_bytes | u32 data_bytes | u32 crc32 of what follows
            | n_docs x i64 doc_id | n_docs x u8 (1: doc_id is null) | n_docs x u32 ids of each
-           | ceil(n_ids / 4) control bytes | data
+           | control bytes (ceil(ids / 4) of each document) | data bytes
 
 A control byte holds the byte lengths, less one, of four ranks (two bits each, lowest
-first); the data bytes are the ranks' little-endian bytes without leading zeros.
-Decoding looks lengths up in a 256 x 4 table and spreads the data with one mask.
+first); the data bytes are the ranks' little-endian bytes without leading zeros. Ids are
+packed before the shuffle, which so moves what the files hold; the writers only put
+documents one after another. Decoding looks lengths up in a 256 x 4 table and spreads
+the data with one mask.
 
 A manifest table (one row per block, written with Spark's commit protocol) names the
 files that count. Files have unique names, so a retried or speculative task leaves an
@@ -49,7 +51,7 @@ END_ID = 0
 MAGIC, VERSION = b"TLTF", 1
 BLOCK_IDS = 1 << 18
 #: Words of one generation of the cache, and the longest word kept.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 CACHED_WORD_LENGTH = 64
 _HEAD = struct.Struct("<4sII")
 _BLOCK = struct.Struct("<IIII")
@@ -72,10 +74,15 @@ def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
     return control.tobytes(), ranks.view(np.uint8).reshape(-1, 4)[STORED[code]].tobytes()
 
 
-def unpack(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
-    """The ``n`` ranks of what ``pack`` made."""
-    code = LENGTHS[control].ravel()[:n] - 1
-    out = np.zeros((n, 4), np.uint8)
+def unpack(control: np.ndarray, data: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The ranks of documents of ``counts`` ranks, each of which ``pack`` made."""
+    slots = -(-counts.astype(np.int64) // 4) * 4
+    last = np.cumsum(slots)
+    spare = np.zeros(len(control) * 4, bool)
+    for k in range(1, 4):  # up to three unused slots at a document's end
+        spare[last[slots - counts >= k] - k] = True
+    code = LENGTHS[control].ravel()[~spare] - 1
+    out = np.zeros((len(code), 4), np.uint8)
     out[STORED[code]] = data
     return out.view(np.uint32).ravel()
 
@@ -98,7 +105,8 @@ class _Words(dict):
         if ids is None:
             if "\n" in word and self.encoder.plain(word):
                 return self.encoder.lines(word)
-            ids = self.encoder.library_ids(" " + word)
+            parts = self.encoder.marked(word)
+            ids = self[parts[1]] + self.encoder.bare_ids(parts[2]) if parts else self.encoder.library_ids(" " + word)
             if len(word) > CACHED_WORD_LENGTH:
                 return ids
         if len(self) >= CACHE_WORDS:
@@ -119,6 +127,8 @@ class Encoder:
 
     chunks = re.compile(r" ?\S+|\s+(?!\S)|\s+").findall
     plain = re.compile("[\t\n\r\x20-\x7e\xa1-ɏ‐-‧‰-⁞€]*").fullmatch
+    #: Letters, then other marks: two pieces of the splitting pattern.
+    marked = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\\[-`{-~]+)").fullmatch
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -140,16 +150,20 @@ class Encoder:
             if c[0] == " " and not c.isspace():
                 out.append(self.words[c[1:]])
                 continue
-            ids = self.bare.get(c)
-            if ids is None:
-                ids = self.library_ids(c)
-                if len(c) <= CACHED_WORD_LENGTH:
-                    if len(self.bare) >= CACHE_WORDS // 4:
-                        self.bare.clear()
-                    self.bare[c] = ids
-            out.append(ids)
+            out.append(self.bare_ids(c))
         return b"".join(out)
 
+    def bare_ids(self, piece: str) -> bytes:
+        """Ids of a piece without a space before it."""
+        ids = self.bare.get(piece)
+        if ids is None:
+            ids = self.library_ids(piece)
+            if len(piece) <= CACHED_WORD_LENGTH:
+                if len(self.bare) >= CACHE_WORDS // 8:
+                    self.bare.clear()
+                self.bare[piece] = ids
+        return ids
+
     def encode(self, text: str | None) -> bytes:
         """Ids of a text, as many bytes each as ``id_type`` says."""
         text = text or ""
@@ -195,7 +209,7 @@ def encode(docs: DataFrame, path: str, scratch: Scratch, end_id: int = END_ID) -
     table = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         functools.partial(_encode, path, end_id), "doc_id long, n_ids long, ids binary"
     )
-    return Encoded(scratch.cut(table, "ids"), "<u2" if kind == "H" else "<u4")
+    return Encoded(scratch.cut(table, "ids", "zstd"), "<u2" if kind == "H" else "<u4")
 
 
 def _count(dtype: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,51 +232,50 @@ def frequency_ranks(encoded: Encoded) -> np.ndarray:
     return ids[np.lexsort((ids, -n))].astype(np.uint32)
 
 
-def _write(folder: str, ids_by_rank: bytes, dtype: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pack(ids_by_rank: bytes, dtype: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     by_rank = np.frombuffer(ids_by_rank, np.uint32)
     rank_of = np.zeros(int(by_rank.max(initial=0)) + 1, np.uint32)
     rank_of[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
+    for batch in batches:
+        packed = [pack(rank_of[np.frombuffer(x.as_buffer(), dtype)]) for x in batch.column(2)]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array([c for c, _ in packed], pa.binary()), pa.array([d for _, d in packed], pa.binary())],
+            ["doc_id", "n_ids", "control", "data"],
+        )
+
+
+def _write(folder: str, ids_by_rank: bytes, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part = TaskContext.get().partitionId()
     fs, root = pa.fs.FileSystem.from_uri(folder)
     name = f"part-{part:06d}-{uuid.uuid4().hex}.tok"
     out, blocks, at = None, [], 0
 
-    def flush(keys: list, lengths: list[np.ndarray], ids: list[np.ndarray]) -> None:
+    def flush(docs: list[tuple]) -> None:
         nonlocal out, at
         if out is None:
             fs.create_dir(root, recursive=True)
             out = fs.open_output_stream(f"{root}/{name}")
-            at = out.write(_HEAD.pack(MAGIC, VERSION, len(by_rank)) + ids_by_rank)
-        doc_ids, counts, flat = np.concatenate([k[0] for k in keys]), np.concatenate(lengths), np.concatenate(ids)
-        control, data = pack(rank_of[flat])
-        body = doc_ids.tobytes() + np.concatenate([k[1] for k in keys]).tobytes() + counts.astype(np.uint32).tobytes() + control + data
-        block = _BLOCK.pack(len(counts), len(flat), len(data), zlib.crc32(body)) + body
+            at = out.write(_HEAD.pack(MAGIC, VERSION, len(ids_by_rank) // 4) + ids_by_rank)
+        ids = np.array([d[0] or 0 for d in docs], np.int64).tobytes()
+        nulls = np.array([d[0] is None for d in docs], np.uint8).tobytes()
+        counts = np.array([d[1] for d in docs], np.uint32)
+        control, data = b"".join(d[2] for d in docs), b"".join(d[3] for d in docs)
+        body = ids + nulls + counts.tobytes() + control + data
+        block = _BLOCK.pack(len(docs), len(control), len(data), zlib.crc32(body)) + body
         out.write(block)
-        blocks.append((name, part, len(blocks), at, len(block), len(counts), len(flat)))
+        blocks.append((name, part, len(blocks), at, len(block), len(docs), int(counts.sum())))
         at += len(block)
 
-    keys, lengths, ids, held = [], [], [], 0
-    width = np.dtype(dtype).itemsize
+    docs, held = [], 0
     for batch in batches:
-        data, offsets = column_bytes(batch.column(1))
-        flat = data[offsets[0] : offsets[-1]].view(dtype)
-        offsets = (offsets - offsets[0]) // width
-        nulls = batch.column(0).is_null().to_numpy(zero_copy_only=False).astype(np.uint8)
-        docs = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
-        first = 0
-        while first < len(docs):
-            last = int(np.searchsorted(offsets, offsets[first] + BLOCK_IDS - held, "right")) - 1
-            last = min(max(last, first + 1), len(docs))
-            keys.append((docs[first:last], nulls[first:last]))
-            lengths.append(np.diff(offsets[first : last + 1]))
-            ids.append(flat[offsets[first] : offsets[last]])
-            held += int(offsets[last] - offsets[first])
-            first = last
-            if held >= BLOCK_IDS or first < len(docs):
-                flush(keys, lengths, ids)
-                keys, lengths, ids, held = [], [], [], 0
-    if keys:
-        flush(keys, lengths, ids)
+        for doc in zip(*[c.to_pylist() for c in batch.columns]):
+            docs.append(doc)
+            held += doc[1]
+            if held >= BLOCK_IDS:
+                flush(docs)
+                docs, held = [], 0
+    if docs:
+        flush(docs)
     if out is not None:
         out.close()
     names = ["file", "part", "block", "offset", "bytes", "n_docs", "n_ids"]
@@ -276,16 +289,17 @@ _MANIFEST = "file string, part int, block int, offset long, bytes long, n_docs l
 def write_files(encoded: Encoded, folder: str, scratch: Scratch) -> DataFrame:
     """Writes the files below ``folder``; returns the manifest."""
     by_rank = frequency_ranks(encoded).tobytes()
+    packed = encoded.table.mapInArrow(functools.partial(_pack, by_rank, encoded.dtype), "doc_id long, n_ids long, control binary, data binary")
     key = F.col("doc_id").asc_nulls_first()
-    ordered = encoded.table.repartitionByRange(key).sortWithinPartitions(key, "n_ids", "ids").select("doc_id", "ids")
-    return scratch.cut(ordered.mapInArrow(functools.partial(_write, folder, by_rank, encoded.dtype), _MANIFEST), "manifest")
+    ordered = packed.repartitionByRange(key).sortWithinPartitions(key, "n_ids", "control", "data")
+    return scratch.cut(ordered.mapInArrow(functools.partial(_write, folder, by_rank), _MANIFEST), "manifest")
 
 
 def read_block(f, offset: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(doc_ids, their null flags, ids of each, ranks of all) of one block."""
     f.seek(offset)
     raw = f.read(size)
-    n_docs, n_ids, data_bytes, crc = _BLOCK.unpack_from(raw)
+    n_docs, n_control, data_bytes, crc = _BLOCK.unpack_from(raw)
     body = memoryview(raw)[_BLOCK.size :]
     if zlib.crc32(body) != crc:
         raise ValueError(f"damaged block at {offset}")
@@ -293,9 +307,7 @@ def read_block(f, offset: int, size: int) -> tuple[np.ndarray, np.ndarray, np.nd
     nulls = np.frombuffer(body, np.uint8, n_docs, 8 * n_docs)
     counts = np.frombuffer(body, np.uint32, n_docs, 9 * n_docs)
     at = 13 * n_docs
-    n_control = -(-n_ids // 4)
-    control = np.frombuffer(body, np.uint8, n_control, at)
-    return docs, nulls, counts, unpack(control, np.frombuffer(body, np.uint8, data_bytes, at + n_control), n_ids)
+    return docs, nulls, counts, unpack(np.frombuffer(body, np.uint8, n_control, at), np.frombuffer(body, np.uint8, data_bytes, at + n_control), counts)
 
 
 def read_ranks(f) -> np.ndarray:
