@@ -1,6 +1,399 @@
-"""Every record-linkage query with its DuckDB oracle."""
+"""Every record-linkage query with the DuckDB SQL it is checked against."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from twinlathe.functions import naming, report, similarity, text
+from twinlathe.operators import actions, decisions, diff, linkage, scan
+from twinlathe.plans import fixtures as fx
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+# --- scan -------------------------------------------------------------------------------
+
+_EXACT = f"""WITH {fx.DOCS_SQL},
+gated AS (SELECT *, sha256(content) AS sha FROM docs WHERE size IN (SELECT size FROM docs GROUP BY size HAVING count(*) > 1))"""
+_DOC_ORDER = "(a.rank < b.rank OR (a.rank = b.rank AND string_split(a.rel, '/') < string_split(b.rel, '/')))"
+
+
+@query(f"{_EXACT} SELECT a.rel AS a_rel, b.rel AS b_rel, a.size AS a_size, a.sha AS sha256 FROM gated a JOIN gated b ON a.sha = b.sha AND {_DOC_ORDER}")
+def exact_duplicate_pairs(spark: SparkSession, d: str) -> DataFrame:
+    pairs = linkage.exact_pairs(scan.hashed(fx.docs_tracks(spark, d), "content"))
+    return pairs.select("a_rel", "b_rel", "a_size", F.col("a_sha256").alias("sha256"))
+
+
+@query(f"{_EXACT} SELECT sha AS sha256, count(*) AS n, arg_min(rel, (rank, string_split(rel, '/'))) AS keep FROM gated GROUP BY sha HAVING count(*) > 1")
+def duplicate_groups(spark: SparkSession, d: str) -> DataFrame:
+    return linkage.duplicate_groups(scan.hashed(fx.docs_tracks(spark, d), "content"))
+
+
+@query(f"WITH {fx.DOCS_SQL}, s AS (SELECT size, count(*) AS n FROM docs GROUP BY size) SELECT sum(n)::BIGINT AS n_files, coalesce(sum(n) FILTER (n > 1), 0)::BIGINT AS n_hashed, count(*) FILTER (n > 1) AS n_shared_sizes FROM s")
+def size_gate_stats(spark: SparkSession, d: str) -> DataFrame:
+    sizes = fx.docs_tracks(spark, d).groupBy("size").agg(F.count("*").alias("n"))
+    return sizes.agg(F.sum("n").alias("n_files"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).cast("long").alias("n_hashed"), F.count_if(F.col("n") > 1).alias("n_shared_sizes"))
+
+
+_VISIBLE = "len(list_filter(string_split(rel, '/'), lambda x: starts_with(x, '.'))) = 0"
+
+
+@query(f"WITH {fx.LISTING_SQL} SELECT s.source, count(l.rel) AS n FROM (VALUES ('library'), ('tracks'), ('incoming')) s(source) LEFT JOIN listing l ON l.source = s.source AND {_VISIBLE} AND ends_with(l.rel, '.flac') GROUP BY s.source")
+def scan_source_counts(spark: SparkSession, d: str) -> DataFrame:
+    return scan.source_counts(scan.collection(fx.listing(spark, d)))
+
+
+@query(f"""WITH {fx.LISTING_SQL}, {fx.CACHE_SQL}
+SELECT count(*) FILTER (audio AND hit) AS cached, count(*) FILTER (audio AND NOT hit) AS new, count(*) FILTER (audio AND NOT hit AND known) AS stale, count(*) FILTER (NOT audio) AS ignored_non_audio
+FROM (SELECT ends_with(l.rel, '.flac') AS audio, c.rel IS NOT NULL AS known, coalesce(c.size = l.size AND c.mtime_ns = l.mtime_ns, false) AS hit FROM listing l LEFT JOIN cache c USING (rel) WHERE {_VISIBLE})""")
+def cache_hit_stale_new(spark: SparkSession, d: str) -> DataFrame:
+    return scan.scan_counters(fx.listing(spark, d), fx.cache(spark, d))
+
+
+# --- text -------------------------------------------------------------------------------
+
+_FIRST_LINE = "string_split(text, chr(10))[1]"
+_DOC_NORM = fx.norm_sql(f"replace({_FIRST_LINE}, 'ß', 'ss')")
+
+
+def _titles(spark: SparkSession, d: str) -> DataFrame:
+    return text.with_normalized(fx.table(spark, d, "documents").select("doc_id", F.split("text", "\n")[0].alias("title")), norm=F.col("title"))
+
+
+@query(f"SELECT doc_id, {_DOC_NORM} AS norm FROM documents")
+def normalize_text_docs(spark: SparkSession, d: str) -> DataFrame:
+    return _titles(spark, d).select("doc_id", "norm")
+
+
+@query(f"SELECT id, {fx.core_sql('norm_title')} AS core, core_title FROM (WITH {fx.PART_SQL} SELECT * FROM tracks)")
+def core_text(spark: SparkSession, d: str) -> DataFrame:
+    return fx.part_featured(spark, d).select("id", text.core_of(F.col("norm_title")).alias("core"), "core_title")
+
+
+_FEAT_TEXT = "p_name || [' feat. ', ' featuring ', ' ft. ', ' with '][p_partkey % 4 + 1] || p_brand || ')'"
+
+
+@query(rf"""SELECT p_partkey AS id, CASE WHEN regexp_matches(s, '{fx.FEAT_RE2}') THEN trim(regexp_replace(s, '(?s){fx.FEAT_RE2}.*$', '')) ELSE trim(s) END AS before,
+CASE WHEN regexp_matches(s, '{fx.FEAT_RE2}') THEN trim(regexp_extract(s, '(?s)^.*?{fx.FEAT_RE2}(.*)$', 1), ' .,()[]-–—') ELSE '' END AS after FROM (SELECT *, {_FEAT_TEXT} AS s FROM part)""")
+def feat_split(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    s = F.concat("p_name", fx.pick((" feat. ", " featuring ", " ft. ", " with "), k), "p_brand", F.lit(")"))
+    return fx.table(spark, d, "part").select(k.alias("id"), text.split_feat(s).alias("f")).select("id", "f.before", "f.after")
+
+
+@query(f"WITH {fx.PART_SQL} SELECT id, array_to_string(terms, ', ') AS terms, len(terms)::BIGINT AS n FROM tracks")
+def version_terms(spark: SparkSession, d: str) -> DataFrame:
+    terms = text.version_terms(F.col("norm_title"))
+    return fx.part_featured(spark, d).select("id", F.array_join(terms, ", ").alias("terms"), F.size(terms).cast("long").alias("n"))
+
+
+_STEM = "['01 - ', '', '7. - ', ' – '][p_partkey % 4 + 1] || p_brand || [' - ', ' – ', ' — ', '-'][p_partkey % 3 + 1] || p_name || [' - x', ''][p_partkey % 2 + 1]"
+
+
+@query(rf"""SELECT id, CASE WHEN len(p) >= 2 THEN p[1] END AS artist, CASE WHEN len(p) = 1 THEN p[1] WHEN len(p) >= 2 THEN array_to_string(p[2:], ' ') END AS title
+FROM (SELECT id, CASE WHEN len(p) > 0 AND regexp_full_match(p[1], '\d{{1,3}}[._\-]?\d*') THEN p[2:] ELSE p END AS p
+FROM (SELECT p_partkey AS id, list_filter(list_transform(string_split_regex({_STEM}, '\s+[-–—]\s+'), lambda x: trim(x)), lambda x: x <> '') AS p FROM part))""")
+def filename_guess(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    stem = F.concat(fx.pick(("01 - ", "", "7. - ", " – "), k), "p_brand", fx.pick((" - ", " – ", " — ", "-"), k % 3), "p_name", fx.pick((" - x", ""), k))
+    return fx.table(spark, d, "part").select(k.alias("id"), text.guess_from_stem(stem).alias("g")).select("id", "g.artist", "g.title")
+
+
+@query()
+def text_similarity(spark: SparkSession, d: str) -> DataFrame:
+    parts = fx.table(spark, d, "part").select("p_name", "p_brand").distinct()
+    pairs = parts.alias("x").join(parts.alias("y"), F.expr("x.p_brand = y.p_brand AND x.p_name < y.p_name")).select(F.col("x.p_name").alias("a"), F.col("y.p_name").alias("b")).distinct()
+    return similarity.with_text_sims(pairs, sim=(F.col("a"), F.col("b"))).select("a", "b", F.round("sim", 6).alias("sim"))
+
+
+# --- pairs ------------------------------------------------------------------------------
+
+_ALT = "dur_close = false AND ta <> tb"
+_NOTE = """concat_ws('; ', CASE WHEN len(list_filter(tb, lambda x: NOT list_contains(ta, x))) > 0 THEN 'B extra version term(s): ' || array_to_string(list_sort(list_filter(tb, lambda x: NOT list_contains(ta, x))), ', ') END,
+ CASE WHEN len(list_filter(ta, lambda x: NOT list_contains(tb, x))) > 0 THEN 'A extra version term(s): ' || array_to_string(list_sort(list_filter(ta, lambda x: NOT list_contains(tb, x))), ', ') END,
+ 'no fpcalc installed — metadata-only classification')"""
+_CLASSED = f"""classed AS (SELECT *, CASE WHEN exact THEN 'EXACT_DUPLICATE' WHEN coalesce({_ALT}, false) THEN 'POSSIBLE_ALTERNATE_VERSION' ELSE 'POSSIBLE_SAME_RECORDING' END AS category,
+ CASE WHEN exact THEN 'byte-identical files' ELSE {_NOTE} END AS note FROM measured)"""
+_CLASSES = f"WITH {fx.PAIRS_SQL}, {_CLASSED}"
+_KEEP = "NOT EXISTS (SELECT 1 FROM resolved r WHERE least(r.a, r.b) = least(a_rel, b_rel) AND greatest(r.a, r.b) = greatest(a_rel, b_rel))"
+
+
+@query(f"WITH {fx.PAIRS_SQL} SELECT a_rel, b_rel, title_sim, artist_sim, duration_diff, dur_close FROM measured WHERE NOT exact")
+def block_candidates(spark: SparkSession, d: str) -> DataFrame:
+    pairs = linkage.scored(linkage.blocked_pairs(fx.part_featured(spark, d))).where(linkage.is_candidate())
+    return pairs.select("a_rel", "b_rel", "title_sim", "artist_sim", "duration_diff", "dur_close")
+
+
+@query(f"WITH {fx.PART_SQL} SELECT n AS block_size, count(*) AS blocks, (count(*) * n * (n - 1) // 2)::BIGINT AS pairs FROM (SELECT count(*) AS n FROM tracks GROUP BY block_key) GROUP BY n")
+def block_size_histogram(spark: SparkSession, d: str) -> DataFrame:
+    sizes = fx.part_featured(spark, d).where("block_key <> ''").groupBy("block_key").agg(F.count("*").alias("n"))
+    n = F.col("n")
+    return sizes.groupBy("n").agg(F.count("*").alias("blocks")).select(n.alias("block_size"), "blocks", F.floor(F.col("blocks") * n * (n - 1) / 2).cast("long").alias("pairs"))
+
+
+@query(f"WITH {fx.PAIRS_SQL}, {fx.RESOLVED_SQL} SELECT a_rel, b_rel, stage FROM pairs WHERE {_KEEP}")
+def candidates_unresolved(spark: SparkSession, d: str) -> DataFrame:
+    return linkage.candidates(fx.part_featured(spark, d), fx.resolved(spark, d)).select("a_rel", "b_rel", "stage")
+
+
+@query(f"WITH {fx.PAIRS_SQL}, {fx.RESOLVED_SQL} SELECT count(*) AS n_pairs, count(*) FILTER (NOT {_KEEP}) AS n_resolved FROM pairs")
+def resolved_skip_count(spark: SparkSession, d: str) -> DataFrame:
+    done = fx.resolved(spark, d).select(linkage.pair_key(F.col("a"), F.col("b")).alias("key"), F.lit(1).alias("done")).distinct()
+    pairs = linkage.candidates(fx.part_featured(spark, d)).select(linkage.pair_key(F.col("a_rel"), F.col("b_rel")).alias("key"))
+    return pairs.join(done, "key", "left").agg(F.count("*").alias("n_pairs"), F.count("done").alias("n_resolved"))
+
+
+@query(f"{_CLASSES} SELECT a_rel, b_rel, category, note FROM classed")
+def classify_metadata(spark: SparkSession, d: str) -> DataFrame:
+    return linkage.candidates(fx.part_featured(spark, d)).select("a_rel", "b_rel", "category", "note")
+
+
+@query(f"{_CLASSES} SELECT category, count(*) AS n FROM classed GROUP BY category")
+def category_counts(spark: SparkSession, d: str) -> DataFrame:
+    return linkage.category_counts(linkage.candidates(fx.part_featured(spark, d)))
+
+
+@query(f"""{_CLASSES}, keyed AS (SELECT *, CASE category WHEN 'EXACT_DUPLICATE' THEN 0 WHEN 'POSSIBLE_SAME_RECORDING' THEN 2 ELSE 3 END AS severity,
+ CASE WHEN a_source = 'library' OR b_source = 'library' THEN 0 ELSE 1 END AS lib, min((ra, pa)) OVER (PARTITION BY stage, grp) AS first FROM classed)
+SELECT a_rel, b_rel, category, row_number() OVER (ORDER BY severity, lib, stage, first, ra, pa, rb, pb)::INTEGER AS rank FROM keyed""")
+def ranked_review_queue(spark: SparkSession, d: str) -> DataFrame:
+    return linkage.ranked(linkage.candidates(fx.part_featured(spark, d))).select("a_rel", "b_rel", "category", "rank")
+
+
+@query(f"WITH {fx.PAIRS_SQL} SELECT a_rel, b_rel, stage FROM pairs WHERE (a_source = 'incoming') <> (b_source = 'incoming')")
+def ingest_cross_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return linkage.candidates(fx.part_featured(spark, d)).where(linkage.cross_source()).select("a_rel", "b_rel", "stage")
+
+
+@query(f"""WITH {fx.PAIRS_SQL}, crossed AS (SELECT * FROM pairs WHERE (a_source = 'incoming') <> (b_source = 'incoming'))
+SELECT t.rel, t.rel IN (SELECT a_rel FROM crossed UNION SELECT b_rel FROM crossed) AS had_candidate FROM tracks t WHERE t.source = 'incoming' AND t.id % 6 <> 2""")
+def ingest_remaining(spark: SparkSession, d: str) -> DataFrame:
+    tracks = fx.part_featured(spark, d)
+    incoming = tracks.where("source = 'incoming'")
+    crossed = linkage.candidates(tracks).where(linkage.cross_source())
+    return actions.remaining_incoming(incoming, incoming.where("id % 6 = 2"), crossed).select("rel", "had_candidate")
+
+
+@query(f"WITH {fx.PAIRS_SQL}, {fx.DECISIONS_SQL} SELECT a_rel, b_rel, stage FROM pairs WHERE a_rel IN (SELECT rel FROM inventory) AND b_rel IN (SELECT rel FROM inventory)")
+def pairs_still_there(spark: SparkSession, d: str) -> DataFrame:
+    return linkage.still_there(linkage.candidates(fx.part_featured(spark, d)), fx.inventory(spark, d)).select("a_rel", "b_rel", "stage")
+
+
+# --- fingerprints -----------------------------------------------------------------------
+
+_HAMMING = "1.0::DOUBLE - (bit_count(xor(a.words[1], b.words[1])) + bit_count(xor(a.words[2], b.words[2]))) / 64.0::DOUBLE"
+
+
+@query(f"WITH {fx.EMB_SQL} SELECT a.vec_id AS a, b.vec_id AS b, {_HAMMING} AS fp_sim FROM prints a JOIN prints b ON a.label = b.label AND a.vec_id < b.vec_id")
+def fp_similarity_pairs(spark: SparkSession, d: str) -> DataFrame:
+    p = fx.emb_prints(spark, d)
+    a, b = p.select(F.col("vec_id").alias("a"), "label", F.col("words").alias("wa")), p.select(F.col("vec_id").alias("b"), "label", F.col("words").alias("wb"))
+    return a.join(b, "label").where("a < b").select("a", "b", similarity.fingerprint_similarity(F.col("wa"), F.col("wb")).alias("fp_sim"))
+
+
+@query(f"""WITH {fx.PAIRS_SQL}, f AS (SELECT *, CASE WHEN NOT exact THEN 1.0::DOUBLE - list_sum(list_transform(range(1, 5), lambda i: bit_count(xor(wa[i], wb[i])))) / 128.0::DOUBLE END AS fp FROM pairs)
+SELECT a_rel, b_rel, CASE WHEN exact THEN 'EXACT_DUPLICATE' WHEN fp >= 0.9 THEN 'VERY_LIKELY_SAME_RECORDING' WHEN fp >= 0.65 AND ta <> tb THEN 'POSSIBLE_ALTERNATE_VERSION'
+ WHEN fp >= 0.65 THEN 'POSSIBLE_SAME_RECORDING' ELSE 'POSSIBLE_ALTERNATE_VERSION' END AS category FROM f""")
+def fp_classified(spark: SparkSession, d: str) -> DataFrame:
+    return linkage.enriched(linkage.candidates(fx.part_featured(spark, d))).select("a_rel", "b_rel", "category")
+
+
+# --- names ------------------------------------------------------------------------------
+
+_TOKENS = "(?:" + "|".join(sorted(naming.VERSION_LABELS, key=lambda p: (-p.count(" "), p))) + "|[^ ]+)(?: |$)"
+_LABELS = "MAP {" + ", ".join(f"'{k}': '{v or ''}'" for k, v in naming.VERSION_LABELS.items()) + "}"
+
+
+def _canonical_sql(x: str) -> str:
+    tokens = f"list_transform(regexp_extract_all({fx.norm_sql(x)}, '{_TOKENS}'), lambda t: trim(t))"
+    named = f"list_transform({tokens}, lambda t: coalesce({_LABELS}[t], CASE WHEN t = 'dj' THEN 'DJ' ELSE upper(t[1]) || lower(t[2:]) END))"
+    return f"list_filter({named}, lambda t: t <> '')"
+
+
+_RAW = "['RADIO EDIT', 'clean version', 'original version', 'DJ Intro (Clean)', 'the blessed Remix'][p_partkey % 5 + 1] || ' ' || p_type"
+_DISTINCT = "list_filter(l, lambda x, i: list_position(l, x) = i)"
+
+
+@query(f"SELECT id, array_to_string({_DISTINCT}, ' ') AS version FROM (SELECT p_partkey AS id, {_canonical_sql(_RAW)} AS l FROM part)")
+def canonical_version(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    raw = F.concat(fx.pick(("RADIO EDIT", "clean version", "original version", "DJ Intro (Clean)", "the blessed Remix"), k), F.lit(" "), "p_type")
+    return fx.table(spark, d, "part").select(k.alias("id"), naming.canonicalize_version(F.array(raw)).alias("version"))
+
+
+_NAMED = """named AS (SELECT rel, source, rank, id,
+ CASE WHEN title = '' THEN artist || '.flac'
+      ELSE regexp_replace(title, ' (\\(Radio Edit\\)|\\(Live\\)|- Remastered)$', '') || ' - ' || artist
+           || CASE WHEN ends_with(title, '(Radio Edit)') THEN ' [Radio Edit]' WHEN ends_with(title, '(Live)') THEN ' [Live]' WHEN ends_with(title, 'Remastered') THEN ' [Remaster]' ELSE '' END || '.flac' END AS name
+ FROM parts)"""
+_JUST_PARTS = fx.PART_SQL.split(",\nnormed AS")[0]
+
+
+@query(f"WITH {_JUST_PARTS}, {_NAMED} SELECT rel, name FROM named")
+def derive_name(spark: SparkSession, d: str) -> DataFrame:
+    return actions.with_track_names(fx.part_featured(spark, d)).select("rel", "name")
+
+
+@query(f"""WITH {_JUST_PARTS}, {_NAMED}, existing AS (SELECT 'Tracks/' || name AS dest FROM named WHERE source = 'tracks'),
+c AS (SELECT rel, 'Tracks/' || name AS dest, row_number() OVER (PARTITION BY name ORDER BY string_split(rel, '/')) AS nth FROM named WHERE source = 'incoming')
+SELECT rel, dest, CASE WHEN nth > 1 OR dest IN (SELECT dest FROM existing) THEN 'collision' ELSE 'promoted' END AS action FROM c""")
+def name_collisions(spark: SparkSession, d: str) -> DataFrame:
+    named = actions.with_track_names(fx.part_featured(spark, d))
+    existing = named.where("source = 'tracks'").select(F.concat(F.lit("Tracks/"), "name").alias("rel"))
+    return actions.promotion_plan(named.where("source = 'incoming'"), existing)
+
+
+@query(r"""SELECT p_partkey AS id, trim(trim(regexp_replace(regexp_replace(p_name || chr(9) || ' a/b:c*?"<>|\ ' || p_brand || ' .', '[<>:"/\\|?*\x00-\x1f]', '', 'g'), '\s+', ' ', 'g')), ' .') AS safe FROM part""")
+def sanitize_names(spark: SparkSession, d: str) -> DataFrame:
+    raw = F.concat("p_name", F.lit("\t"), F.lit(' a/b:c*?"<>|\\ '), "p_brand", F.lit(" ."))
+    return fx.table(spark, d, "part").select(F.col("p_partkey").alias("id"), naming.sanitize(raw).alias("safe"))
+
+
+@query(r"""SELECT p_partkey AS id, CASE WHEN length(s) > 80 THEN rtrim(s[1:77]) || '…' ELSE s END AS artist FROM (
+ SELECT p_partkey, CASE WHEN p_name = lower(p_brand) THEN p_name ELSE p_name || ', ' || p_brand END || CASE WHEN p_partkey % 3 = 0 THEN ', ' || repeat(p_name, 9) ELSE '' END AS s FROM part)""")
+def simplify_artist(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    raw = F.concat("p_name", F.lit(" ,"), "p_brand", F.lit(", "), F.upper("p_name"), F.lit(",,"), F.when(k % 3 == 0, F.repeat("p_name", F.lit(9))).otherwise(""))
+    return fx.table(spark, d, "part").select(k.alias("id"), naming.simplify_artist(raw).alias("artist"))
+
+
+# --- decisions --------------------------------------------------------------------------
+
+_DECIDED = f"WITH {_JUST_PARTS}, {fx.DECISIONS_SQL}"
+
+
+@query(f"{_DECIDED} SELECT id, x AS a, y AS b FROM decisions")
+def decision_ids(spark: SparkSession, d: str) -> DataFrame:
+    rows = fx.decisions(spark, d)
+    first = F.coalesce("kept", "a", F.col("renames")[0]["from"])
+    second = F.coalesce("removed", "b", F.col("renames")[1]["from"])
+    return rows.select(decisions.decision_id(second, first).alias("id"), first.alias("a"), second.alias("b"))
+
+
+@query(f"{_DECIDED} SELECT id, CASE WHEN seq % 2 = 0 THEN 'keep_both' ELSE ['remove', 'rename', 'keep_both', 'rename'][kind + 1] END AS action, CASE WHEN seq % 2 = 0 THEN seq + 1000000 ELSE seq END AS seq FROM decisions")
+def decision_upsert(spark: SparkSession, d: str) -> DataFrame:
+    rows = fx.decisions(spark, d)
+    newer = rows.where("seq % 2 = 0").select("root", "id", F.lit("keep_both").alias("action"), (F.col("seq") + 1_000_000).alias("seq"))
+    return decisions.upsert(rows.select("root", "id", "action", "seq"), newer).select("id", "action", "seq")
+
+
+@query(f"""{_DECIDED}, moved AS (SELECT *, CASE WHEN x_to IN (SELECT rel FROM inventory) THEN x_to ELSE x END AS x_now, CASE WHEN y_to IN (SELECT rel FROM inventory) THEN y_to ELSE y END AS y_now FROM decisions),
+ p AS (SELECT CASE WHEN kind IN (0, 2) THEN x ELSE x_now END AS a, CASE WHEN kind IN (0, 2) THEN y ELSE y_now END AS b FROM moved)
+SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM p WHERE a <> b""")
+def resolved_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return decisions.resolved_pairs(fx.decisions(spark, d), fx.inventory(spark, d))
+
+
+@query(f"""{_DECIDED} SELECT id, x AS kept, y AS removed, CASE WHEN y NOT IN (SELECT rel FROM inventory) THEN 'absent' WHEN x NOT IN (SELECT rel FROM inventory) THEN 'skipped' ELSE 'removed' END AS status
+FROM decisions WHERE kind = 0""")
+def replay_plan_remove(spark: SparkSession, d: str) -> DataFrame:
+    return decisions.replay_removals(fx.decisions(spark, d), fx.inventory(spark, d))
+
+
+@query(f"""{_DECIDED} SELECT id, f AS from_rel, t AS to_rel, CASE WHEN f NOT IN (SELECT rel FROM inventory) THEN 'absent' WHEN t IN (SELECT rel FROM inventory) THEN 'skipped' ELSE 'renamed' END AS status
+FROM (SELECT id, x AS f, x_to AS t, kind FROM decisions UNION ALL SELECT id, y, y_to, kind FROM decisions) WHERE kind IN (1, 3)""")
+def replay_plan_rename(spark: SparkSession, d: str) -> DataFrame:
+    return decisions.replay_renames(fx.decisions(spark, d), fx.inventory(spark, d))
+
+
+@query(f"""{_DECIDED} SELECT id, id || '  2024-01-01T00:00:00+00:00  ' || CASE kind WHEN 0 THEN 'remove ' || y || '  (keep ' || x || ')' WHEN 2 THEN 'keep both (' || x || ', ' || y || ')'
+ ELSE 'rename: ' || x || ' -> ' || x_to || '; ' || y || ' -> ' || y_to END AS line FROM decisions""")
+def describe_decisions(spark: SparkSession, d: str) -> DataFrame:
+    return fx.decisions(spark, d).select("id", report.describe_decision().alias("line"))
+
+
+# --- actions ----------------------------------------------------------------------------
+
+_CHOICE = "['a', 'b', 'k', 'v', 's'][((ascii(id[1]) + ascii(id[2])) % 6) + 1]"
+
+
+@query(f"""WITH {fx.PAIRS_SQL}, keyed AS (SELECT *, substr(sha1(least(a_rel, b_rel) || '|' || greatest(a_rel, b_rel)), 1, 10) AS id FROM pairs),
+ chosen AS (SELECT *, {_CHOICE} AS choice, a_source = 'library' AND b_source = 'library' AS libs FROM keyed)
+SELECT CASE WHEN choice IS NULL THEN 'pending' WHEN choice = 'a' AND b_source = 'library' AND NOT libs THEN 'refused' WHEN choice = 'b' AND a_source = 'library' AND NOT libs THEN 'refused'
+ WHEN choice IN ('a', 'b') THEN 'quarantined' WHEN choice = 'k' AND (a_source = 'incoming' OR b_source = 'incoming') THEN 'promoted' WHEN choice = 'k' THEN 'kept' WHEN choice = 'v' THEN 'renamed' ELSE 'skipped' END AS outcome,
+ count(*) AS n FROM chosen GROUP BY 1""")
+def review_outcome_counts(spark: SparkSession, d: str) -> DataFrame:
+    pairs = linkage.candidates(fx.part_featured(spark, d)).select(decisions.decision_id(F.col("a_rel"), F.col("b_rel")).alias("id"), "a_rel", "b_rel", "a_source", "b_source")
+    code = (F.ascii(F.substring("id", 1, 1)) + F.ascii(F.substring("id", 2, 1))) % 6
+    choices = pairs.select("id", F.get(F.array(*map(F.lit, "abkvs")), code).alias("choice")).where(F.col("choice").isNotNull()).distinct()
+    return actions.review_outcomes(pairs, choices, "ingest").groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+_TRASHED = f"WITH {_JUST_PARTS}, q AS (SELECT rel, source, '.Trash/2024-05-01/' || source || '/' AS base, (id % 50) || '.flac' AS name, id FROM parts)"
+
+
+@query(f"""{_TRASHED}, n AS (SELECT 'X/' || id || '/' || name AS rel, base, name, row_number() OVER (PARTITION BY base, name ORDER BY string_split('X/' || id || '/' || name, '/')) AS nth FROM q)
+SELECT rel, CASE WHEN nth = 1 THEN base || name ELSE base || replace(name, '.flac', '') || ' - ' || nth || '.flac' END AS dest FROM n""")
+def quarantine_plan(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("id")
+    files = fx.part_tracks(spark, d).select(F.concat(F.lit("X/"), k.cast("string"), F.lit("/"), (k % 50).cast("string"), F.lit(".flac")).alias("rel"), "source")
+    return actions.quarantine_plan(files, "2024-05-01")
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS files, sum(user_id)::BIGINT AS bytes FROM events GROUP BY day")
+def trash_by_day(spark: SparkSession, d: str) -> DataFrame:
+    return actions.trash_by_day(fx.table(spark, d, "events").select(report.day_folder(F.col("ts")).alias("day"), F.col("user_id").alias("size")))
+
+
+@query(f"""WITH {fx.LISTING_SQL}, r AS (SELECT CASE WHEN id % 9 = 0 THEN rel || '.old' ELSE rel END AS rel, size + CASE WHEN id % 7 = 0 THEN 1 ELSE 0 END AS size, mtime_ns FROM listing WHERE id % 8 <> 3)
+SELECT coalesce(l.rel, r.rel) AS rel, CASE WHEN r.rel IS NULL THEN 'missing_remote' WHEN l.rel IS NULL THEN 'missing_local' ELSE 'differs' END AS change
+FROM listing l FULL JOIN r ON l.rel = r.rel WHERE l.rel IS NULL OR r.rel IS NULL OR l.size <> r.size OR l.mtime_ns <> r.mtime_ns""")
+def tree_diff(spark: SparkSession, d: str) -> DataFrame:
+    here, k = fx.listing(spark, d), F.col("id")
+    there = here.where("id % 8 <> 3").select(F.when(k % 9 == 0, F.concat("rel", F.lit(".old"))).otherwise(F.col("rel")).alias("rel"), (F.col("size") + F.when(k % 7 == 0, 1).otherwise(0)).alias("size"), "mtime_ns")
+    return diff.tree_diff(here, there)
+
+
+@query(f"""WITH {fx.LISTING_SQL}, dirs AS (SELECT DISTINCT regexp_extract(rel, '^(.*)/[^/]*$', 1) AS dir FROM listing), f AS (SELECT rel FROM listing WHERE id % 37 <> 0 AND source <> 'tracks')
+SELECT dir FROM dirs WHERE NOT EXISTS (SELECT 1 FROM f WHERE starts_with(f.rel, dir || '/'))""")
+def prunable_dirs(spark: SparkSession, d: str) -> DataFrame:
+    here = fx.listing(spark, d)
+    dirs = here.select(F.regexp_extract("rel", r"^(.*)/[^/]*$", 1).alias("dir"))
+    return actions.empty_dirs(dirs, here.where("id % 37 <> 0 AND source <> 'tracks'"))
+
+
+# --- reports ----------------------------------------------------------------------------
+
+
+@query("""SELECT id, CASE WHEN t IS NULL THEN 'unknown' ELSE (t // 600) || ':' || lpad((t % 600 // 10)::VARCHAR, 2, '0') || '.' || (t % 10) END AS text
+FROM (SELECT p_partkey AS id, CASE WHEN p_partkey % 13 <> 0 THEN greatest(0, (p_partkey % 4000 - 20) * 5) END AS t FROM part)""")
+def fmt_duration(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    return fx.table(spark, d, "part").select(k.alias("id"), report.fmt_duration(F.when(k % 13 != 0, (k % 4000 - 20) / 2)).alias("text"))
+
+
+@query("""SELECT id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KiB', n / 1024.0::DOUBLE) WHEN n < 1073741824 THEN printf('%.1f MiB', n / 1048576.0::DOUBLE)
+ ELSE printf('%.1f GiB', n / 1073741824.0::DOUBLE) END AS text FROM (SELECT o_orderkey AS id, (o_orderkey % 2000)::BIGINT * (o_orderkey % 2000) * (o_orderkey % 5000) AS n FROM orders)""")
+def fmt_bytes(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    return fx.table(spark, d, "orders").select(k.alias("id"), report.fmt_bytes((k % 2000) * (k % 2000) * (k % 5000)).alias("text"))
+
+
+@query(f"WITH {_JUST_PARTS} SELECT id, CASE WHEN title <> '' THEN title ELSE '(unknown)' END AS title, artist FROM parts")
+def display_fallback(spark: SparkSession, d: str) -> DataFrame:
+    t = fx.part_featured(spark, d)
+    return t.select("id", report.display(F.col("title"), F.col("filename_title")).alias("title"), report.display(F.col("artist"), F.col("filename_artist")).alias("artist"))
+
+
+@query("""SELECT id, label || CASE WHEN sr > 0 AND bits > 0 THEN printf(' %.1f kHz', sr / 1000.0::DOUBLE) || ' / ' || bits || ' bit' WHEN sr > 0 AND br > 0 THEN printf(' %.1f kHz', sr / 1000.0::DOUBLE) || ' / ' || br // 1000 || ' kbps'
+ WHEN sr > 0 THEN printf(' %.1f kHz', sr / 1000.0::DOUBLE) WHEN br > 0 THEN ' ' || br // 1000 || ' kbps' ELSE '' END AS text
+FROM (SELECT p_partkey AS id, ['FLAC', 'MP3', 'AAC', 'Opus', 'XYZ', 'AUDIO'][p_partkey % 6 + 1] AS label, [44100, 48000, 0][p_partkey % 3 + 1] AS sr, [16, 0][p_partkey // 3 % 2 + 1] AS bits, [320500, 0][p_partkey // 6 % 2 + 1] AS br FROM part)""")
+def describe_formats(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    path = F.concat(F.lit("a/b"), fx.pick((".flac", ".MP3", ".aac", ".opus", ".xyz", ""), k))
+    number = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (n % len(values) + 1).cast("int"))
+    return fx.table(spark, d, "part").select(
+        k.alias("id"), report.describe_format(path, number((44100, 48000, 0), k), number((16, 0), F.floor(k / 3)), number((320500, 0), F.floor(k / 6))).alias("text")
+    )
