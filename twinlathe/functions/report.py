@@ -17,10 +17,11 @@ def fmt_duration(seconds: Column) -> Column:
 
 
 def fmt_bytes(n: Column) -> Column:
+    """B, KiB, MiB or GiB with one decimal, rounded half to even."""
     out = F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
     for power, unit in ((1, "KiB"), (2, "MiB")):
-        out = out.when(n / 1024.0**power < 1024, F.format_string(f"%.1f {unit}", n / 1024.0**power))
-    return out.otherwise(F.format_string("%.1f GiB", n / 1024.0**3))
+        out = out.when(n / 1024.0**power < 1024, F.format_string(f"%.1f {unit}", F.bround(n / 1024.0**power, 1)))
+    return out.otherwise(F.format_string("%.1f GiB", F.bround(n / 1024.0**3, 1)))
 
 
 def display(tag: Column, guess: Column) -> Column:

@@ -62,7 +62,7 @@ def durations_close(a: Column, b: Column) -> Column:
 def decode_fingerprint(c: Column) -> Column:
     """32-bit words (array of bigint) from comma-joined decimals or base64; empty where corrupt."""
     s = F.trim(F.coalesce(c, F.lit("")))
-    decimals = F.transform(F.filter(F.transform(F.split(s, ","), F.trim), lambda x: x.rlike(r"^[0-9]+$")), lambda x: x.cast("bigint"))
+    decimals = F.transform(F.filter(F.transform(F.split(s, ","), lambda x: F.trim(x)), lambda x: x.rlike(r"^[0-9]+$")), lambda x: x.cast("bigint"))
     data = F.when(F.length(s) % 4 == 0, F.try_to_binary(s, F.lit("base64")))
     n = F.coalesce(F.floor(F.octet_length(data) / 4), F.lit(0)).cast("int")
     words = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.conv(F.hex(F.substring(data, i * 4 + 1, F.lit(4))), 16, 10).cast("bigint")))

@@ -25,7 +25,7 @@ VERSION_TERMS = (
 )
 # Typographic characters and what they are compared as.
 QUOTES = {"’": "'", "‘": "'", "‚": "'", "´": "'", "“": '"', "”": '"', "&": " and "}
-DASHES = "-–—"
+DASHES = "–—-"
 
 TERM_PATTERN = r"\b(?:" + "|".join(re.escape(t).replace("\\ ", " ") for t in VERSION_TERMS) + r")\b"
 FEAT_PATTERN = r"\b(?:feat(?:uring)?(?:\.|\b)|ft(?:\.|\b))"
