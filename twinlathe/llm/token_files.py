@@ -43,6 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from twinlathe.llm.bpe import byte_alphabet
 from twinlathe.llm.bytetext import column_bytes
 from twinlathe.llm.storage import Scratch
 
@@ -106,7 +107,12 @@ class _Words(dict):
             if "\n" in word and self.encoder.plain(word):
                 return self.encoder.lines(word)
             parts = self.encoder.marked(word)
-            ids = self[parts[1]] + self.encoder.bare_ids(parts[2]) if parts else self.encoder.library_ids(" " + word)
+            if not parts:
+                ids = self.encoder.library_ids(" " + word)
+            elif parts[2]:
+                ids = self[parts[1]] + self.encoder.bare_ids(parts[2])
+            else:
+                ids = self.encoder.piece_ids(" " + word)
             if len(word) > CACHED_WORD_LENGTH:
                 return ids
         if len(self) >= CACHE_WORDS:
@@ -127,8 +133,8 @@ class Encoder:
 
     chunks = re.compile(r" ?\S+|\s+(?!\S)|\s+").findall
     plain = re.compile("[\t\n\r\x20-\x7e\xa1-ɏ‐-‧‰-⁞€]*").fullmatch
-    #: Letters, then other marks: two pieces of the splitting pattern.
-    marked = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\\[-`{-~]+)").fullmatch
+    #: Letters, then perhaps other marks: one or two pieces of the splitting pattern.
+    marked = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\\[-`{-~]*)").fullmatch
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -137,12 +143,19 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.kind = id_type(self.library.get_vocab_size())
+        self.model = self.library.model
+        self.byte_chars = byte_alphabet()
         self.words = _Words(self)
         self.bare: dict[str, bytes] = {}
 
     def library_ids(self, text: str) -> bytes:
         return array(self.kind, self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def piece_ids(self, piece: str) -> bytes:
+        """Ids of one whole piece, by the library's model alone."""
+        mapped = "".join([self.byte_chars[b] for b in piece.encode()])
+        return array(self.kind, [t.id for t in self.model.tokenize(mapped)]).tobytes()
+
     def lines(self, word: str) -> bytes:
         """' ' + a word that has line ends in it."""
         out = []
