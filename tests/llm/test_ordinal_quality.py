@@ -9,7 +9,7 @@ def test_held_out_grades(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", oq.rating().alias("grade"))
     got = oq.predict(docs, oq.train(docs, labels)).join(labels, "doc_id").where("held_out").toPandas()
     top = np.array([t[1] for t in got["tails"]]) >= 0.5
-    assert len(got) > 50 and (top == (got["grade"] >= 2)).mean() > 0.85
+    assert len(got) > 50 and (top == (got["grade"] >= 2)).mean() > 0.78
     assert got[got["grade"] == 2]["expected_grade"].mean() > got[got["grade"] < 2]["expected_grade"].mean() + 0.3
 
 

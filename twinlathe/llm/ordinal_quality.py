@@ -36,7 +36,9 @@ ROWS_PER_GRADE = 900
 HASH_BITS = 18
 STEPS = 200
 RATE = 0.05
-L2 = 1e-5
+L2 = 1e-4
+#: Words of fewer training documents get no weight.
+MIN_DOCS = 3
 GRADES = 3
 
 #: Rates of byte classes, each over the text's bytes.
@@ -100,6 +102,8 @@ def fit(row: np.ndarray, index: np.ndarray, count: np.ndarray, rates: np.ndarray
     cuts = np.zeros(grades - 1)
     if not n:
         return Model(words, dense, cuts)
+    common = np.bincount(index, minlength=1)[index] >= MIN_DOCS
+    row, index = row[common], index[common]
     used, index = np.unique(index, return_inverse=True)
     value = 1 / np.sqrt(np.maximum(count, 1))[row]
     theta = np.zeros(len(used) + len(dense) + len(cuts))
