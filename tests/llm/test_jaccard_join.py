@@ -1,8 +1,16 @@
 import random
+import sys
+from pathlib import Path
 
-import numpy as np
-import pytest
-from twinlathe.llm import jaccard_join as jj
+sys.path.insert(0, str(Path(__file__).parent.parent))
+import numpy as np  # noqa: E402
+import oracle  # noqa: E402
+import pytest  # noqa: E402
+from twinlathe.llm import jaccard_join as jj  # noqa: E402
+
+
+def test_oracle(spark):
+    oracle.same(spark, "/root/testdata/sf0.001", jj.op3_ngram_jaccard, jj.ORACLE_SQL["op3_ngram_jaccard"])
 
 
 def sets_of(rows, n):
