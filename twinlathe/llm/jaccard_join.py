@@ -58,7 +58,7 @@ BAND_RATIO = 1.25
 BITMAP_BITS = 512
 KEYS_PER_RANGE = 1 << 20
 KEYS_PER_ROUND = 1 << 21
-BLOCK = 64
+BLOCK = 1024
 
 
 class Plan:
