@@ -26,13 +26,26 @@ from twinlathe.llm import bpe, jaccard_join, language_id, mixing, quality_rules
 from twinlathe.llm.storage import Scratch
 
 
+def _fresh(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
+def _matched(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """docs joined with ``ids`` (its first column is a doc_id, null equal to null)."""
+    own = _fresh(docs, "_own_id")
+    return docs.withColumn(own, F.col("doc_id")).join(ids, F.col(own).eqNullSafe(F.col(ids.columns[0])), how).drop(own)
+
+
 def _kept(docs: DataFrame, decisions: DataFrame, kept: Column, scratch: Scratch) -> DataFrame:
     """docs without the rows whose doc_id ``decisions`` (doc_id, ...) nowhere keeps. The
     rejected ids, fewer than the kept ones, are written first, so that their size decides on
     a broadcast; where it fits, no text is shuffled."""
-    rejected = decisions.groupBy("doc_id").agg(F.bool_or(kept).alias("kept")).where("NOT kept").select(F.col("doc_id").alias("_rejected_id"))
-    keyed = docs.withColumn("_own_id", F.col("doc_id"))
-    return keyed.join(scratch.cut(rejected, "rejected"), F.col("_own_id").eqNullSafe(F.col("_rejected_id")), "left_anti").select(*docs.columns)
+    rejected = decisions.groupBy("doc_id").agg(F.bool_or(kept).alias("kept")).where("NOT kept").select(F.col("doc_id").alias(_fresh(docs, "_rejected_id")))
+    return _matched(docs, scratch.cut(rejected, "rejected"), "left_anti").select(*docs.columns)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,20 +64,19 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     groups = jaccard_join.join(docs)
     first = _kept(docs, groups, F.col("doc_id").eqNullSafe(F.col("component_id")), scratch)
     # rows repeated with their doc_id are one group too; only those are compared by text
-    repeated = scratch.cut(groups.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_repeated_id")), "repeated")
-    keyed, same = first.withColumn("_own_id", F.col("doc_id")), F.col("_own_id").eqNullSafe(F.col("_repeated_id"))
-    single = keyed.join(repeated, same, "left_anti").select(*docs.columns)
-    return single.unionByName(keyed.join(repeated, same, "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+    repeated = groups.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("doc_id").alias(_fresh(docs, "_repeated_id")))
+    repeated = scratch.cut(repeated, "repeated")
+    return _matched(first, repeated, "left_anti").unionByName(_matched(first, repeated, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "mixing")
-    copies = mixing.mix(docs).groupBy("doc_id").agg(F.max("copies").cast("int").alias("_copies"))
+    times, copy = _fresh(docs, "_copies"), _fresh(docs, "_copy")
+    copies = mixing.mix(docs).groupBy("doc_id").agg(F.max("copies").cast("int").alias(times))
     # most documents are taken once: only the others need a look-up
-    other = scratch.cut(copies.where("_copies <> 1").withColumnRenamed("doc_id", "_other_id"), "copies")
-    taken = docs.withColumn("_own_id", F.col("doc_id")).join(other, F.col("_own_id").eqNullSafe(F.col("_other_id")), "left")
-    times = F.coalesce("_copies", F.lit(1))
-    return taken.where(times > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
+    other = scratch.cut(copies.where(F.col(times) != 1).withColumnRenamed("doc_id", _fresh(docs, "_other_id")), "copies")
+    taken = _matched(docs, other, "left").withColumn(times, F.coalesce(times, F.lit(1))).where(F.col(times) > 0)
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
