@@ -27,9 +27,11 @@ Completion. A pair whose ends lie in different components in the end may hide li
 between other members of its keys. Members of those keys are looked up over all documents
 (in rounds of at most ``KEYS_PER_ROUND`` keys, which bounds what is broadcast). Of each
 key, the members outside its largest component are compared with the members of other
-components, block by block, first by sizes and bitmaps, then exactly. After that every
-two nodes that share a key are in one component or have been refuted: components are
-exact, up to equal 64-bit hashes.
+components by sizes and bitmaps, in tiles of at most ``BLOCK`` by ``BLOCK``. At first each
+takes only its nearest in a tile, which is compared exactly, and components are joined
+again, until that finds nothing new; only then all pairs that may link and still lie apart
+are compared exactly. After that every two nodes that share a key are in one component or
+have been refuted: components are exact, up to equal 64-bit hashes.
 
 Defined cases: null, empty or wordless text has an empty set, links with nothing and is
 its own component; texts with fewer words than n have their whole sequence as one
@@ -58,7 +60,7 @@ BAND_RATIO = 1.25
 BITMAP_BITS = 512
 KEYS_PER_RANGE = 1 << 20
 KEYS_PER_ROUND = 1 << 21
-BLOCK = 1024
+BLOCK = 4096
 
 
 class Plan:
@@ -281,6 +283,52 @@ def _intersect(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _tile(percent: int, every: bool, rows: pa.Table) -> np.ndarray:
+    """Pairs (left node, right node) of one tile that may link and have different roots:
+    all, or for each left node the one whose bitmap differs least."""
+    left = rows["side"].to_numpy() == 0
+    node, n, root, main = (rows[c].to_numpy() for c in ("node", "n", "root", "is_main"))
+    bits = rows["bitmap"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
+    l, r = np.flatnonzero(left), np.flatnonzero(~left)
+    out = []
+    for first in range(0, len(l), 64):
+        at = l[first : first + 64]
+        differ = np.zeros((len(at), len(r)), np.int64)
+        for k in range(bits.shape[1]):
+            differ += np.bitwise_count(bits[at, k][:, None] ^ bits[r, k][None, :])
+        total = n[at][:, None] + n[r][None, :]
+        may = (root[at][:, None] != root[r][None, :]) & ((100 + percent) * np.minimum(n[at][:, None], n[r][None, :]) >= percent * total)
+        may &= (100 + percent) * (total - differ) >= 2 * percent * total
+        if every:
+            i, j = np.nonzero(may & (main[r][None, :] | (node[at][:, None] < node[r][None, :])))
+        else:
+            i = np.flatnonzero(may.any(1))
+            j = np.where(may[i], differ[i], np.iinfo(np.int64).max).argmin(1)
+        out.append(np.stack([node[at[i]], node[r[j]]], 1))
+    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+
+
+def _tiles(percent: int, every: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (key, i, j)."""
+
+    def made(found: list[np.ndarray]) -> pa.RecordBatch:
+        both = np.sort(np.concatenate(found), 1)
+        both = np.unique(both, axis=0) if len(both) else both
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, k])) for k in (0, 1)], ["a", "b"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        table = pa.Table.from_batches([*held, batch])
+        place = np.stack([table[c].to_numpy() for c in ("key", "i", "j")])
+        starts = np.flatnonzero(np.append(True, (place[:, 1:] != place[:, :-1]).any(0))).tolist() if table.num_rows else []
+        found = [_tile(percent, every, table.slice(s, e - s)) for s, e in zip(starts, starts[1:])]
+        held = table.slice(starts[-1]).combine_chunks().to_batches() if starts else []
+        if found:
+            yield made(found)
+    if held:
+        yield made([_tile(percent, every, pa.Table.from_batches(held))])
+
+
 def differing_bits(x: str, y: str) -> Column:
     return sum([F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(BITMAP_BITS // 64)], F.lit(0))
 
@@ -344,29 +392,50 @@ class Join:
         apart = pairs.join(ra, "a", "left").join(rb, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
         return self.scratch.cut(apart.select(F.explode("shared").alias("key")).distinct(), "keys")
 
-    def complete(self, keys: DataFrame, roots: DataFrame) -> DataFrame | None:
-        """Pairs of nodes in different components that share one of ``keys`` and may link."""
+    def tiles(self, members: DataFrame, roots: DataFrame) -> DataFrame:
+        """Members (key, node) of keys with several components, dealt to tiles."""
+        full = members.join(self.nodes.select("node", "n", "bitmap"), "node").join(roots, "node", "left")
+        full = self.scratch.cut(full.select("key", "node", "n", "bitmap", F.coalesce("root", "node").alias("root")), "members")
+        per_root = full.groupBy("key", "root").agg(F.count("*").alias("size"))
+        blocks = lambda x: F.ceil(x / BLOCK).cast("int")
+        sizes = per_root.groupBy("key").agg(
+            F.max_by("root", F.struct("size", "root")).alias("main"), blocks(F.sum("size")).alias("blocks"), blocks(F.sum("size") - F.max("size")).alias("left_blocks"), F.count("*").alias("roots")
+        )
+        placed = full.join(sizes.where("roots > 1").drop("roots"), "key").withColumn("is_main", F.col("root") == F.col("main"))
+        hashed = F.xxhash64("node")
+        values = ["node", "n", "bitmap", "root", "is_main"]
+        left = placed.where("NOT is_main").select("key", F.pmod(hashed, F.col("left_blocks")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(0).alias("side"), *values)
+        right = placed.select("key", F.explode(F.sequence(F.lit(0), F.col("left_blocks") - 1)).alias("i"), F.pmod(hashed, F.col("blocks")).cast("int").alias("j"), F.lit(1).alias("side"), *values)
+        return left.unionByName(right).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def apart(self, members: DataFrame, roots: DataFrame, every: bool, tested: DataFrame | None) -> DataFrame:
+        """Pairs in different components that may link and aren't tested yet."""
+        pairs = self.tiles(members, roots).mapInArrow(functools.partial(_tiles, self.percent, every), "a long, b long").distinct()
+        return self.scratch.cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "apart")
+
+    def complete(self, keys: DataFrame, links: DataFrame, roots: DataFrame) -> DataFrame:
+        """Components after all nodes that share one of ``keys`` have been compared."""
         rounds = -(-keys.count() // KEYS_PER_ROUND)
-        found = None
         for k in range(rounds):
             mine = keys.where(F.pmod(F.xxhash64("key"), F.lit(rounds)) == k)
             wanted = self.spark.sparkContext.broadcast(np.sort(mine.toArrow().column(0).to_numpy()).tobytes())
-            members = self.docs.mapInArrow(functools.partial(_members, self.percent, self.n, wanted), "key long, node long").distinct()
-            members = members.join(self.nodes.select("node", "n", "bitmap"), "node").join(roots, "node", "left")
-            full = self.scratch.cut(members.select("key", "node", "n", "bitmap", F.coalesce("root", "node").alias("root")), "members")
-            per_root = full.groupBy("key", "root").agg(F.count("*").alias("size"))
-            sizes = per_root.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.ceil(F.sum("size") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("roots"))
-            placed = full.join(sizes.where("roots > 1").drop("roots"), "key")
-            side = lambda s: [F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("bitmap").alias(f"bitmap_{s}"), F.col("root").alias(f"root_{s}")]
-            left = placed.where(F.col("root") != F.col("main")).select("key", *side("a"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-            right = placed.select("key", *side("b"), (F.col("root") == F.col("main")).alias("is_main"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-            apart = (F.col("root_a") != F.col("root_b")) & (F.col("is_main") | (F.col("a") < F.col("b")))
-            met = left.join(right, ["key", "block"]).where(apart & may_link(self.percent))
-            pairs = self.scratch.cut(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-            self.scratch.drop(full)
+            members = self.scratch.cut(self.docs.mapInArrow(functools.partial(_members, self.percent, self.n, wanted), "key long, node long").distinct(), "members")
             wanted.unpersist()
-            found = pairs if found is None else found.unionByName(pairs)
-        return found
+            tested, every = None, False
+            while True:
+                pairs = self.apart(members, roots, every, tested)
+                found = None if pairs.isEmpty() else self.exact(pairs)
+                tested = pairs if tested is None else tested.unionByName(pairs)
+                if found is not None and not found.isEmpty():
+                    links = links.unionByName(found)
+                    roots = components(links, self.scratch)
+                elif not every:
+                    every = True  # the nearest are exhausted: now all that still lie apart
+                    continue
+                if every:
+                    break
+            self.scratch.drop(members)
+        return roots
 
     def run(self) -> DataFrame:
         """doc_id, n_shingles, component_id."""
@@ -374,10 +443,7 @@ class Join:
         links = self.exact(self.scratch.cut(self.bounded(pairs.select("a", "b").distinct()), "bounded"))
         roots = components(links, self.scratch)
         keys = self.unsettled_keys(pairs, roots)
-        more = self.complete(keys, roots)
-        if more is not None:
-            more_links = self.exact(self.scratch.cut(more.distinct(), "bounded"))
-            roots = components(links.unionByName(more_links), self.scratch)
+        roots = self.complete(keys, links, roots)
         placed = self.nodes.select("node", "min_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         ids = placed.groupBy("root").agg(F.min("min_id").alias("component"))
         of_node = placed.join(ids, "root").select("node", "component")
