@@ -92,3 +92,32 @@ def test_bitmap_bound_never_refutes_a_link(spark):
     for i in range(4):
         for j in range(4):
             assert sum(int(x ^ y).bit_count() if x ^ y >= 0 else int((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(maps[i].tolist(), maps[j].tolist())) <= len(grams[i] ^ grams[j])
+
+
+def test_tiles_find_what_lies_apart():
+    """All pairs, or each left node's nearest, against a plain double loop."""
+    import pyarrow as pa
+
+    rng, percent = random.Random(4), 80
+    rows = []
+    for node in range(40):
+        bits = [random.Random(node % 4).getrandbits(63) & rng.choice([-1, -1, -3]) for _ in range(8)]
+        rows.append((5, 0, 0, int(node >= 12), node, 300 + node % 3, bits, node // 3, node >= 24))
+    names = ["key", "i", "j", "side", "node", "n", "bitmap", "root", "is_main"]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names)
+
+    def differ(x, y):
+        return sum((a ^ b).bit_count() for a, b in zip(x, y))
+
+    may = {}
+    for x in rows[:12]:
+        for y in rows[12:]:
+            total = x[5] + y[5]
+            if x[7] != y[7] and 180 * min(x[5], y[5]) >= 80 * total and 180 * (total - differ(x[6], y[6])) >= 160 * total:
+                may[x[4], y[4]] = differ(x[6], y[6])
+    halves = [batch.slice(0, 25), batch.slice(25)]
+    pairs = lambda every: {(a, b) for t in jj._tiles(percent, every, iter(halves)) for a, b in zip(*[c.to_pylist() for c in t.columns])}
+    assert may and pairs(True) == set(may)
+    near = pairs(False)
+    assert {a for a, _ in near} == {a for a, _ in may}
+    assert all(may[a, b] == min(d for (x, _), d in may.items() if x == a) for a, b in near)
