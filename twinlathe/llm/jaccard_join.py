@@ -212,6 +212,27 @@ def _stars(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return keys[head], nodes[head], pa.table({"a": pa.array(a[first]), "b": pa.array(b[first]), "shared": shared})
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Bytes of the values by place: the leading bytes of sorted values then compress in the shuffle."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+
+
+def _from_planes(data: bytes, kind) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
+def _pack_nodes(nodes: np.ndarray) -> bytes:
+    """The distinct nodes, and for each entry its place among them."""
+    own, place = np.unique(nodes, return_inverse=True)
+    return np.int32(len(own)).tobytes() + own.tobytes() + _planes(place.astype(np.uint32))
+
+
+def _unpack_nodes(data: bytes) -> np.ndarray:
+    n = int(np.frombuffer(data, np.int32, 1)[0])
+    return np.frombuffer(data, np.int64, n, 4)[_from_planes(data[4 + 8 * n :], np.uint32)]
+
+
 def _send(percent: int, n: int, ranges: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     p = plan(percent, n)
     none = lambda kind, size: pa.nulls(size, kind)
@@ -224,7 +245,8 @@ def _send(percent: int, n: int, ranges: int, batches: Iterator[pa.RecordBatch])
         cut = np.searchsorted(part, np.arange(ranges + 1))  # keys are sorted, so parts are
         filled = np.flatnonzero(np.diff(cut)).tolist()
         if filled:
-            columns = [pa.array(filled, pa.int32()), *[pa.array([x[cut[i] : cut[i + 1]].tobytes() for i in filled], pa.binary()) for x in (keys, nodes)]]
+            packed = [pa.array([f(x[cut[i] : cut[i + 1]]) for i in filled], pa.binary()) for f, x in ((_planes, keys), (_pack_nodes, nodes))]
+            columns = [pa.array(filled, pa.int32()), *packed]
             yield pa.RecordBatch.from_arrays([*columns, none(pa.int64(), len(filled)), none(pa.int64(), len(filled)), none(pa.list_(pa.int64()), len(filled))], names)
         if size := pairs.num_rows:
             to = pa.array((pairs["b"].to_numpy() % ranges).astype(np.int32))
@@ -235,7 +257,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by part."""
 
     def ended(keys: list[bytes], nodes: list[bytes]) -> list[pa.RecordBatch]:
-        return _stars(np.frombuffer(b"".join(keys), U64), np.frombuffer(b"".join(nodes), np.int64))[2].to_batches()
+        return _stars(np.concatenate([_from_planes(k, U64) for k in keys]), np.concatenate([_unpack_nodes(v) for v in nodes]))[2].to_batches()
 
     now, keys, nodes = None, [], []
     for batch in batches:
@@ -383,6 +405,7 @@ class Join:
         compared = pairs.join(a, "a").join(b, "b").select("a", "b", "grams_a", "grams_b")
         links = self.scratch.cut(compared.mapInArrow(functools.partial(_intersect, self.percent), "a long, b long"), "links")
         self.scratch.drop(grams)
+        self.scratch.release()
         return links
 
     def unsettled_keys(self, pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -440,6 +463,7 @@ class Join:
     def run(self) -> DataFrame:
         """doc_id, n_shingles, component_id."""
         pairs = self.pairs()
+        self.scratch.release()
         links = self.exact(self.scratch.cut(self.bounded(pairs.select("a", "b").distinct()), "bounded"))
         roots = components(links, self.scratch)
         keys = self.unsettled_keys(pairs, roots)

@@ -7,6 +7,7 @@ session without that setting (tests, a laptop) gets one of its own.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -67,6 +68,12 @@ class Scratch:
                 known = [p for p in self.paths if path.rstrip("/").endswith(p.rsplit("/", 1)[1])]
                 drop(self.spark, *known)
 
+    def release(self) -> None:
+        """Let go of shuffle files that nothing can read any more. Spark removes them when
+        the driver happens to collect its garbage, which on a large driver may take long."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def close(self, keep: DataFrame | None = None) -> None:
         kept = set() if keep is None else {f.rsplit("/", 2)[1] for f in keep.inputFiles()}
         drop(self.spark, *[p for p in self.paths if p.rsplit("/", 1)[1] not in kept])
