@@ -57,7 +57,7 @@ from twinlathe.llm.components import components
 from twinlathe.llm.storage import Scratch
 
 BAND_RATIO = 1.25
-BITMAP_BITS = 512
+BITMAP_BITS = 2048
 KEYS_PER_RANGE = 1 << 20
 KEYS_PER_ROUND = 1 << 21
 BLOCK = 4096
