@@ -68,13 +68,9 @@ _FIRST_LINE = "string_split(text, chr(10))[1]"
 _DOC_NORM = fx.norm_sql(f"replace({_FIRST_LINE}, 'ß', 'ss')")
 
 
-def _titles(spark: SparkSession, d: str) -> DataFrame:
-    return text.with_normalized(fx.table(spark, d, "documents").select("doc_id", F.split("text", "\n")[0].alias("title")), norm=F.col("title"))
-
-
 @query(f"SELECT doc_id, {_DOC_NORM} AS norm FROM documents")
 def normalize_text_docs(spark: SparkSession, d: str) -> DataFrame:
-    return _titles(spark, d).select("doc_id", "norm")
+    return text.with_normalized(fx.table(spark, d, "documents").select("doc_id", "text"), norm=F.col("text")).select("doc_id", "norm")
 
 
 @query(f"SELECT id, {fx.core_sql('norm_title')} AS core, core_title FROM (WITH {fx.PART_SQL} SELECT * FROM tracks)")
