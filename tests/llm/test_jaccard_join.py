@@ -121,3 +121,15 @@ def test_tiles_find_what_lies_apart():
     near = pairs(False)
     assert {a for a, _ in near} == {a for a, _ in may}
     assert all(may[a, b] == min(d for (x, _), d in may.items() if x == a) for a, b in near)
+
+
+def test_near_copies_with_null_doc_id_link(spark):
+    """A text held only by rows with null doc_id joins two documents that don't link; other such texts are each other's or a document's near copies."""
+    base, other, third = ([f"{p}{i}" for i in range(60)] for p in "xyz")
+    rows = [
+        (1, " ".join(base[:-2] + ["p", "q"])), (None, " ".join(base)), (2, " ".join(["p", "q"] + base[2:])), (None, " ".join(other)), (3, " ".join(other[:-1] + ["p"])),
+        (None, " ".join(third)), (None, " ".join(third[:-1] + ["p"])), (None, " ".join(base)), (4, "a text of its own"), (None, None),
+    ]
+    got = ours(spark, rows, 3, 90)
+    assert got == brute(rows, 3, 90)
+    assert ("2", 58, "1") in got and ("None", 58, "3") in got

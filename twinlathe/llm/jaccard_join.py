@@ -391,9 +391,9 @@ class Join:
         return pairs.join(a, "a").join(b, "b").where(may_link(self.percent)).select("a", "b")
 
     def texts_of(self, nodes: DataFrame) -> DataFrame:
-        """One document of each node. The ids are written first, so that their size decides on a broadcast."""
-        ids = self.scratch.cut(self.nodes.join(nodes, "node", "left_semi").select(F.col("min_id").alias("doc_id")).distinct(), "ids")
-        return self.docs.join(ids, "doc_id", "left_semi")
+        """The documents with the smallest doc_id of each node, null equal to null. The ids are written first, so that their size decides on a broadcast."""
+        ids = self.scratch.cut(self.nodes.join(nodes, "node", "left_semi").select("min_id").distinct(), "ids")
+        return self.docs.join(ids, F.col("doc_id").eqNullSafe(F.col("min_id")), "left_semi")
 
     def exact(self, pairs: DataFrame) -> DataFrame:
         """The pairs that link."""
