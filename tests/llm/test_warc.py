@@ -56,3 +56,17 @@ def test_keys_agree(spark):
 def test_record_round_trip():
     raw = warc.record(4, "http://x.org/", b"\r\n\r\nbody", __import__("hashlib").sha256(b"\r\n\r\nbody").hexdigest(), None)
     assert warc.parse(gzip.decompress(gzip.compress(raw)))["payload"] == b"\r\n\r\nbody"
+
+
+def test_read_back_finds_blocks_through_the_directories(spark):
+    """A manifest without places will do, also where many blocks begin with one key."""
+    rows = [(i, "http://hot.example.com/" if i % 4 else f"http://h{i % 50}.example.com/{i}", f"<p>{i % 900} " + "word " * 30) for i in range(3000)]
+    scratch = Scratch(spark, "test")
+    folder = scratch.folder("archives")
+    manifest = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), folder, scratch)
+    assert manifest.groupBy("archive", "first_key").count().where("count > 1").count() > 0
+    first = {}
+    for i, _, html in rows:
+        first.setdefault(html, i)
+    got = warc.read_back(manifest.select("archive", "first_key"), folder).collect()
+    assert sorted((r["page_id"], r["payload_bytes"], r["refers_to"]) for r in got) == [(i, len(h), None if first[h] == i else first[h]) for i, _, h in rows]

@@ -8,8 +8,10 @@ directory's length. A manifest with one row per block, committed by Spark, names
 files that count; names are unique, so retried tasks only leave orphans.
 
 ``CaptureIndex`` finds a URL by binary search over the files, then over a file's
-directory, then within one block, and range-reads the record. ``read_back`` walks all
-blocks and reads each block's span of the archive in one piece.
+directory, then within one block, and range-reads the record. ``read_back`` asks for the
+first key of each block: it finds the blocks by binary search in the file's directory, and
+reads each block and its span of the archive in one piece. Of the manifest it uses the
+names and the first keys only, no places.
 
 Payloads are compared by SHA-256. Of records with equal payloads of at least
 ``MIN_REVISIT`` bytes, those with the smallest page_id are responses and the others
@@ -183,27 +185,38 @@ def _range(f, offset: int, size: int) -> bytes:
     return f.read(size)
 
 
+def read_directory(f) -> list[list]:
+    """The sparse directory at the end of an open index file: (first key, offset, length) of each block."""
+    end = f.size()
+    size = struct.unpack("<Q", _range(f, end - 8, 8))[0]
+    return json.loads(zlib.decompress(_range(f, end - 8 - size, size)))
+
+
 def _read(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     fs, root = pa.fs.FileSystem.from_uri(folder)
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
     for batch in batches:
         for row in batch.to_pylist():
-            with fs.open_input_file(f"{root}/{row['archive']}.idx") as f:
-                lines = index_lines(_range(f, row["index_offset"], row["index_bytes"]))
-            with fs.open_input_file(f"{root}/{row['archive']}.warc.gz") as f:
-                span = _range(f, row["first_offset"], row["span"])
-            found = []
-            for _, _, offset, size in lines:
-                start = offset - row["first_offset"]
-                found.append(parse(gzip.decompress(span[start : start + size])))
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in found], k) for c, k in zip(columns, kinds)], columns)
+            key = row["first_key"]
+            with fs.open_input_file(f"{root}/{row['archive']}.idx") as index, fs.open_input_file(f"{root}/{row['archive']}.warc.gz") as archive:
+                directory = read_directory(index)
+                k = bisect.bisect_left(directory, key, key=lambda b: b[0])
+                if k == len(directory) or directory[k][0] != key:
+                    raise ValueError(f"no block of {row['archive']} begins with {key!r}")
+                while k < len(directory) and directory[k][0] == key:
+                    lines = index_lines(_range(index, directory[k][1], directory[k][2]))
+                    begin, end = lines[0][2], lines[-1][2] + lines[-1][3]
+                    span = _range(archive, begin, end - begin)
+                    found = [parse(gzip.decompress(span[offset - begin : offset - begin + size])) for _, _, offset, size in lines]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in found], t) for c, t in zip(columns, kinds)], columns)
+                    k += 1
 
 
 def read_back(manifest: DataFrame, folder: str) -> DataFrame:
     """Every record of the archives: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     blocks = max(1, min(manifest.count(), 4096))
-    spread = manifest.select("archive", "part", "block", "index_offset", "index_bytes", "first_offset", "span").repartition(blocks, "part", "block")
+    spread = manifest.select("archive", "first_key").distinct().repartition(blocks, "archive", "first_key")
     return spread.mapInArrow(functools.partial(_read, folder), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
@@ -224,9 +237,7 @@ class CaptureIndex:
         """The sparse directory at the end of an index file."""
         if archive not in self.directories:
             with self.fs.open_input_file(f"{self.root}/{archive}.idx") as f:
-                end = f.size()
-                size = struct.unpack("<Q", _range(f, end - 8, 8))[0]
-                self.directories[archive] = json.loads(zlib.decompress(_range(f, end - 8 - size, size)))
+                self.directories[archive] = read_directory(f)
         return self.directories[archive]
 
     def find(self, url: str) -> list[tuple[str, int, int]]:
