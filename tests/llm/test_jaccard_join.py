@@ -69,29 +69,53 @@ def test_edge_cases(spark, edge_rows, no_docs):
     assert jj.join(no_docs).count() == 0
 
 
-def test_part_counts_cover_every_linked_pair():
-    """Two linked sets agree in more parts than may be empty."""
+def test_prefixes_and_tiles_cover_every_linked_pair():
+    """Two linked sets share more than may lie outside either's prefix, and a tile."""
     for percent in (80, 90):
-        p = jj.plan(percent, 3)
-        for x in (10, 11, 19, 40, 333, 2000):
+        p = jj.Plan(percent)
+        for x in (1, 5, 10, 11, 19, 40, 333, 2000):
             for y in range(x, 100 * x // percent + 1):
                 inter = -(-percent * (x + y) // (100 + percent))
-                common = set(p.tiles(x)) & set(p.tiles(y))
-                assert common
-                assert any(p.parts(t)[0] == 0 and x == y or p.parts(t)[0] - (x + y - 2 * inter) > p.parts(t)[1] or x + y == 2 * inter for t in common)
+                sizes = np.array([x, y])
+                assert (p.reach(sizes) <= inter).all() and (p.prefix(sizes) >= 1).all()
+                band, lower = p.tiles(sizes)
+                tiles = [{int(b), int(b) - int(low)} for b, low in zip(band, lower)]
+                assert inter > x or tiles[0] & tiles[1]
+
+
+def test_frequent_grams_by_the_broadcast_list(spark, monkeypatch):
+    """With small loads, buffers report n-grams, and both ways give the brute-force result."""
+    monkeypatch.setattr(jj, "LOAD", 64)
+    rng, rows = random.Random(11), []
+    common = [f"c{i}" for i in range(30)]
+    for k in range(120):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice((0, 2, 4, 60)))]
+        rows.append((k, " ".join(common + own)))
+    rows += [(200 + k, " ".join(common[: 30 - k % 3])) for k in range(12)] + [(300, "lone words only"), (301, " ".join(common))]
+    join = jj.Join(spark.createDataFrame(rows, "doc_id long, text string").coalesce(2), 3, 90)
+    assert 0 < join.heavy.num_rows <= 2 * sum(len(t) for _, t in rows) / join.load
+    assert ours(spark, rows, 3, 90) == brute(rows, 3, 90)
+    assert ours(spark, rows, 5, 80) == brute(rows, 5, 80)
+
+
+def test_packed_numbers():
+    for values in ([], [0], [1, 255, 256, 2**40, 2**63 + 5]):
+        x = np.array(values, np.uint64)
+        assert jj.unpack(jj.pack(x)).tolist() == values and jj.unpack_sorted(jj.pack_sorted(x)).tolist() == values
 
 
 def test_bitmap_bound_never_refutes_a_link(spark):
     rng = np.random.default_rng(1)
-    text = [" ".join(f"t{x}" for x in rng.integers(0, 50, 300)) for _ in range(4)]
+    text = [" ".join(f"t{x}" for x in rng.integers(0, 50, size)) for size in (300, 300, 200, 30)]
     data = "".join(text).encode()
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in text])])
     s = jj.Sets(np.frombuffer(data, np.uint8), offsets, 0, 4, 3)
     grams = [set(s.grams[a:b].tolist()) for a, b in zip(s.bound[:-1], s.bound[1:])]
-    maps = s.bitmaps()
+    maps = [np.frombuffer(s.bitmap(i), np.uint64) for i in range(4)]
+    assert len({len(m) for m in maps}) > 1
     for i in range(4):
         for j in range(4):
-            assert sum(int(x ^ y).bit_count() if x ^ y >= 0 else int((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(maps[i].tolist(), maps[j].tolist())) <= len(grams[i] ^ grams[j])
+            assert jj.differing(maps[i], maps[j]) <= len(grams[i] ^ grams[j])
 
 
 def test_tiles_find_what_lies_apart():
@@ -101,20 +125,20 @@ def test_tiles_find_what_lies_apart():
     rng, percent = random.Random(4), 80
     rows = []
     for node in range(40):
-        bits = [random.Random(node % 4).getrandbits(63) & rng.choice([-1, -1, -3]) for _ in range(8)]
-        rows.append((5, 0, 0, int(node >= 12), node, 300 + node % 3, bits, node // 3, node >= 24))
-    names = ["key", "i", "j", "side", "node", "n", "bitmap", "root", "is_main"]
+        bits = [random.Random(node % 4).getrandbits(64) & (2**64 - rng.choice([1, 1, 1, 3])) for _ in range(8)]
+        rows.append(({"key": 5, "i": 0, "j": 0}, int(node >= 12), bytes([node]), 300 + node % 3, np.array(bits, np.uint64).tobytes(), bytes([node // 3]), node >= 24))
+    names = ["place", "side", "node", "n", "bitmap", "root", "is_main"]
     batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names)
 
     def differ(x, y):
-        return sum((a ^ b).bit_count() for a, b in zip(x, y))
+        return sum((int(a) ^ int(b)).bit_count() for a, b in zip(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)))
 
     may = {}
     for x in rows[:12]:
         for y in rows[12:]:
-            total = x[5] + y[5]
-            if x[7] != y[7] and 180 * min(x[5], y[5]) >= 80 * total and 180 * (total - differ(x[6], y[6])) >= 160 * total:
-                may[x[4], y[4]] = differ(x[6], y[6])
+            total = x[3] + y[3]
+            if x[5] != y[5] and 180 * min(x[3], y[3]) >= 80 * total and 180 * (total - differ(x[4], y[4])) >= 160 * total:
+                may[x[2], y[2]] = differ(x[4], y[4])
     halves = [batch.slice(0, 25), batch.slice(25)]
     pairs = lambda every: {(a, b) for t in jj._tiles(percent, every, iter(halves)) for a, b in zip(*[c.to_pylist() for c in t.columns])}
     assert may and pairs(True) == set(may)

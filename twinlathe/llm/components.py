@@ -20,12 +20,14 @@ def _ordered(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """``edges``: a, b (long). Returns node, root for each node with an edge; root is the
+    """``edges``: a, b (of one orderable type). Returns node, root for each node with an edge; root is the
     smallest node of its component. Loops and repeated edges are harmless; no edges give
     an empty table."""
     spark = edges.sparkSession
     left = scratch.cut(_ordered(edges), "edges")
-    roots = spark.createDataFrame([], "node long, root long")
+    kind = edges.schema["a"].dataType.simpleString()
+    kind = "long" if kind == "bigint" else kind
+    roots = spark.createDataFrame([], f"node {kind}, root {kind}")
     first = True
     while not left.isEmpty():
         ends = left.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(left.select(F.col("b").alias("node"), F.col("a").alias("other")))

@@ -1,41 +1,42 @@
 """Operator 3: n-gram Jaccard join with size-banded tiles and hashed bitmap signatures.
 
-Documents whose sets of word n-grams are equal form one node. Two nodes link when
-100 * intersection >= percent * union.
-
-Candidates. Linked sets of sizes X and Y differ in at most
-(X + Y) * (100 - percent) / (100 + percent) n-grams. Sizes are cut into bands; the tile
-of a band holds its sets and those of the next band that could link into it. In a tile
-with at most D differences, the hash range is cut into D + 1 + spare parts: two linked
-sets agree in the whole content of at least spare + 1 parts, hence in one that is not
-empty (sets with more than ``spare`` empty parts offer these too). A hash of each part's
-content is a key. So no linked pair is missed, and sets meet only where a whole part
-agrees, however common single n-grams are.
-
-Keys never become rows: a slice of a batch sends, for each range of keys, one packed
-array, after joining its own equal keys to their smallest node (map-side combining, so a
-key key held by a third of all documents shrinks by the slice before the shuffle). Ranges
-are as many as keep each near ``KEYS_PER_RANGE``. Equal keys give a star around their
-smallest node, not all pairs; of the centres of a node's keys, the node is paired with
-the smallest only, and that one with the others, so pairs grow as nodes do.
-
-Bounds. Each node has a bitmap of its n-grams' hashes; the bits in which two bitmaps
-differ bound the differing n-grams from below and so the intersection from above. Pairs
-that pass are compared exactly, by intersecting sorted arrays.
-
-Completion. A pair whose ends lie in different components in the end may hide links
-between other members of its keys. Members of those keys are looked up over all documents
-(in rounds of at most ``KEYS_PER_ROUND`` keys, which bounds what is broadcast). Of each
-key, the members outside its largest component are compared with the members of other
-components by sizes and bitmaps, in tiles of at most ``BLOCK`` by ``BLOCK``. At first each
-takes only its nearest in a tile, which is compared exactly, and components are joined
-again, until that finds nothing new; only then all pairs that may link and still lie apart
-are compared exactly. After that every two nodes that share a key are in one component or
-have been refuted: components are exact, up to equal 64-bit hashes.
+Documents whose sets of word n-grams are equal form one node (128-bit hash of the set).
+Two nodes link when 100 * intersection >= percent * union.
+
+Candidates. A set of X n-grams shares at least ceil(percent * X / 100) of them with any
+set it links to. So if the n-grams of all sets are put in one order, two linked sets share
+one among the first X - ceil(percent * X / 100) + 1 of each. The order is by the number of
+sets that hold an n-gram, rarest first: what many documents share (a passage, a notice, a
+common phrase) comes last, and a set with that many n-grams of its own has no candidate
+at all. Sizes are cut into bands; the tile of a band holds its sets and those of the next
+band that could link into it, and sets meet in a tile by a key of (tile, n-gram).
+
+Counting. n-grams travel as sorted, packed arrays of ``bits`` of their hash (enough for a
+collision in 2^12; any function of the hash gives a valid order) to the task of their
+range, which counts them and sends on those held twice or more, to the task of their node,
+which picks the node's keys. An n-gram that could fill a range by itself never travels
+there: every buffer first reports the n-grams of which it holds more than its share, and
+those above ``load`` / 2 in all (at most 2 * n-grams / load, so a list of bounded size is
+broadcast) come last in the order; each buffer knows by itself which of them are keys.
+
+Keys are joined to their smallest node (a star, not all pairs). Bounds: a bitmap of 4 to 8
+bits for each n-gram; the bits in which two bitmaps differ bound the differing n-grams
+from below and so the intersection from above. Pairs that pass are compared exactly, by
+intersecting sorted arrays; a star's centre sends its array once for up to 64 pairs.
+
+Completion. Where the members of a key end in different components, links between them may
+be hidden. Of each such key, the members outside its largest component are compared with
+the members of other components by sizes and bitmaps, in tiles of at most ``BLOCK`` by
+``BLOCK``. At first each takes only its nearest in a tile, which is compared exactly, and
+components are joined again, until that finds nothing new; only then all pairs that may
+link and still lie apart are compared exactly. After that every two nodes that share a key
+are in one component or have been refuted: components are exact, up to equal 64-bit
+hashes of different n-grams in one pair of documents.
 
 Defined cases: null, empty or wordless text has an empty set, links with nothing and is
 its own component; texts with fewer words than n have their whole sequence as one
-n-gram; repeated rows are equal sets and link; a null doc_id takes part, but a component's
+n-gram; a very long text forms a slice of its own, so memory is bounded by the longest
+text; repeated rows are equal sets and link; a null doc_id takes part, but a component's
 id is the smallest non-null one; an empty table gives no rows. Only doc_id and text are
 read.
 """
@@ -47,8 +48,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinlathe.llm import bytetext
@@ -57,51 +57,43 @@ from twinlathe.llm.components import components
 from twinlathe.llm.storage import Scratch
 
 BAND_RATIO = 1.25
-BITMAP_BITS = 2048
-KEYS_PER_RANGE = 1 << 20
-KEYS_PER_ROUND = 1 << 21
+#: Least number of n-grams that a task holds at once, and most ranges into which hashes are cut.
+LOAD = 1 << 22
+MOST_RANGES = 1 << 19
 BLOCK = 4096
+#: Pairs that share one copy of their left array.
+PAIRS_PER_COPY = 64
+#: Orders the n-grams of the broadcast list after all others.
+_HEAVY = 1 << 48
 
 
 class Plan:
-    """Bands, tiles and parts for a similarity of ``percent`` per cent."""
-
-    def __init__(self, percent: int, n: int):
-        self.percent, self.n = percent, n
-        self.low = np.zeros(0, np.int64)
-        self.cuts: dict[int, np.ndarray] = {}
-
-    def bands(self, largest: int) -> None:
-        low = self.low.tolist() or [1]
-        while low[-1] <= largest:
-            low.append(max(low[-1] + 1, -(-int(low[-1] * max(BAND_RATIO, 100 / self.percent) * 1000) // 1000)))
-        self.low = np.array(low, np.int64)
-
-    def parts(self, tile: int) -> tuple[int, int]:
-        """(number of parts, spare parts); no parts where only equal sets link."""
-        x = int(self.low[tile + 1]) - 1
-        d = (x + 100 * x // self.percent) * (100 - self.percent) // (100 + self.percent)
-        spare = 1 if d < 16 else 2
-        return (d + 1 + spare, spare) if d else (0, 0)
-
-    def tiles(self, size: int) -> list[int]:
-        if size == 0:
-            return []
-        if not len(self.low) or size >= self.low[-1]:
-            self.bands(size)
-        band = int(np.searchsorted(self.low, size, "right")) - 1
-        reach = -(-self.percent * size // 100)
-        return [band] if reach >= self.low[band] else [band, band - 1]
-
-    def part_bounds(self, k: int) -> np.ndarray:
-        if k not in self.cuts:
-            self.cuts[k] = np.array([(j << 64) // k for j in range(1, k)], U64)
-        return self.cuts[k]
-
-
-@functools.lru_cache(maxsize=4)
-def plan(percent: int, n: int) -> Plan:
-    return Plan(percent, n)
+    """Bands, tiles and prefixes for a similarity of ``percent`` per cent."""
+
+    def __init__(self, percent: int):
+        self.percent = percent
+        self.low = np.array([1], np.int64)
+
+    def reach(self, sizes: np.ndarray) -> np.ndarray:
+        """Least number of n-grams that a set shares with a set it links to."""
+        return -(-self.percent * sizes // 100)
+
+    def prefix(self, sizes: np.ndarray) -> np.ndarray:
+        return sizes - self.reach(sizes) + 1
+
+    def tiles(self, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(band of each size, whether it may link into the band below)."""
+        largest = int(sizes.max(initial=1))
+        while self.low[-1] <= largest:
+            last = int(self.low[-1])
+            self.low = np.append(self.low, max(last + 1, -(-int(last * max(BAND_RATIO, 100 / self.percent) * 1000) // 1000)))
+        band = np.searchsorted(self.low, sizes, "right") - 1
+        return band, self.reach(sizes) < self.low[band]
+
+
+def bitmap_bits(size: int) -> int:
+    """A power of two, 4 to 8 bits for each n-gram."""
+    return max(256, 1 << (4 * size - 1).bit_length())
 
 
 class Sets:
@@ -130,36 +122,17 @@ class Sets:
         self.grams, self.row = grams[new], row[new]
         self.size = np.bincount(self.row, minlength=words.rows).astype(np.int64)
         self.bound = np.concatenate([[0], np.cumsum(self.size)])
-        self.sums = np.zeros(len(self.grams) + 1, U64)
-        np.cumsum(mix(self.grams ^ U64(0xA0761D6478BD642F)), out=self.sums[1:])
-        total = self.sums[self.bound[1:]] - self.sums[self.bound[:-1]]
-        self.node = mix(total + self.size.astype(U64) * U64(0xE7037ED1A0B428DB)).view(np.int64)
-
-    def bitmaps(self) -> np.ndarray:
-        bits = np.zeros((len(self.size), BITMAP_BITS), bool)
-        bits[self.row, (self.grams & U64(BITMAP_BITS - 1)).astype(np.int64)] = True
-        return np.packbits(bits, axis=1, bitorder="little").view(np.int64)
-
-    def keys(self, p: Plan, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(keys, their row) of the given rows."""
-        keys, owner = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
-        for r in rows.tolist():
-            begin, end = int(self.bound[r]), int(self.bound[r + 1])
-            for tile in p.tiles(end - begin):
-                k, spare = p.parts(tile)
-                if not k:
-                    continue
-                at = np.empty(k + 1, np.int64)
-                at[0], at[-1] = begin, end
-                at[1:-1] = np.searchsorted(self.grams[begin:end], p.part_bounds(k)) + begin
-                content = self.sums[at[1:]] - self.sums[at[:-1]]
-                key = mix(content * U64(0x9FB21C651E98DF25) + mix(np.arange(k, dtype=U64) + U64(tile << 32)))
-                empty = at[1:] == at[:-1]
-                if 0 < empty.sum() <= spare:
-                    key = key[~empty]
-                keys.append(key)
-                owner.append(np.full(len(key), r))
-        return np.concatenate(keys), np.concatenate(owner)
+        self.node = np.empty((words.rows, 2), U64)
+        sums = np.zeros(len(self.grams) + 1, U64)
+        for k, seed in enumerate((0xA0761D6478BD642F, 0xE7037ED1A0B428DB)):
+            np.cumsum(mix(self.grams ^ U64(seed)), out=sums[1:])
+            self.node[:, k] = mix(sums[self.bound[1:]] - sums[self.bound[:-1]] + self.size.astype(U64) * U64(seed))
+
+    def bitmap(self, row: int) -> bytes:
+        grams = self.grams[self.bound[row] : self.bound[row + 1]]
+        bits = np.zeros(bitmap_bits(len(grams)), bool)
+        bits[(grams & U64(len(bits) - 1)).astype(np.int64)] = True
+        return np.packbits(bits, bitorder="little").tobytes()
 
 
 def _slices(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.RecordBatch, Sets]]:
@@ -169,197 +142,357 @@ def _slices(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.Reco
             yield batch.slice(first, last - first), Sets(data, offsets, first, last, n)
 
 
-def _lists(values: np.ndarray, width: int) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, width, dtype=np.int32)), pa.array(values.ravel()))
+def node_column(nodes: np.ndarray) -> pa.Array:
+    """16 bytes for each row of an (n x 2) array."""
+    offsets = pa.array(np.arange(len(nodes) + 1, dtype=np.int32) * 16)
+    return pa.Array.from_buffers(pa.binary(), len(nodes), [None, offsets.buffers()[1], pa.py_buffer(np.ascontiguousarray(nodes, U64))])
 
 
-def _describe(percent: int, n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    p = plan(percent, n)
-    for batch, sets in _slices(batches, n):
-        n_keys = [sum(p.parts(t)[0] for t in p.tiles(s)) for s in sets.size.tolist()]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sets.size), pa.array(sets.node), _lists(sets.bitmaps(), BITMAP_BITS // 64), pa.array(n_keys, pa.int64())],
-            ["doc_id", "n", "node", "bitmap", "n_keys"],
-        )
+def _numbered(nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of each distinct row, ordered by the first column; number of each row)."""
+    order = np.lexsort((nodes[:, 1], nodes[:, 0]))
+    ordered = nodes[order]
+    new = np.ones(len(nodes), bool)
+    new[1:] = (ordered[1:] != ordered[:-1]).any(1)
+    number = np.empty(len(nodes), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order[new], number
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Non-negative numbers by byte place, without leading bytes that are all zero."""
+    width = max(1, -(-int(values.max(initial=0)).bit_length() // 8))
+    places = np.ascontiguousarray(values, U64).view(np.uint8).reshape(-1, 8)
+    return bytes([width]) + np.ascontiguousarray(places[:, :width].T).tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    width = data[0]
+    places = np.frombuffer(data, np.uint8, offset=1).reshape(width, -1)
+    out = np.zeros((places.shape[1], 8), np.uint8)
+    out[:, :width] = places.T
+    return out.view(U64).ravel()
+
 
+def pack_sorted(values: np.ndarray) -> bytes:
+    return values[:1].tobytes() + pack(np.diff(values)) if len(values) else b""
 
-_SENT = "part int, keys binary, nodes binary, a long, b long, shared array<long>"
 
+def unpack_sorted(data: bytes) -> np.ndarray:
+    if not data:
+        return np.zeros(0, U64)
+    return np.cumsum(np.concatenate([np.frombuffer(data, U64, 1), unpack(data[8:])]), dtype=U64)
 
-def _stars(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Table]:
-    """(distinct keys, smallest node of each, pairs with the keys they stand for)."""
-    order = np.lexsort((nodes, keys))
-    keys, nodes = keys[order], nodes[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = keys[1:] != keys[:-1]
-    head = np.flatnonzero(new)
-    centre = np.repeat(nodes[head], np.diff(np.append(head, len(keys))))
-    other = np.flatnonzero(centre != nodes)
-    key, node, centre = keys[other].view(np.int64), nodes[other], centre[other]
-    order = np.lexsort((centre, node))
-    key, node, centre = key[order], node[order], centre[order]
-    begin = np.flatnonzero(np.append(True, node[1:] != node[:-1])) if len(node) else np.zeros(0, np.int64)
-    parent = np.repeat(centre[begin], np.diff(np.append(begin, len(node))))
-    apart = parent != centre
-    a, b, k = (np.concatenate([parent, parent[apart]]), np.concatenate([node, centre[apart]]), np.concatenate([key, key[apart]]))
-    order = np.lexsort((k, b, a))
-    a, b, k = a[order], b[order], k[order]
-    pair = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])) if len(a) else np.zeros(0, bool)
-    keep = pair | np.append(True, k[1:] != k[:-1]) if len(a) else pair
-    a, b, k, pair = a[keep], b[keep], k[keep], pair[keep]
-    first = np.flatnonzero(pair)
-    shared = pa.ListArray.from_arrays(pa.array(np.append(first, len(a)).astype(np.int32)), pa.array(k))
-    return keys[head], nodes[head], pa.table({"a": pa.array(a[first]), "b": pa.array(b[first]), "shared": shared})
 
+class Buffer:
+    """Sets of several slices, each distinct one once."""
 
-def _planes(values: np.ndarray) -> bytes:
-    """Bytes of the values by place: the leading bytes of sorted values then compress in the shuffle."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+    def __init__(self) -> None:
+        self.parts: list[Sets] = []
+        self.total = 0
 
+    def add(self, sets: Sets) -> None:
+        self.parts.append(sets)
+        self.total += len(sets.grams)
 
-def _from_planes(data: bytes, kind) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
+    def take(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(nodes, their sizes, n-grams, the place of each one's node); empties the buffer."""
+        nodes, sizes = np.concatenate([s.node for s in self.parts]), np.concatenate([s.size for s in self.parts])
+        keep = np.zeros(len(nodes), bool)
+        keep[_numbered(nodes)[0]] = True
+        keep &= sizes > 0
+        row = np.repeat(np.arange(len(nodes)), sizes)
+        grams = np.concatenate([s.grams for s in self.parts])
+        mine = keep[row]
+        self.__init__()
+        return nodes[keep], sizes[keep], grams[mine], (np.cumsum(keep) - 1)[row[mine]]
 
 
-def _pack_nodes(nodes: np.ndarray) -> bytes:
-    """The distinct nodes, and for each entry its place among them."""
-    own, place = np.unique(nodes, return_inverse=True)
-    return np.int32(len(own)).tobytes() + own.tobytes() + _planes(place.astype(np.uint32))
+_DESCRIBED = "doc_id long, n long, node binary, gram long, copies long"
 
 
-def _unpack_nodes(data: bytes) -> np.ndarray:
-    n = int(np.frombuffer(data, np.int32, 1)[0])
-    return np.frombuffer(data, np.int64, n, 4)[_from_planes(data[4 + 8 * n :], np.uint32)]
+def _describe(n: int, load: int, share: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of documents, and rows of n-grams of which a buffer holds more than its share."""
+    names = ["doc_id", "n", "node", "gram", "copies"]
+    buffer = Buffer()
 
+    def frequent() -> Iterator[pa.RecordBatch]:
+        least = max(2, buffer.total * share)
+        if sum(len(s.size) for s in buffer.parts) < least:  # a set holds an n-gram once
+            buffer.__init__()
+            return
+        grams, copies = np.unique(buffer.take()[2], return_counts=True)
+        own = copies >= least
+        if size := int(own.sum()):
+            none = [pa.nulls(size, kind) for kind in (pa.int64(), pa.int64(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*none, pa.array(grams[own].view(np.int64)), pa.array(copies[own])], names)
+
+    for batch, sets in _slices(batches, n):
+        none = pa.nulls(batch.num_rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets.size), node_column(sets.node), none, none], names)
+        buffer.add(sets)
+        if buffer.total >= load:
+            yield from frequent()
+    if buffer.total:
+        yield from frequent()
+
+
+_SENT = "part int, dest int, nodes binary, grams binary, places binary, counts binary"
+
+
+def _sent(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["part", "dest", "nodes", "grams", "places", "counts"])
+
+
+def _range(values: np.ndarray, bits: int, ranges: int) -> np.ndarray:
+    """The range, of ``ranges``, in which numbers of ``bits`` bits lie; it never falls as they grow."""
+    high = values >> U64(bits - 32) if bits > 32 else values << U64(32 - bits)
+    return (high * U64(ranges) >> U64(32)).astype(np.int64)
+
+
+def _to_nodes(nodes: np.ndarray, more: np.ndarray, owner: np.ndarray, grams: np.ndarray, counts: np.ndarray, dests: int) -> Iterator[tuple]:
+    """Rows for the tasks of the nodes: entries (owner, gram, count) by ranges of the nodes' first half."""
+    if not len(owner):
+        return
+    first = nodes[:, 0]
+    order = np.lexsort((owner, first[owner]))
+    owner, grams, counts = owner[order], grams[order], counts[order]
+    dest = _range(first[owner], 64, dests)
+    cut = np.append(np.flatnonzero(np.append(True, dest[1:] != dest[:-1])), len(dest)).tolist()
+    for a, b in zip(cut, cut[1:]):
+        new = np.flatnonzero(np.append(True, owner[a + 1 : b] != owner[a : b - 1]))
+        own = owner[a:b][new]
+        table = np.concatenate([nodes[own], more[own]], 1)
+        yield int(dest[a]), int(dest[a]), table.tobytes(), pack(grams[a:b]), pack(np.diff(np.append(new, b - a))), pack(counts[a:b])
+
+
+def _send(percent: int, n: int, load: int, bits: int, ranges: int, dests: int, heavy, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """n-grams to the task of their range, those of the broadcast list that are keys to the task of their node."""
+    p, buffer = Plan(percent), Buffer()
+    listed, weight = heavy.value
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        nodes, sizes, grams, owner = buffer.take()
+        grams >>= U64(64 - bits)
+        new = np.ones(len(grams), bool)
+        new[1:] = (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])
+        grams, owner = grams[new], owner[new]
+        held = np.bincount(owner, minlength=len(nodes))
+        prefix = p.prefix(sizes)
+        at = np.minimum(np.searchsorted(listed, grams), max(0, len(listed) - 1))
+        is_heavy = listed[at] == grams if len(listed) else np.zeros(len(grams), bool)
+        light = held - np.bincount(owner[is_heavy], minlength=len(nodes))
+        # beyond the prefix lie this many of the light ones; a prefix with room for all of them takes heavy ones too
+        more = np.stack([sizes, np.maximum(0, light - prefix)], 1).astype(U64)
+        if is_heavy.any():
+            g, o, w = grams[is_heavy], owner[is_heavy], weight[at[is_heavy]]
+            order = np.lexsort((g, w, o))
+            g, o, w = g[order], o[order], w[order]
+            key = np.arange(len(o)) - np.searchsorted(o, o) < (prefix - light)[o]
+            rows = [(d % ranges, *rest) for d, *rest in _to_nodes(nodes, more, o[key], g[key], w[key], dests)]
+            if rows:
+                yield _sent(rows)
+            grams, owner = grams[~is_heavy], owner[~is_heavy]
+        order = np.argsort(grams, kind="stable")
+        grams, owner = grams[order], owner[order]
+        part = _range(grams, bits, ranges)
+        cut = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part)).tolist() if len(part) else []
+        rows, size = [], 0
+        for a, b in zip(cut, cut[1:]):
+            if 16 * (b - a) > len(nodes):
+                there = np.zeros(len(nodes), bool)
+                there[owner[a:b]] = True
+                own, place = np.flatnonzero(there), (np.cumsum(there) - 1)[owner[a:b]]
+            else:
+                own, place = np.unique(owner[a:b], return_inverse=True)
+            rows.append((int(part[a]), None, np.concatenate([nodes[own], more[own]], 1).tobytes(), pack_sorted(grams[a:b]), pack(place), None))
+            size += b - a
+            if size >= 1 << 18:
+                yield _sent(rows)
+                rows, size = [], 0
+        if rows:
+            yield _sent(rows)
 
-def _send(percent: int, n: int, ranges: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    p = plan(percent, n)
-    none = lambda kind, size: pa.nulls(size, kind)
-    names = ["part", "keys", "nodes", "a", "b", "shared"]
     for _, sets in _slices(batches, n):
-        _, rows = np.unique(sets.node, return_index=True)
-        keys, owner = sets.keys(p, rows)
-        keys, nodes, pairs = _stars(keys, sets.node[owner])
-        part = ((keys >> U64(32)) * U64(ranges) >> U64(32)).astype(np.int64)
-        cut = np.searchsorted(part, np.arange(ranges + 1))  # keys are sorted, so parts are
-        filled = np.flatnonzero(np.diff(cut)).tolist()
-        if filled:
-            packed = [pa.array([f(x[cut[i] : cut[i + 1]]) for i in filled], pa.binary()) for f, x in ((_planes, keys), (_pack_nodes, nodes))]
-            columns = [pa.array(filled, pa.int32()), *packed]
-            yield pa.RecordBatch.from_arrays([*columns, none(pa.int64(), len(filled)), none(pa.int64(), len(filled)), none(pa.list_(pa.int64()), len(filled))], names)
-        if size := pairs.num_rows:
-            to = pa.array((pairs["b"].to_numpy() % ranges).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([to, none(pa.binary(), size), none(pa.binary(), size), *[pairs[c].combine_chunks() for c in ("a", "b", "shared")]], names)
-
-
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by part."""
-
-    def ended(keys: list[bytes], nodes: list[bytes]) -> list[pa.RecordBatch]:
-        return _stars(np.concatenate([_from_planes(k, U64) for k in keys]), np.concatenate([_unpack_nodes(v) for v in nodes]))[2].to_batches()
-
-    now, keys, nodes = None, [], []
+        buffer.add(sets)
+        if buffer.total >= load:
+            yield from flush()
+    if buffer.total:
+        yield from flush()
+
+
+def _by(column: str, batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """Runs of rows with equal values of ``column``, of rows sorted by it."""
+    held: list[dict] = []
     for batch in batches:
-        is_pair = batch.column(3).is_valid()
-        if is_pair.true_count:
-            yield pa.RecordBatch.from_arrays(batch.columns[3:], ["a", "b", "shared"]).filter(is_pair)
-        ranges = pa.RecordBatch.from_arrays(batch.columns[:3], ["part", "keys", "nodes"]).filter(pc.invert(is_pair))
-        for part, k, v in zip(*[c.to_pylist() for c in ranges.columns]):
-            if part != now and keys:
-                yield from ended(keys, nodes)
-                keys, nodes = [], []
-            now = part
-            keys.append(k)
-            nodes.append(v)
-    if keys:
-        yield from ended(keys, nodes)
-
-
-def _grams(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in batch.to_pylist():
+            if held and held[0][column] != row[column]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _tables(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(nodes, their size and number beyond the prefix, number of each table's entry, where tables begin)."""
+    tables = [np.frombuffer(r["nodes"], U64).reshape(-1, 4) for r in rows]
+    every = np.concatenate(tables)
+    first, number = _numbered(every[:, :2])
+    return every[first, :2], every[first, 2:], number, np.cumsum([0, *map(len, tables)])
+
+
+def _count(dests: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """n-grams that two or more nodes hold, with their number of nodes, to the tasks of the nodes. Rows come sorted by part."""
+    for rows in _by("part", batches):
+        if passed := [(0, *[r[c] for c in ("dest", "nodes", "grams", "places", "counts")]) for r in rows if r["dest"] is not None]:
+            yield _sent(passed)
+        rows = [r for r in rows if r["dest"] is None]
+        if not rows:
+            continue
+        nodes, more, number, begin = _tables(rows)
+        grams = np.concatenate([unpack_sorted(r["grams"]) for r in rows])
+        owner = np.concatenate([number[b:][unpack(r["places"]).astype(np.int64)] for r, b in zip(rows, begin)])
+        del rows
+        order = np.argsort(grams, kind="stable")
+        grams, owner = grams[order], owner[order]
+        same = grams[1:] == grams[:-1]
+        several = np.append(same, False) | np.append(False, same)
+        grams, owner = grams[several], owner[several]
+        order = np.lexsort((owner, grams))
+        grams, owner = grams[order], owner[order]
+        new = np.ones(len(grams), bool)
+        new[1:] = (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])
+        grams, owner = grams[new], owner[new]
+        if not len(grams):
+            continue
+        begins = np.flatnonzero(np.append(True, grams[1:] != grams[:-1]))
+        copies = np.diff(np.append(begins, len(grams)))
+        counts = np.repeat(copies, copies)
+        several = counts > 1
+        out = list(_to_nodes(nodes, more, owner[several], grams[several], counts[several].astype(U64), dests))
+        for k in range(0, len(out), 1024):
+            yield _sent(out[k : k + 1024])
+
+
+def _keys(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys of the nodes. Rows come sorted by dest."""
+    p = Plan(percent)
+    for rows in _by("dest", batches):
+        nodes, more, number, _ = _tables(rows)
+        grams, counts = (np.concatenate([unpack(r[c]) for r in rows]) for c in ("grams", "counts"))
+        owner = np.repeat(number, np.concatenate([unpack(r["places"]) for r in rows]).astype(np.int64))
+        order = np.lexsort((grams, counts, owner))
+        grams, owner = grams[order], owner[order]
+        new = np.ones(len(grams), bool)  # what several buffers sent
+        new[1:] = (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])
+        grams, owner = grams[new], owner[new]
+        # n-grams that no other node holds come first and meet nothing
+        room = np.bincount(owner, minlength=len(nodes)) - more[:, 1].astype(np.int64)
+        first = np.arange(len(owner)) - np.searchsorted(owner, owner) < room[owner]
+        grams, owner = grams[first], owner[first]
+        band, lower = p.tiles(more[:, 0].astype(np.int64))
+        for tile, mine in ((band, np.ones(len(owner), bool)), (band - 1, lower[owner])):
+            o = owner[mine]
+            key = mix(grams[mine] * U64(0x9FB21C651E98DF25) + mix(tile[o].astype(U64) + U64(1)))
+            for a in range(0, len(o), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(key[a : a + (1 << 16)].view(np.int64)), node_column(nodes[o[a : a + (1 << 16)]])], ["key", "node"])
+
+
+_SETS = "node binary, n long, bitmap binary, grams binary"
+
+
+def _arrays(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, sets in _slices(batches, n):
-        chunks = [sets.grams[a:b] for a, b in zip(sets.bound[:-1], sets.bound[1:])]
-        yield pa.RecordBatch.from_arrays([pa.array(sets.node), bytetext.binary_column(chunks)], ["node", "grams"])
+        rows = np.flatnonzero(sets.size).tolist()
+        grams = [sets.grams[sets.bound[r] : sets.bound[r + 1]] for r in rows]
+        yield pa.RecordBatch.from_arrays(
+            [node_column(sets.node[rows]), pa.array(sets.size[rows]), pa.array([sets.bitmap(r) for r in rows], pa.binary()), bytetext.binary_column(grams)],
+            ["node", "n", "bitmap", "grams"],
+        )
 
 
-def _members(percent: int, n: int, wanted, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    p, asked = plan(percent, n), np.frombuffer(wanted.value, np.int64)
-    for _, sets in _slices(batches, n):
-        _, rows = np.unique(sets.node, return_index=True)
-        keys, owner = sets.keys(p, rows)
-        keys = keys.view(np.int64)
-        at = np.minimum(np.searchsorted(asked, keys), len(asked) - 1)
-        hit = asked[at] == keys
-        yield pa.RecordBatch.from_arrays([pa.array(keys[hit]), pa.array(sets.node[owner[hit]])], ["key", "node"])
+def folded(bitmap: np.ndarray, words: int) -> np.ndarray:
+    """The bitmap of the same set with fewer bits."""
+    return np.bitwise_or.reduce(bitmap.reshape(-1, words), 0)
 
 
-def _intersect(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def differing(x: np.ndarray, y: np.ndarray) -> int:
+    """Bits in which two bitmaps differ, the longer one folded."""
+    words = min(len(x), len(y))
+    return int(np.bitwise_count((x if len(x) == words else folded(x, words)) ^ (y if len(y) == words else folded(y, words))).sum())
+
+
+def may_link(percent: int, nx, ny, differ):
+    """Sizes and differing bits allow the similarity."""
+    total = nx + ny
+    return ((100 + percent) * np.minimum(nx, ny) >= percent * total) & ((100 + percent) * (total - differ) >= 2 * percent * total)
+
+
+def _bounded(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = []
-        for a, b in zip(batch.column(2), batch.column(3)):
-            x, y = np.frombuffer(a.as_buffer(), U64), np.frombuffer(b.as_buffer(), U64)
-            both = np.concatenate([x, y])
-            both.sort(kind="stable")  # merges the two sorted runs
-            inter = int(np.count_nonzero(both[1:] == both[:-1]))
-            keep.append(100 * inter >= percent * (len(x) + len(y) - inter))
+        words = lambda c: [np.frombuffer(v.as_buffer(), U64) for v in batch.column(c)]  # noqa: E731, B023
+        differ = np.array([differing(x, y) for x, y in zip(words(4), words(5))], np.int64)
+        keep = may_link(percent, batch.column(2).to_numpy(), batch.column(3).to_numpy(), differ)
         yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _tile(percent: int, every: bool, rows: pa.Table) -> np.ndarray:
+def links_exactly(percent: int, x: np.ndarray, y: np.ndarray) -> bool:
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")  # merges the two sorted runs
+    inter = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * inter >= percent * (len(x) + len(y) - inter)
+
+
+def _intersect(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (a, share, b, grams) sorted so that the array of a (b is null) comes before those of its pairs."""
+    left = None
+    for batch in batches:
+        a, b = [], []
+        for x, _, y, grams in zip(*batch.columns):
+            values = np.frombuffer(grams.as_buffer(), U64)
+            if not y.is_valid:
+                left = values.copy()
+            elif links_exactly(percent, left, values):
+                a.append(x.as_py())
+                b.append(y.as_py())
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+
+def _tile(percent: int, every: bool, rows: list[dict]) -> list[tuple[bytes, bytes]]:
     """Pairs (left node, right node) of one tile that may link and have different roots:
     all, or for each left node the one whose bitmap differs least."""
-    left = rows["side"].to_numpy() == 0
-    node, n, root, main = (rows[c].to_numpy() for c in ("node", "n", "root", "is_main"))
-    bits = rows["bitmap"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
-    l, r = np.flatnonzero(left), np.flatnonzero(~left)
+    words = min(len(r["bitmap"]) for r in rows) // 8
+    bits = np.stack([folded(np.frombuffer(r["bitmap"], U64), words) for r in rows])
+    n = np.array([r["n"] for r in rows])
+    roots = {}
+    root = np.array([roots.setdefault(r["root"], len(roots)) for r in rows])
+    main = np.array([r["is_main"] for r in rows])
+    l, r = (np.array([i for i, row in enumerate(rows) if row["side"] == side], np.int64) for side in (0, 1))
     out = []
-    for first in range(0, len(l), 64):
-        at = l[first : first + 64]
-        differ = np.zeros((len(at), len(r)), np.int64)
-        for k in range(bits.shape[1]):
-            differ += np.bitwise_count(bits[at, k][:, None] ^ bits[r, k][None, :])
-        total = n[at][:, None] + n[r][None, :]
-        may = (root[at][:, None] != root[r][None, :]) & ((100 + percent) * np.minimum(n[at][:, None], n[r][None, :]) >= percent * total)
-        may &= (100 + percent) * (total - differ) >= 2 * percent * total
+    step = max(1, (1 << 24) // max(1, len(r) * words * 8))
+    for first in range(0, len(l), step):
+        at = l[first : first + step]
+        differ = np.bitwise_count(bits[at][:, None, :] ^ bits[r][None, :, :]).sum(2, dtype=np.int64)
+        may = (root[at][:, None] != root[r][None, :]) & may_link(percent, n[at][:, None], n[r][None, :], differ)
         if every:
-            i, j = np.nonzero(may & (main[r][None, :] | (node[at][:, None] < node[r][None, :])))
+            i, j = np.nonzero(may)
         else:
             i = np.flatnonzero(may.any(1))
             j = np.where(may[i], differ[i], np.iinfo(np.int64).max).argmin(1)
-        out.append(np.stack([node[at[i]], node[r[j]]], 1))
-    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+        for x, y in zip(at[i].tolist(), r[j].tolist()):
+            a, b = rows[x]["node"], rows[y]["node"]
+            if not every or main[y] or a < b:
+                out.append((min(a, b), max(a, b)))
+    return out
 
 
 def _tiles(percent: int, every: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, i, j)."""
-
-    def made(found: list[np.ndarray]) -> pa.RecordBatch:
-        both = np.sort(np.concatenate(found), 1)
-        both = np.unique(both, axis=0) if len(both) else both
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, k])) for k in (0, 1)], ["a", "b"])
-
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        table = pa.Table.from_batches([*held, batch])
-        place = np.stack([table[c].to_numpy() for c in ("key", "i", "j")])
-        starts = np.flatnonzero(np.append(True, (place[:, 1:] != place[:, :-1]).any(0))).tolist() if table.num_rows else []
-        found = [_tile(percent, every, table.slice(s, e - s)) for s, e in zip(starts, starts[1:])]
-        held = table.slice(starts[-1]).combine_chunks().to_batches() if starts else []
-        if found:
-            yield made(found)
-    if held:
-        yield made([_tile(percent, every, pa.Table.from_batches(held))])
-
-
-def differing_bits(x: str, y: str) -> Column:
-    return sum([F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(BITMAP_BITS // 64)], F.lit(0))
-
-
-def may_link(percent: int, na: str = "na", nb: str = "nb", x: str = "bitmap_a", y: str = "bitmap_b") -> Column:
-    """Sizes and bitmaps allow the similarity."""
-    total = F.col(na) + F.col(nb)
-    sizes = (100 + percent) * F.least(na, nb) >= percent * total
-    return sizes & ((100 + percent) * (total - differing_bits(x, y)) >= 2 * percent * total)
+    """Rows sorted by place (key, i, j)."""
+    for rows in _by("place", batches):
+        if pairs := sorted(set(_tile(percent, every, rows))):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*pairs)], ["a", "b"])
 
 
 class Join:
@@ -369,106 +502,121 @@ class Join:
         self.spark, self.n, self.percent = docs.sparkSession, n, percent
         self.scratch = Scratch(self.spark, "jaccard")
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        described = self.docs.mapInArrow(functools.partial(_describe, percent, n), "doc_id long, n long, node long, bitmap array<long>, n_keys long")
-        self.described = self.scratch.cut(described, "sets")
-        own = self.described.where("n > 0").groupBy("node").agg(
-            F.min("doc_id").alias("min_id"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), F.first("n_keys").alias("n_keys")
-        )
-        self.nodes = self.scratch.cut(own, "nodes")
-
-    def pairs(self) -> DataFrame:
-        """a, b, shared: pairs of nodes, and the keys for which they stand."""
-        total = self.nodes.agg(F.sum("n_keys")).first()[0] or 0
-        ranges = max(8, -(-total // KEYS_PER_RANGE))
-        sent = self.docs.mapInArrow(functools.partial(_send, self.percent, self.n, ranges), _SENT)
-        met = sent.repartition(ranges, "part").sortWithinPartitions("part").mapInArrow(_meet, "a long, b long, shared array<long>")
-        return self.scratch.cut(met, "pairs")
-
-    def bounded(self, pairs: DataFrame) -> DataFrame:
-        """The pairs that sizes and bitmaps allow."""
-        a = self.nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("bitmap_a"))
-        b = self.nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("bitmap_b"))
-        return pairs.join(a, "a").join(b, "b").where(may_link(self.percent)).select("a", "b")
-
-    def texts_of(self, nodes: DataFrame) -> DataFrame:
-        """The documents with the smallest doc_id of each node, null equal to null. The ids are written first, so that their size decides on a broadcast."""
-        ids = self.scratch.cut(self.nodes.join(nodes, "node", "left_semi").select("min_id").distinct(), "ids")
-        return self.docs.join(ids, F.col("doc_id").eqNullSafe(F.col("min_id")), "left_semi")
-
-    def exact(self, pairs: DataFrame) -> DataFrame:
+        most = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 2 + 1  # n-grams
+        self.load = max(LOAD, most // MOST_RANGES)
+        share = self.load / (2 * most)
+        table = self.scratch.cut(self.docs.mapInArrow(functools.partial(_describe, n, self.load, share), _DESCRIBED), "sets")
+        self.described = table.where("node IS NOT NULL").select("doc_id", "n", "node")
+        heavy = table.where("node IS NULL").groupBy("gram").agg(F.sum("copies").alias("copies")).where(F.col("copies") >= share * most)
+        self.heavy = heavy.toArrow()  # at most 2 * most / load rows
+        self.nodes = self.described.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("min_id"))
+
+    def _listed(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """The frequent n-grams' hashes of ``bits`` bits, sorted, and their places in the order."""
+        grams = self.heavy["gram"].to_numpy().view(U64) >> U64(64 - bits)
+        copies = self.heavy["copies"].to_numpy()
+        order = np.lexsort((copies, grams))
+        grams, copies = grams[order], copies[order]
+        last = np.append(grams[1:] != grams[:-1], True) if len(grams) else np.zeros(0, bool)
+        return grams[last], copies[last].astype(U64) + U64(_HEAVY)
+
+    def postings(self) -> DataFrame:
+        """key, node: the keys that more than one node might have."""
+        total = self.described.agg(F.sum("n")).first()[0] or 0
+        least = 4 * self.spark.sparkContext.defaultParallelism
+        ranges, dests = max(least, -(-total // self.load)), max(least, -(-total // (4 * self.load)))
+        bits = min(64, max(32, int(total).bit_length() + 12))
+        heavy = self.spark.sparkContext.broadcast(self._listed(bits))
+        sent = self.docs.mapInArrow(functools.partial(_send, self.percent, self.n, self.load, bits, ranges, dests, heavy), _SENT)
+        counted = sent.repartition(ranges, "part").sortWithinPartitions("part").mapInArrow(functools.partial(_count, dests), _SENT)
+        keys = counted.repartition(dests, "dest").sortWithinPartitions("dest").mapInArrow(functools.partial(_keys, self.percent), "key long, node binary")
+        return self.scratch.cut(keys, "postings")
+
+    def stars(self, postings: DataFrame) -> DataFrame:
+        """a, b: the smallest node of each key with its other nodes."""
+        centres = postings.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a <> last").select("key", "a")
+        return self.scratch.cut(postings.join(centres, "key").where("a <> node").select("a", F.col("node").alias("b")).distinct(), "pairs")
+
+    def sets_of(self, pairs: DataFrame) -> DataFrame:
+        """node, n, bitmap and grams of the ends of ``pairs``. Texts are those with the smallest
+        doc_id of each node, null equal to null; ids are written first, so that their size decides on a broadcast."""
+        ends = self.scratch.cut(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "ends")
+        ids = self.scratch.cut(self.nodes.join(ends, "node", "left_semi").select("min_id").distinct(), "ids")
+        texts = self.docs.join(ids, F.col("doc_id").eqNullSafe(F.col("min_id")), "left_semi")
+        found = texts.mapInArrow(functools.partial(_arrays, self.n), _SETS).join(ends, "node", "left_semi")
+        return self.scratch.cut(found.dropDuplicates(["node"]), "arrays")
+
+    def linked(self, pairs: DataFrame) -> DataFrame:
         """The pairs that link."""
-        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        found = self.texts_of(ends).mapInArrow(functools.partial(_grams, self.n), "node long, grams binary").join(ends, "node", "left_semi")
-        grams = self.scratch.cut(found.dropDuplicates(["node"]), "grams")
-        a = grams.select(F.col("node").alias("a"), F.col("grams").alias("grams_a"))
-        b = grams.select(F.col("node").alias("b"), F.col("grams").alias("grams_b"))
-        compared = pairs.join(a, "a").join(b, "b").select("a", "b", "grams_a", "grams_b")
-        links = self.scratch.cut(compared.mapInArrow(functools.partial(_intersect, self.percent), "a long, b long"), "links")
-        self.scratch.drop(grams)
-        self.scratch.release()
-        return links
-
-    def unsettled_keys(self, pairs: DataFrame, roots: DataFrame) -> DataFrame:
-        """Keys of the pairs that lie in different components."""
-        ra = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
-        rb = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        apart = pairs.join(ra, "a", "left").join(rb, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
-        return self.scratch.cut(apart.select(F.explode("shared").alias("key")).distinct(), "keys")
+        a = self.sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("bitmap_a"))
+        b = self.sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("bitmap_b"))
+        signed = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "bitmap_a", "bitmap_b")
+        bounded = self.scratch.cut(signed.mapInArrow(functools.partial(_bounded, self.percent), "a binary, b binary"), "bounded")
+        shares = bounded.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_PER_COPY).alias("shares"))
+        lefts = shares.select("a", F.explode(F.sequence(F.lit(0), F.col("shares").cast("int") - 1)).alias("share"))
+        rights = bounded.join(shares, "a").select("a", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int").alias("share"), "b")
+        grams = self.sets.select("node", "grams")
+        lefts = lefts.join(grams, F.col("a") == F.col("node")).select("a", "share", F.lit(None).cast("binary").alias("b"), "grams")
+        rights = rights.join(grams, F.col("b") == F.col("node")).select("a", "share", "b", "grams")
+        dealt = lefts.unionByName(rights).repartition("a", "share").sortWithinPartitions("a", "share", F.col("b").asc_nulls_first())
+        return self.scratch.cut(dealt.mapInArrow(functools.partial(_intersect, self.percent), "a binary, b binary"), "links")
+
+    def unsettled(self, postings: DataFrame, roots: DataFrame) -> DataFrame:
+        """key, node of the keys whose nodes lie in different components; of keys with the same nodes, one."""
+        placed = postings.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        keys = placed.groupBy("key").agg(
+            F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("size"),
+            F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"),
+        ).where("least <> most").groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key")
+        return self.scratch.cut(postings.join(self.scratch.cut(keys, "keys"), "key", "left_semi"), "members")
 
     def tiles(self, members: DataFrame, roots: DataFrame) -> DataFrame:
-        """Members (key, node) of keys with several components, dealt to tiles."""
-        full = members.join(self.nodes.select("node", "n", "bitmap"), "node").join(roots, "node", "left")
-        full = self.scratch.cut(full.select("key", "node", "n", "bitmap", F.coalesce("root", "node").alias("root")), "members")
-        per_root = full.groupBy("key", "root").agg(F.count("*").alias("size"))
+        """Members of keys with several components, dealt to tiles."""
+        placed = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        per_root = placed.groupBy("key", "root").agg(F.count("*").alias("size"))
         blocks = lambda x: F.ceil(x / BLOCK).cast("int")
         sizes = per_root.groupBy("key").agg(
             F.max_by("root", F.struct("size", "root")).alias("main"), blocks(F.sum("size")).alias("blocks"), blocks(F.sum("size") - F.max("size")).alias("left_blocks"), F.count("*").alias("roots")
         )
-        placed = full.join(sizes.where("roots > 1").drop("roots"), "key").withColumn("is_main", F.col("root") == F.col("main"))
+        placed = placed.join(sizes.where("roots > 1").drop("roots"), "key").withColumn("is_main", F.col("root") == F.col("main"))
         hashed = F.xxhash64("node")
-        values = ["node", "n", "bitmap", "root", "is_main"]
+        values = ["node", "root", "is_main"]
         left = placed.where("NOT is_main").select("key", F.pmod(hashed, F.col("left_blocks")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(0).alias("side"), *values)
         right = placed.select("key", F.explode(F.sequence(F.lit(0), F.col("left_blocks") - 1)).alias("i"), F.pmod(hashed, F.col("blocks")).cast("int").alias("j"), F.lit(1).alias("side"), *values)
-        return left.unionByName(right).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-
-    def apart(self, members: DataFrame, roots: DataFrame, every: bool, tested: DataFrame | None) -> DataFrame:
-        """Pairs in different components that may link and aren't tested yet."""
-        pairs = self.tiles(members, roots).mapInArrow(functools.partial(_tiles, self.percent, every), "a long, b long").distinct()
-        return self.scratch.cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "apart")
-
-    def complete(self, keys: DataFrame, links: DataFrame, roots: DataFrame) -> DataFrame:
-        """Components after all nodes that share one of ``keys`` have been compared."""
-        rounds = -(-keys.count() // KEYS_PER_ROUND)
-        for k in range(rounds):
-            mine = keys.where(F.pmod(F.xxhash64("key"), F.lit(rounds)) == k)
-            wanted = self.spark.sparkContext.broadcast(np.sort(mine.toArrow().column(0).to_numpy()).tobytes())
-            members = self.scratch.cut(self.docs.mapInArrow(functools.partial(_members, self.percent, self.n, wanted), "key long, node long").distinct(), "members")
-            wanted.unpersist()
-            tested, every = None, False
-            while True:
-                pairs = self.apart(members, roots, every, tested)
-                found = None if pairs.isEmpty() else self.exact(pairs)
-                tested = pairs if tested is None else tested.unionByName(pairs)
-                if found is not None and not found.isEmpty():
-                    links = links.unionByName(found)
-                    roots = components(links, self.scratch)
-                elif not every:
-                    every = True  # the nearest are exhausted: now all that still lie apart
-                    continue
-                if every:
-                    break
-            self.scratch.drop(members)
-        return roots
+        dealt = left.unionByName(right).join(self.sets.select("node", "n", "bitmap"), "node")
+        place = F.struct("key", "i", "j")
+        return dealt.select(place.alias("place"), "side", "n", "bitmap", *values).repartition("place").sortWithinPartitions("place")
+
+    def completed(self, members: DataFrame, links: DataFrame, roots: DataFrame, tested: DataFrame) -> DataFrame:
+        """Components after all nodes that share a key have been compared."""
+        every = members.isEmpty()
+        if every:
+            return roots
+        while True:
+            pairs = self.tiles(members, roots).mapInArrow(functools.partial(_tiles, self.percent, every), "a binary, b binary").distinct()
+            pairs = self.scratch.cut(pairs.join(tested, ["a", "b"], "left_anti"), "apart")
+            found = None if pairs.isEmpty() else self.linked(pairs)
+            tested = tested.unionByName(pairs)
+            if found is not None and not found.isEmpty():
+                links = links.unionByName(found)
+                roots = components(links, self.scratch)
+            elif not every:
+                every = True  # the nearest are exhausted: now all that still lie apart
+                continue
+            if every:
+                return roots
 
     def run(self) -> DataFrame:
         """doc_id, n_shingles, component_id."""
-        pairs = self.pairs()
+        postings = self.postings()
+        self.scratch.release()
+        pairs = self.stars(postings)
+        self.sets = self.sets_of(pairs)
+        links = self.linked(pairs)
         self.scratch.release()
-        links = self.exact(self.scratch.cut(self.bounded(pairs.select("a", "b").distinct()), "bounded"))
         roots = components(links, self.scratch)
-        keys = self.unsettled_keys(pairs, roots)
-        roots = self.complete(keys, links, roots)
-        placed = self.nodes.select("node", "min_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        roots = self.completed(self.unsettled(postings, roots), links, roots, pairs)
+        placed = self.nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         ids = placed.groupBy("root").agg(F.min("min_id").alias("component"))
         of_node = placed.join(ids, "root").select("node", "component")
         rows = self.described.select("doc_id", F.col("n").alias("n_shingles"), "node").join(of_node, "node", "left")
