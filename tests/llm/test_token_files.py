@@ -29,11 +29,16 @@ def test_encoder_equals_the_library():
     assert [np.frombuffer(code.encode(t), "<u2").tolist() for t in texts] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+    data = "".join(texts).encode()
+    offsets = np.cumsum([0, *[len(t.encode()) for t in texts]])
+    assert code.encode_texts(np.frombuffer(data, np.uint8), offsets) == [code.encode(t) for t in texts]
+
+
 def written(spark, docs):
     scratch = Scratch(spark, "test")
     folder = scratch.folder("files")
     manifest = tf.write_files(tf.encode(docs, PATH, scratch), folder, scratch)
-    return manifest, folder, sorted(tf.read_files(manifest, folder).collect(), key=lambda r: r["start"])
+    return manifest, folder, sorted(tf.read_files(manifest, folder, scratch).collect(), key=lambda r: r["start"])
 
 
 def test_files_hold_every_document_in_order(spark, documents, edge_docs, no_docs):
@@ -62,3 +67,22 @@ def test_damage_is_noticed(spark, edge_docs):
         f.write(bytes([last[0] ^ 1]))
     with pytest.raises(ValueError), fs.open_input_file(f"{root}/{row['file']}") as f:
         tf.read_block(f, row["offset"], row["bytes"])
+
+
+def test_a_hot_doc_id_is_split_and_read_in_many_tasks(spark):
+    """Rows of one doc_id, and of none, lie in several files; blocks are read by several tasks whatever the number of files."""
+    from pyspark.sql import functions as F
+
+    rows = [(7, f"text {k % 40}") for k in range(300)] + [(None, "equal rows")] * 100 + [(k, f"other {k}") for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    scratch = Scratch(spark, "test")
+    folder = scratch.folder("files")
+    manifest = tf.write_files(tf.encode(docs, PATH, scratch), folder, scratch)
+    assert manifest.select("file").distinct().count() > 4
+    read = tf.read_files(manifest, folder, scratch)
+    assert read.select(F.spark_partition_id()).distinct().count() > 1
+    got = sorted(read.collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == sorted([r[0] for r in rows], key=lambda x: (x is not None, x or 0))
+    assert [r["start"] for r in got] == [0, *np.cumsum([r["n_tokens"] for r in got])[:-1].tolist()]
+    ids = lambda t: LIBRARY.encode(t, add_special_tokens=False).ids + [0]
+    assert sorted((r["doc_id"] or 0, r["ids"]) for r in got) == sorted((i or 0, ids(t)) for i, t in rows)

@@ -81,6 +81,15 @@ def slices(offsets: np.ndarray, most: int = SLICE) -> Iterator[tuple[int, int]]:
         first = last
 
 
+def span_hashes(text: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of the bytes."""
+    n = len(text)
+    powers, inverses = _power_tables(n + 1)
+    sums = np.zeros(n + 1, U64)
+    np.cumsum(_BYTE_VALUE[text] * powers[:n], out=sums[1:])
+    return mix((sums[end] - sums[start]) * inverses[start] + (end - start).astype(U64))
+
+
 class Words:
     """Words of the texts ``first`` to ``last`` of a column.
 
@@ -106,11 +115,7 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word."""
-        n = len(self.text)
-        powers, inverses = _power_tables(n + 1)
-        sums = np.zeros(n + 1, U64)
-        np.cumsum(_BYTE_VALUE[self.text] * powers[:n], out=sums[1:])
-        return mix((sums[self.end] - sums[self.start]) * inverses[self.start] + (self.end - self.start).astype(U64))
+        return span_hashes(self.text, self.start, self.end)
 
     def grams(self, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(hash of the n words from each word on, whether they lie in one text)."""

@@ -1,8 +1,8 @@
 """Operator 8: token ids in binary files, frequency-ranked and byte-aligned.
 
 Texts are encoded once (tokenizers library, with a cache of words), with ``end_id`` after each document. A global count gives every id its
-rank by frequency, so that frequent ids take one byte. Documents are range-partitioned
-by doc_id, and each partition becomes one file::
+rank by frequency, so that frequent ids take one byte. Documents are cut into parts by
+doc_id (and, within a doc_id, by row), and each part becomes one file::
 
     "TLTF" | u32 version | u32 n_ranks | n_ranks x u32 (id of each rank) | block*
     block: u32 n_docs | u32 control_bytes | u32 data_bytes | u32 crc32 of what follows
@@ -20,12 +20,14 @@ files that count. Files have unique names, so a retried or speculative task leav
 orphan that no row names. Starts come from sums per file and block.
 
 Defined cases: null text is empty and holds only the end id; null doc_ids come first;
-rows with equal doc_id are ordered by their number of ids, then by the ids; an empty
+rows with equal doc_id are ordered by their number of ids, then by a digest of the ids, and
+may lie in several files; a very long text forms a slice and a block of its own; an empty
 table gives no files and no rows. Only doc_id and text are read.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import os
 import re
@@ -43,6 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from twinlathe.llm import bytetext
 from twinlathe.llm.bpe import byte_alphabet
 from twinlathe.llm.bytetext import column_bytes
 from twinlathe.llm.storage import Scratch
@@ -51,8 +54,12 @@ BYTE_BPE = "byte_bpe_50k.json"
 END_ID = 0
 MAGIC, VERSION = b"TLTF", 1
 BLOCK_IDS = 1 << 18
-#: Words of one generation of the cache, and the longest word kept.
-CACHE_WORDS = 600_000
+#: About as many ids make a file, about as many bytes a reading task.
+FILE_IDS, TASK_BYTES = 1 << 26, 1 << 26
+#: Most rows of which the cuts between files are found.
+SAMPLE = 1_000_000
+#: Words of one generation of a cache, and the longest word kept.
+CACHE_WORDS = 300_000
 CACHED_WORD_LENGTH = 64
 _HEAD = struct.Struct("<4sII")
 _BLOCK = struct.Struct("<IIII")
@@ -92,34 +99,18 @@ class _Irregular(Exception):
     """White space whose pieces depend on what surrounds it."""
 
 
-class _Words(dict):
-    """Ids of ' ' + word, by word. Of two generations the older one is forgotten."""
+class _Cache(dict):
+    """Of two generations of at most ``CACHE_WORDS`` entries the older one is forgotten."""
 
-    def __init__(self, encoder: Encoder):
+    def __init__(self) -> None:
         super().__init__()
-        self.encoder, self.old = encoder, {}
+        self.old: dict = {}
 
-    def __missing__(self, word: str) -> bytes:
-        if not word or word.isspace():
-            raise _Irregular
-        ids = self.old.get(word)
-        if ids is None:
-            if "\n" in word and self.encoder.plain(word):
-                return self.encoder.lines(word)
-            parts = self.encoder.marked(word)
-            if not parts:
-                ids = self.encoder.library_ids(" " + word)
-            elif parts[2]:
-                ids = self[parts[1]] + self.encoder.bare_ids(parts[2])
-            else:
-                ids = self.encoder.piece_ids(" " + word)
-            if len(word) > CACHED_WORD_LENGTH:
-                return ids
+    def keep(self, key, value) -> None:
         if len(self) >= CACHE_WORDS:
             self.old = dict(self)
             self.clear()
-        self[word] = ids
-        return ids
+        self[key] = value
 
 
 class Encoder:
@@ -127,7 +118,8 @@ class Encoder:
 
     The library's splitting pattern always begins a piece at a space that stands between
     two characters other than white space, so a text is cut at its spaces and each word is
-    encoded, with its space, by itself. Texts with two spaces in one run of white space,
+    encoded, with its space, by itself. The distinct words of a slice are looked up once
+    and spread over its texts with numpy. Texts with two spaces in one run of white space,
     or with a special token, are encoded whole.
     """
 
@@ -141,52 +133,100 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         self.kind = id_type(self.library.get_vocab_size())
-        self.model = self.library.model
-        self.byte_chars = byte_alphabet()
-        self.words = _Words(self)
-        self.bare: dict[str, bytes] = {}
+        self.width = array(self.kind).itemsize
+        self.tokenize = self.library.model.tokenize
+        self.byte_chars = {b: c for b, c in enumerate(byte_alphabet())}
+        self.words, self.letters, self.bare = _Cache(), _Cache(), _Cache()
 
     def library_ids(self, text: str) -> bytes:
         return array(self.kind, self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def piece_ids(self, piece: str) -> bytes:
-        """Ids of one whole piece, by the library's model alone."""
-        mapped = "".join([self.byte_chars[b] for b in piece.encode()])
-        return array(self.kind, [t.id for t in self.model.tokenize(mapped)]).tobytes()
-
-    def lines(self, word: str) -> bytes:
-        """' ' + a word that has line ends in it."""
-        out = []
-        for c in self.chunks(" " + word):
-            if c[0] == " " and not c.isspace():
-                out.append(self.words[c[1:]])
-                continue
-            out.append(self.bare_ids(c))
-        return b"".join(out)
+    def letters_ids(self, letters: str) -> bytes:
+        """Ids of a space and letters, which are one piece, by the library's model alone."""
+        ids = self.letters.get(letters) or self.letters.old.get(letters)
+        if ids is None:
+            piece = f" {letters}".encode().decode("latin-1").translate(self.byte_chars)
+            ids = array(self.kind, [t.id for t in self.tokenize(piece)]).tobytes()
+            if len(letters) <= CACHED_WORD_LENGTH:
+                self.letters.keep(letters, ids)
+        return ids
 
     def bare_ids(self, piece: str) -> bytes:
         """Ids of a piece without a space before it."""
-        ids = self.bare.get(piece)
+        ids = self.bare.get(piece) or self.bare.old.get(piece)
         if ids is None:
             ids = self.library_ids(piece)
             if len(piece) <= CACHED_WORD_LENGTH:
-                if len(self.bare) >= CACHE_WORDS // 8:
-                    self.bare.clear()
-                self.bare[piece] = ids
+                self.bare.keep(piece, ids)
+        return ids
+
+    def word_ids(self, word: str) -> bytes:
+        """Ids of ' ' + word."""
+        if parts := self.marked(word):
+            return self.letters_ids(parts[1]) + (self.bare_ids(parts[2]) if parts[2] else b"")
+        if not word or word.isspace():
+            raise _Irregular
+        if "\n" in word and self.plain(word):
+            return b"".join([self.word_ids(c[1:]) if c[0] == " " and not c.isspace() else self.bare_ids(c) for c in self.chunks(" " + word)])
+        return self.library_ids(" " + word)
+
+    def looked_up(self, word: bytes) -> bytes | None:
+        """``word_ids``, or None where what surrounds the word matters."""
+        ids = self.words.get(word)
+        if ids is None:
+            ids = self.words.old.get(word)
+            if ids is None:
+                try:
+                    ids = self.word_ids(word.decode())
+                except _Irregular:
+                    return None
+            if len(word) <= CACHED_WORD_LENGTH:
+                self.words.keep(word, ids)
         return ids
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a text, as many bytes each as ``id_type`` says."""
-        text = text or ""
-        if not any(s in text for s in self.special):
-            first, *rest = text.split(" ")
-            try:
-                return (self.library_ids(first) if first else b"") + b"".join(map(self.words.__getitem__, rest))
-            except _Irregular:
-                pass
-        return self.library_ids(text)
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        return self.encode_texts(data, np.array([0, len(data)]))[0]
+
+    def encode_texts(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """Ids of the texts that lie one after another in ``data``."""
+        raw, n = data.tobytes(), len(offsets) - 1
+        space = np.flatnonzero(data == 0x20)
+        row = np.searchsorted(offsets, space, "right") - 1
+        start = np.concatenate([offsets[:-1], space + 1])
+        order = np.argsort(np.concatenate([offsets[:-1], space + 0.5]), kind="stable")  # a text begins before a space at its start
+        start, row = start[order], np.concatenate([np.arange(n), row])[order]
+        first = np.append(True, row[1:] != row[:-1])[: len(row)]
+        end = np.where(np.append(first[1:], True), offsets[row + 1], np.append(start[1:], 0) - 1)
+        whole = [t in raw for t in self.special]
+        whole = np.array([any(t in raw[a:b] for t in self.special) for a, b in zip(offsets.tolist(), offsets[1:].tolist())]) if any(whole) else np.zeros(n, bool)
+        rest = ~first
+        _, at, word = np.unique(bytetext.span_hashes(data, start[rest], end[rest]), return_index=True, return_inverse=True)
+        ids = [self.looked_up(raw[a:b]) for a, b in zip(start[rest][at].tolist(), end[rest][at].tolist())]
+        odd = np.array([x is None for x in ids], bool)
+        whole[row[rest][odd[word]]] = True
+        ids = [x or b"" for x in ids]
+        size = np.array([len(x) for x in ids], np.int64) // self.width
+        flat = np.frombuffer(b"".join(ids), f"<u{self.width}")
+        count = size[word]
+        # ids of all words but the texts' first ones, one after another
+        to = np.cumsum(count)
+        spread = flat[np.repeat((np.cumsum(size) - size)[word] - (to - count), count) + np.arange(int(to[-1]) if len(to) else 0)].tobytes()
+        per_text = np.bincount(row[rest], count, minlength=n).astype(np.int64)
+        ends = (np.cumsum(per_text) * self.width).tolist()
+        out, begin = [], 0
+        heads = list(zip(start[first].tolist(), end[first].tolist()))
+        for k, until in enumerate(ends):
+            a, b = heads[k]
+            if whole[k]:
+                out.append(self.library_ids(raw[a : int(offsets[k + 1])].decode()))
+            else:
+                out.append((self.library_ids(raw[a:b].decode()) if b > a else b"") + spread[begin:until])
+            begin = until
+        return out
 
 
 def id_type(vocabulary: int) -> str:
@@ -201,17 +241,24 @@ def encoder(path: str) -> Encoder:
 
 def _encode(path: str, end_id: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     code = encoder(path)
-    end = array(code.kind, [end_id])
+    end = array(code.kind, [end_id]).tobytes()
+    task = TaskContext.get()
+    salt = np.random.default_rng(task.partitionId() if task else 0)
     for batch in batches:
-        for first in range(0, batch.num_rows, 1024):
-            part = batch.slice(first, 1024)
-            ids = [code.encode(t.as_py()) + end.tobytes() for t in part.column(1)]
-            counts = np.array([len(x) // end.itemsize for x in ids], np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts), pa.array(ids, pa.binary())], ["doc_id", "n_ids", "ids"])
+        data, offsets = column_bytes(batch.column(1))
+        for first, last in bytetext.slices(offsets):
+            base = int(offsets[first])
+            ids = [x + end for x in code.encode_texts(data[base : int(offsets[last])], offsets[first : last + 1] - base)]
+            counts = np.array([len(x) // code.width for x in ids], np.int64)
+            digest = np.array([zlib.crc32(x) for x in ids], np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(first, last - first), pa.array(counts), pa.array(digest), pa.array(salt.integers(0, 1 << 62, last - first)), pa.array(ids, pa.binary())],
+                ["doc_id", "n_ids", "digest", "salt", "ids"],
+            )
 
 
 class Encoded:
-    """Documents as ids: ``table`` has doc_id, n_ids and ids (little-endian ``dtype``)."""
+    """Documents as ids: ``table`` has doc_id, n_ids, digest and salt (which tell rows of a doc_id apart) and ids (little-endian ``dtype``)."""
 
     def __init__(self, table: DataFrame, dtype: str):
         self.table, self.dtype = table, dtype
@@ -220,7 +267,7 @@ class Encoded:
 def encode(docs: DataFrame, path: str, scratch: Scratch, end_id: int = END_ID) -> Encoded:
     kind = encoder(path).kind
     table = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        functools.partial(_encode, path, end_id), "doc_id long, n_ids long, ids binary"
+        functools.partial(_encode, path, end_id), "doc_id long, n_ids long, digest long, salt long, ids binary"
     )
     return Encoded(scratch.cut(table, "ids", "zstd"), "<u2" if kind == "H" else "<u4")
 
@@ -245,66 +292,108 @@ def frequency_ranks(encoded: Encoded) -> np.ndarray:
     return ids[np.lexsort((ids, -n))].astype(np.uint32)
 
 
-def _pack(ids_by_rank: bytes, dtype: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+KEY = ("doc_id", "n_ids", "digest", "salt")
+
+
+def bounds(encoded: Encoded, parts: int) -> list[tuple]:
+    """Keys that cut the documents into parts of about as many ids: a balance, which no result
+    depends on, from a sample of at most ``SAMPLE`` rows of the key columns."""
+    keys = encoded.table.select(*KEY)
+    rows = keys.count()
+    wanted = min(SAMPLE, 200 * parts)
+    sample = keys if rows <= wanted else keys.sample(wanted / rows, seed=1)
+    got = sorted(((r[0] is not None, r[0] or 0, r[1], r[2], r[3]) for r in sample.limit(2 * SAMPLE).collect()))
+    upto = np.cumsum([k[2] for k in got])
+    if not got:
+        return []
+    cuts = np.searchsorted(upto, upto[-1] * np.arange(1, parts) / parts)
+    return sorted({got[i] for i in cuts.tolist()})
+
+
+def _pack(ids_by_rank: bytes, dtype: str, cuts: list[tuple], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     by_rank = np.frombuffer(ids_by_rank, np.uint32)
     rank_of = np.zeros(int(by_rank.max(initial=0)) + 1, np.uint32)
     rank_of[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
     for batch in batches:
-        packed = [pack(rank_of[np.frombuffer(x.as_buffer(), dtype)]) for x in batch.column(2)]
+        packed = [pack(rank_of[np.frombuffer(x.as_buffer(), dtype)]) for x in batch.column(4)]
+        keys = zip(*[c.to_pylist() for c in batch.columns[:4]])
+        part = [bisect.bisect_right(cuts, (k[0] is not None, k[0] or 0, *k[1:])) for k in keys]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array([c for c, _ in packed], pa.binary()), pa.array([d for _, d in packed], pa.binary())],
-            ["doc_id", "n_ids", "control", "data"],
+            [pa.array(part, pa.int32()), *batch.columns[:4], pa.array([c for c, _ in packed], pa.binary()), pa.array([d for _, d in packed], pa.binary())],
+            ["part", *KEY, "control", "data"],
         )
 
 
-def _write(folder: str, ids_by_rank: bytes, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part = TaskContext.get().partitionId()
-    fs, root = pa.fs.FileSystem.from_uri(folder)
-    name = f"part-{part:06d}-{uuid.uuid4().hex}.tok"
-    out, blocks, at = None, [], 0
-
-    def flush(docs: list[tuple]) -> None:
-        nonlocal out, at
-        if out is None:
-            fs.create_dir(root, recursive=True)
-            out = fs.open_output_stream(f"{root}/{name}")
-            at = out.write(_HEAD.pack(MAGIC, VERSION, len(ids_by_rank) // 4) + ids_by_rank)
+class _File:
+    """One token file in the making: blocks of about ``BLOCK_IDS`` ids."""
+
+    def __init__(self, folder: str, part: int, ids_by_rank: bytes):
+        fs, root = pa.fs.FileSystem.from_uri(folder)
+        fs.create_dir(root, recursive=True)
+        self.part, self.name = part, f"part-{part:06d}-{uuid.uuid4().hex}.tok"
+        self.out = fs.open_output_stream(f"{root}/{self.name}")
+        self.at = self.out.write(_HEAD.pack(MAGIC, VERSION, len(ids_by_rank) // 4) + ids_by_rank)
+        self.docs, self.held, self.blocks = [], 0, []
+
+    def add(self, doc_id: int | None, n_ids: int, control: bytes, data: bytes) -> None:
+        self.docs.append((doc_id, n_ids, control, data))
+        self.held += n_ids
+        if self.held >= BLOCK_IDS:
+            self.flush()
+
+    def flush(self) -> None:
+        docs = self.docs
         ids = np.array([d[0] or 0 for d in docs], np.int64).tobytes()
         nulls = np.array([d[0] is None for d in docs], np.uint8).tobytes()
         counts = np.array([d[1] for d in docs], np.uint32)
         control, data = b"".join(d[2] for d in docs), b"".join(d[3] for d in docs)
         body = ids + nulls + counts.tobytes() + control + data
         block = _BLOCK.pack(len(docs), len(control), len(data), zlib.crc32(body)) + body
-        out.write(block)
-        blocks.append((name, part, len(blocks), at, len(block), len(docs), int(counts.sum())))
-        at += len(block)
+        self.out.write(block)
+        self.blocks.append((self.name, self.part, len(self.blocks), self.at, len(block), len(docs), int(counts.sum())))
+        self.at += len(block)
+        self.docs, self.held = [], 0
+
+    def close(self) -> pa.RecordBatch:
+        if self.docs:
+            self.flush()
+        self.out.close()
+        kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+        names = ["file", "part", "block", "offset", "bytes", "n_docs", "n_ids"]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*self.blocks), kinds)], names)
 
-    docs, held = [], 0
+
+def _write(folder: str, ids_by_rank: bytes, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by part and key; each part is one file."""
+    file = None
     for batch in batches:
-        for doc in zip(*[c.to_pylist() for c in batch.columns]):
-            docs.append(doc)
-            held += doc[1]
-            if held >= BLOCK_IDS:
-                flush(docs)
-                docs, held = [], 0
-    if docs:
-        flush(docs)
-    if out is not None:
-        out.close()
-    names = ["file", "part", "block", "offset", "bytes", "n_docs", "n_ids"]
-    kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*blocks) if blocks else [()] * 7, kinds)], names)
+        for part, doc_id, n_ids, control, data in zip(*[batch.column(k).to_pylist() for k in (0, 1, 2, 5, 6)]):
+            if file is None or part != file.part:
+                if file is not None:
+                    yield file.close()
+                file = _File(folder, part, ids_by_rank)
+            file.add(doc_id, n_ids, control, data)
+    if file is not None:
+        yield file.close()
 
 
 _MANIFEST = "file string, part int, block int, offset long, bytes long, n_docs long, n_ids long"
 
 
+def _least(spark: SparkSession) -> int:
+    """Tasks at least: two for each core."""
+    return 2 * spark.sparkContext.defaultParallelism
+
+
 def write_files(encoded: Encoded, folder: str, scratch: Scratch) -> DataFrame:
     """Writes the files below ``folder``; returns the manifest."""
     by_rank = frequency_ranks(encoded).tobytes()
-    packed = encoded.table.mapInArrow(functools.partial(_pack, by_rank, encoded.dtype), "doc_id long, n_ids long, control binary, data binary")
-    key = F.col("doc_id").asc_nulls_first()
-    ordered = packed.repartitionByRange(key).sortWithinPartitions(key, "n_ids", "control", "data")
+    ids = encoded.table.agg(F.sum("n_ids")).first()[0] or 0
+    parts = max(_least(scratch.spark), -(-ids // FILE_IDS))
+    packed = encoded.table.mapInArrow(
+        functools.partial(_pack, by_rank, encoded.dtype, bounds(encoded, parts)), "part int, doc_id long, n_ids long, digest long, salt long, control binary, data binary"
+    )
+    ordered = packed.repartition(parts, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), *KEY[1:])
     return scratch.cut(ordered.mapInArrow(functools.partial(_write, folder, by_rank), _MANIFEST), "manifest")
 
 
@@ -360,7 +449,7 @@ def _read(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         f.close()
 
 
-def read_files(manifest: DataFrame, folder: str) -> DataFrame:
+def read_files(manifest: DataFrame, folder: str, scratch: Scratch) -> DataFrame:
     """Documents of the files: doc_id, start, n_tokens, ids_crc32 and ids."""
     parts = manifest.groupBy("part").agg(F.sum("n_ids").alias("part_ids"))
     running = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -369,10 +458,12 @@ def read_files(manifest: DataFrame, folder: str) -> DataFrame:
     blocks = manifest.join(starts, F.col("part") == F.col("of")).withColumn(
         "start", F.col("part_start") + F.coalesce(F.sum("n_ids").over(inner), F.lit(0))
     )
-    # as many tasks as files: the manifest's own few bytes would else end in one
-    files = max(1, manifest.select("part").distinct().count())
-    placed = blocks.select("file", "part", "block", "offset", "bytes", "start").repartition(files, "part").sortWithinPartitions("part", "block")
-    return placed.mapInArrow(functools.partial(_read, folder), "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>")
+    # starts are written first: with them known, blocks are dealt out by themselves, to as many tasks as their bytes ask for
+    placed = scratch.cut(blocks.select("file", "part", "block", "offset", "bytes", "start"), "starts")
+    size = placed.agg(F.sum("bytes")).first()[0] or 0
+    tasks = max(_least(scratch.spark), -(-size // TASK_BYTES))
+    dealt = placed.repartitionByRange(tasks, "part", "block").sortWithinPartitions("part", "block")
+    return dealt.mapInArrow(functools.partial(_read, folder), "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>")
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -381,7 +472,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch.folder("files")
     manifest = write_files(encoded, folder, scratch)
     scratch.drop(encoded.table)
-    return read_files(manifest, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return read_files(manifest, folder, scratch).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 QUERIES = {"op8_token_files": op8_token_files}
