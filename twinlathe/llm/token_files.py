@@ -35,7 +35,7 @@ import struct
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import public_tokenizers
@@ -45,7 +45,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from twinlathe.llm import bytetext
 from twinlathe.llm.bpe import byte_alphabet
 from twinlathe.llm.bytetext import column_bytes
 from twinlathe.llm.storage import Scratch
@@ -59,8 +58,8 @@ FILE_IDS, TASK_BYTES = 1 << 26, 1 << 26
 #: Most rows of which the cuts between files are found.
 SAMPLE = 1_000_000
 #: Words of one generation of a cache, and the longest word kept.
-CACHE_WORDS = 300_000
-CACHED_WORD_LENGTH = 64
+CACHE_WORDS = 600_000
+CACHED_LENGTH = 64
 _HEAD = struct.Struct("<4sII")
 _BLOCK = struct.Struct("<IIII")
 
@@ -99,18 +98,24 @@ class _Irregular(Exception):
     """White space whose pieces depend on what surrounds it."""
 
 
-class _Cache(dict):
-    """Of two generations of at most ``CACHE_WORDS`` entries the older one is forgotten."""
+class _Pieces(dict):
+    """Ids by text, made by ``make`` where missing. Of two generations the older one is forgotten."""
 
-    def __init__(self) -> None:
+    def __init__(self, make: Callable[[str], bytes]):
         super().__init__()
-        self.old: dict = {}
+        self.make, self.old = make, {}
 
-    def keep(self, key, value) -> None:
+    def __missing__(self, text: str) -> bytes:
+        ids = self.old.get(text)
+        if ids is None:
+            ids = self.make(text)
+            if len(text) > CACHED_LENGTH:
+                return ids
         if len(self) >= CACHE_WORDS:
             self.old = dict(self)
             self.clear()
-        self[key] = value
+        self[text] = ids
+        return ids
 
 
 class Encoder:
@@ -118,9 +123,10 @@ class Encoder:
 
     The library's splitting pattern always begins a piece at a space that stands between
     two characters other than white space, so a text is cut at its spaces and each word is
-    encoded, with its space, by itself. The distinct words of a slice are looked up once
-    and spread over its texts with numpy. Texts with two spaces in one run of white space,
-    or with a special token, are encoded whole.
+    encoded, with its space, by itself. Texts with two spaces in one run of white space,
+    or with a special token, are encoded whole. Letters are one piece, which the library's
+    model encodes without the rest of its pipeline, and so are the marks after them; a line
+    end between two other characters is a piece too.
     """
 
     chunks = re.compile(r" ?\S+|\s+(?!\S)|\s+").findall
@@ -133,100 +139,56 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.kind = id_type(self.library.get_vocab_size())
-        self.width = array(self.kind).itemsize
         self.tokenize = self.library.model.tokenize
-        self.byte_chars = {b: c for b, c in enumerate(byte_alphabet())}
-        self.words, self.letters, self.bare = _Cache(), _Cache(), _Cache()
+        self.byte_chars = dict(enumerate(byte_alphabet()))
+        self.space = self.byte_chars[0x20]
+        self.words, self.bare, self.marks = _Pieces(self.word_ids), _Pieces(self.bare_ids), _Pieces(self.library_ids)
 
     def library_ids(self, text: str) -> bytes:
         return array(self.kind, self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def letters_ids(self, letters: str) -> bytes:
-        """Ids of a space and letters, which are one piece, by the library's model alone."""
-        ids = self.letters.get(letters) or self.letters.old.get(letters)
-        if ids is None:
-            piece = f" {letters}".encode().decode("latin-1").translate(self.byte_chars)
-            ids = array(self.kind, [t.id for t in self.tokenize(piece)]).tobytes()
-            if len(letters) <= CACHED_WORD_LENGTH:
-                self.letters.keep(letters, ids)
-        return ids
-
-    def bare_ids(self, piece: str) -> bytes:
-        """Ids of a piece without a space before it."""
-        ids = self.bare.get(piece) or self.bare.old.get(piece)
-        if ids is None:
-            ids = self.library_ids(piece)
-            if len(piece) <= CACHED_WORD_LENGTH:
-                self.bare.keep(piece, ids)
-        return ids
+    def piece_ids(self, piece: str) -> bytes:
+        """Ids of one whole piece, in the characters that stand for its bytes."""
+        return array(self.kind, [t.id for t in self.tokenize(piece)]).tobytes()
 
     def word_ids(self, word: str) -> bytes:
         """Ids of ' ' + word."""
+        if word.isalpha() and word.isascii():
+            return self.piece_ids(self.space + word)
         if parts := self.marked(word):
-            return self.letters_ids(parts[1]) + (self.bare_ids(parts[2]) if parts[2] else b"")
+            if marks := parts[2]:
+                return self.words[parts[1]] + self.marks[marks]
+            return self.piece_ids(self.space + word.encode().decode("latin-1").translate(self.byte_chars))
         if not word or word.isspace():
             raise _Irregular
         if "\n" in word and self.plain(word):
-            return b"".join([self.word_ids(c[1:]) if c[0] == " " and not c.isspace() else self.bare_ids(c) for c in self.chunks(" " + word)])
+            first, *rest = word.split("\n")
+            if len(word.split()) == len(rest) + 1:  # each line end stands alone between two words
+                line_end = self.marks["\n"]
+                return self.words[first] + b"".join([line_end + self.bare[w] for w in rest])
+            return b"".join([self.words[c[1:]] if c[0] == " " and not c.isspace() else self.bare[c] for c in self.chunks(" " + word)])
         return self.library_ids(" " + word)
 
-    def looked_up(self, word: bytes) -> bytes | None:
-        """``word_ids``, or None where what surrounds the word matters."""
-        ids = self.words.get(word)
-        if ids is None:
-            ids = self.words.old.get(word)
-            if ids is None:
-                try:
-                    ids = self.word_ids(word.decode())
-                except _Irregular:
-                    return None
-            if len(word) <= CACHED_WORD_LENGTH:
-                self.words.keep(word, ids)
-        return ids
+    def bare_ids(self, text: str) -> bytes:
+        """Ids of what no space precedes."""
+        if text.isalpha() and text.isascii():
+            return self.piece_ids(text)
+        if (parts := self.marked(text)) and parts[2]:
+            return self.bare[parts[1]] + self.marks[parts[2]]
+        return self.library_ids(text)
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a text, as many bytes each as ``id_type`` says."""
-        data = np.frombuffer((text or "").encode(), np.uint8)
-        return self.encode_texts(data, np.array([0, len(data)]))[0]
-
-    def encode_texts(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
-        """Ids of the texts that lie one after another in ``data``."""
-        raw, n = data.tobytes(), len(offsets) - 1
-        space = np.flatnonzero(data == 0x20)
-        row = np.searchsorted(offsets, space, "right") - 1
-        start = np.concatenate([offsets[:-1], space + 1])
-        order = np.argsort(np.concatenate([offsets[:-1], space + 0.5]), kind="stable")  # a text begins before a space at its start
-        start, row = start[order], np.concatenate([np.arange(n), row])[order]
-        first = np.append(True, row[1:] != row[:-1])[: len(row)]
-        end = np.where(np.append(first[1:], True), offsets[row + 1], np.append(start[1:], 0) - 1)
-        whole = [t in raw for t in self.special]
-        whole = np.array([any(t in raw[a:b] for t in self.special) for a, b in zip(offsets.tolist(), offsets[1:].tolist())]) if any(whole) else np.zeros(n, bool)
-        rest = ~first
-        _, at, word = np.unique(bytetext.span_hashes(data, start[rest], end[rest]), return_index=True, return_inverse=True)
-        ids = [self.looked_up(raw[a:b]) for a, b in zip(start[rest][at].tolist(), end[rest][at].tolist())]
-        odd = np.array([x is None for x in ids], bool)
-        whole[row[rest][odd[word]]] = True
-        ids = [x or b"" for x in ids]
-        size = np.array([len(x) for x in ids], np.int64) // self.width
-        flat = np.frombuffer(b"".join(ids), f"<u{self.width}")
-        count = size[word]
-        # ids of all words but the texts' first ones, one after another
-        to = np.cumsum(count)
-        spread = flat[np.repeat((np.cumsum(size) - size)[word] - (to - count), count) + np.arange(int(to[-1]) if len(to) else 0)].tobytes()
-        per_text = np.bincount(row[rest], count, minlength=n).astype(np.int64)
-        ends = (np.cumsum(per_text) * self.width).tolist()
-        out, begin = [], 0
-        heads = list(zip(start[first].tolist(), end[first].tolist()))
-        for k, until in enumerate(ends):
-            a, b = heads[k]
-            if whole[k]:
-                out.append(self.library_ids(raw[a : int(offsets[k + 1])].decode()))
-            else:
-                out.append((self.library_ids(raw[a:b].decode()) if b > a else b"") + spread[begin:until])
-            begin = until
-        return out
+        text = text or ""
+        if not any(s in text for s in self.special):
+            first, *rest = text.split(" ")
+            try:
+                return (self.library_ids(first) if first else b"") + b"".join(map(self.words.__getitem__, rest))
+            except _Irregular:
+                pass
+        return self.library_ids(text)
 
 
 def id_type(vocabulary: int) -> str:
@@ -241,19 +203,17 @@ def encoder(path: str) -> Encoder:
 
 def _encode(path: str, end_id: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     code = encoder(path)
-    end = array(code.kind, [end_id]).tobytes()
+    end = array(code.kind, [end_id])
     task = TaskContext.get()
     salt = np.random.default_rng(task.partitionId() if task else 0)
     for batch in batches:
-        data, offsets = column_bytes(batch.column(1))
-        for first, last in bytetext.slices(offsets):
-            base = int(offsets[first])
-            ids = [x + end for x in code.encode_texts(data[base : int(offsets[last])], offsets[first : last + 1] - base)]
-            counts = np.array([len(x) // code.width for x in ids], np.int64)
+        for first in range(0, batch.num_rows, 1024):
+            part = batch.slice(first, 1024)
+            ids = [code.encode(t.as_py()) + end.tobytes() for t in part.column(1)]
+            counts = np.array([len(x) // end.itemsize for x in ids], np.int64)
             digest = np.array([zlib.crc32(x) for x in ids], np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(first, last - first), pa.array(counts), pa.array(digest), pa.array(salt.integers(0, 1 << 62, last - first)), pa.array(ids, pa.binary())],
-                ["doc_id", "n_ids", "digest", "salt", "ids"],
+                [part.column(0), pa.array(counts), pa.array(digest), pa.array(salt.integers(0, 1 << 62, len(ids))), pa.array(ids, pa.binary())], ["doc_id", "n_ids", "digest", "salt", "ids"]
             )
 
 
@@ -420,7 +380,10 @@ def read_ranks(f) -> np.ndarray:
     return np.frombuffer(f.read(4 * n), np.uint32)
 
 
-def _read(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
+
+
+def _read(folder: str, with_ids: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     fs, root = pa.fs.FileSystem.from_uri(folder)
     name, f, by_rank = None, None, None
     for batch in batches:
@@ -435,22 +398,18 @@ def _read(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             ids = np.ascontiguousarray(by_rank[ranks], "<u4")
             ends = np.cumsum(counts, dtype=np.int64)
             begins = ends - counts
-            flat = pa.array(ids.view(np.int32), pa.int32())
-            offsets = np.zeros(len(ends) + 1, np.int32)
-            offsets[1:] = ends
-            raw = ids.tobytes()
+            raw = memoryview(ids).cast("B")
             crcs = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begins.tolist(), ends.tolist())]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(docs, pa.int64(), mask=nulls.astype(bool)), pa.array(begins + row["start"], pa.int64()), pa.array(counts.astype(np.int64)),
-                 pa.array(crcs, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat)],
-                ["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
-            )
+            columns = [pa.array(docs, pa.int64(), mask=nulls.astype(bool)), pa.array(begins + row["start"], pa.int64()), pa.array(counts.astype(np.int64)), pa.array(crcs, pa.int64())]
+            if with_ids:
+                columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(ids.view(np.int32), pa.int32())))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(columns)])
     if f is not None:
         f.close()
 
 
-def read_files(manifest: DataFrame, folder: str, scratch: Scratch) -> DataFrame:
-    """Documents of the files: doc_id, start, n_tokens, ids_crc32 and ids."""
+def read_files(manifest: DataFrame, folder: str, scratch: Scratch, with_ids: bool = True) -> DataFrame:
+    """Documents of the files: doc_id, start, n_tokens, ids_crc32 and ids (which need not leave the task that decodes them)."""
     parts = manifest.groupBy("part").agg(F.sum("n_ids").alias("part_ids"))
     running = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.select(F.col("part").alias("of"), F.coalesce(F.sum("part_ids").over(running), F.lit(0)).alias("part_start"))
@@ -463,7 +422,7 @@ def read_files(manifest: DataFrame, folder: str, scratch: Scratch) -> DataFrame:
     size = placed.agg(F.sum("bytes")).first()[0] or 0
     tasks = max(_least(scratch.spark), -(-size // TASK_BYTES))
     dealt = placed.repartitionByRange(tasks, "part", "block").sortWithinPartitions("part", "block")
-    return dealt.mapInArrow(functools.partial(_read, folder), "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>")
+    return dealt.mapInArrow(functools.partial(_read, folder, with_ids), _READ + (", ids array<int>" if with_ids else ""))
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -472,7 +431,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch.folder("files")
     manifest = write_files(encoded, folder, scratch)
     scratch.drop(encoded.table)
-    return read_files(manifest, folder, scratch).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return read_files(manifest, folder, scratch, with_ids=False)
 
 
 QUERIES = {"op8_token_files": op8_token_files}
