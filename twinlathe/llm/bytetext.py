@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE = 4 << 20
+SLICE = 1 << 20
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1

@@ -58,7 +58,7 @@ from twinlathe.llm.storage import Scratch
 
 BAND_RATIO = 1.25
 #: Least number of n-grams that a task holds at once, and most ranges into which hashes are cut.
-LOAD = 1 << 22
+LOAD = 1 << 20
 MOST_RANGES = 1 << 19
 BLOCK = 4096
 #: Pairs that share one copy of their left array.

@@ -169,7 +169,7 @@ def _predict(training: tuple[tuple[str, bytes], ...], batches: Iterator[pa.Recor
     parse = parser(training)
     for batch in batches:
         data, offsets = bytetext.column_bytes(batch.column(2))
-        for first, last in bytetext.slices(offsets):
+        for first, last in bytetext.slices(offsets, 4 * bytetext.SLICE):
             base = int(offsets[first])
             own = offsets[first : last + 1] - base
             raw = data[base : int(offsets[last])]
