@@ -5,26 +5,65 @@ from twinlathe.llm import language_id as li
 
 
 def brute(text, training):
-    """Greedy longest phrases found by substring search, in blocks."""
-    n = 0
-    for at in range(0, len(text), li.BLOCK):
-        block, i = text[at : at + li.BLOCK], 0
-        while i < len(block):
-            size = 1
-            while i + size < len(block) + 0 and block[i : i + size + 1] in training and i + size + 1 <= len(block):
-                size += 1
-            n, i = n + 1, i + size
+    """Greedy longest phrases found by substring search in the whole text."""
+    n = i = 0
+    while i < len(text):
+        size = 1
+        while i + size < len(text) and text[i : i + size + 1] in training:
+            size += 1
+        n, i = n + 1, i + size
     return n
 
 
 def test_parser_counts_longest_phrases():
+    """Whole long texts too: phrases run across blocks, also where the parses of neighbours never agree."""
     rng = random.Random(3)
     training = "".join(rng.choice("abc ") for _ in range(400)).encode()
-    texts = ["".join(rng.choice("abc ") for _ in range(n)).encode() for n in (1, 2, 7, 300, 5000)]
-    parse = li.Parser((("x", training),))
-    bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    got = parse.phrases(np.frombuffer(b"".join(texts), np.uint8), bounds)[:, 0].tolist()
-    assert got == [brute(t, training) for t in texts]
+    texts = ["".join(rng.choice("abc ") for _ in range(n)).encode() for n in (1, 2, 7, 300, 5000, li.BLOCK, li.BLOCK + 1, 3 * li.BLOCK)]
+    texts += [training * 40, b"abz" * 3000, b""]
+    runs = b"a" * 700 + b"b"
+    for train, all_texts in ((training, texts), (runs, [b"a" * 9000, b"a" * 5000 + b"b" * 3000 + b"a" * 4000, b"ab" * 4000, *texts])):
+        parse = li.Parser((("x", train),))
+        bounds = np.concatenate([[0], np.cumsum([len(t) for t in all_texts])])
+        got = parse.phrases(np.frombuffer(b"".join(all_texts), np.uint8), bounds)[:, 0].tolist()
+        assert got == [brute(t, train) for t in all_texts]
+
+
+def symbols(text):
+    return li.symbols_of(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))[0].tobytes()
+
+
+def test_predictions_equal_a_brute_force_parse(spark):
+    """lang_pred and score of whole long texts, against substring search in the training text."""
+    rng = random.Random(8)
+    syllables = {"aa": ("ka", "lo", "mi", "tu"), "bb": ("ska", "lor", "min", "ut"), "cc": ("ka", "ut", "lor", "en")}
+    prose = lambda lang, n: " ".join("".join(rng.choice(syllables[lang]) for _ in range(3)) for _ in range(n))
+    rows = [(k, prose(lang, rng.choice((5, 40))), lang) for k, lang in enumerate(rng.choice(list(syllables)) for _ in range(120))]
+    rows += [(500 + k, prose(lang, 900), None) for k, lang in enumerate(syllables)] + [(600, prose("aa", 300) + prose("bb", 290), None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    training = li.training_text(df)
+    assert [lang for lang, _ in training] == ["aa", "bb", "cc"]
+    got = {r["doc_id"]: r for r in li.predict(df, training).collect()}
+    for doc_id, text, _ in rows:
+        x = symbols(text)
+        normal = [brute(x, t) * np.log2(len(t) + 2) / len(x) for _, t in training]
+        best = int(np.argmin(normal))
+        second = sorted(normal)[1]
+        assert got[doc_id]["lang_pred"] == training[best][0]
+        assert abs(got[doc_id]["score"] - (second - normal[best]) / second) < 1e-12
+
+
+def test_a_language_with_many_rows_without_text_is_learned(spark):
+    rows = [(k, None if k % 2 else "", "xx") for k in range(3000)] + [(5000 + k, f"zorka belum {k} tavi", "xx") for k in range(30)] + [(9000 + k, "plain other words here", "en") for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    training = li.training_text(df)
+    assert [lang for lang, _ in training] == ["en", "xx"]
+    assert {r["lang_pred"] for r in li.predict(df.where("doc_id >= 5000 and doc_id < 9000"), training).collect()} == {"xx"}
+
+
+def test_training_takes_whole_texts_in_seeded_order():
+    rows = [("a", k, text) for k, text in enumerate(["zz yy", "q" * 30, "aa bb", "mm"], 1)] + [("b", 1, "w" * 50), ("b", 2, "v" * 40)]
+    assert li.learned(rows, 20) == (("a", b"zz yy aa bb mm"), ("b", b"v" * 40))
 
 
 def test_held_out_accuracy(spark, documents):

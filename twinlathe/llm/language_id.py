@@ -7,21 +7,26 @@ and the language that needs fewest normalised phrases wins.
 
 Automata are made into tables with one row per state and one column per symbol. A
 missing transition leads where the symbol leads from the start state and is flagged, so
-that one table lookup per symbol parses greedily and the flags count the phrases. Texts
-are cut into blocks of ``BLOCK`` symbols (a block starts a new phrase), and all blocks
-of a slice of a batch are parsed in step with numpy. Whole texts are used.
+that one table lookup per symbol parses greedily and the flags count the phrases. All blocks of
+``BLOCK`` symbols of a slice of a batch are parsed in step with numpy. Phrases run across
+blocks: a block that doesn't begin a text is parsed once more from the state in which the
+block before it ends, until both parses are in the same state, from which on they agree.
+Whole texts are used.
 
 Symbols: bytes of UTF-8, A-Z and the capitals of Latin-1 lowered, runs of other ASCII
 characters made one separator.
 
-Training: of the rows whose lang and text are not null and whose crc32(doc_id as text)
-mod 4 is not 2, the ``docs_per_lang`` with the smallest md5 of doc_id, from each a seeded
-slice of at most ``slice_chars`` characters, up to ``train_symbols`` symbols for each
-language. That sample is bounded by these parameters; prediction reads text alone.
+Training reads a bounded sample of labelled rows, and of these the whole texts: of the rows
+whose lang is not null, whose text is not empty and whose crc32(doc_id as text) mod 4 is
+not 2, the ``docs_per_lang`` that come first of those of at most ``short_bytes`` bytes, by
+md5 of doc_id (longer rows come after these, for languages that have too few short ones).
+They are taken in this order as long as they fit into ``train_symbols`` symbols for each
+language; rows that don't fit are left out, never cut; where none fits, the shortest is
+taken. Prediction reads text alone.
 
 Defined cases: null text, or one without a letter, is ``und`` with score 0; a null
 doc_id is not held out and not learned from; equal normalised phrases go to the smaller
-language name; with one learned language the score is 1 - phrases / symbols, with none
+language name; a very long text forms a slice of its own; with one learned language the score is 1 - phrases / symbols, with none
 every text is ``und``; repeated rows repeat their result; an empty table gives no rows.
 Only doc_id, text and lang are read.
 """
@@ -41,7 +46,7 @@ from twinlathe.llm import bytetext
 from twinlathe.llm.storage import Scratch
 
 DOCS_PER_LANG = 200
-SLICE_CHARS = 1000
+SHORT_BYTES = 1000
 TRAIN_SYMBOLS = 40_000
 BLOCK = 2048
 UNDETERMINED = "und"
@@ -87,11 +92,12 @@ class SuffixAutomaton:
 
     def table(self, width: int) -> np.ndarray:
         """Flat transition table: entry state * width + symbol is the next state times
-        ``width``, flagged where a new phrase begins."""
-        out = np.zeros((len(self.next), width), np.int32)
+        ``width``, flagged where a new phrase begins. One state is added: the one after a
+        symbol that the sequence doesn't have, which is a phrase by itself."""
+        out = np.full((len(self.next) + 1, width), len(self.next) * width, np.int32)
         for c, s in self.next[0].items():
             out[:, c] = s * width
-        flagged = np.full((len(self.next), width), True)
+        flagged = np.full(out.shape, True)
         for s, edges in enumerate(self.next):
             for c, t in edges.items():
                 out[s, c] = t * width
@@ -138,23 +144,52 @@ class Parser:
         start = bounds[row] + nth * BLOCK
         size = np.minimum(BLOCK, bounds[row + 1] - start)
         order = np.argsort(-size, kind="stable")
-        row, start, size = row[order], start[order], size[order]
         coded = self.code[symbols]
-        counts = np.ones((len(self.tables), len(row)), np.int32)
+        counts = np.ones((len(self.tables), len(row)), np.int64)
         states = np.zeros((len(self.tables), len(row)), np.int32)
-        active = np.searchsorted(-size, -np.arange(int(size.max(initial=0))), "left")
+        active = np.searchsorted(-size[order], -np.arange(int(size.max(initial=0))), "left")
+        begin = start[order]
         for step, n in enumerate(active.tolist()):
-            symbol = coded[start[:n] + step]
+            symbol = coded[begin[:n] + step]
             for k, table in enumerate(self.tables):
                 to = table[states[k, :n] + symbol]
                 if step:
                     counts[k, :n] += to < 0
                 states[k, :n] = to & 0x7FFFFFFF
         out = np.zeros((len(sizes), len(self.tables)), np.int64)
-        for k in range(len(self.tables)):
-            np.add.at(out[:, k], row, counts[k])
+        back = np.argsort(order, kind="stable")
+        for k, table in enumerate(self.tables):
+            joined = self._joined(table, coded, start, size, nth, counts[k, back], states[k, back])
+            np.add.at(out[:, k], row, joined)
         return out
 
+    @staticmethod
+    def _joined(table: np.ndarray, coded: np.ndarray, start: np.ndarray, size: np.ndarray, nth: np.ndarray, counts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Phrases that begin in each block, from those of blocks parsed by themselves and the states in which they end."""
+        alone, ends, counts = ends, ends.copy(), counts.copy()
+        fresh = counts.copy()
+        todo = np.flatnonzero(nth > 0)
+        while len(todo):
+            own, true = np.zeros(len(todo), np.int32), ends[todo - 1]
+            more = np.zeros(len(todo), np.int64)
+            live = np.arange(len(todo))
+            step = 0
+            while len(live):
+                symbol = coded[start[todo[live]] + step]
+                a, b = table[true[live] + symbol], table[own[live] + symbol]
+                more[live] += (a < 0).astype(np.int64) - ((b < 0) | (step == 0))
+                true[live], own[live] = a & 0x7FFFFFFF, b & 0x7FFFFFFF
+                step += 1
+                live = live[(true[live] != own[live]) & (step < size[todo[live]])]
+            counts[todo] = fresh[todo] + more
+            new = np.where(true == own, alone[todo], true)
+            changed = todo[new != ends[todo]]
+            ends[todo] = new
+            # blocks whose predecessor turned out to end in another state are parsed again
+            todo = changed[changed + 1 < len(nth)] + 1
+            todo = todo[nth[todo] > 0]
+        return counts
+
 
 @functools.lru_cache(maxsize=2)
 def parser(training: tuple[tuple[str, bytes], ...]) -> Parser:
@@ -199,24 +234,37 @@ def _predict(training: tuple[tuple[str, bytes], ...], batches: Iterator[pa.Recor
             )
 
 
-def training_text(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, slice_chars: int = SLICE_CHARS, train_symbols: int = TRAIN_SYMBOLS) -> tuple[tuple[str, bytes], ...]:
+def training_text(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, short_bytes: int = SHORT_BYTES, train_symbols: int = TRAIN_SYMBOLS) -> tuple[tuple[str, bytes], ...]:
     """Symbols of each language, by language name."""
-    usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id"))
+    usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & (F.octet_length("text") > 0))
+    size = F.octet_length("text")
+    place = [size > short_bytes, F.md5(F.col("doc_id").cast("string")), F.col("doc_id"), size]
     # ranked without the texts; each task keeps no more than docs_per_lang of a language
-    chosen = usable.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= docs_per_lang).select("doc_id").distinct()
-    # docs_per_lang ids a language: written first, so that their size decides on a broadcast and texts aren't shuffled
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("long", "digest", "doc_id", "size")) <= docs_per_lang
+    sized = usable.select("doc_id", "lang", *[c.alias(n) for c, n in zip(place, ("long", "digest", "doc_id", "size")) if n != "doc_id"])
+    chosen = sized.withColumn("first", first).where("first").select("doc_id").distinct()
+    # at most docs_per_lang ids a language: written first, so that their size decides on a broadcast and texts aren't shuffled
     chosen = Scratch(docs.sparkSession, "language").cut(chosen, "chosen")
-    most = F.greatest(F.length("text") - slice_chars, F.lit(0)) + 1
-    slice_ = F.substring("text", F.pmod(F.xxhash64("doc_id"), most).cast("int") + 1, F.lit(slice_chars))
-    rows = usable.where(F.length("text") > 0).join(chosen, "doc_id", "left_semi").select("lang", "doc_id", slice_.alias("text"))
-    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id", "text"))).where(F.col("rank") <= docs_per_lang)
-    texts: dict[str, bytes] = {}
-    for lang, text in sorted((r["lang"], r["text"]) for r in rows.select("lang", "text").collect()):
+    order = Window.partitionBy("lang").orderBy(*place, "text")
+    rows = usable.join(chosen, "doc_id", "left_semi").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= docs_per_lang)
+    return learned([(r["lang"], r["rank"], r["text"]) for r in rows.select("lang", "rank", "text").collect()], train_symbols)
+
+
+def learned(rows: list[tuple[str, int, str]], train_symbols: int = TRAIN_SYMBOLS) -> tuple[tuple[str, bytes], ...]:
+    """The whole texts of rows (lang, rank, text) that fit, in the order of their ranks."""
+    texts: dict[str, list[bytes]] = {}
+    for lang, _, text in sorted(rows):
         data = np.frombuffer(text.encode(), np.uint8)
-        symbols, _ = symbols_of(data, np.array([0, len(data)]))
-        texts[lang] = (texts.get(lang, b"") + b" " + symbols.tobytes())[:train_symbols]
-    return tuple(sorted(texts.items()))
+        texts.setdefault(lang, []).append(symbols_of(data, np.array([0, len(data)]))[0].tobytes())
+    out = []
+    for lang, parts in sorted(texts.items()):
+        left, taken = train_symbols, []
+        for part in parts:
+            if len(part) < left:
+                taken.append(part)
+                left -= len(part) + 1
+        out.append((lang, b" ".join(taken or [min(parts, key=len)])))
+    return tuple(out)
 
 
 def predict(docs: DataFrame, training: tuple[tuple[str, bytes], ...]) -> DataFrame:
