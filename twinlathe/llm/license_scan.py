@@ -1,17 +1,19 @@
 """Operator 7: license scans by diagonal voting.
 
-Base phrases are found word by word. Beyond them, the hashes of all rolling k-grams of a
-text are held against those of license templates; those that any template has are joined
-in Spark to template positions. A match votes for the diagonal (text position - template
+Base phrases are found word by word. Beyond them, the hashes of the rolling k-grams of a
+text are joined in Spark to the positions of license templates' k-grams. A table of
+2^FILTER_BITS bits, which may err only by letting n-grams pass, first drops n-grams that no
+template can have, so that the join gets a few of them. A match votes for the diagonal (text position - template
 position); neighbouring diagonals, which inserted or missing words set apart, are merged,
 and each merged diagonal's span is verified: the longest common subsequence of the span's
-and the template's words must cover ``MIN_COVER`` of the template.
+and the template's words must cover ``MIN_COVER`` of the template. Of a text only the
+words around its spans go to that.
 
 Template hashes are fixed by ``TEMPLATES`` (a parameter), so they travel with the code
 and the join's template side is as small at any size of the corpus. Votes are combined
 per (text, template, diagonal) before the shuffle.
 
-Defined cases: null or wordless text has no words, places or labels (empty strings), null
+Defined cases: a very long text forms a slice of its own; null or wordless text has no words, places or labels (empty strings), null
 first and last word, score 0; repeated rows are scanned each for itself; equal votes
 change nothing, since every diagonal with ``MIN_VOTES`` is verified; an empty table gives
 no rows. score is the best cover of a verified span, at least ``BASE_SCORE`` where a base
@@ -29,27 +31,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from twinlathe.llm import bytetext
+from twinlathe.llm.license_texts import BASE, TEMPLATES
 from twinlathe.llm.storage import Scratch
 
-# Base phrases and their labels.
-BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
-
-# Public license notices and their labels.
-TEMPLATES = (
-    ("mit", "Released under the MIT License."),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0; you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("gpl-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
-    ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-)
-
 GRAM = 3
+FILTER_BITS = 20
 MERGE = 3
 MIN_VOTES = 2
 MIN_COVER = 0.8
@@ -75,6 +61,18 @@ def library(templates: tuple[tuple[str, str], ...]) -> tuple[list[np.ndarray], l
     return words, grams
 
 
+@functools.lru_cache(maxsize=4)
+def gram_filter(templates: tuple[tuple[str, str], ...]) -> np.ndarray:
+    """By the lowest bits of a hash: whether a template may have it."""
+    out = np.zeros(1 << FILTER_BITS, bool)
+    out[_low(np.concatenate(library(templates)[1]))] = True
+    return out
+
+
+def _low(grams: np.ndarray) -> np.ndarray:
+    return (grams & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+
+
 def _phrase_starts(hashes: np.ndarray, row: np.ndarray, phrase: np.ndarray) -> np.ndarray:
     n = len(hashes) - len(phrase) + 1
     if n <= 0:
@@ -95,7 +93,7 @@ _SCANNED = "uid long, doc_id {}, n_words long, n_base long, first_word long, las
 
 
 def _scan(templates, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = np.unique(np.concatenate(library(templates)[1]))
+    possible = gram_filter(templates)
     phrases = [(word_hashes(p), label) for p, label in BASE]
     for batch in batches:
         data, offsets = bytetext.column_bytes(batch.column(2))
@@ -115,7 +113,7 @@ def _scan(templates, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                 for i in np.unique(r).tolist():
                     labels[i].append(label)
             grams, whole = words.grams(hashes, GRAM)
-            hit = np.flatnonzero(whole & np.isin(grams, known))
+            hit = np.flatnonzero(whole & possible[_low(grams)])
             hits = np.bincount(row[hit], minlength=n)
             voted = hits >= MIN_VOTES
             hit = hit[voted[row[hit]]]
@@ -145,15 +143,12 @@ def _verify(templates, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
     texts = library(templates)[0]
     for batch in batches:
         out = []
-        for uid, template, diagonal, low, high, words in zip(*[batch.column(i) for i in range(6)]):
-            template, diagonal, low, high = (x.as_py() for x in (template, diagonal, low, high))
-            own, span = texts[template], words.values.to_numpy().view(np.uint64)
-            # the template's place by its diagonal, widened by what merging may have moved
-            start = max(0, min(diagonal, low) - MERGE)
-            end = min(len(span), max(diagonal + len(own), high + GRAM) + MERGE)
-            cover = common_subsequence(span[start:end], own) / len(own)
+        for uid, template, start, words in zip(*[batch.column(i) for i in range(4)]):
+            label, own = templates[template.as_py()][0], texts[template.as_py()]
+            span = words.values.to_numpy().view(np.uint64)
+            cover = common_subsequence(span, own) / len(own)
             if cover >= MIN_COVER:
-                out.append((uid.as_py(), templates[template][0], start, end, cover))
+                out.append((uid.as_py(), label, start.as_py(), start.as_py() + len(span), cover))
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64()]
         columns = list(zip(*out)) if out else [()] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["uid", "label", "start", "end", "cover"])
@@ -173,7 +168,13 @@ def spans(scanned: DataFrame, templates=TEMPLATES) -> DataFrame:
     merged = votes.withColumn("new", apart).withColumn("run", F.sum("new").over(along)).groupBy("uid", "template", "run").agg(
         F.sum("votes").alias("votes"), F.min("low").alias("low"), F.max("high").alias("high"), F.max_by("diagonal", F.struct("votes", -F.col("diagonal"))).alias("diagonal")
     ).where(F.col("votes") >= MIN_VOTES)
-    placed = merged.join(scanned.where(F.size("places") > 0).select("uid", "words"), "uid").select("uid", "template", "diagonal", "low", "high", "words")
+    # the template's place by its diagonal, widened by what merging may have moved
+    sizes = F.element_at(F.array(*[F.lit(len(w)) for w in library(templates)[0]]), F.col("template") + 1)
+    run = F.struct("template", F.greatest(F.lit(0), F.least("diagonal", "low") - MERGE).alias("start"), (F.greatest(F.col("diagonal") + sizes, F.col("high") + GRAM) + MERGE).alias("end"))
+    runs = merged.select("uid", run.alias("run")).groupBy("uid").agg(F.collect_list("run").alias("runs"))
+    words = scanned.where(F.size("places") > 0).select("uid", "words")
+    around = F.transform("runs", lambda r: F.struct(r["template"].alias("template"), r["start"].cast("long").alias("start"), F.slice("words", r["start"] + 1, r["end"] - r["start"]).alias("words")))
+    placed = runs.join(words, "uid").select("uid", F.explode(around).alias("x")).select("uid", "x.template", "x.start", "x.words")
     return placed.mapInArrow(functools.partial(_verify, templates), "uid long, label string, start long, end long, cover double")
 
 
