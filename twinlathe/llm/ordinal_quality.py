@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from twinlathe.llm import bytetext
 from twinlathe.llm.language_id import held_out
+from twinlathe.llm.storage import Scratch
 
 ROWS_PER_GRADE = 900
 HASH_BITS = 18
@@ -95,46 +96,60 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+@dataclass(frozen=True)
+class Rated:
+    """Training rows: ``value`` of each (row, index) entry, rates, grades and weights of the rows."""
+
+    row: np.ndarray
+    index: np.ndarray
+    value: np.ndarray
+    rates: np.ndarray
+    grade: np.ndarray
+    weight: np.ndarray
+    n_words: int
+
+    def thresholds(self, theta: np.ndarray) -> np.ndarray:
+        """t_0 and the exponentials of gaps, hence ordered."""
+        gaps = theta[self.n_words + self.rates.shape[1] :]
+        return np.cumsum(np.append(gaps[:1], np.exp(gaps[1:])))
+
+    def loss(self, theta: np.ndarray) -> tuple[float, np.ndarray]:
+        """(weighted mean negative log likelihood plus the L2 term, its gradient)."""
+        a, b = self.n_words, self.n_words + self.rates.shape[1]
+        w, d, t, n = theta[:a], theta[a:b], self.thresholds(theta), len(self.grade)
+        s = np.bincount(self.row, w[self.index] * self.value, minlength=n) + self.rates @ d
+        above = np.concatenate([np.ones((n, 1)), _sigmoid(s[:, None] - t), np.zeros((n, 1))], 1)
+        slope = above * (1 - above)
+        i = np.arange(n)
+        p = np.maximum(above[i, self.grade] - above[i, self.grade + 1], 1e-12)
+        up, down = slope[i, self.grade] / p, slope[i, self.grade + 1] / p
+        by_score = -(up - down) * self.weight
+        by_threshold = np.array([(self.weight * (np.where(self.grade == k + 1, up, 0) - np.where(self.grade == k, down, 0))).sum() for k in range(len(t))])
+        by_gap = np.cumsum(by_threshold[::-1])[::-1] * np.append(1.0, np.exp(theta[b:][1:]))
+        gradient = np.concatenate([np.bincount(self.index, by_score[self.row] * self.value, minlength=a) + L2 * w, self.rates.T @ by_score + L2 * d, by_gap])
+        return float(-(self.weight * np.log(p)).sum() + L2 / 2 * (w @ w + d @ d)), gradient
+
+
 def fit(row: np.ndarray, index: np.ndarray, count: np.ndarray, rates: np.ndarray, grade: np.ndarray, grades: int = GRADES) -> Model:
-    """Adam on the mean negative log likelihood. Thresholds are t_0 and exponentials of gaps, hence ordered."""
+    """Adam on the loss, from zero; every grade weighs the same."""
     n = len(grade)
     words, dense = np.zeros(1 << HASH_BITS), np.zeros(rates.shape[1])
-    cuts = np.zeros(grades - 1)
     if not n:
-        return Model(words, dense, cuts)
+        return Model(words, dense, np.zeros(grades - 1))
     common = np.bincount(index, minlength=1)[index] >= MIN_DOCS
     row, index = row[common], index[common]
     used, index = np.unique(index, return_inverse=True)
-    value = 1 / np.sqrt(np.maximum(count, 1))[row]
-    theta = np.zeros(len(used) + len(dense) + len(cuts))
-    a, b = len(used), len(used) + len(dense)
-    m, v = np.zeros_like(theta), np.zeros_like(theta)
     weight = (n / np.maximum(np.bincount(grade, minlength=grades), 1))[grade]
-    weight /= weight.sum()
+    rated = Rated(row, index, 1 / np.sqrt(np.maximum(count, 1))[row], rates, grade, weight / weight.sum(), len(used))
+    theta = np.zeros(len(used) + len(dense) + grades - 1)
+    m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, STEPS + 1):
-        w, d, gaps = theta[:a], theta[a:b], theta[b:]
-        t = np.cumsum(np.append(gaps[:1], np.exp(gaps[1:])))
-        s = np.bincount(row, w[index] * value, minlength=n) + rates @ d
-        edge = np.concatenate([np.full((n, 1), np.inf), s[:, None] - t, np.full((n, 1), -np.inf)], 1)
-        above = np.concatenate([np.ones((n, 1)), _sigmoid(s[:, None] - t), np.zeros((n, 1))], 1)
-        slope = above * (1 - above)
-        slope[~np.isfinite(edge)] = 0
-        i = np.arange(n)
-        p = np.maximum(above[i, grade] - above[i, grade + 1], 1e-12)
-        up, down = slope[i, grade] / p, slope[i, grade + 1] / p
-        gs = -(up - down) * weight
-        gt = np.zeros(len(t))
-        for k in range(len(t)):
-            gt[k] = (weight * (np.where(grade == k + 1, up, 0) - np.where(grade == k, down, 0))).sum()
-        back = np.cumsum(gt[::-1])[::-1]
-        ggaps = back * np.append(1.0, np.exp(gaps[1:]))
-        g = np.concatenate([np.bincount(index, gs[row] * value, minlength=a) + L2 * w, rates.T @ gs + L2 * d, ggaps])
+        g = rated.loss(theta)[1]
         m = 0.9 * m + 0.1 * g
         v = 0.999 * v + 0.001 * g * g
         theta = theta - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    words[used] = theta[:a]
-    gaps = theta[b:]
-    return Model(words, theta[a:b], np.cumsum(np.append(gaps[:1], np.exp(gaps[1:]))))
+    words[used] = theta[: len(used)]
+    return Model(words, theta[len(used) : len(used) + len(dense)], rated.thresholds(theta))
 
 
 def _collected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +168,9 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_grade: int = ROWS_PER_GRA
     known = docs.where(~held_out(F.col("doc_id"))).select("doc_id").distinct().join(marks, "doc_id")
     rank = F.row_number().over(Window.partitionBy("grade").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id"))
     chosen = known.withColumn("rank", rank).where(F.col("rank") <= rows_per_grade).select("doc_id", "grade")
-    table = docs.join(chosen, "doc_id").groupBy("doc_id").agg(F.first("grade").alias("grade"), F.min("text").alias("text")).orderBy("doc_id")
+    # at most rows_per_grade ids a grade: written first, so that their size decides on a broadcast and texts aren't shuffled
+    chosen = Scratch(docs.sparkSession, "quality").cut(chosen, "chosen")
+    table = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id").agg(F.first("grade").alias("grade"), F.min("text").alias("text")).orderBy("doc_id")
     got = table.select("grade", "text").mapInArrow(_collected, "grade int, index array<int>, rates array<double>").toArrow()
     if not got.num_rows:
         return fit(np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0), np.zeros((0, len(CLASSES))), np.zeros(0, np.int64), grades)
