@@ -55,3 +55,29 @@ def test_edge_cases(spark, edge_docs, no_docs, edge_rows):
     sizes = {r["doc_id"]: r["size"] for r in rows}
     assert sizes[1] == sizes[2] == sizes[3] == 0 and sizes[5] == 2 and sizes[4] == 60_000
     assert mixing.mix(no_docs).count() == 0
+
+
+def walked(rows, plan, seed=mixing.SEED):
+    """(doc_id, size, copies) of one source's rows, taken one by one in the order of their digests."""
+    import hashlib
+
+    whole, rest = plan
+    out, before = [], 0
+    for digest, size, doc_id in sorted((hashlib.md5(f"{seed}:{'' if i is None else i}".encode()).hexdigest(), n, -1 if i is None else i) for i, n in rows):
+        out.append((doc_id, size, whole + (before + size / 2 < rest)))
+        before += size
+    return sorted(out)
+
+
+def test_rows_that_share_a_doc_id_are_split(spark):
+    """A third of the rows have no doc_id, a third share one; sizes tie, also at 0."""
+    rows = [(None, k % 4) for k in range(400)] + [(7, 3) for _ in range(400)] + [(100 + k, k % 9) for k in range(400)]
+    for total in (0.2, 0.5, 0.8, 1.0, 1.3, 1.7):
+        df = spark.createDataFrame([(i, "a", n) for i, n in rows], "doc_id long, source string, size long")
+        got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["size"], r["copies"]) for r in mixing.sample(df, total_epochs=total).collect())
+        target = min(total, 2) * sum(n for _, n in rows)
+        whole = int(target // sum(n for _, n in rows))
+        by_row = walked(rows, (whole, target - whole * sum(n for _, n in rows)))
+        end = [c for c in by_row if c[1] > 0]
+        assert [c for c in got if c[1] > 0] == end
+        assert abs(sum(n * c for _, n, c in got) - target) <= 9

@@ -10,12 +10,14 @@ that repeated clamping reaches.
 and one more to a seeded part of the source's documents that holds the fraction left.
 Documents are ordered by a seeded digest of doc_id; the first 4096th-parts that fit are
 taken whole from (source, bucket) sums, and only the bucket in which the fraction ends
-is ordered by row. No source's rows meet in one task: sums are combined before the
+is ordered, by sums of rows with equal digest and size; no more than one such sum of a
+source is taken in part and numbered by row. No source's rows meet in one task: sums are combined before the
 shuffle, and decisions come back by a join on (source, salt).
 
 Defined cases: null or wordless text has size 0, is never split over the boundary and
 takes 0 words; null sources form one source, last in order; a source of size 0 has
-target 0; rows with the same doc_id share their digest and are then ordered by size;
+target 0; rows with the same doc_id share their digest and are then ordered by size; a very long
+text is counted whole;
 an empty table gives no rows. Columns of the input other than doc_id, source and text
 are not read, and clashing names do no harm because outputs are built from those three.
 """
@@ -64,11 +66,11 @@ def cyclic_weights(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> Data
     return sizes.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (place % len(weights) + 1).cast("int")).cast("long"))
 
 
-def sample(docs: DataFrame, max_epochs: float = MAX_EPOCHS, total_epochs: float = TOTAL_EPOCHS, weights: tuple[int, ...] = WEIGHTS, seed: str = SEED) -> DataFrame:
-    """``docs``: doc_id, source, size. Returns doc_id, size, source_size, target, taken and
-    copies (how many times the document is taken: 0 to max_epochs)."""
+def sample(docs: DataFrame, max_epochs: float = MAX_EPOCHS, total_epochs: float = TOTAL_EPOCHS, weights: tuple[int, ...] = WEIGHTS, seed: str = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``docs``: doc_id, source, size. Returns doc_id, size, source_size, target, taken,
+    copies (how many times the document is taken: 0 to max_epochs) and the columns ``carry``."""
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    keyed = docs.select("doc_id", "source", "size", digest.alias("digest")).withColumn("bucket", F.substring("digest", 1, 3))
+    keyed = docs.select("doc_id", "source", "size", *carry, digest.alias("digest")).withColumn("bucket", F.substring("digest", 1, 3))
     sums = keyed.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     sources = targets(cyclic_weights(sums.groupBy("source").agg(F.sum("bucket_size").alias("size")), weights), total_epochs, max_epochs)
     rate = F.when(F.col("size") > 0, F.col("target") / F.col("size")).otherwise(0.0)
@@ -92,23 +94,33 @@ def sample(docs: DataFrame, max_epochs: float = MAX_EPOCHS, total_epochs: float
     at_end = F.col("end").isNotNull() & (F.col("bucket") == F.col("end.bucket"))
     inside = F.col("end").isNull() | (F.col("bucket") < F.col("end.bucket"))
     base = rows.select(
-        "doc_id", "source", "size", "source_size", "target", "whole", "rest", "digest", at_end.alias("at_end"),
+        "doc_id", "source", "size", *carry, "source_size", "target", "whole", "rest", "digest", at_end.alias("at_end"),
         inside.cast("long").alias("extra"), F.col("end.before").alias("before"),
     )
     settled = base.where(~F.col("at_end"))
-    by_row = Window.partitionBy("source").orderBy("digest", "size").rowsBetween(Window.unboundedPreceding, -1)
-    upto = F.col("before") + F.coalesce(F.sum("size").over(by_row), F.lit(0))
-    # the document on which the fraction ends is taken if that comes nearer
-    edge = base.where("at_end").withColumn("extra", (upto + F.col("size") / 2.0 < F.col("rest")).cast("long"))
+    # rows with equal digest and size are one step of the order; the document on which the fraction ends is taken if that comes nearer
+    steps = base.where("at_end").groupBy("source", "digest", "size").agg(F.count("*").alias("rows"), F.first("before").alias("before"), F.first("rest").alias("rest"))
+    by_step = Window.partitionBy("source").orderBy("digest", "size").rowsBetween(Window.unboundedPreceding, -1)
+    upto = F.col("before") + F.coalesce(F.sum(F.col("size") * F.col("rows")).over(by_step), F.lit(0))
+    fits = lambda k: F.col("upto") + k * F.col("size") + F.col("size") / 2.0 < F.col("rest")
+    near = F.when(F.col("size") > 0, F.least("rows", F.greatest(F.lit(0), F.ceil((F.col("rest") - F.col("upto")) / F.col("size") - 0.5)))).otherwise(0).cast("long")
+    exact = F.col("near") + (fits(F.col("near")) & (F.col("near") < F.col("rows"))).cast("long") - (~fits(F.col("near") - 1) & (F.col("near") > 0)).cast("long")
+    fitting = F.when(F.col("size") > 0, exact).otherwise(F.when(F.col("upto") < F.col("rest"), F.col("rows")).otherwise(0))
+    steps = steps.withColumn("upto", upto).withColumn("near", near).select(F.col("source").alias("s4"), F.col("digest").alias("d4"), F.col("size").alias("n4"), "rows", fitting.alias("fitting"))
+    same = F.col("source").eqNullSafe(F.col("s4")) & (F.col("digest") == F.col("d4")) & (F.col("size") == F.col("n4"))
+    edge = base.where("at_end").join(steps, same)
+    # at most one step of a source is taken in part
+    whole = edge.where("fitting = 0 OR fitting = rows").withColumn("extra", (F.col("fitting") > 0).cast("long"))
+    number = F.row_number().over(Window.partitionBy("source", "digest", "size").orderBy(*(carry or ("doc_id",))))
+    part = edge.where("fitting > 0 AND fitting < rows").withColumn("extra", (number <= F.col("fitting")).cast("long"))
     copies = F.col("whole") + F.col("extra")
-    return settled.unionByName(edge).select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies")
-    )
+    out = ["doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), *carry]
+    return settled.select(*out).unionByName(whole.select(*out)).unionByName(part.select(*out))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """Documents (doc_id, source, text) with their sizes, targets and copies."""
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *options.get("carry", ()))
     # texts are counted once: what follows reads the sizes twice
     return sample(Scratch(docs.sparkSession, "mix").cut(sized, "sizes"), **options)
 
