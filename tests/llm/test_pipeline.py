@@ -48,3 +48,24 @@ def test_repeated_rows_are_one_group(spark, edge_docs):
 
     got = [r["doc_id"] for r in cp.jaccard_stage(spark, edge_docs, SF).collect()]
     assert got.count(7) == 1 and 8 not in got and {1, 2, 3} <= set(got)
+
+
+def test_rows_that_share_a_doc_id_are_judged_by_their_own_text(spark):
+    """A bad text with a good one's doc_id, near copies without any doc_id, a linked text under the doc_id of another group."""
+    import random
+
+    import corpus_pipeline as cp
+
+    rng = random.Random(2)
+    prose = lambda n: [a + b + c for a, b, c in (rng.choices(("th", "an", "er", "is", "ow", "ly", "ng"), k=3) for _ in range(n))]
+    texts = [prose(60) for _ in range(5)]
+    rows = [(1, texts[0]), (1, ["word"]), (2, texts[1]), (1, texts[1][:-1] + ["zz"]), (None, texts[2]), (None, texts[2][:-1] + ["yy"]), (None, texts[2]), (4, texts[3]), (4, texts[3]), (None, texts[4]), (5, texts[4])]
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "a", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = cp.quality_stage(spark, docs, SF)
+    assert sorted(str(r["doc_id"]) for r in left.collect()) == sorted(str(i) for i, t in rows if len(t) > 1)
+    kept = [(r["doc_id"], r["text"]) for r in cp.jaccard_stage(spark, left, SF).collect()]
+    assert sorted(str(i) for i, _ in kept) == ["1", "1", "4", "5", "None"]
+    assert {t for i, t in kept if i == 1} == {" ".join(texts[0]), " ".join(rows[3][1])}
+    mixed = [(r["doc_id"], r["text"]) for r in cp.mixing_stage(spark, docs, SF).collect()]
+    taken = [(r["doc_id"], r["size"]) for r in mixing.mix(docs).collect() for _ in range(r["copies"])]
+    assert sorted(map(str, taken)) == sorted(str((i, len(t.split()))) for i, t in mixed)

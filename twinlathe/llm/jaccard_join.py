@@ -54,7 +54,7 @@ from pyspark.sql import functions as F
 from twinlathe.llm import bytetext
 from twinlathe.llm.bytetext import U64, mix
 from twinlathe.llm.components import components
-from twinlathe.llm.storage import Scratch
+from twinlathe.llm.storage import Scratch, carried
 
 BAND_RATIO = 1.25
 #: Least number of n-grams that a task holds at once, and most ranges into which hashes are cut.
@@ -208,12 +208,9 @@ class Buffer:
         return nodes[keep], sizes[keep], grams[mine], (np.cumsum(keep) - 1)[row[mine]]
 
 
-_DESCRIBED = "doc_id long, n long, node binary, gram long, copies long"
-
-
 def _describe(n: int, load: int, share: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of documents, and rows of n-grams of which a buffer holds more than its share."""
-    names = ["doc_id", "n", "node", "gram", "copies"]
+    names, more = ["doc_id", "n", "node", "gram", "copies"], []
     buffer = Buffer()
 
     def frequent() -> Iterator[pa.RecordBatch]:
@@ -225,11 +222,12 @@ def _describe(n: int, load: int, share: float, batches: Iterator[pa.RecordBatch]
         own = copies >= least
         if size := int(own.sum()):
             none = [pa.nulls(size, kind) for kind in (pa.int64(), pa.int64(), pa.binary())]
-            yield pa.RecordBatch.from_arrays([*none, pa.array(grams[own].view(np.int64)), pa.array(copies[own])], names)
+            rest = [pa.nulls(size, field.type) for field in more]
+            yield pa.RecordBatch.from_arrays([*none, pa.array(grams[own].view(np.int64)), pa.array(copies[own]), *rest], [*names, *[f.name for f in more]])
 
     for batch, sets in _slices(batches, n):
-        none = pa.nulls(batch.num_rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets.size), node_column(sets.node), none, none], names)
+        none, more = pa.nulls(batch.num_rows, pa.int64()), list(batch.schema)[2:]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets.size), node_column(sets.node), none, none, *batch.columns[2:]], [*names, *batch.schema.names[2:]])
         buffer.add(sets)
         if buffer.total >= load:
             yield from frequent()
@@ -498,15 +496,18 @@ def _tiles(percent: int, every: bool, batches: Iterator[pa.RecordBatch]) -> Iter
 class Join:
     """One run over ``docs`` (doc_id, text)."""
 
-    def __init__(self, docs: DataFrame, n: int, percent: int):
+    def __init__(self, docs: DataFrame, n: int, percent: int, carry: tuple[str, ...] = ()):
         self.spark, self.n, self.percent = docs.sparkSession, n, percent
         self.scratch = Scratch(self.spark, "jaccard")
-        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        self.carry = carry
+        doc_id = F.col("doc_id").cast("long").alias("doc_id")
+        self.docs = docs.select(doc_id, "text")
         most = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 2 + 1  # n-grams
         self.load = max(LOAD, most // MOST_RANGES)
         share = self.load / (2 * most)
-        table = self.scratch.cut(self.docs.mapInArrow(functools.partial(_describe, n, self.load, share), _DESCRIBED), "sets")
-        self.described = table.where("node IS NOT NULL").select("doc_id", "n", "node")
+        kinds = ["doc_id long, n long, node binary, gram long, copies long", *carried(docs, carry)]
+        table = self.scratch.cut(docs.select(doc_id, "text", *carry).mapInArrow(functools.partial(_describe, n, self.load, share), ", ".join(kinds)), "sets")
+        self.described = table.where("node IS NOT NULL").drop("gram", "copies")
         heavy = table.where("node IS NULL").groupBy("gram").agg(F.sum("copies").alias("copies")).where(F.col("copies") >= share * most)
         self.heavy = heavy.toArrow()  # at most 2 * most / load rows
         self.nodes = self.described.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("min_id"))
@@ -607,7 +608,7 @@ class Join:
                 return roots
 
     def run(self) -> DataFrame:
-        """doc_id, n_shingles, component_id."""
+        """doc_id, n_shingles, component_id; with columns to carry these too, and group."""
         postings = self.postings()
         self.scratch.release()
         pairs = self.stars(postings)
@@ -618,16 +619,20 @@ class Join:
         roots = self.completed(self.unsettled(postings, roots), links, roots, pairs)
         placed = self.nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         ids = placed.groupBy("root").agg(F.min("min_id").alias("component"))
-        of_node = placed.join(ids, "root").select("node", "component")
-        rows = self.described.select("doc_id", F.col("n").alias("n_shingles"), "node").join(of_node, "node", "left")
-        out = self.scratch.cut(rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id")), "result")
+        of_node = placed.join(ids, "root").select("node", "component", "root")
+        rows = self.described.withColumnRenamed("n", "n_shingles").join(of_node, "node", "left")
+        some = F.col("n_shingles") > 0
+        more = [F.when(some, F.col("root")).alias("group"), *self.carry] if self.carry else []
+        out = self.scratch.cut(rows.select("doc_id", "n_shingles", F.when(some, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), *more), "result")
         self.scratch.close(keep=out)
         return out
 
 
-def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles (set size), component_id (smallest doc_id reachable by links)."""
-    return Join(docs, n, percent).run()
+def join(docs: DataFrame, n: int = 5, percent: int = 80, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles (set size), component_id (smallest doc_id reachable by links). With
+    ``carry`` also these columns of the rows and group, which names a component even where no
+    member has a doc_id (null for rows without words)."""
+    return Join(docs, n, percent, carry).run()
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

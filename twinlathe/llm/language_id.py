@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from twinlathe.llm import bytetext
-from twinlathe.llm.storage import Scratch
+from twinlathe.llm.storage import Scratch, carried
 
 DOCS_PER_LANG = 200
 SHORT_BYTES = 1000
@@ -229,8 +229,8 @@ def _predict(training: tuple[tuple[str, bytes], ...], batches: Iterator[pa.Recor
                     score = np.where(has_letter, 1 - np.minimum(1, counts[:, 0] / size), 0.0)
             part = batch.slice(first, n)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(names, pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(rate, mask=np.isnan(rate))],
-                ["doc_id", "held_out", "lang_pred", "score", "rate"],
+                [part.column(0), part.column(1), pa.array(names, pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(rate, mask=np.isnan(rate)), *part.columns[3:]],
+                ["doc_id", "held_out", "lang_pred", "score", "rate", *part.schema.names[3:]],
             )
 
 
@@ -267,11 +267,11 @@ def learned(rows: list[tuple[str, int, str]], train_symbols: int = TRAIN_SYMBOLS
     return tuple(out)
 
 
-def predict(docs: DataFrame, training: tuple[tuple[str, bytes], ...]) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, rate (phrases per symbol) of each document."""
+def predict(docs: DataFrame, training: tuple[tuple[str, bytes], ...], carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, rate (phrases per symbol) of each document, and the columns ``carry``."""
     key = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(
-        functools.partial(_predict, training), f"doc_id {key}, held_out boolean, lang_pred string, score double, rate double"
+    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text", *carry).mapInArrow(
+        functools.partial(_predict, training), ", ".join([f"doc_id {key}, held_out boolean, lang_pred string, score double, rate double", *carried(docs, carry)])
     )
 
 

@@ -40,16 +40,16 @@ MIN_COVER = 5
 FEATURES = ("n_words", "mean_word", "symbol_rate", "mark_rate", "upper_rate", "dup_line_rate", "repeat_rate")
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, the base counts and the features of each document."""
+def statistics(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the base counts and the features of each document, and the columns ``carry``."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    df = docs.select("doc_id", text.alias("text")).select("doc_id", "text", F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "").alias("words"))
+    df = docs.select("doc_id", text.alias("text"), *carry).select("doc_id", *carry, "text", F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "").alias("words"))
     n = F.size("words")
     at = [lambda i, k=k: F.get("words", i + k) for k in range(WINDOW)]
     windows = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*[a(i) for a in at])))
     lines = F.filter(F.split("text", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     df = df.select(
-        "doc_id", n.cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        "doc_id", *carry, n.cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         F.length(F.regexp_replace("text", r"[^!?]+", "")).cast("long").alias("n_marks"),
         F.length(F.regexp_replace("text", r"[^A-Z]+", "")).cast("long").alias("n_upper"),
@@ -58,7 +58,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     # only texts with a repeated window are sorted
     placed = F.array_sort(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
     df = df.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_marks", "n_upper", F.size("lines").cast("long").alias("n_lines"),
+        "doc_id", *carry, "n_words", "word_chars", "n_symbols", "n_marks", "n_upper", F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.size(F.array_distinct("windows")) < F.size("windows"), placed).alias("placed"),
     )
@@ -180,10 +180,10 @@ def verdict(rules: list[Rule]) -> Column:
     return F.lit(0) if out is None else out.otherwise(0)
 
 
-def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Statistics of each document with base_failed, rule (0: none) and kept."""
+def judged(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Statistics of each document with base_failed, rule (0: none), kept and the columns ``carry``."""
     scratch = Scratch(docs.sparkSession, "quality")
-    stats = scratch.cut(statistics(docs), "statistics")
+    stats = scratch.cut(statistics(docs, carry), "statistics")
     rules = learn(stats, labels, scratch)
     return stats.withColumn("base_failed", base_failed()).withColumn("rule", verdict(rules)).withColumn(
         "kept", ~F.col("base_failed") & (F.col("rule") == 0)

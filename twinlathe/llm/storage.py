@@ -2,7 +2,8 @@
 
 Lineage is cut with tables written here: they outlive executors, and Spark's commit
 protocol keeps half-written files out. The folder is ``spark.checkpoint.dir``; only a
-session without that setting (tests, a laptop) gets one of its own.
+local session without that setting (tests, a laptop) gets one of its own. On a cluster
+its lack is an error: executors would not see each other's files.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     """URI of this application's folder below ``spark.checkpoint.dir``."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='twinlathe-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     if "://" not in root and not root.startswith("file:"):
@@ -45,6 +48,11 @@ def drop(spark: SparkSession, *paths: str) -> None:
         fs.delete(hadoop_path, True)
 
 
+def carried(docs: DataFrame, columns: tuple[str, ...]) -> list[str]:
+    """DDL of columns that an operator passes on."""
+    return [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns]
+
+
 class Scratch:
     """Tables of one operator run. ``close`` drops all but those named in ``keep``."""
 
