@@ -13,7 +13,8 @@ def test_oracle(spark):
     oracle.same(spark, SF, ed.op4_embedding_dedup, ed.ORACLE_SQL["op4_embedding_dedup"])
 
 
-def test_groups_nulls_and_repeats(spark):
+def test_groups_nulls_and_repeats(spark, monkeypatch):
+    monkeypatch.setattr(ed, "BLOCK", 64)
     rng = np.random.default_rng(5)
     base = rng.normal(size=16)
     rows = [(i, (base + 0.02 * rng.normal(size=16)).tolist(), 1) for i in range(300)]  # one bucket of near copies, more than a block

@@ -16,10 +16,14 @@ band's bucket of any size is cut into blocks of ``BLOCK`` and compared block aga
 block, each pair only in the first band in which it agrees: no cap on buckets, and no
 task gets an unbounded group.
 
+Linked pairs never become rows: a task sums each node's links over its tiles and joins the
+nodes that they connect, and sends one row for each node it has met, with the sum and one
+node of its part of a component.
+
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components,
 and rows with null label, link with nothing and are their own component; vectors of
-different dimension do not link; repeated rows are equal vectors and count as links of
-each other; an empty table gives no rows. Only vec_id, embedding and label are read.
+different dimension do not link; repeated rows are equal vectors (told apart by 128 bits)
+and count as links of each other; an empty table gives no rows. Only vec_id, embedding and label are read.
 """
 
 from __future__ import annotations
@@ -39,7 +43,9 @@ from twinlathe.llm.storage import Scratch
 THRESHOLD = 0.98
 BITS, BAND = 256, 16
 SIGMAS = 5.0
-BLOCK = 256
+BLOCK = 1024
+#: Pairs recomputed at once, and nodes of which a task holds sums.
+PAIRS, HELD = 1 << 14, 1 << 19
 SEED = 20_24
 
 
@@ -98,16 +104,65 @@ def hash_label(label) -> int:
     return int(mix(np.array([int(label) & ((1 << 64) - 1)], U64))[0])
 
 
+class _Found:
+    """Links met so far: sums by node, and a forest of what they connect."""
+
+    def __init__(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.parent: list[int] = []
+        self.others: list[int] = []
+
+    def place(self, node: bytes) -> int:
+        at = self.number.setdefault(node, len(self.parent))
+        if at == len(self.parent):
+            self.parent.append(at)
+            self.others.append(0)
+        return at
+
+    def root(self, at: int) -> int:
+        while self.parent[at] != at:
+            self.parent[at] = self.parent[self.parent[at]]
+            at = self.parent[at]
+        return at
+
+    def add(self, nodes: list[bytes], others: np.ndarray, group: np.ndarray) -> None:
+        """``nodes`` have so many more links and hang together where ``group`` is equal."""
+        places = [self.place(n) for n in nodes]
+        for at, n in zip(places, others.tolist()):
+            self.others[at] += n
+        first: dict[int, int] = {}
+        for at, g in zip(places, group.tolist()):
+            self.parent[self.root(at)] = self.root(first.setdefault(g, at))
+
+    def rows(self) -> pa.RecordBatch:
+        nodes = list(self.number)
+        roots = [nodes[self.root(k)] for k in range(len(nodes))]
+        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(self.others, pa.int64()), pa.array(roots, pa.binary())], ["node", "others", "root"])
+
+
+def connected(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n points the smallest one that the pairs (a, b) connect it to."""
+    label = np.arange(n)
+    while True:
+        before = label.copy()
+        np.minimum.at(label, a, label[b])
+        np.minimum.at(label, b, label[a])
+        label = label[label]
+        if (label == before).all():
+            return label
+
+
 def _links(threshold: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, i, j): links within each tile."""
+    """Rows sorted by (key, i, j): what the links within the tiles connect."""
+    found = _Found()
 
-    def tile(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    def tile(rows: pa.Table) -> None:
         same = rows["i"][0].as_py() == rows["j"][0].as_py()
         n = rows.num_rows
         vectors = np.frombuffer(b"".join(rows["vector"].to_pylist()), np.float64).reshape(n, -1)
         codes = np.frombuffer(b"".join(rows["code"].to_pylist()), np.uint8).reshape(n, -1)
         keys = np.array(rows["keys"].to_pylist(), np.int64)
-        node, factors, key = rows["node"].to_numpy(), rows["factor"].to_numpy(), rows["key"][0].as_py()
+        factors, copies, key = rows["factor"].to_numpy(), rows["copies"].to_numpy(), rows["key"][0].as_py()
         if same:
             left = right = np.arange(n)
         else:
@@ -118,15 +173,20 @@ def _links(threshold: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
         estimates, error = estimate(codes[left], factors[left], turned)
         a, b = np.nonzero(estimates >= (threshold - SIGMAS * np.sqrt(1 - threshold**2) * error)[:, None] - 1e-5)
         a, b = left[a], right[b]
-        keep = a < b if same else a != b
-        a, b = a[keep], b[keep]
-        cosine = np.einsum("ij,ij->i", vectors[a], vectors[b]) / (norms[a] * norms[b])
-        near = cosine >= threshold
-        a, b = a[near], b[near]
-        first = np.argmax(keys[a] == keys[b], axis=1) if len(a) else np.zeros(0, np.int64)
-        mine = keys[a, first] == key
-        a, b = node[a[mine]], node[b[mine]]
-        return np.minimum(a, b), np.maximum(a, b)
+        if same:
+            a, b = a[a < b], b[a < b]
+        linked = np.zeros(len(a), bool)
+        for k in range(0, len(a), PAIRS):
+            x, y = a[k : k + PAIRS], b[k : k + PAIRS]
+            near = np.einsum("ij,ij->i", vectors[x], vectors[y]) / (norms[x] * norms[y]) >= threshold
+            agree = keys[x] == keys[y]
+            linked[k : k + PAIRS] = near & (keys[x, np.argmax(agree, axis=1)] == key) & agree.any(1)
+        a, b = a[linked], b[linked]
+        if len(a):
+            others = np.bincount(a, copies[b], n).astype(np.int64) + np.bincount(b, copies[a], n).astype(np.int64)
+            met = np.flatnonzero(others)
+            node = rows["node"].take(pa.array(met)).to_pylist()
+            found.add(node, others[met], connected(n, a, b)[met])
 
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -134,29 +194,30 @@ def _links(threshold: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
         held = []
         tiles = np.stack([table[c].to_numpy() for c in ("key", "i", "j")])
         starts = np.flatnonzero(np.append(True, (tiles[:, 1:] != tiles[:, :-1]).any(0))).tolist() if table.num_rows else []
-        found = [tile(table.slice(s, e - s)) for s, e in zip(starts, starts[1:]) if e - s > 1]
+        for s, e in zip(starts, starts[1:]):
+            if e - s > 1:
+                tile(table.slice(s, e - s))
         if starts:  # the last tile may go on in the next batch
             held = table.slice(starts[-1]).combine_chunks().to_batches()
-        if found:
-            yield _pairs(found)
+        if len(found.parent) >= HELD:
+            yield found.rows()
+            found = _Found()
     if held and sum(b.num_rows for b in held) > 1:
-        yield _pairs([tile(pa.Table.from_batches(held))])
-
-
-def _pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found]), pa.int64()) for k in (0, 1)], ["a", "b"])
+        tile(pa.Table.from_batches(held))
+    yield found.rows()
 
 
 def links(nodes: DataFrame, scratch: Scratch, threshold: float = THRESHOLD) -> DataFrame:
-    """a, b: nodes with cosine at or above the threshold, each pair once."""
+    """node, others, root: sums of the copies of linked nodes, and nodes that links connect;
+    several rows for a node, no more than tasks in which it has links."""
     keyed = nodes.select("node", F.explode("keys").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     met = keyed.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("key", "node", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    full = scratch.cut(met, "met").join(nodes.select("node", "vector", "code", "factor", "keys"), "node")
+    full = scratch.cut(met, "met").join(nodes.select("node", "copies", "vector", "code", "factor", "keys"), "node")
     tiles = full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return scratch.cut(tiles.mapInArrow(functools.partial(_links, threshold), "a long, b long"), "links")
+    return scratch.cut(tiles.mapInArrow(functools.partial(_links, threshold), "node binary, others long, root binary"), "links")
 
 
 def dedup(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -165,17 +226,17 @@ def dedup(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     usable = F.col("label").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", finite) & F.exists("embedding", lambda x: x != 0)
     vectors = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("long").alias("label"))
-    rows = vectors.withColumn("node", F.when(F.coalesce(usable, F.lit(False)), F.xxhash64("label", "embedding")))
+    half = lambda *c: F.lpad(F.hex(F.xxhash64(*c)), 16, "0")
+    node = F.unhex(F.concat(half("label", "embedding"), half(F.lit(1), "label", "embedding")))
+    rows = vectors.withColumn("node", F.when(F.coalesce(usable, F.lit(False)), node))
     classes = rows.where(F.col("node").isNotNull()).groupBy("node", "label", "embedding").agg(F.count("*").alias("copies"), F.min("vec_id").alias("min_id"))
     encoded = classes.select("node", "label", "copies", "min_id", "embedding").mapInArrow(
-        _encode, "node long, copies long, min_id long, vector binary, code binary, factor double, keys array<long>"
+        _encode, "node binary, copies long, min_id long, vector binary, code binary, factor double, keys array<long>"
     )
     nodes = scratch.cut(encoded, "nodes")
     linked = links(nodes, scratch, threshold)
-    copies = nodes.select(F.col("node").alias("b"), "copies")
-    both = linked.unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    others = both.join(copies, "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("others"))
-    roots = components(linked, scratch)
+    others = linked.groupBy("node").agg(F.sum("others").alias("others"))
+    roots = components(linked.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")), scratch)
     placed = nodes.select("node", "copies", "min_id").join(roots, "node", "left").join(others, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.groupBy("root").agg(F.min("min_id").alias("component"))
     of_node = placed.join(least, "root").select("node", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links"), "component")
