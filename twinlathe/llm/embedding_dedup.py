@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinlathe.llm.bytetext import U64, mix
-from twinlathe.llm.components import components
+from twinlathe.llm.components import components, connected
 from twinlathe.llm.storage import Scratch
 
 THRESHOLD = 0.98
@@ -140,18 +140,6 @@ class _Found:
         return pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(self.others, pa.int64()), pa.array(roots, pa.binary())], ["node", "others", "root"])
 
 
-def connected(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For each of n points the smallest one that the pairs (a, b) connect it to."""
-    label = np.arange(n)
-    while True:
-        before = label.copy()
-        np.minimum.at(label, a, label[b])
-        np.minimum.at(label, b, label[a])
-        label = label[label]
-        if (label == before).all():
-            return label
-
-
 def _links(threshold: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (key, i, j): what the links within the tiles connect."""
     found = _Found()
