@@ -98,6 +98,23 @@ def test_frequent_grams_by_the_broadcast_list(spark, monkeypatch):
     assert ours(spark, rows, 5, 80) == brute(rows, 5, 80)
 
 
+def test_nodes_with_one_short_hash_keep_all_their_keys():
+    """Entries of a short hash that two nodes share are keys of both, whatever the prefix."""
+    import pyarrow as pa
+
+    route = jj.Route(40, 32, 4, 1)
+    hashed = lambda high, low: [high << 32 | low, low]
+    table = np.array([[*hashed(5, 1), 100, 90], [*hashed(5, 2), 100, 90], [*hashed(9, 3), 100, 1]], np.uint64)
+    refs, grams = np.array([5, 5, 9, 9, 9], np.uint64), np.array([11, 12, 11, 13, 14], np.uint64)
+    counts = np.array([2, 7, 2, 3, 9], np.uint64)
+    rows = [(0, 0, None, None, None, table.tobytes()), (0, 0, jj.pack_sorted(refs), jj.pack(grams), jj.pack(counts), None)]
+    batch = jj._sent(rows)
+    got = pa.Table.from_batches(list(jj._keys(90, route, iter([batch])))).to_pylist()
+    per_node = {low: sum(int.from_bytes(r["node"][8:], "little") == low for r in got) for low in (1, 2, 3)}
+    tiles = 1 + int(jj.Plan(90).tiles(np.array([100]))[1][0])
+    assert per_node == {1: 2 * tiles, 2: 2 * tiles, 3: 2 * tiles}
+
+
 def test_packed_numbers():
     for values in ([], [0], [1, 255, 256, 2**40, 2**63 + 5]):
         x = np.array(values, np.uint64)

@@ -12,9 +12,10 @@ at all. Sizes are cut into bands; the tile of a band holds its sets and those of
 band that could link into it, and sets meet in a tile by a key of (tile, n-gram).
 
 Counting. n-grams travel as sorted, packed arrays of ``bits`` of their hash (enough for a
-collision in 2^12; any function of the hash gives a valid order) to the task of their
-range, which counts them and sends on those held twice or more, to the task of their node,
-which picks the node's keys. An n-gram that could fill a range by itself never travels
+collision in 2^8; any function of the hash gives a valid order) with a short hash of their
+node (20 bits more than nodes can have, so that two nodes that link share it with a
+probability of 2^-20 divided by the nodes) to the task of their range. It counts them and
+sends on those held twice or more, to the task of their node, which picks the node's keys. An n-gram that could fill a range by itself never travels
 there: every buffer first reports the n-grams of which it holds more than its share, and
 those above ``load`` / 2 in all (at most 2 * n-grams / load, so a list of bounded size is
 broadcast) come last in the order; each buffer knows by itself which of them are keys.
@@ -45,6 +46,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -235,12 +237,12 @@ def _describe(n: int, load: int, share: float, batches: Iterator[pa.RecordBatch]
         yield from frequent()
 
 
-_SENT = "part int, dest int, nodes binary, grams binary, places binary, counts binary"
+_SENT = "part int, dest int, refs binary, grams binary, counts binary, nodes binary"
 
 
 def _sent(rows: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["part", "dest", "nodes", "grams", "places", "counts"])
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["part", "dest", "refs", "grams", "counts", "nodes"])
 
 
 def _range(values: np.ndarray, bits: int, ranges: int) -> np.ndarray:
@@ -249,62 +251,71 @@ def _range(values: np.ndarray, bits: int, ranges: int) -> np.ndarray:
     return (high * U64(ranges) >> U64(32)).astype(np.int64)
 
 
-def _to_nodes(nodes: np.ndarray, more: np.ndarray, owner: np.ndarray, grams: np.ndarray, counts: np.ndarray, dests: int) -> Iterator[tuple]:
-    """Rows for the tasks of the nodes: entries (owner, gram, count) by ranges of the nodes' first half."""
-    if not len(owner):
-        return
-    first = nodes[:, 0]
-    order = np.lexsort((owner, first[owner]))
-    owner, grams, counts = owner[order], grams[order], counts[order]
-    dest = _range(first[owner], 64, dests)
-    cut = np.append(np.flatnonzero(np.append(True, dest[1:] != dest[:-1])), len(dest)).tolist()
-    for a, b in zip(cut, cut[1:]):
-        new = np.flatnonzero(np.append(True, owner[a + 1 : b] != owner[a : b - 1]))
-        own = owner[a:b][new]
-        table = np.concatenate([nodes[own], more[own]], 1)
-        yield int(dest[a]), int(dest[a]), table.tobytes(), pack(grams[a:b]), pack(np.diff(np.append(new, b - a))), pack(counts[a:b])
-
-
-def _send(percent: int, n: int, load: int, bits: int, ranges: int, dests: int, heavy, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """n-grams to the task of their range, those of the broadcast list that are keys to the task of their node."""
+def _cuts(sorted_values: np.ndarray) -> list[tuple[int, int]]:
+    """Bounds of the runs of equal values."""
+    if not len(sorted_values):
+        return []
+    cut = np.append(np.flatnonzero(np.append(True, sorted_values[1:] != sorted_values[:-1])), len(sorted_values)).tolist()
+    return list(zip(cut, cut[1:]))
+
+
+@dataclass(frozen=True)
+class Route:
+    """Numbers of bits and of tasks: n-grams are counted in ``ranges``, keys picked in ``dests``."""
+
+    gram_bits: int
+    ref_bits: int
+    ranges: int
+    dests: int
+
+    def refs(self, nodes: np.ndarray) -> np.ndarray:
+        return nodes[:, 0] >> U64(64 - self.ref_bits)
+
+    def to_nodes(self, refs: np.ndarray, grams: np.ndarray, counts: np.ndarray) -> Iterator[tuple]:
+        """Rows for the tasks of the nodes."""
+        order = np.argsort(refs, kind="stable")
+        refs, grams, counts = refs[order], grams[order], counts[order]
+        dest = _range(refs, self.ref_bits, self.dests)
+        for a, b in _cuts(dest):
+            yield int(dest[a]) % self.ranges, int(dest[a]), pack_sorted(refs[a:b]), pack(grams[a:b]), pack(counts[a:b]), None
+
+
+def _send(percent: int, n: int, load: int, route: Route, heavy, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """n-grams to the task of their range; nodes, and those of their n-grams on the broadcast list that are keys, to the task of the node."""
     p, buffer = Plan(percent), Buffer()
     listed, weight = heavy.value
 
     def flush() -> Iterator[pa.RecordBatch]:
         nodes, sizes, grams, owner = buffer.take()
-        grams >>= U64(64 - bits)
+        grams >>= U64(64 - route.gram_bits)
         new = np.ones(len(grams), bool)
         new[1:] = (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])
         grams, owner = grams[new], owner[new]
-        held = np.bincount(owner, minlength=len(nodes))
+        held, refs = np.bincount(owner, minlength=len(nodes)), route.refs(nodes)
         prefix = p.prefix(sizes)
         at = np.minimum(np.searchsorted(listed, grams), max(0, len(listed) - 1))
         is_heavy = listed[at] == grams if len(listed) else np.zeros(len(grams), bool)
         light = held - np.bincount(owner[is_heavy], minlength=len(nodes))
         # beyond the prefix lie this many of the light ones; a prefix with room for all of them takes heavy ones too
-        more = np.stack([sizes, np.maximum(0, light - prefix)], 1).astype(U64)
+        table = np.concatenate([nodes, np.stack([sizes, np.maximum(0, light - prefix)], 1).astype(U64)], 1)
+        order = np.argsort(refs, kind="stable")
+        dest = _range(refs[order], route.ref_bits, route.dests)
+        rows = [(int(dest[a]) % route.ranges, int(dest[a]), None, None, None, table[order[a:b]].tobytes()) for a, b in _cuts(dest)]
         if is_heavy.any():
             g, o, w = grams[is_heavy], owner[is_heavy], weight[at[is_heavy]]
             order = np.lexsort((g, w, o))
             g, o, w = g[order], o[order], w[order]
             key = np.arange(len(o)) - np.searchsorted(o, o) < (prefix - light)[o]
-            rows = [(d % ranges, *rest) for d, *rest in _to_nodes(nodes, more, o[key], g[key], w[key], dests)]
-            if rows:
-                yield _sent(rows)
+            rows += route.to_nodes(refs[o[key]], g[key], w[key])
             grams, owner = grams[~is_heavy], owner[~is_heavy]
+        if rows:
+            yield _sent(rows)
         order = np.argsort(grams, kind="stable")
-        grams, owner = grams[order], owner[order]
-        part = _range(grams, bits, ranges)
-        cut = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part)).tolist() if len(part) else []
+        grams, own = grams[order], refs[owner[order]]
+        part = _range(grams, route.gram_bits, route.ranges)
         rows, size = [], 0
-        for a, b in zip(cut, cut[1:]):
-            if 16 * (b - a) > len(nodes):
-                there = np.zeros(len(nodes), bool)
-                there[owner[a:b]] = True
-                own, place = np.flatnonzero(there), (np.cumsum(there) - 1)[owner[a:b]]
-            else:
-                own, place = np.unique(owner[a:b], return_inverse=True)
-            rows.append((int(part[a]), None, np.concatenate([nodes[own], more[own]], 1).tobytes(), pack_sorted(grams[a:b]), pack(place), None))
+        for a, b in _cuts(part):
+            rows.append((int(part[a]), None, pack(own[a:b]), pack_sorted(grams[a:b]), None, None))
             size += b - a
             if size >= 1 << 18:
                 yield _sent(rows)
@@ -333,69 +344,73 @@ def _by(column: str, batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
         yield held
 
 
-def _tables(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(nodes, their size and number beyond the prefix, number of each table's entry, where tables begin)."""
-    tables = [np.frombuffer(r["nodes"], U64).reshape(-1, 4) for r in rows]
-    every = np.concatenate(tables)
-    first, number = _numbered(every[:, :2])
-    return every[first, :2], every[first, 2:], number, np.cumsum([0, *map(len, tables)])
+def _distinct(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Where a pair of sorted columns differs from the one before it."""
+    new = np.ones(len(first), bool)
+    new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
+    return new
 
 
-def _count(dests: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count(route: Route, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """n-grams that two or more nodes hold, with their number of nodes, to the tasks of the nodes. Rows come sorted by part."""
     for rows in _by("part", batches):
-        if passed := [(0, *[r[c] for c in ("dest", "nodes", "grams", "places", "counts")]) for r in rows if r["dest"] is not None]:
+        if passed := [tuple(r.values()) for r in rows if r["dest"] is not None]:
             yield _sent(passed)
         rows = [r for r in rows if r["dest"] is None]
         if not rows:
             continue
-        nodes, more, number, begin = _tables(rows)
         grams = np.concatenate([unpack_sorted(r["grams"]) for r in rows])
-        owner = np.concatenate([number[b:][unpack(r["places"]).astype(np.int64)] for r, b in zip(rows, begin)])
+        refs = np.concatenate([unpack(r["refs"]) for r in rows])
         del rows
         order = np.argsort(grams, kind="stable")
-        grams, owner = grams[order], owner[order]
+        grams, refs = grams[order], refs[order]
         same = grams[1:] == grams[:-1]
         several = np.append(same, False) | np.append(False, same)
-        grams, owner = grams[several], owner[several]
-        order = np.lexsort((owner, grams))
-        grams, owner = grams[order], owner[order]
-        new = np.ones(len(grams), bool)
-        new[1:] = (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])
-        grams, owner = grams[new], owner[new]
-        if not len(grams):
-            continue
-        begins = np.flatnonzero(np.append(True, grams[1:] != grams[:-1]))
-        copies = np.diff(np.append(begins, len(grams)))
+        grams, refs = grams[several], refs[several]
+        order = np.lexsort((refs, grams))
+        grams, refs = grams[order], refs[order]
+        new = _distinct(grams, refs)
+        grams, refs = grams[new], refs[new]
+        copies = np.array([b - a for a, b in _cuts(grams)], np.int64)
         counts = np.repeat(copies, copies)
         several = counts > 1
-        out = list(_to_nodes(nodes, more, owner[several], grams[several], counts[several].astype(U64), dests))
+        out = list(route.to_nodes(refs[several], grams[several], counts[several].astype(U64)))
         for k in range(0, len(out), 1024):
             yield _sent(out[k : k + 1024])
 
 
-def _keys(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keys(percent: int, route: Route, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keys of the nodes. Rows come sorted by dest."""
     p = Plan(percent)
     for rows in _by("dest", batches):
-        nodes, more, number, _ = _tables(rows)
+        table = np.concatenate([np.frombuffer(r["nodes"], U64).reshape(-1, 4) for r in rows if r["nodes"] is not None])
+        table = table[_numbered(table[:, :2])[0]]
+        rows = [r for r in rows if r["nodes"] is None]
+        if not rows:
+            continue
+        refs = np.concatenate([unpack_sorted(r["refs"]) for r in rows])
         grams, counts = (np.concatenate([unpack(r[c]) for r in rows]) for c in ("grams", "counts"))
-        owner = np.repeat(number, np.concatenate([unpack(r["places"]) for r in rows]).astype(np.int64))
-        order = np.lexsort((grams, counts, owner))
-        grams, owner = grams[order], owner[order]
-        new = np.ones(len(grams), bool)  # what several buffers sent
-        new[1:] = (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])
-        grams, owner = grams[new], owner[new]
+        order = np.lexsort((grams, counts, refs))
+        grams, refs = grams[order], refs[order]
+        new = _distinct(grams, refs)  # several buffers may send the same
+        grams, refs = grams[new], refs[new]
+        own = route.refs(table)
+        owner = np.searchsorted(own, refs)
+        shared = np.searchsorted(own, refs, "right") - owner
         # n-grams that no other node holds come first and meet nothing
-        room = np.bincount(owner, minlength=len(nodes)) - more[:, 1].astype(np.int64)
-        first = np.arange(len(owner)) - np.searchsorted(owner, owner) < room[owner]
-        grams, owner = grams[first], owner[first]
-        band, lower = p.tiles(more[:, 0].astype(np.int64))
+        room = np.bincount(owner, minlength=len(table)) - table[:, 3].astype(np.int64)
+        key = (np.arange(len(owner)) - np.searchsorted(owner, owner) < room[owner]) | (shared > 1)
+        grams, owner, shared = grams[key], owner[key], shared[key]
+        # nodes with one short hash cannot be told apart: each has all n-grams of theirs as keys
+        more = np.flatnonzero(shared > 1)
+        grams = np.concatenate([grams, np.repeat(grams[more], shared[more] - 1)])
+        owner = np.concatenate([owner, *[np.arange(owner[i] + 1, owner[i] + shared[i]) for i in more.tolist()]])
+        band, lower = p.tiles(table[:, 2].astype(np.int64))
         for tile, mine in ((band, np.ones(len(owner), bool)), (band - 1, lower[owner])):
             o = owner[mine]
             key = mix(grams[mine] * U64(0x9FB21C651E98DF25) + mix(tile[o].astype(U64) + U64(1)))
             for a in range(0, len(o), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(key[a : a + (1 << 16)].view(np.int64)), node_column(nodes[o[a : a + (1 << 16)]])], ["key", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[a : a + (1 << 16)].view(np.int64)), node_column(table[o[a : a + (1 << 16)], :2])], ["key", "node"])
 
 
 _SETS = "node binary, n long, bitmap binary, grams binary"
@@ -523,14 +538,15 @@ class Join:
 
     def postings(self) -> DataFrame:
         """key, node: the keys that more than one node might have."""
-        total = self.described.agg(F.sum("n")).first()[0] or 0
+        total, rows = (x or 0 for x in self.described.agg(F.sum("n"), F.count("*")).first())
         least = 4 * self.spark.sparkContext.defaultParallelism
-        ranges, dests = max(least, -(-total // self.load)), max(least, -(-total // (4 * self.load)))
-        bits = min(64, max(32, int(total).bit_length() + 12))
-        heavy = self.spark.sparkContext.broadcast(self._listed(bits))
-        sent = self.docs.mapInArrow(functools.partial(_send, self.percent, self.n, self.load, bits, ranges, dests, heavy), _SENT)
-        counted = sent.repartition(ranges, "part").sortWithinPartitions("part").mapInArrow(functools.partial(_count, dests), _SENT)
-        keys = counted.repartition(dests, "dest").sortWithinPartitions("dest").mapInArrow(functools.partial(_keys, self.percent), "key long, node binary")
+        route = Route(
+            min(64, max(32, int(total).bit_length() + 8)), min(64, max(32, int(rows).bit_length() + 20)), max(least, -(-total // self.load)), max(least, -(-total // (4 * self.load)))
+        )
+        heavy = self.spark.sparkContext.broadcast(self._listed(route.gram_bits))
+        sent = self.docs.mapInArrow(functools.partial(_send, self.percent, self.n, self.load, route, heavy), _SENT)
+        counted = sent.repartition(route.ranges, "part").sortWithinPartitions("part").mapInArrow(functools.partial(_count, route), _SENT)
+        keys = counted.repartition(route.dests, "dest").sortWithinPartitions("dest").mapInArrow(functools.partial(_keys, self.percent, route), "key long, node binary")
         return self.scratch.cut(keys, "postings")
 
     def stars(self, postings: DataFrame) -> DataFrame:
