@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinlathe.functions.naming import canonicalize_version, extract_version, stem_base, track_name
+from twinlathe.functions.naming import canonicalize_version, stem_base, with_name
 from twinlathe.functions.text import file_name, stem, suffix
 from twinlathe.operators.linkage import library_pair
 from twinlathe.operators.scan import order_key
@@ -61,8 +61,7 @@ def with_track_names(tracks: DataFrame, qualifier: Column | None = None) -> Data
     """``tracks`` (featured) with the derived name as ``name``."""
     title = F.coalesce(F.nullif(F.col("title"), F.lit("")), F.col("filename_title"))
     artist = F.coalesce(F.nullif(F.col("artist"), F.lit("")), F.col("filename_artist"))
-    df = tracks.withColumn("_v", extract_version(title))
-    return df.withColumn("name", track_name(F.col("rel"), title, artist, F.col("_v.base"), F.col("_v.version"), qualifier)).drop("_v")
+    return with_name(tracks, F.col("rel"), title, artist, qualifier)
 
 
 def promotion_plan(incoming: DataFrame, existing: DataFrame) -> DataFrame:
