@@ -11,7 +11,3 @@ class ConfigError(LinkageError):
 
 class ConfirmationRequired(LinkageError):
     """Something destructive was asked for without confirmation."""
-
-
-class NameCollision(LinkageError):
-    """A promotion would take a name that is in use."""

@@ -28,6 +28,7 @@ QUOTES = {"’": "'", "‘": "'", "‚": "'", "´": "'", "“": '"', "”": '"',
 DASHES = "–—-"
 
 TERM_PATTERN = r"\b(?:" + "|".join(re.escape(t).replace("\\ ", " ") for t in VERSION_TERMS) + r")\b"
+# Fixed value: what introduces a guest.
 FEAT_PATTERN = r"\b(?:feat(?:uring)?(?:\.|\b)|ft(?:\.|\b))"
 ASCII_PATTERN = r"^[\x00-\x7f]*$"
 

@@ -38,6 +38,33 @@ def review_outcomes(pairs: DataFrame, choices: DataFrame, mode: str = "dedupe")
     return joined.withColumns({"remove_rel": F.when(F.col("outcome") == "quarantined", remove), "recorded": recorded})
 
 
+def review_stats(outcomes: DataFrame) -> DataFrame:
+    """One row of counters over reviewed pairs (outcome): a refused removal and a version that was
+    there already keep both files; pending, obsolete and cancelled pairs are not processed."""
+    n = lambda *names: F.count_if(F.col("outcome").isin(*names))
+    return outcomes.agg(
+        n("quarantined", "promoted", "renamed", "kept", "refused").alias("processed"), n("quarantined").alias("quarantined"), n("promoted").alias("promoted"),
+        n("renamed").alias("renamed"), n("kept", "refused").alias("kept"), n("skipped").alias("skipped"), n("pending", "cancelled").alias("remaining"),
+    )
+
+
+def version_plan(pairs: DataFrame, choices: DataFrame) -> DataFrame:
+    """New names for the pairs chosen 'v'. ``choices``: id, which (a, b or x for both), label_a,
+    label_b. ``pairs``: id and both members' rel, title, artist, filename_title, filename_artist.
+    One row for each member to name: id, side, rel, dest (in the same folder). A side without a
+    label has no row, so a choice without usable labels plans nothing."""
+    wanted = choices.where("choice = 'v'").select("id", "which", "label_a", "label_b").join(pairs, "id")
+    fields = ("rel", "title", "artist", "filename_title", "filename_artist")
+
+    def side(s: str) -> DataFrame:
+        mine = wanted.where(F.col("which").isin(s, "x") & (F.trim(F.coalesce(f"label_{s}", F.lit(""))) != ""))
+        return mine.select("id", F.lit(s).alias("side"), F.col(f"label_{s}").alias("qualifier"), *[F.col(f"{s}_{f}").alias(f) for f in fields])
+
+    named = with_track_names(side("a").unionByName(side("b")), F.col("qualifier"))
+    folder = F.regexp_extract("rel", r"^(.*/)[^/]*$", 1)
+    return named.select("id", "side", "rel", F.concat(folder, F.col("name")).alias("dest"))
+
+
 def quarantine_plan(files: DataFrame, day: str, taken: DataFrame | None = None) -> DataFrame:
     """rel, dest below the trash; a taken name gets ' - 2', ' - 3', ... in path order.
     ``taken``: dest of what the trash already holds (the executor checks again)."""

@@ -18,20 +18,22 @@ def upsert(recorded: DataFrame, new: DataFrame) -> DataFrame:
     return recorded.unionByName(new, allowMissingColumns=True).withColumn("_n", newest).where("_n = 1").drop("_n")
 
 
-def deleted(recorded: DataFrame, id_: str) -> DataFrame:
-    return recorded.where(F.col("id") != id_)
-
-
-def remove_entry(kept: Column, removed: Column) -> list[Column]:
-    return [decision_id(kept, removed).alias("id"), F.lit("remove").alias("action"), kept.alias("kept"), removed.alias("removed")]
-
-
-def keep_both_entry(a: Column, b: Column) -> list[Column]:
-    return [decision_id(a, b).alias("id"), F.lit("keep_both").alias("action"), a.alias("a"), b.alias("b")]
-
-
-def rename_entry(a: Column, b: Column, renames: Column) -> list[Column]:
-    return [decision_id(a, b).alias("id"), F.lit("rename").alias("action"), a.alias("a"), b.alias("b"), renames.alias("renames")]
+def deleted(recorded: DataFrame, root: str, id_: str | None = None) -> DataFrame:
+    """Without one decision of a root (ids hash paths below it, so roots may share them), or without all of its."""
+    mine = F.col("root") == root
+    return recorded.where(~(mine if id_ is None else mine & (F.col("id") == id_)))
+
+
+def entries(done: DataFrame, root: str, created: Column, after: int) -> DataFrame:
+    """Decisions for actions carried out: ``done`` has n (order), action, a, b and, by action,
+    kept and removed, or renames. A rename without renames changes nothing and is dropped."""
+    remove, rename = F.col("action") == "remove", F.col("action") == "rename"
+    first, second = F.when(remove, F.col("kept")).otherwise(F.col("a")), F.when(remove, F.col("removed")).otherwise(F.col("b"))
+    return done.where(~rename | (F.size("renames") > 0)).select(
+        F.lit(root).alias("root"), decision_id(first, second).alias("id"), created.alias("created"), "action",
+        F.when(remove, F.col("kept")).alias("kept"), F.when(remove, F.col("removed")).alias("removed"),
+        F.when(~remove, F.col("a")).alias("a"), F.when(~remove, F.col("b")).alias("b"), F.when(rename, F.col("renames")).alias("renames"), (F.col("n") + after + 1).alias("seq"),
+    )
 
 
 def _known(inventory: DataFrame, name: str) -> DataFrame:

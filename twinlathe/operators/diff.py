@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from twinlathe.schema import TRASH_DIR
 
+# What a transfer leaves out.
 EXCLUDES = (TRASH_DIR, ".twinlathe-cache.json", ".venv", ".git", "__pycache__", ".pytest_cache", "*.egg-info")
 
 
@@ -45,3 +46,11 @@ def sync_plan(root: str, remote: str, remote_root: str, direction: str, local_se
 
 def needs_confirmation(dry_run: bool, yes: bool) -> bool:
     return not (dry_run or yes)
+
+
+def running_guard(here: bool, there: bool | None) -> tuple[str | None, str | None]:
+    """(error, warning) before settings of an application are transferred: it must run on neither
+    side; ``there`` is None where the other side can't be asked."""
+    if here or there:
+        return f"the application is running {'here' if here else 'on the other side'}: close it before its settings are transferred", None
+    return None, "could not ask whether the application runs on the other side" if there is None else None

@@ -118,6 +118,24 @@ def candidates(tracks: DataFrame, resolved: DataFrame | None = None) -> DataFram
     return classified(qualified.withColumn("fp_sim", F.lit(None).cast("double")))
 
 
+def files_to_print(pairs: DataFrame) -> DataFrame:
+    """Distinct files (rel, path) of pairs that aren't exact and that have no fingerprint yet."""
+    open_ = pairs.where(F.col("category") != CATEGORIES[0])
+    side = lambda s: open_.where(F.coalesce(f"{s}_fingerprint", F.lit("")) == "").select(F.col(f"{s}_rel").alias("rel"), F.col(f"{s}_path").alias("path"))
+    return side("a").unionByName(side("b")).distinct()
+
+
+def with_prints(pairs: DataFrame, prints: DataFrame) -> DataFrame:
+    """``pairs`` with the fingerprints found (rel, fingerprint, fp_duration); a duration that was
+    unknown is the fingerprint's. Differences of durations stay as they were scored."""
+    for s in ("a", "b"):
+        found = prints.select(F.col("rel").alias(f"{s}_rel"), F.col("fingerprint").alias("_print"), F.col("fp_duration").alias("_seconds"))
+        pairs = pairs.join(found, f"{s}_rel", "left").withColumns({
+            f"{s}_fingerprint": F.coalesce(F.nullif(F.col(f"{s}_fingerprint"), F.lit("")), F.col("_print")), f"{s}_duration": F.coalesce(f"{s}_duration", "_seconds"),
+        }).drop("_print", "_seconds")
+    return pairs
+
+
 def enriched(pairs: DataFrame) -> DataFrame:
     """Pairs reclassified with the similarity of their fingerprints; exact pairs stay."""
     fp = fingerprint_similarity(decode_fingerprint(F.col("a_fingerprint")), decode_fingerprint(F.col("b_fingerprint")))
@@ -138,11 +156,16 @@ def review_order() -> list[Column]:
 
 
 def ranked(pairs: DataFrame) -> DataFrame:
-    """Pairs with their rank in the review queue: a report in one order, hence one last task
-    over the slim rank keys of the pairs."""
-    order = review_order()
-    keyed = pairs.withColumns({f"_o{i}": c for i, c in enumerate(order)})
-    return keyed.withColumn("rank", F.row_number().over(Window.orderBy(*[f"_o{i}" for i in range(len(order))]))).drop(*[f"_o{i}" for i in range(len(order))])
+    """Pairs with their rank in the review queue. Ranges of the order are ranked each by itself
+    and shifted by the pairs in the ranges before, of which only the counts meet."""
+    order = [f"_o{i}" for i, _ in enumerate(review_order())]
+    keyed = pairs.withColumns(dict(zip(order, review_order())))
+    parts = materialized(keyed.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    counts = parts.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) + F.col("_before")
+    return parts.join(F.broadcast(shifts), "_part").withColumn("rank", rank.cast("int")).drop("_part", "_before", *order)
 
 
 def category_counts(pairs: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+# Domains of the columns.
 SOURCES = ("library", "tracks", "incoming")
 SOURCE_DIRS = {"library": "Library", "tracks": "Tracks", "incoming": "Incoming"}
 CATEGORIES = ("EXACT_DUPLICATE", "VERY_LIKELY_SAME_RECORDING", "POSSIBLE_SAME_RECORDING", "POSSIBLE_ALTERNATE_VERSION")

@@ -16,10 +16,9 @@ from pathlib import Path
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-PROBE_SECONDS, PRINT_SECONDS = 60, 300
+PROBE_SECONDS, PRINT_SECONDS, VERSION_SECONDS = 60, 300, 10
 
 # Tag names by container, the first that is filled counts.
 TAG_NAMES = {
@@ -60,6 +59,17 @@ def _tool(args: list[str], seconds: int) -> str | None:
     return run.stdout if run.returncode == 0 else None
 
 
+def tool_version(tool: str, flag: str) -> str | None:
+    """First line of the tool's version; None where it isn't there or says nothing."""
+    if shutil.which(tool) is None:
+        return None
+    try:
+        run = subprocess.run([tool, flag], capture_output=True, text=True, timeout=VERSION_SECONDS, check=False)
+    except (OSError, subprocess.TimeoutExpired):
+        return None
+    return next(iter((run.stdout or run.stderr).strip().splitlines()), None)
+
+
 def parse_probe(text: str | None) -> dict[str, Any]:
     """duration, sample_rate and bits from the probe's JSON; {} where it is none."""
     try:
@@ -125,8 +135,3 @@ def _prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def with_fingerprints(files: DataFrame) -> DataFrame:
     """Fingerprints by rel for files (path, rel): call for distinct files that need one."""
     return files.select("path", "rel").mapInPandas(_prints, PRINT_DDL)
-
-
-def parse_print(output: Column) -> Column:
-    """The tool's KEY=VALUE lines as a map."""
-    return F.str_to_map(output, F.lit("\n"), F.lit("="))

@@ -57,8 +57,19 @@ def save_cache(tracks: DataFrame, folder: str | Path, root: str) -> None:
     save(load(spark, folder, "cache", CACHE_DDL).where(F.col("root") != root).unionByName(mine), folder, "cache")
 
 
-def clear(folder: str | Path, name: str) -> None:
-    _pointer(Path(folder), name).unlink(missing_ok=True)
+def clear(spark: SparkSession, folder: str | Path, name: str, ddl: str, root: str) -> int:
+    """Removes what the table knows of ``root``; returns how many rows. Other roots stay."""
+    table = load(spark, folder, name, ddl)
+    n = table.where(F.col("root") == root).count()
+    if n:
+        save(table.where(F.col("root") != root), folder, name)
+    return n
+
+
+def size(folder: str | Path, name: str) -> int:
+    """Bytes of the current table; 0 where there is none."""
+    pointer = _pointer(Path(folder), name)
+    return sum(p.stat().st_size for p in Path(folder, pointer.read_text().strip()).rglob("*") if p.is_file()) if pointer.exists() else 0
 
 
 def load_decisions(spark: SparkSession, folder: str | Path, root: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Tables written to the folder that driver and executors share, to cut lineage.
 
-The folder is ``spark.checkpoint.dir``; a session without that setting gets one of its own.
+The folder is ``spark.checkpoint.dir``; a local session without that setting gets one of its
+own. On a cluster its lack is an error: executors would not see each other's files.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ def materialized(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='twinlathe-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/twinlathe-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}")
