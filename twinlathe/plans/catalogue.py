@@ -64,8 +64,7 @@ def cache_hit_stale_new(spark: SparkSession, d: str) -> DataFrame:
 
 # --- text -------------------------------------------------------------------------------
 
-_FIRST_LINE = "string_split(text, chr(10))[1]"
-_DOC_NORM = fx.norm_sql(f"replace({_FIRST_LINE}, 'ß', 'ss')")
+_DOC_NORM = fx.norm_sql("replace(coalesce(text, chr(32)), 'ß', 'ss')")
 
 
 @query(f"SELECT doc_id, {_DOC_NORM} AS norm FROM documents")
@@ -107,7 +106,25 @@ def filename_guess(spark: SparkSession, d: str) -> DataFrame:
     return fx.table(spark, d, "part").select(k.alias("id"), text.guess_from_stem(stem).alias("g")).select("id", "g.artist", "g.title")
 
 
-@query()
+def _codes(x: str) -> str:
+    return f"list_transform(range(1, length({x}) + 1), lambda i: ord({x}[i::INTEGER])::INTEGER)"
+
+
+def _lcs_sql(x: str, y: str) -> str:
+    """Length of the longest common subsequence of two lists of codes, row by row."""
+    cell = f"CASE WHEN {y}[j[1]] = c[1] THEN row[j[1]] + 1 ELSE greatest(row[j[1] + 1], done[j[1]]) END"
+    columns = f"list_concat([[0]], list_transform(range(1, len({y}) + 1), lambda k: [k::INTEGER]))"
+    row = f"list_reduce({columns}, lambda done, j: list_append(done, {cell}))"
+    rows = f"list_concat([list_transform(range(len({y}) + 1), lambda k: 0)], list_transform({x}, lambda k: [k]))"
+    return f"list_last(list_reduce({rows}, lambda row, c: {row}))"
+
+
+_SORTED = "array_to_string(list_sort(string_split({}, ' ')), ' ')"
+
+
+@query(f"""WITH parts AS (SELECT DISTINCT p_name, p_brand FROM part), pairs AS (SELECT DISTINCT x.p_name AS a, y.p_name AS b FROM parts x JOIN parts y ON x.p_brand = y.p_brand AND x.p_name < y.p_name),
+codes AS (SELECT a, b, {_codes("a")} AS ca, {_codes("b")} AS cb, {_codes(_SORTED.format("a"))} AS sa, {_codes(_SORTED.format("b"))} AS sb FROM pairs)
+SELECT a, b, round(2.0::DOUBLE * greatest({_lcs_sql("ca", "cb")}, {_lcs_sql("sa", "sb")}) / (length(a) + length(b)), 6) AS sim FROM codes""")
 def text_similarity(spark: SparkSession, d: str) -> DataFrame:
     parts = fx.table(spark, d, "part").select("p_name", "p_brand").distinct()
     pairs = parts.alias("x").join(parts.alias("y"), F.expr("x.p_brand = y.p_brand AND x.p_name < y.p_name")).select(F.col("x.p_name").alias("a"), F.col("y.p_name").alias("b")).distinct()
@@ -206,6 +223,22 @@ def fp_classified(spark: SparkSession, d: str) -> DataFrame:
     return linkage.enriched(linkage.candidates(fx.part_featured(spark, d))).select("a_rel", "b_rel", "category")
 
 
+_ROTATED = "list_concat(list_transform(range(b.vec_id % 40), lambda i: (i * 2654435 + b.vec_id) % 4294967296), b.words)"
+_SHARE = "bit_count(xor(a.words[1], w[o + 1])) + bit_count(xor(a.words[2], w[o + 2]))"
+
+
+@query(f"""WITH {fx.EMB_SQL}, p AS (SELECT a.vec_id AS a, b.vec_id AS b, a.words AS x, {_ROTATED} AS w FROM prints a JOIN prints b ON b.vec_id = a.vec_id + 1)
+SELECT a, b, len(w)::BIGINT AS longer, greatest(0.0::DOUBLE, list_max(list_transform(range(least(len(w) - 2, 32) + 1), lambda o: 1.0::DOUBLE - ({_SHARE.replace("a.words", "x")}) / (32.0::DOUBLE * len(w))))) AS fp_sim FROM p""")
+def fp_alignments(spark: SparkSession, d: str) -> DataFrame:
+    """Prints of different lengths: two words against 2 to 41, over offsets of up to 32."""
+    p = fx.emb_prints(spark, d)
+    a, b = p.select(F.col("vec_id").alias("a"), F.col("words").alias("wa")), p.select(F.col("vec_id").alias("b"), F.col("words").alias("wb"))
+    n = F.col("b") % 40
+    before = F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: (i * 2654435 + F.col("b")) % 4294967296)).otherwise(F.array().cast("array<bigint>"))
+    pairs = a.join(b, F.col("b") == F.col("a") + 1).withColumn("wb", F.concat(before, "wb"))
+    return pairs.select("a", "b", F.size("wb").cast("long").alias("longer"), similarity.fingerprint_similarity(F.col("wa"), F.col("wb")).alias("fp_sim"))
+
+
 # --- names ------------------------------------------------------------------------------
 
 _TOKENS = "(?:" + "|".join(sorted(naming.VERSION_LABELS, key=lambda p: (-p.count(" "), p))) + "|[^ ]+)(?: |$)"
@@ -310,6 +343,24 @@ def describe_decisions(spark: SparkSession, d: str) -> DataFrame:
     return fx.decisions(spark, d).select("id", report.describe_decision().alias("line"))
 
 
+@query(f"""{_DECIDED}, done AS (SELECT *, row_number() OVER (ORDER BY seq) - 1 AS n FROM decisions)
+SELECT id, ['remove', 'rename', 'keep_both', 'rename'][kind + 1] AS action, CASE WHEN kind = 0 THEN x END AS kept, CASE WHEN kind = 0 THEN y END AS removed,
+ CASE WHEN kind <> 0 THEN x END AS a, CASE WHEN kind <> 0 THEN y END AS b, CASE WHEN kind IN (1, 3) THEN x_to END AS to_rel, seq + 101 AS seq FROM done""")
+def decision_entries(spark: SparkSession, d: str) -> DataFrame:
+    """Decisions as recording writes them, from the actions carried out."""
+    rows = fx.decisions(spark, d)
+    done = rows.select(F.col("seq").alias("n"), "action", "kept", "removed", F.coalesce("a", F.col("renames")[0]["from"]).alias("a"), F.coalesce("b", F.col("renames")[1]["from"]).alias("b"), "renames")
+    written = decisions.entries(done, "root", report.iso_now(), 100)
+    return written.select("id", "action", "kept", "removed", "a", "b", F.col("renames")[0]["to"].alias("to_rel"), "seq")
+
+
+@query(f"{_DECIDED} SELECT id, kind FROM decisions WHERE seq % 3 <> 0")
+def decisions_left(spark: SparkSession, d: str) -> DataFrame:
+    """What a root's clearing leaves of two roots that share ids."""
+    rows = fx.decisions(spark, d).withColumn("root", F.when(F.col("seq") % 3 == 0, "/r").otherwise("/s"))
+    return decisions.deleted(rows, "/r").select("id", (F.col("seq") % 4).alias("kind"))
+
+
 # --- actions ----------------------------------------------------------------------------
 
 _CHOICE = "['a', 'b', 'k', 'v', 's'][((ascii(id[1]) + ascii(id[2])) % 6) + 1]"
@@ -327,6 +378,20 @@ def review_outcome_counts(spark: SparkSession, d: str) -> DataFrame:
     return actions.review_outcomes(pairs, choices, "ingest").groupBy("outcome").agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH {fx.PAIRS_SQL}, keyed AS (SELECT *, substr(sha1(least(a_rel, b_rel) || '|' || greatest(a_rel, b_rel)), 1, 10) AS id FROM pairs),
+ chosen AS (SELECT *, ['a', 'b', 'x'][ascii(id[1]) % 3 + 1] AS which FROM keyed),
+ sides AS (SELECT id, 'a' AS side, a_rel AS rel, 'Live' AS label FROM chosen WHERE which IN ('a', 'x') UNION ALL SELECT id, 'b', b_rel, 'Club Mix' FROM chosen WHERE which IN ('b', 'x')),
+ named AS (SELECT s.*, t.artist, regexp_replace(t.title, ' (\\(Radio Edit\\)|\\(Live\\)|- Remastered)$', '') AS base,
+  CASE WHEN ends_with(t.title, '(Radio Edit)') THEN 'Radio Edit' WHEN ends_with(t.title, '(Live)') THEN 'Live' WHEN ends_with(t.title, 'Remastered') THEN 'Remaster' ELSE '' END AS own,
+  t.title, regexp_extract(s.rel, '^(.*/)[^/]*$', 1) AS folder, regexp_extract(s.rel, '([^/]*)[.]flac$', 1) AS stem FROM sides s JOIN tracks t ON t.rel = s.rel)
+SELECT id, side, rel, folder || CASE WHEN title = '' THEN stem ELSE base END || ' - ' || artist || ' [' || CASE WHEN title = '' OR own = '' OR own = label THEN label ELSE own || ' ' || label END || '].flac' AS dest FROM named""")
+def version_plan(spark: SparkSession, d: str) -> DataFrame:
+    pairs = linkage.candidates(fx.part_featured(spark, d)).withColumn("id", decisions.decision_id(F.col("a_rel"), F.col("b_rel")))
+    which = F.get(F.array(*map(F.lit, "abx")), F.ascii(F.substring("id", 1, 1)) % 3)
+    choices = pairs.select("id", F.lit("v").alias("choice"), which.alias("which"), F.lit("live").alias("label_a"), F.lit("CLUB MIX").alias("label_b"))
+    return actions.version_plan(pairs, choices)
+
+
 _TRASHED = f"WITH {_JUST_PARTS}, q AS (SELECT rel, source, '.Trash/2024-05-01/' || source || '/' AS base, (id % 50) || '.flac' AS name, id FROM parts)"
 
 
@@ -343,6 +408,11 @@ def trash_by_day(spark: SparkSession, d: str) -> DataFrame:
     return actions.trash_by_day(fx.table(spark, d, "events").select(report.day_folder(F.col("ts")).alias("day"), F.col("user_id").alias("size")))
 
 
+@query(f"WITH {fx.LISTING_SQL} SELECT id, substr(rel, strpos(rel, '/') + 1) AS path FROM listing")
+def path_in_source(spark: SparkSession, d: str) -> DataFrame:
+    return fx.listing(spark, d).select("id", scan.in_source(F.col("rel"), F.col("source")).alias("path"))
+
+
 @query(f"""WITH {fx.LISTING_SQL}, r AS (SELECT CASE WHEN id % 9 = 0 THEN rel || '.old' ELSE rel END AS rel, size + CASE WHEN id % 7 = 0 THEN 1 ELSE 0 END AS size, mtime_ns FROM listing WHERE id % 8 <> 3)
 SELECT coalesce(l.rel, r.rel) AS rel, CASE WHEN r.rel IS NULL THEN 'missing_remote' WHEN l.rel IS NULL THEN 'missing_local' ELSE 'differs' END AS change
 FROM listing l FULL JOIN r ON l.rel = r.rel WHERE l.rel IS NULL OR r.rel IS NULL OR l.size <> r.size OR l.mtime_ns <> r.mtime_ns""")

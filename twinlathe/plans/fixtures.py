@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from twinlathe.functions.text import VERSION_TERMS
 from twinlathe.operators.scan import featured
 
 DIRS = ("Library", "Tracks", "Incoming")
@@ -72,7 +73,7 @@ def part_featured(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The version terms for RE2. The text is ASCII here, so its ASCII word boundary will do.
-TERMS_RE2 = r"\b(?:album version|radio edit|radio mix|single version|original mix|extended mix|extended edit|club mix|dub mix|lp version|single edit|remaster|remastered|reissue|re-recorded|re-recording|rework|remix|clean|explicit|live|extended|edit|mix|version|acoustic|unplugged|instrumental|karaoke|reprise|demo|intro|outro|deluxe|bonus|radio|orchestral|12 inch|7 inch)\b"
+TERMS_RE2 = r"\b(?:" + "|".join(VERSION_TERMS) + r")\b"
 FEAT_RE2 = r"\b(?:feat(?:uring)?(?:\.|\b)|ft(?:\.|\b))"
 
 
@@ -136,7 +137,7 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recorded decisions of all three kinds over the part tracks."""
     t = part_tracks(spark, sf_dir).select("rel", "id")
     nxt = t.select(F.col("rel").alias("rel2"), (F.col("id") - 1).alias("id2"))
-    rows = t.join(nxt, F.col("id") == F.col("id2")).where("id % 5 = 0")
+    rows = t.join(nxt, F.col("id") == F.col("id2"))
     a, b, k = F.col("rel"), F.col("rel2"), F.col("id") % 4
     renames = F.array(F.struct(a.alias("from"), F.concat(F.lit("Tracks/"), (F.col("id") + 2).cast("string"), F.lit(".flac")).alias("to")), F.struct(b.alias("from"), F.concat(b, F.lit(".new")).alias("to")))
     from twinlathe.operators.decisions import decision_id
@@ -152,7 +153,7 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 DECISIONS_SQL = """decisions AS (
   SELECT substr(sha1(least(a.rel, b.rel) || '|' || greatest(a.rel, b.rel)), 1, 10) AS id, a.id % 4 AS kind, a.rel AS x, b.rel AS y,
          'Tracks/' || (a.id + 2) || '.flac' AS x_to, b.rel || '.new' AS y_to, a.id AS seq
-  FROM parts a JOIN parts b ON b.id = a.id + 1 WHERE a.id % 5 = 0),
+  FROM parts a JOIN parts b ON b.id = a.id + 1),
 inventory AS (SELECT rel FROM parts WHERE id % 7 <> 0 UNION ALL SELECT 'Tracks/' || id || '.flac' FROM parts WHERE id % 3 = 0)"""
 
 
