@@ -244,10 +244,13 @@ def training_text(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, short_byt
     sized = usable.select("doc_id", "lang", *[c.alias(n) for c, n in zip(place, ("long", "digest", "doc_id", "size")) if n != "doc_id"])
     chosen = sized.withColumn("first", first).where("first").select("doc_id").distinct()
     # at most docs_per_lang ids a language: written first, so that their size decides on a broadcast and texts aren't shuffled
-    chosen = Scratch(docs.sparkSession, "language").cut(chosen, "chosen")
+    scratch = Scratch(docs.sparkSession, "language")
+    chosen = scratch.cut(chosen, "chosen")
     order = Window.partitionBy("lang").orderBy(*place, "text")
     rows = usable.join(chosen, "doc_id", "left_semi").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= docs_per_lang)
-    return learned([(r["lang"], r["rank"], r["text"]) for r in rows.select("lang", "rank", "text").collect()], train_symbols)
+    got = [(r["lang"], r["rank"], r["text"]) for r in rows.select("lang", "rank", "text").collect()]
+    scratch.close()
+    return learned(got, train_symbols)
 
 
 def learned(rows: list[tuple[str, int, str]], train_symbols: int = TRAIN_SYMBOLS) -> tuple[tuple[str, bytes], ...]:

@@ -169,9 +169,11 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_grade: int = ROWS_PER_GRA
     rank = F.row_number().over(Window.partitionBy("grade").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id"))
     chosen = known.withColumn("rank", rank).where(F.col("rank") <= rows_per_grade).select("doc_id", "grade")
     # at most rows_per_grade ids a grade: written first, so that their size decides on a broadcast and texts aren't shuffled
-    chosen = Scratch(docs.sparkSession, "quality").cut(chosen, "chosen")
+    scratch = Scratch(docs.sparkSession, "ordinal")
+    chosen = scratch.cut(chosen, "chosen")
     table = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id").agg(F.first("grade").alias("grade"), F.min("text").alias("text")).orderBy("doc_id")
     got = table.select("grade", "text").mapInArrow(_collected, "grade int, index array<int>, rates array<double>").toArrow()
+    scratch.close()
     if not got.num_rows:
         return fit(np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0), np.zeros((0, len(CLASSES))), np.zeros(0, np.int64), grades)
     index = got["index"].combine_chunks()

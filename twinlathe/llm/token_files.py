@@ -430,7 +430,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path(BYTE_BPE), scratch)
     folder = scratch.folder("files")
     manifest = write_files(encoded, folder, scratch)
-    scratch.drop(encoded.table)
+    scratch.drop(encoded.table)  # the files hold what is needed from here on
     return read_files(manifest, folder, scratch, with_ids=False)
 
 
