@@ -210,6 +210,18 @@ def test_fingerprints_of_open_pairs(spark, root):
     assert all(r["a_duration"] == 3.5 for r in got.values() if r["category"] != "EXACT_DUPLICATE")
 
 
+def test_reports_of_pairs_and_files(spark, root):
+    from twinlathe.functions import report
+
+    for rel in ("Library/A - One.wav", "Tracks/A - One.wav"):
+        make_wav(root / rel, seed=1)
+    found = commands.scan_root(spark, root, root.parent / "state")
+    pair = report.pair_report(found.pairs).first()
+    assert pair["a_text"].startswith("A (from filename) - One (from filename)") and pair["choices"] == "a,k,v,s" and pair["title"] == "100.0%" and pair["fingerprint"] == "n/a"
+    file = report.file_report(found.tracks).orderBy("rel").first()
+    assert file["from_name"] == "A - One" and file["size"].endswith("KiB") and len(file["sha256"]) == 64 and file["tags"].startswith("title=— artist=—") and file["modified"].startswith("20")
+
+
 def test_status_and_guard(spark):
     here = spark.createDataFrame([("a", 1, 1), ("b", 2, 1), ("c", 3, 1)], "rel string, size long, mtime_ns long")
     there = spark.createDataFrame([("a", 1, 1), ("b", 9, 1), ("d", 3, 1)], "rel string, size long, mtime_ns long")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinlathe.functions.text import suffix
@@ -47,6 +47,32 @@ def describe_format(path: Column, sample_rate: Column, bits: Column, bitrate: Co
     )
 
 
+def pair_report(pairs: DataFrame) -> DataFrame:
+    """Pairs as they are shown for review: both members, the measures as text, and the choices
+    that are open (removing the library's copy of a cross-source pair is not)."""
+    side = lambda s: F.concat(
+        display(F.col(f"{s}_artist"), F.col(f"{s}_filename_artist")), F.lit(" - "), display(F.col(f"{s}_title"), F.col(f"{s}_filename_title")), F.lit("  "), fmt_duration(F.col(f"{s}_duration"))
+    )
+    share = lambda c: F.when(F.col(c).isNull(), "n/a").otherwise(F.format_string("%.1f%%", F.col(c) * 100))
+    seconds = F.when(F.col("duration_diff").isNull(), "n/a").otherwise(F.format_string("%.1f s", F.col("duration_diff")))
+    protected = (F.col("a_source") == "library") & (F.col("b_source") != "library")
+    return pairs.select(
+        "a_rel", "b_rel", "category", side("a").alias("a_text"), side("b").alias("b_text"), share("title_sim").alias("title"), share("artist_sim").alias("artist"),
+        seconds.alias("duration"), share("fp_sim").alias("fingerprint"), F.when(protected, "a,k,v,s").otherwise("a,b,k,v,s").alias("choices"), "note",
+    )
+
+
+def file_report(tracks: DataFrame) -> DataFrame:
+    """Everything known of a file, as text."""
+    known = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("—"))
+    modified = F.date_format(F.timestamp_micros(F.floor(F.col("mtime_ns") / 1000).cast("long")), "yyyy-MM-dd'T'HH:mm:ss")
+    tags = F.concat(*[x for c in ("title", "artist", "album", "track_no") for x in (F.lit(f"{c}="), known(c), F.lit(" "))])
+    return tracks.select(
+        "rel", fmt_bytes(F.col("size")).alias("size"), modified.alias("modified"), F.coalesce("sha256", F.lit("(not computed)")).alias("sha256"), F.rtrim(tags).alias("tags"),
+        F.concat_ws(" - ", "filename_artist", "filename_title").alias("from_name"), fmt_duration(F.col("duration")).alias("duration"), F.coalesce(F.nullif(F.col("format_desc"), F.lit("")), F.lit("unknown")).alias("format"),
+    )
+
+
 def describe_decision() -> Column:
     """One line for a decision row."""
     text = lambda name: F.coalesce(F.col(name), F.lit("None"))
