@@ -59,10 +59,14 @@ class _Rows:
 
     def without(self, decisions: DataFrame, kept: Column, scratch: Scratch) -> DataFrame:
         """The rows that ``decisions`` (rows by their key) don't reject. The rejected keys, fewer than
-        the kept ones, are written first, so that their size decides on a broadcast; where it fits,
-        no text is shuffled."""
+        the kept ones, are written first and broadcast if few enough; then no text is shuffled."""
         rejected = decisions.where(~F.coalesce(kept, F.lit(False))).select(*self.key).distinct()
-        return self.matched(self.keyed, scratch.cut(rejected, "rejected"), "left_anti")
+        return self.matched(self.keyed, scratch.small(scratch.cut(rejected, "rejected")), "left_anti")
+
+
+def _small(scratch: Scratch, whole: DataFrame, part: DataFrame) -> DataFrame:
+    """``part`` of the written table ``whole``, to be broadcast if that has few enough rows."""
+    return part if scratch.small(whole) is whole else F.broadcast(part)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -94,6 +98,7 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     left = rows.without(judged, F.col("first"), scratch)
     # rows equal in doc_id and text are compared with each other only
     repeated = scratch.cut(judged.where("first").groupBy(*rows.key).agg(F.count("*").alias("rows")).where("rows > 1").drop("rows"), "repeated")
+    repeated = scratch.small(repeated)
     one = rows.matched(left, repeated, "left_semi").dropDuplicates(list(rows.key))
     return rows.matched(left, repeated, "left_anti").unionByName(one).select(*docs.columns)
 
@@ -111,12 +116,13 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     )
     # most documents are taken once: only the others need a look-up
     other = scratch.cut(taken.where(f"most <> 1 OR `{times}` <> 1"), "copies")
-    even = rows.matched(keyed, other.where(f"most = `{times}`").select(*key, times), "left", key).withColumn(times, F.coalesce(times, F.lit(1)))
+    small = functools.partial(_small, scratch, other)
+    even = rows.matched(keyed, small(other.where(f"most = `{times}`").select(*key, times)), "left", key).withColumn(times, F.coalesce(times, F.lit(1)))
     # rows equal in doc_id, source and text between which the fraction ends: the first ones by number are taken once more
     uneven = other.where(f"most <> `{times}`")
-    even = rows.matched(even, uneven.select(*key), "left_anti", key)
+    even = rows.matched(even, small(uneven.select(*key)), "left_anti", key)
     number, extra = _fresh(docs, "_number"), _fresh(docs, "_extra")
-    split = rows.matched(keyed, uneven.select(*key, times, (F.col("sum") - F.col("rows") * F.col(times)).alias(extra)), "inner", key)
+    split = rows.matched(keyed, small(uneven.select(*key, times, (F.col("sum") - F.col("rows") * F.col(times)).alias(extra))), "inner", key)
     split = split.withColumn(number, F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0))))
     split = split.withColumn(times, F.col(times) + (F.col(number) <= F.col(extra)).cast("int")).drop(number, extra)
     both = even.unionByName(split).where(F.col(times) > 0)

@@ -60,7 +60,7 @@ from twinlathe.llm.storage import Scratch, carried
 
 BAND_RATIO = 1.25
 #: Least number of n-grams that a task holds at once, and most ranges into which hashes are cut.
-LOAD = 1 << 20
+LOAD = 1 << 19
 MOST_RANGES = 1 << 19
 BLOCK = 4096
 #: Pairs that share one copy of their left array.
@@ -556,11 +556,11 @@ class Join:
 
     def sets_of(self, pairs: DataFrame) -> DataFrame:
         """node, n, bitmap and grams of the ends of ``pairs``. Texts are those with the smallest
-        doc_id of each node, null equal to null; ids are written first, so that their size decides on a broadcast."""
+        doc_id of each node, null equal to null; ids are broadcast if there are few enough."""
         ends = self.scratch.cut(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "ends")
         ids = self.scratch.cut(self.nodes.join(ends, "node", "left_semi").select("min_id").distinct(), "ids")
-        texts = self.docs.join(ids, F.col("doc_id").eqNullSafe(F.col("min_id")), "left_semi")
-        found = texts.mapInArrow(functools.partial(_arrays, self.n), _SETS).join(ends, "node", "left_semi")
+        texts = self.docs.join(self.scratch.small(ids), F.col("doc_id").eqNullSafe(F.col("min_id")), "left_semi")
+        found = texts.mapInArrow(functools.partial(_arrays, self.n), _SETS).join(self.scratch.small(ends), "node", "left_semi")
         return self.scratch.cut(found.dropDuplicates(["node"]), "arrays")
 
     def linked(self, pairs: DataFrame) -> DataFrame:

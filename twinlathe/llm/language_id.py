@@ -191,7 +191,7 @@ class Parser:
         return counts
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def parser(training: tuple[tuple[str, bytes], ...]) -> Parser:
     return Parser(training)
 

@@ -13,6 +13,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a few numbers each (at most 40 bytes) that a join may broadcast.
+BROADCAST_ROWS = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -69,6 +73,11 @@ class Scratch:
         df.write.parquet(path, compression=codec)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def small(self, table: DataFrame) -> DataFrame:
+        """``table`` (written; rows of a few numbers), to be broadcast if it has at most
+        ``BROADCAST_ROWS`` rows; beyond that joins shuffle."""
+        return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
     def drop(self, *tables: DataFrame) -> None:
         """Drop the tables that nothing reads any more, by the frames ``cut`` returned."""
         for table in tables:
