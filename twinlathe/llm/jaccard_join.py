@@ -552,6 +552,8 @@ class Join:
     def stars(self, postings: DataFrame) -> DataFrame:
         """a, b: the smallest node of each key with its other nodes."""
         centres = postings.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a <> last").select("key", "a")
+        # written first: joined to a table of its own, Spark may split a key that many nodes have
+        centres = self.scratch.small(self.scratch.cut(centres, "centres"))
         return self.scratch.cut(postings.join(centres, "key").where("a <> node").select("a", F.col("node").alias("b")).distinct(), "pairs")
 
     def sets_of(self, pairs: DataFrame) -> DataFrame:
@@ -595,7 +597,8 @@ class Join:
         sizes = per_root.groupBy("key").agg(
             F.max_by("root", F.struct("size", "root")).alias("main"), blocks(F.sum("size")).alias("blocks"), blocks(F.sum("size") - F.max("size")).alias("left_blocks"), F.count("*").alias("roots")
         )
-        placed = placed.join(sizes.where("roots > 1").drop("roots"), "key").withColumn("is_main", F.col("root") == F.col("main"))
+        sizes = self.scratch.small(self.scratch.cut(sizes.where("roots > 1").drop("roots"), "sizes"))
+        placed = placed.join(sizes, "key").withColumn("is_main", F.col("root") == F.col("main"))
         hashed = F.xxhash64("node")
         values = ["node", "root", "is_main"]
         left = placed.where("NOT is_main").select("key", F.pmod(hashed, F.col("left_blocks")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(0).alias("side"), *values)
