@@ -8,13 +8,32 @@ the longest text and not by the batch.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 SLICE = 1 << 20
 
+
+def tidy(f: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """``f``, a generator over batches, that hands freed memory back to the system at its end.
+    Workers are used again, and allocators would keep the most that any operator needed."""
+
+    @functools.wraps(f)
+    def run(*args):
+        try:
+            yield from f(*args)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return run
+
+
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1

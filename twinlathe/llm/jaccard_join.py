@@ -210,6 +210,7 @@ class Buffer:
         return nodes[keep], sizes[keep], grams[mine], (np.cumsum(keep) - 1)[row[mine]]
 
 
+@bytetext.tidy
 def _describe(n: int, load: int, share: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of documents, and rows of n-grams of which a buffer holds more than its share."""
     names, more = ["doc_id", "n", "node", "gram", "copies"], []
@@ -280,6 +281,7 @@ class Route:
             yield int(dest[a]) % self.ranges, int(dest[a]), pack_sorted(refs[a:b]), pack(grams[a:b]), pack(counts[a:b]), None
 
 
+@bytetext.tidy
 def _send(percent: int, n: int, load: int, route: Route, heavy, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """n-grams to the task of their range; nodes, and those of their n-grams on the broadcast list that are keys, to the task of the node."""
     p, buffer = Plan(percent), Buffer()
@@ -351,6 +353,7 @@ def _distinct(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return new
 
 
+@bytetext.tidy
 def _count(route: Route, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """n-grams that two or more nodes hold, with their number of nodes, to the tasks of the nodes. Rows come sorted by part."""
     for rows in _by("part", batches):
@@ -379,6 +382,7 @@ def _count(route: Route, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
             yield _sent(out[k : k + 1024])
 
 
+@bytetext.tidy
 def _keys(percent: int, route: Route, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keys of the nodes. Rows come sorted by dest."""
     p = Plan(percent)
@@ -416,6 +420,7 @@ def _keys(percent: int, route: Route, batches: Iterator[pa.RecordBatch]) -> Iter
 _SETS = "node binary, n long, bitmap binary, grams binary"
 
 
+@bytetext.tidy
 def _arrays(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, sets in _slices(batches, n):
         rows = np.flatnonzero(sets.size).tolist()
@@ -458,6 +463,7 @@ def links_exactly(percent: int, x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * inter >= percent * (len(x) + len(y) - inter)
 
 
+@bytetext.tidy
 def _intersect(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (a, share, b, grams) sorted so that the array of a (b is null) comes before those of its pairs."""
     left = None
@@ -501,6 +507,7 @@ def _tile(percent: int, every: bool, rows: list[dict]) -> list[tuple[bytes, byte
     return out
 
 
+@bytetext.tidy
 def _tiles(percent: int, every: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by place (key, i, j)."""
     for rows in _by("place", batches):

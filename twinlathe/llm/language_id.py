@@ -200,6 +200,7 @@ _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[0x41:0x5B] = _ASCII_LETTER[0x61:0x7B] = True
 
 
+@bytetext.tidy
 def _predict(training: tuple[tuple[str, bytes], ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parse = parser(training)
     for batch in batches:

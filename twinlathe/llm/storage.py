@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a few numbers each (at most 40 bytes) that a join may broadcast.
-BROADCAST_ROWS = 1 << 20
+BROADCAST_ROWS = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
