@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinlathe.functions import naming, report, similarity, text
-from twinlathe.operators import actions, decisions, diff, linkage, scan
+from twinlathe.operators import actions, decisions, diff, linkage, replay, scan
 from twinlathe.plans import fixtures as fx
 
 QUERIES: dict = {}
@@ -337,6 +337,32 @@ def replay_plan_rename(spark: SparkSession, d: str) -> DataFrame:
     return decisions.replay_renames(fx.decisions(spark, d), fx.inventory(spark, d))
 
 
+_STEPS = """steps AS (
+  SELECT seq, id, 0 AS at_, 'remove' AS kind, y AS src, x AS dst FROM decisions WHERE kind = 0
+  UNION ALL SELECT seq, id, 0, 'rename', x, x_to FROM decisions WHERE kind IN (1, 3) UNION ALL SELECT seq, id, 1, 'rename', y, y_to FROM decisions WHERE kind IN (1, 3))"""
+
+
+@query(f"""{_DECIDED}, {_STEPS}, {fx.REPLAY_SQL} SELECT unnest(places).id AS id, unnest(places).at AS at, unnest(steps).src AS src, unnest(steps).dst AS dst, unnest(r.said) AS status FROM folded""")
+def replay_ordered(spark: SparkSession, d: str) -> DataFrame:
+    return replay.replayed(fx.decisions(spark, d), fx.inventory(spark, d)).select("id", "at", "src", "dst", "status")
+
+
+@query(f"""WITH {fx.CHAINED_SQL}, {fx.REPLAY_SQL} SELECT unnest(places).id AS id, unnest(steps).src AS src, unnest(steps).dst AS dst, unnest(r.said) AS status FROM folded""")
+def replay_chains(spark: SparkSession, d: str) -> DataFrame:
+    return replay.replayed(fx.chained(spark, d), fx.chained_inventory(spark, d)).select("id", "src", "dst", "status")
+
+
+@query(f"WITH {fx.CHAINED_SQL}, {fx.REPLAY_SQL} SELECT unnest(r.have) AS rel FROM folded")
+def replay_inventory(spark: SparkSession, d: str) -> DataFrame:
+    have = fx.chained_inventory(spark, d)
+    return replay.inventory_after(replay.replayed(fx.chained(spark, d), have), have)
+
+
+@query(f"""{_DECIDED}, {_STEPS}, {fx.REPLAY_SQL} SELECT {", ".join(f"len(list_filter(r.said, lambda s: s = '{s}'))::BIGINT AS {s}" for s in ("removed", "renamed", "skipped"))} FROM folded""")
+def replay_totals(spark: SparkSession, d: str) -> DataFrame:
+    return replay.totals(replay.replayed(fx.decisions(spark, d), fx.inventory(spark, d)))
+
+
 @query(f"""{_DECIDED} SELECT id, id || '  2024-01-01T00:00:00+00:00  ' || CASE kind WHEN 0 THEN 'remove ' || y || '  (keep ' || x || ')' WHEN 2 THEN 'keep both (' || x || ', ' || y || ')'
  ELSE 'rename: ' || x || ' -> ' || x_to || '; ' || y || ' -> ' || y_to END AS line FROM decisions""")
 def describe_decisions(spark: SparkSession, d: str) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from twinlathe.functions.report import describe_decision, describe_format, iso_now
 from twinlathe.operators import actions, decisions, diff, linkage, scan
+from twinlathe.operators import replay as replays
 from twinlathe.schema import SOURCE_DIRS
 from twinlathe.sources import filesystem, media, state
 from twinlathe.storage import materialized
@@ -53,22 +54,16 @@ def scan_root(spark: SparkSession, root: str | Path, state_folder: str | Path, u
 
 
 def replay(spark: SparkSession, root: str | Path, state_folder: str | Path) -> dict[str, int]:
-    """Recorded decisions applied to the files, in order."""
-    rows = [r.asDict(recursive=True) for r in state.load_decisions(spark, state_folder, str(root)).orderBy("seq").collect()]
-    have = {r["rel"] for r in filesystem.listing(spark, root).select("rel").collect()}
-    counts = {"removed": 0, "renamed": 0, "skipped": 0}
-    for row in rows:
-        after, done, _ = decisions.replay([row], have)
-        counts["skipped"] += done["skipped"]
-        gone = sorted(have - after)
-        if row["action"] == "remove" and gone:
-            source = gone[0].split("/", 1)[0].lower()
-            dest = f"{actions.TRASH_DIR}/{filesystem.today()}/{source}/{gone[0].rsplit('/', 1)[-1]}"
-            counts["removed"] += sum(s == "moved" for _, _, s in filesystem.apply_moves(root, [(gone[0], dest)], numbered=True))
-        elif row["action"] == "rename":
-            moves = [(r["from"], r["to"]) for r in row["renames"] or [] if r["from"] in have and r["to"] in after]
-            counts["renamed"] += sum(s == "moved" for _, _, s in filesystem.apply_moves(root, moves))
-        have = after
+    """Recorded decisions applied to the files, in order. What each of them does is found in Spark;
+    only moves that are to be carried out come to the driver, a part of them at a time."""
+    plan = materialized(replays.replayed(state.load_decisions(spark, state_folder, str(root)), filesystem.listing(spark, root)), "replayed")
+    counts = replays.totals(plan).first().asDict() | {"removed": 0, "renamed": 0}
+    for row in plan.where("status IN ('removed', 'renamed')").orderBy("seq", "id", "at").toLocalIterator():
+        src = row["src"]
+        trash = f"{actions.TRASH_DIR}/{filesystem.today()}/{src.split('/', 1)[0].lower()}/{src.rsplit('/', 1)[-1]}"
+        removed = row["status"] == "removed"
+        ((_, _, said),) = filesystem.apply_moves(root, [(src, trash if removed else row["dst"])], numbered=removed)
+        counts[row["status"]] += said == "moved"
     return counts
 
 

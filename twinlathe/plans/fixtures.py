@@ -157,6 +157,44 @@ DECISIONS_SQL = """decisions AS (
 inventory AS (SELECT rel FROM parts WHERE id % 7 <> 0 UNION ALL SELECT 'Tracks/' || id || '.flac' FROM parts WHERE id % 3 = 0)"""
 
 
+def chained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions in a shuffled order that chain: in blocks of forty parts each file is renamed to the
+    next one's name, or removed in favour of it, or of one file that all keep."""
+    t = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
+    k = F.col("id")
+    name = lambda n: F.concat(F.lit("Library/"), n.cast("string"), F.lit(".flac"))
+    after = F.when(k % 40 == 39, k - 39).otherwise(k + 1)
+    kind = k % 5
+    moves = F.array(F.struct(name(k).alias("from"), name(after).alias("to")))
+    return t.select(
+        F.lit("root").alias("root"), F.substring(F.sha1(k.cast("string").cast("binary")), 1, 10).alias("id"), F.lit("2024-01-01T00:00:00+00:00").alias("created"),
+        F.when(kind < 3, "rename").otherwise("remove").alias("action"), F.when(kind == 3, name(after)).when(kind == 4, F.lit("Library/kept.flac")).alias("kept"), F.when(kind >= 3, name(k)).alias("removed"),
+        F.when(kind < 3, name(k)).alias("a"), F.when(kind < 3, name(after)).alias("b"), F.when(kind < 3, moves).alias("renames"), (k * 7919 % 1000003).alias("seq"),
+    )
+
+
+def chained_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two of three of the chained decisions' files, and the one that many keep."""
+    t = table(spark, sf_dir, "part").where("p_partkey % 3 <> 0").select(F.concat(F.lit("Library/"), F.col("p_partkey").cast("string"), F.lit(".flac")).alias("rel"))
+    return t.unionByName(spark.createDataFrame([("Library/kept.flac",)], "rel string"))
+
+
+CHAINED_SQL = """steps AS (
+  SELECT p_partkey * 7919 % 1000003 AS seq, substr(sha1(p_partkey::VARCHAR), 1, 10) AS id, 0 AS at_, CASE WHEN p_partkey % 5 < 3 THEN 'rename' ELSE 'remove' END AS kind,
+         'Library/' || p_partkey || '.flac' AS src,
+         CASE WHEN p_partkey % 5 = 4 THEN 'Library/kept.flac' ELSE 'Library/' || CASE WHEN p_partkey % 40 = 39 THEN p_partkey - 39 ELSE p_partkey + 1 END || '.flac' END AS dst FROM part),
+inventory AS (SELECT 'Library/' || p_partkey || '.flac' AS rel FROM part WHERE p_partkey % 3 <> 0 UNION ALL SELECT 'Library/kept.flac')"""
+
+#: Steps one after another, each on the list of files that the one before left.
+REPLAY_SQL = """told AS (SELECT list({'src': src, 'dst': dst, 'kind': kind} ORDER BY seq, id, at_) AS steps, list({'seq': seq, 'id': id, 'at': at_} ORDER BY seq, id, at_) AS places FROM steps),
+folded AS (
+  SELECT places, steps, list_reduce(steps, lambda acc, s: list_transform([
+      CASE WHEN NOT list_contains(acc.have, s.src) THEN 'absent' WHEN list_contains(acc.have, s.dst) <> (s.kind = 'remove') THEN 'skipped' WHEN s.kind = 'remove' THEN 'removed' ELSE 'renamed' END],
+      lambda said: {'have': CASE said WHEN 'removed' THEN list_filter(acc.have, lambda x: x <> s.src) WHEN 'renamed' THEN list_append(list_filter(acc.have, lambda x: x <> s.src), s.dst) ELSE acc.have END,
+                    'said': list_append(acc.said, said)})[1],
+    {'have': (SELECT list(DISTINCT rel) FROM inventory), 'said': []::VARCHAR[]}) AS r FROM told)"""
+
+
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that exist now."""
     t = part_tracks(spark, sf_dir)
