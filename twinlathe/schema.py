@@ -13,4 +13,3 @@ TRASH_DIR = ".Trash"
 TRACK_DDL = "path string, rel string, source string, size long, mtime_ns long, sha256 string, duration double, title string, artist string, album string, track_no string, format_desc string, fingerprint string, fp_duration double"
 CACHE_DDL = "root string, rel string, size long, mtime_ns long, sha256 string, duration double, title string, artist string, album string, track_no string, format_desc string, fingerprint string, fp_duration double"
 DECISION_DDL = "root string, id string, created string, action string, kept string, removed string, a string, b string, renames array<struct<`from`: string, `to`: string>>, seq long"
-TRASH_DDL = "path string, day string, rel string, size long"

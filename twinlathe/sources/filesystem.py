@@ -1,12 +1,12 @@
 """A collection on a file system: listing, hashing, trash, and carrying plans out.
 
-The listing is made on the driver (names and sizes only, of one collection); everything
-after it is a DataFrame. Spark's own file source is not used for it: it hides names that
-begin with '_' and has no nanosecond times.
+The listing is made by tasks, folder by folder. Spark's own file source is not used for it:
+it hides names that begin with '_' and has no nanosecond times.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import os
 import shutil
@@ -15,26 +15,75 @@ from datetime import datetime
 from pathlib import Path
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinlathe.errors import ConfirmationRequired
-from twinlathe.schema import SOURCE_DIRS, TRASH_DDL, TRASH_DIR
+from twinlathe.schema import SOURCE_DIRS, TRASH_DIR
+from twinlathe.storage import materialized
 
 CHUNK = 1 << 20
 
 
+#: Entries that a task lists below one folder before it hands back the folders still open.
+LISTED = 20_000
+_WALK_DDL = "tag string, top string, path string, rel string, size long, mtime_ns long, open boolean"
+
+
+_WALK = pa.schema([("tag", pa.string()), ("top", pa.string()), ("path", pa.string()), ("rel", pa.string()), ("size", pa.int64()), ("mtime_ns", pa.int64()), ("open", pa.bool_())])
+
+
+def _walk(listed: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Files below each folder (tag, top, path), and the folders left open once ``listed`` entries
+    are seen. Links to files are files, links to folders aren't followed; what can't be read is left out."""
+    for batch in batches:
+        for tag, top, folder in zip(*[batch.column(c).to_pylist() for c in ("tag", "top", "path")]):
+            left, rows, seen = [folder], [], 0
+            while left and seen < listed:
+                try:
+                    with os.scandir(left.pop()) as entries:
+                        for entry in entries:
+                            seen += 1
+                            try:
+                                if entry.is_dir(follow_symlinks=False):
+                                    left.append(entry.path)
+                                elif entry.is_file():
+                                    st = entry.stat()
+                                    rows.append((tag, top, entry.path, os.path.relpath(entry.path, top), st.st_size, st.st_mtime_ns, False))
+                            except OSError:
+                                continue
+                except OSError:
+                    continue
+            rows += [(tag, top, path, None, None, None, True) for path in left]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _WALK)], schema=_WALK)
+
+
+def walked(spark: SparkSession, tops: list[tuple[str, str]], listed: int = LISTED) -> DataFrame:
+    """tag, path, rel (below the top), size, mtime_ns of every file below the folders (tag, top).
+    A table of open folders is dealt out over the tasks, which list them and hand back files and
+    folders still open, until none is; the driver sees only how many there are. Executors must
+    see the paths."""
+    tops = [(tag, str(top)) for tag, top in tops if os.path.isdir(top)]
+    open_ = spark.createDataFrame([(tag, top, top) for tag, top in tops], "tag string, top string, path string")
+    found, left = None, len(tops)
+    while left:
+        tasks = min(left, 4 * spark.sparkContext.defaultParallelism)
+        level = materialized(open_.repartition(tasks, "path").mapInArrow(functools.partial(_walk, listed), _WALK_DDL), "walked")
+        files = level.where("NOT open")
+        found = files if found is None else found.unionByName(files)
+        open_ = level.where("open").select("tag", "top", "path")
+        left = open_.count()
+    found = spark.createDataFrame([], _WALK_DDL) if found is None else found
+    return found.select("tag", "path", "rel", "size", "mtime_ns")
+
+
 def listing(spark: SparkSession, root: str | Path) -> DataFrame:
     """path, rel, source, size, mtime_ns of every file below the source folders."""
-    root, rows = Path(root), []
-    for source, folder in SOURCE_DIRS.items():
-        for at, _, names in os.walk(root / folder):
-            for name in names:
-                path = Path(at, name)
-                if path.is_file():
-                    st = path.stat()
-                    rows.append((str(path), path.relative_to(root).as_posix(), source, st.st_size, st.st_mtime_ns))
-    return spark.createDataFrame(rows, "path string, rel string, source string, size long, mtime_ns long")
+    files = walked(spark, [(source, str(Path(root, folder))) for source, folder in SOURCE_DIRS.items()])
+    folder = F.element_at(F.create_map(*[F.lit(x) for kv in SOURCE_DIRS.items() for x in kv]), F.col("tag"))
+    return files.select("path", F.concat_ws("/", folder, "rel").alias("rel"), F.col("tag").alias("source"), "size", "mtime_ns")
 
 
 def sha256_of(path: str) -> str | None:
@@ -64,11 +113,9 @@ def with_hashes(tracks: DataFrame) -> DataFrame:
 
 
 def trash_entries(spark: SparkSession, root: str | Path) -> DataFrame:
-    """path, day, rel, size of each file in the trash."""
-    trash, rows = Path(root, TRASH_DIR), []
-    for day in sorted(p for p in trash.iterdir() if p.is_dir()) if trash.is_dir() else []:
-        rows += [(str(p), day.name, p.relative_to(day).as_posix(), p.stat().st_size) for p in sorted(day.rglob("*")) if p.is_file()]
-    return spark.createDataFrame(rows, TRASH_DDL)
+    """path, day, rel, size of each file in the trash, below a day's folder."""
+    files = walked(spark, [("trash", str(Path(root, TRASH_DIR)))]).where(F.contains("rel", F.lit("/")))
+    return files.select("path", F.substring_index("rel", "/", 1).alias("day"), F.regexp_replace("rel", "^[^/]*/", "").alias("rel"), "size")
 
 
 def empty_trash(root: str | Path, yes: bool = False) -> int:
