@@ -446,13 +446,32 @@ def path_in_source(spark: SparkSession, d: str) -> DataFrame:
     return fx.listing(spark, d).select("id", scan.in_source(F.col("rel"), F.col("source")).alias("path"))
 
 
-@query(f"""WITH {fx.LISTING_SQL}, r AS (SELECT CASE WHEN id % 9 = 0 THEN rel || '.old' ELSE rel END AS rel, size + CASE WHEN id % 7 = 0 THEN 1 ELSE 0 END AS size, mtime_ns FROM listing WHERE id % 8 <> 3)
+_TREES = f"""WITH {fx.LISTING_SQL}, r AS (SELECT CASE WHEN id % 9 = 0 THEN rel || '.old' ELSE rel END AS rel, size + CASE WHEN id % 7 = 0 THEN 1 ELSE 0 END AS size, mtime_ns FROM listing WHERE id % 8 <> 3)"""
+_TREE_DIFF = f"""{_TREES}
 SELECT coalesce(l.rel, r.rel) AS rel, CASE WHEN r.rel IS NULL THEN 'missing_remote' WHEN l.rel IS NULL THEN 'missing_local' ELSE 'differs' END AS change
-FROM listing l FULL JOIN r ON l.rel = r.rel WHERE l.rel IS NULL OR r.rel IS NULL OR l.size <> r.size OR l.mtime_ns <> r.mtime_ns""")
-def tree_diff(spark: SparkSession, d: str) -> DataFrame:
+FROM listing l FULL JOIN r ON l.rel = r.rel WHERE l.rel IS NULL OR r.rel IS NULL OR l.size <> r.size OR l.mtime_ns <> r.mtime_ns"""
+
+
+def _two_trees(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     here, k = fx.listing(spark, d), F.col("id")
     there = here.where("id % 8 <> 3").select(F.when(k % 9 == 0, F.concat("rel", F.lit(".old"))).otherwise(F.col("rel")).alias("rel"), (F.col("size") + F.when(k % 7 == 0, 1).otherwise(0)).alias("size"), "mtime_ns")
-    return diff.tree_diff(here, there)
+    return here, there
+
+
+@query(_TREE_DIFF)
+def tree_diff(spark: SparkSession, d: str) -> DataFrame:
+    return diff.tree_diff(*_two_trees(spark, d))
+
+
+@query(_TREE_DIFF)
+def tree_diff_digests(spark: SparkSession, d: str) -> DataFrame:
+    return diff.descended(*map(diff.digest_tree, _two_trees(spark, d)))[0]
+
+
+@query(f"""WITH {fx.LISTING_SQL}, parts AS (SELECT string_split(rel, '/') AS p FROM listing), nodes AS (SELECT list_aggregate(p[1:k], 'string_agg', '/') AS rel, len(p) = k AS leaf FROM (SELECT p, unnest(range(1, len(p) + 1)) AS k FROM parts))
+SELECT rel, NOT leaf AS folder, count(*) AS files FROM nodes GROUP BY rel, leaf""")
+def tree_folders(spark: SparkSession, d: str) -> DataFrame:
+    return diff.digest_tree(fx.listing(spark, d)).select("rel", "folder", "files")
 
 
 @query(f"""WITH {fx.LISTING_SQL}, dirs AS (SELECT DISTINCT regexp_extract(rel, '^(.*)/[^/]*$', 1) AS dir FROM listing), f AS (SELECT rel FROM listing WHERE id % 37 <> 0 AND source <> 'tracks')

@@ -7,6 +7,7 @@ an argument, and what needs a choice and has none comes back as rows.
 from __future__ import annotations
 
 import shutil
+import subprocess
 from collections.abc import Callable
 from dataclasses import dataclass
 from pathlib import Path
@@ -14,11 +15,12 @@ from pathlib import Path
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from twinlathe.errors import ConfigError, ConfirmationRequired
 from twinlathe.functions.report import describe_decision, describe_format, iso_now
 from twinlathe.operators import actions, decisions, diff, linkage, scan
 from twinlathe.operators import replay as replays
 from twinlathe.schema import SOURCE_DIRS
-from twinlathe.sources import filesystem, media, state
+from twinlathe.sources import config, filesystem, media, state
 from twinlathe.storage import materialized
 
 
@@ -208,6 +210,7 @@ def ingest(
     existing = filesystem.listing(spark, root).where("source = 'tracks'").select("rel")
     plan = materialized(actions.promotion_plan(left, existing), "promotion")
     if not promote:
+        filesystem.prune(root, "incoming")
         return outcomes, plan
     dests, answers = _promotions(spark, left, resolutions)
     files = _Files(root, answers)
@@ -255,8 +258,48 @@ def decisions_clear(spark: SparkSession, root: str | Path, state_folder: str | P
 
 
 def sync_status(local: DataFrame, remote: DataFrame, direction: str) -> tuple[int, list[str]]:
-    """(number of files that a transfer would send, the first of them) from two listings."""
-    return diff.transfer_summary(diff.tree_diff(local, remote), direction)
+    """(number of files that a transfer would send, the first of them) from two listings, or from
+    two digest trees, of which only folders that differ are opened."""
+    trees = "parent" in local.columns and "parent" in remote.columns
+    return diff.transfer_summary(diff.descended(local, remote)[0] if trees else diff.tree_diff(local, remote), direction)
+
+
+@dataclass
+class Leg:
+    """One transfer of a synchronisation: planned, done or failed (with the tool's exit code)."""
+
+    label: str
+    command: list[str]
+    status: str
+    code: int | None = None
+
+
+def sync(
+    root: str | Path, direction: str, settings: config.SyncConfig, dry_run: bool = False, delete: bool = False, yes: bool = False,
+    run: Callable[[list[str]], int] | None = None, running: Callable[[config.SyncConfig], tuple[bool, bool | None]] | None = None,
+) -> tuple[list[Leg], str | None]:
+    """Push or pull: plan, guard, confirmation, then each leg in turn; (legs, warning). Without
+    ``yes`` (or ``dry_run``) the plan comes back undone in a ``ConfirmationRequired``. Settings of
+    an application are not transferred while it runs (``running``: here, there). The first leg
+    that fails is the last one tried. ``run`` carries a command out and returns its exit code."""
+    if direction not in ("push", "pull"):
+        raise ConfigError(f"unknown direction: {direction}")
+    plan = diff.sync_plan(str(root), settings.remote, settings.remote_root, direction, settings.local_settings, settings.remote_settings)
+    legs = [Leg(label, diff.rsync_command(src, dst, dry_run, delete), "planned") for label, src, dst in plan]
+    warning = None
+    if any(label == "settings" for label, _, _ in plan):
+        error, warning = diff.running_guard(*(running or (lambda _: (False, None)))(settings))
+        if error:
+            raise ConfigError(error)
+    if diff.needs_confirmation(dry_run, yes):
+        raise ConfirmationRequired("; ".join(f"{label}: {src} -> {dst}" for label, src, dst in plan))
+    run = run or (lambda command: subprocess.run(command, check=False).returncode)
+    for leg in legs:
+        leg.code = run(leg.command)
+        leg.status = "failed" if leg.code else "dry run" if dry_run else "done"
+        if leg.code:
+            break
+    return legs, warning
 
 
 def doctor() -> dict[str, str | None]:
