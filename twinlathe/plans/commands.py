@@ -190,10 +190,8 @@ def _record(spark: SparkSession, root, state_folder, done: list[dict]) -> None:
         return
     names = ("n", "action", "kept", "removed", "a", "b", "renames")
     ddl = "n long, action string, kept string, removed string, a string, b string, renames array<struct<`from`: string, `to`: string>>"
-    before = materialized(state.load(spark, state_folder, "decisions", state.DECISION_DDL), "decisions")
-    last = before.agg(F.coalesce(F.max("seq"), F.lit(-1))).first()[0]
-    new = decisions.entries(spark.createDataFrame([tuple(d.get(n) for n in names) for d in done], ddl), str(root), iso_now(), last)
-    state.save(decisions.upsert(before, new), state_folder, "decisions")
+    rows = spark.createDataFrame([tuple(d.get(n) for n in names) for d in done], ddl).coalesce(1)
+    state.put(decisions.entries(rows, str(root), iso_now(), -1), state_folder, "decisions")
 
 
 def ingest(
@@ -232,7 +230,7 @@ def trash_files(spark: SparkSession, root: str | Path) -> DataFrame:
 
 def cache_status(spark: SparkSession, root: str | Path, state_folder: str | Path) -> dict[str, int]:
     """Entries known of a root, and bytes of the table (of all roots)."""
-    return {"entries": state.load_cache(spark, state_folder, str(root)).count(), "bytes": state.size(state_folder, "cache")}
+    return {"entries": state.load_cache(spark, state_folder, str(root)).count(), "bytes": state.size(spark, state_folder, "cache")}
 
 
 def cache_clear(spark: SparkSession, root: str | Path, state_folder: str | Path) -> int:
@@ -245,11 +243,10 @@ def decisions_list(spark: SparkSession, root: str | Path, state_folder: str | Pa
 
 def decisions_remove(spark: SparkSession, root: str | Path, state_folder: str | Path, id_: str) -> int:
     """Removes one decision of a root; returns how many rows went."""
-    before = materialized(state.load(spark, state_folder, "decisions", state.DECISION_DDL), "decisions")
-    after = decisions.deleted(before, str(root), id_)
-    n = before.count() - after.count()
+    mine = materialized(state.load_decisions(spark, state_folder, str(root)).where(F.col("id") == id_).select("root", "id"), "decisions")
+    n = mine.count()
     if n:
-        state.save(after, state_folder, "decisions")
+        state.remove(mine, state_folder, "decisions")
     return n
 
 

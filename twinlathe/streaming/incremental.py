@@ -26,13 +26,10 @@ def fold(batch: DataFrame, root: str, folder: str | Path) -> DataFrame:
     spark = batch.sparkSession
     newest = F.row_number().over(Window.partitionBy("rel").orderBy(F.col("mtime_ns").desc(), F.col("size").desc()))
     rows = batch.withColumn("_n", newest).where("_n = 1").drop("_n")
-    before = materialized(state.load(spark, folder, "cache", CACHE_DDL), "cache")
-    judged = materialized(with_cache(rows, before.where(F.col("root") == root)), "judged")
+    judged = materialized(with_cache(rows, materialized(state.load_cache(spark, folder, root), "cache")), "judged")
     changed = judged.where("state <> 'cached'").withColumn("root", F.lit(root))
     if not changed.isEmpty():
-        columns = [c.split()[0] for c in CACHE_DDL.split(", ")]
-        stale = changed.select("root", "rel")
-        state.save(before.join(stale, ["root", "rel"], "left_anti").select(*columns).unionByName(changed.select(*columns)), folder, "cache")
+        state.put(changed.select(*[c.split()[0] for c in CACHE_DDL.split(", ")]), folder, "cache")
     return judged
 
 
