@@ -1,27 +1,35 @@
 """Tables written to the folder that driver and executors share, to cut lineage.
 
 The folder is ``spark.checkpoint.dir``; a local session without that setting gets one of its
-own. On a cluster its lack is an error: executors would not see each other's files.
+own. On a cluster its lack is an error: executors would not see each other's files. A path
+without a scheme is of the default file system, as everywhere in Hadoop.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialized(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet and read back; removed when the application ends."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """URI of this application's folder below ``spark.checkpoint.dir``."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='twinlathe-')}"
         spark.conf.set("spark.checkpoint.dir", root)
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/twinlathe-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/twinlathe-{spark.sparkContext.applicationId}")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet and read back; removed when the application ends."""
+    spark = df.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
     df.write.parquet(path.toString())
     return spark.read.schema(df.schema).parquet(path.toString())
