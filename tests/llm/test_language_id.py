@@ -1,3 +1,5 @@
+import binascii
+import hashlib
 import random
 
 import numpy as np
@@ -61,9 +63,27 @@ def test_a_language_with_many_rows_without_text_is_learned(spark):
     assert {r["lang_pred"] for r in li.predict(df.where("doc_id >= 5000 and doc_id < 9000"), training).collect()} == {"xx"}
 
 
-def test_training_takes_whole_texts_in_seeded_order():
+def test_training_takes_whole_texts_in_seeded_order(spark):
     rows = [("a", k, text) for k, text in enumerate(["zz yy", "q" * 30, "aa bb", "mm"], 1)] + [("b", 1, "w" * 50), ("b", 2, "v" * 40)]
-    assert li.learned(rows, 20) == (("a", b"zz yy aa bb mm"), ("b", b"v" * 40))
+    assert li.learned(rows) == (("a", b"zz yy " + b"q" * 30 + b" aa bb mm"), ("b", b"w" * 50 + b" " + b"v" * 40))
+    # long rows alone, or among short ones, are taken as their digests say
+    texts = {k: f"w{k} " * (1000 if k % 2 else 3) for k in range(60)}
+    df = spark.createDataFrame([(k, t, "en") for k, t in texts.items()], "doc_id long, text string, lang string")
+    first = sorted((k for k in texts if binascii.crc32(str(k).encode()) % 4 != 2), key=lambda k: hashlib.md5(str(k).encode()).hexdigest())[:5]
+    assert li.training_text(df, 5) == li.learned([("en", n, texts[k]) for n, k in enumerate(first)])
+    assert any(k % 2 for k in first)
+
+
+def test_sparse_tables_parse_alike():
+    rng = random.Random(6)
+    training = tuple((f"l{k:02}", "".join(rng.choice("abcdefgh ") for _ in range(300)).encode()) for k in range(60))
+    dense, sparse = li.Parser(training), li.Parser(training, dense_bytes=0)
+    assert all(isinstance(t, li.Sparse) for t in sparse.tables) and all(isinstance(t, np.ndarray) for t in dense.tables)
+    data = np.frombuffer("".join(rng.choice("abcdefghz ") for _ in range(9000)).encode(), np.uint8)
+    bounds = np.array([0, 10, 10, 4000, 9000])
+    assert (dense.phrases(data, bounds) == sparse.phrases(data, bounds)).all()
+    # at most three transitions a symbol of the text
+    assert sum(len(t.entries) for t in sparse.tables) <= 3 * sum(len(t) for _, t in training)
 
 
 def test_held_out_accuracy(spark, documents):

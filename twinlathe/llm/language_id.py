@@ -18,11 +18,12 @@ characters made one separator.
 
 Training reads a bounded sample of labelled rows, and of these the whole texts: of the rows
 whose lang is not null, whose text is not empty and whose crc32(doc_id as text) mod 4 is
-not 2, the ``docs_per_lang`` that come first of those of at most ``short_bytes`` bytes, by
-md5 of doc_id (longer rows come after these, for languages that have too few short ones).
-They are taken in this order as long as they fit into ``train_symbols`` symbols for each
-language; rows that don't fit are left out, never cut; where none fits, the shortest is
-taken. Prediction reads text alone.
+not 2, the ``docs_per_lang`` of each language that come first by md5 of doc_id, however long.
+Prediction reads text alone.
+
+A table takes 4 bytes a state and symbol. Where all languages' tables would take more than
+``DENSE_BYTES``, those that exceed their share are kept as sorted lists of their transitions
+(at most three a symbol of the text, 12 bytes each), which parse alike but slower.
 
 Defined cases: null text, or one without a letter, is ``und`` with score 0; a null
 doc_id is not held out and not learned from; equal normalised phrases go to the smaller
@@ -45,9 +46,9 @@ from pyspark.sql import functions as F
 from twinlathe.llm import bytetext
 from twinlathe.llm.storage import Scratch, carried
 
-DOCS_PER_LANG = 200
-SHORT_BYTES = 1000
-TRAIN_SYMBOLS = 40_000
+DOCS_PER_LANG = 16
+#: All dense tables of a worker.
+DENSE_BYTES = 1 << 27
 BLOCK = 2048
 UNDETERMINED = "und"
 #: A text that needs more phrases per symbol than this is in no learned language.
@@ -105,6 +106,28 @@ class SuffixAutomaton:
         out[flagged] |= _FLAG
         return out.ravel()
 
+    def sparse(self, width: int) -> Sparse:
+        """The same entries; only transitions that are there are stored."""
+        edges = sorted((s * width + c, t * width) for s, row in enumerate(self.next) for c, t in row.items())
+        begin = np.full(width, len(self.next) * width, np.int64)
+        for c, s in self.next[0].items():
+            begin[c] = s * width
+        keys, to = (np.array([e[k] for e in edges], np.int64) for k in (0, 1))
+        return Sparse(keys, to.astype(np.int32), begin.astype(np.int32) | _FLAG)
+
+
+class Sparse:
+    """A transition table by its sorted entries; what is missing begins a new phrase."""
+
+    def __init__(self, entries: np.ndarray, to: np.ndarray, begin: np.ndarray):
+        self.entries, self.to, self.begin = entries, to, begin
+
+    def __getitem__(self, entry: np.ndarray) -> np.ndarray:
+        if not len(self.entries):
+            return self.begin[entry % len(self.begin)]
+        at = np.minimum(np.searchsorted(self.entries, entry), len(self.entries) - 1)
+        return np.where(self.entries[at] == entry, self.to[at], self.begin[entry % len(self.begin)])
+
 
 def symbols_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(symbol bytes of all texts, bounds of each text); separators are 0x20."""
@@ -126,13 +149,18 @@ def symbols_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 class Parser:
     """Automata of the languages over one alphabet."""
 
-    def __init__(self, training: tuple[tuple[str, bytes], ...]):
+    def __init__(self, training: tuple[tuple[str, bytes], ...], dense_bytes: int = DENSE_BYTES):
         self.languages = [name for name, _ in training]
         seen = sorted({b for _, text in training for b in text})
         self.code = np.full(256, len(seen), np.int32)
         self.code[seen] = np.arange(len(seen))
         self.width = len(seen) + 1
-        self.tables = [SuffixAutomaton(self.code[np.frombuffer(text, np.uint8)].tolist()).table(self.width) for _, text in training]
+        share = dense_bytes // max(1, len(training))
+        self.tables = []
+        for _, text in training:
+            automaton = SuffixAutomaton(self.code[np.frombuffer(text, np.uint8)].tolist())
+            dense = 4 * self.width * (len(automaton.next) + 1) <= share
+            self.tables.append(automaton.table(self.width) if dense else automaton.sparse(self.width))
         self.scale = [math.log2(len(text) + 2) for _, text in training]
 
     def phrases(self, symbols: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -200,75 +228,86 @@ _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[0x41:0x5B] = _ASCII_LETTER[0x61:0x7B] = True
 
 
+def _judged(training: tuple[tuple[str, bytes], ...], column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, rows, lang_pred, score, rate) of each slice of a column of texts."""
+    parse = parser(training)
+    data, offsets = bytetext.column_bytes(column)
+    for first, last in bytetext.slices(offsets, 4 * bytetext.SLICE):
+        base = int(offsets[first])
+        own = offsets[first : last + 1] - base
+        raw = data[base : int(offsets[last])]
+        n = last - first
+        has_letter = np.diff(np.concatenate([[0], np.cumsum(_ASCII_LETTER[raw])])[own]) > 0
+        for i in np.flatnonzero(~has_letter & (np.diff(own) > 0)):
+            has_letter[i] = any(c.isalpha() for c in raw[own[i] : own[i + 1]].tobytes().decode())
+        names, score, rate = np.full(n, UNDETERMINED, object), np.zeros(n), np.full(n, np.nan)
+        if parse.languages and n:
+            symbols, bounds = symbols_of(raw, own)
+            size = np.maximum(np.diff(bounds), 1)
+            counts = parse.phrases(symbols, bounds)
+            normal = counts * np.array(parse.scale) / size[:, None]
+            best = np.argmin(normal, 1)
+            least = normal[np.arange(n), best]
+            names[has_letter] = np.array(parse.languages, object)[best[has_letter]]
+            rate = np.where(has_letter, counts[np.arange(n), best] / size, np.nan)
+            if len(parse.languages) > 1:
+                second = np.partition(normal, 1, 1)[:, 1]
+                score = np.where(has_letter & (second > 0), (second - least) / np.maximum(second, 1e-300), 0.0)
+            else:
+                score = np.where(has_letter, 1 - np.minimum(1, counts[:, 0] / size), 0.0)
+        yield first, n, names, np.clip(score, 0, 1), rate
+
+
 @bytetext.tidy
 def _predict(training: tuple[tuple[str, bytes], ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    parse = parser(training)
     for batch in batches:
-        data, offsets = bytetext.column_bytes(batch.column(2))
-        for first, last in bytetext.slices(offsets, 4 * bytetext.SLICE):
-            base = int(offsets[first])
-            own = offsets[first : last + 1] - base
-            raw = data[base : int(offsets[last])]
-            n = last - first
-            has_letter = np.diff(np.concatenate([[0], np.cumsum(_ASCII_LETTER[raw])])[own]) > 0
-            for i in np.flatnonzero(~has_letter & (np.diff(own) > 0)):
-                has_letter[i] = any(c.isalpha() for c in raw[own[i] : own[i + 1]].tobytes().decode())
-            names, score, rate = np.full(n, UNDETERMINED, object), np.zeros(n), np.full(n, np.nan)
-            if parse.languages and n:
-                symbols, bounds = symbols_of(raw, own)
-                size = np.maximum(np.diff(bounds), 1)
-                counts = parse.phrases(symbols, bounds)
-                normal = counts * np.array(parse.scale) / size[:, None]
-                best = np.argmin(normal, 1)
-                least = normal[np.arange(n), best]
-                names[has_letter] = np.array(parse.languages, object)[best[has_letter]]
-                rate = np.where(has_letter, counts[np.arange(n), best] / size, np.nan)
-                if len(parse.languages) > 1:
-                    second = np.partition(normal, 1, 1)[:, 1]
-                    score = np.where(has_letter & (second > 0), (second - least) / np.maximum(second, 1e-300), 0.0)
-                else:
-                    score = np.where(has_letter, 1 - np.minimum(1, counts[:, 0] / size), 0.0)
+        for first, n, names, score, rate in _judged(training, batch.column(2)):
             part = batch.slice(first, n)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(names, pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(rate, mask=np.isnan(rate)), *part.columns[3:]],
+                [part.column(0), part.column(1), pa.array(names, pa.string()), pa.array(score), pa.array(rate, mask=np.isnan(rate)), *part.columns[3:]],
                 ["doc_id", "held_out", "lang_pred", "score", "rate", *part.schema.names[3:]],
             )
 
 
-def training_text(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, short_bytes: int = SHORT_BYTES, train_symbols: int = TRAIN_SYMBOLS) -> tuple[tuple[str, bytes], ...]:
+@bytetext.tidy
+def _known(training: tuple[tuple[str, bytes], ...], text: int, max_rate: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first, n, names, _, rate in _judged(training, batch.column(text)):
+            kept = (names != UNDETERMINED) & ~(rate > max_rate)
+            yield batch.slice(first, n).filter(pa.array(kept))
+
+
+def known(docs: DataFrame, training: tuple[tuple[str, bytes], ...], max_rate: float = MAX_RATE) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text is in a learned language."""
+    names = [c.lower() for c in docs.columns]
+    return docs.mapInArrow(functools.partial(_known, training, names.index("text"), max_rate), docs.schema)
+
+
+def training_text(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> tuple[tuple[str, bytes], ...]:
     """Symbols of each language, by language name."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & (F.octet_length("text") > 0))
-    size = F.octet_length("text")
-    place = [size > short_bytes, F.md5(F.col("doc_id").cast("string")), F.col("doc_id"), size]
+    place = [F.md5(F.col("doc_id").cast("string")), F.col("doc_id"), F.octet_length("text")]
     # ranked without the texts; each task keeps no more than docs_per_lang of a language
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("long", "digest", "doc_id", "size")) <= docs_per_lang
-    sized = usable.select("doc_id", "lang", *[c.alias(n) for c, n in zip(place, ("long", "digest", "doc_id", "size")) if n != "doc_id"])
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("digest", "doc_id", "size")) <= docs_per_lang
+    sized = usable.select("doc_id", "lang", place[0].alias("digest"), place[2].alias("size"))
     chosen = sized.withColumn("first", first).where("first").select("doc_id").distinct()
     # at most docs_per_lang ids a language: written first, so that their size decides on a broadcast and texts aren't shuffled
     scratch = Scratch(docs.sparkSession, "language")
     chosen = scratch.cut(chosen, "chosen")
     order = Window.partitionBy("lang").orderBy(*place, "text")
-    rows = usable.join(chosen, "doc_id", "left_semi").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= docs_per_lang)
+    rows = usable.join(scratch.small(chosen), "doc_id", "left_semi").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= docs_per_lang)
     got = [(r["lang"], r["rank"], r["text"]) for r in rows.select("lang", "rank", "text").collect()]
     scratch.close()
-    return learned(got, train_symbols)
+    return learned(got)
 
 
-def learned(rows: list[tuple[str, int, str]], train_symbols: int = TRAIN_SYMBOLS) -> tuple[tuple[str, bytes], ...]:
-    """The whole texts of rows (lang, rank, text) that fit, in the order of their ranks."""
+def learned(rows: list[tuple[str, int, str]]) -> tuple[tuple[str, bytes], ...]:
+    """The whole texts of rows (lang, rank, text), in the order of their ranks."""
     texts: dict[str, list[bytes]] = {}
     for lang, _, text in sorted(rows):
         data = np.frombuffer(text.encode(), np.uint8)
         texts.setdefault(lang, []).append(symbols_of(data, np.array([0, len(data)]))[0].tobytes())
-    out = []
-    for lang, parts in sorted(texts.items()):
-        left, taken = train_symbols, []
-        for part in parts:
-            if len(part) < left:
-                taken.append(part)
-                left -= len(part) + 1
-        out.append((lang, b" ".join(taken or [min(parts, key=len)])))
-    return tuple(out)
+    return tuple((lang, b" ".join(parts)) for lang, parts in sorted(texts.items()))
 
 
 def predict(docs: DataFrame, training: tuple[tuple[str, bytes], ...], carry: tuple[str, ...] = ()) -> DataFrame:

@@ -183,7 +183,8 @@ def verdict(rules: list[Rule]) -> Column:
 def judged(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Statistics of each document with base_failed, rule (0: none), kept and the columns ``carry``."""
     scratch = Scratch(docs.sparkSession, "quality")
-    stats = scratch.cut(statistics(docs, carry), "statistics")
+    # zstd, as the carried columns may hold texts
+    stats = scratch.cut(statistics(docs, carry), "statistics", "zstd")
     rules = learn(stats, labels, scratch)
     return stats.withColumn("base_failed", base_failed()).withColumn("rule", verdict(rules)).withColumn(
         "kept", ~F.col("base_failed") & (F.col("rule") == 0)

@@ -8,33 +8,41 @@ its lack is an error: executors would not see each other's files.
 
 from __future__ import annotations
 
+import contextlib
 import gc
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from twinlathe.storage import shared_dir
+
 #: Rows of a few numbers each (at most 40 bytes) that a join may broadcast.
 BROADCAST_ROWS = 1 << 18
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """URI of this application's folder below ``spark.checkpoint.dir``."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='twinlathe-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    if "://" not in root and not root.startswith("file:"):
-        root = f"file://{root}"
-    return f"{root.rstrip('/')}/twinlathe-{spark.sparkContext.applicationId}"
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
+@contextlib.contextmanager
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """Drops, at its end, every table and folder made within it, of whichever operator."""
+    made: list[str] = []
+    token = _made.set(made)
+    try:
+        yield
+    finally:
+        _made.reset(token)
+        drop(spark, *made)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path for one table or folder, removed when the application ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    if (made := _made.get()) is not None:
+        made.append(path)
     fs, hadoop_path = _hadoop(spark, path)
     fs.deleteOnExit(hadoop_path)
     return path
