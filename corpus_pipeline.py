@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from twinlathe.llm import bpe, jaccard_join, language_id, mixing, quality_rules
-from twinlathe.llm.storage import Scratch
+from twinlathe.llm.storage import Scratch, cleared
 
 
 def _fresh(docs: DataFrame, name: str) -> str:
@@ -71,25 +71,23 @@ def _small(scratch: Scratch, whole: DataFrame, part: DataFrame) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that pass the base rules and that no learned rule rejects. Null, empty and wordless
-    texts go; of rows that share a doc_id each is judged by its own text; an empty table stays empty."""
-    rows = _Rows(docs)
-    judged = quality_rules.judged(rows.keyed, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=rows.hashes)
-    return rows.without(judged, F.col("kept"), Scratch(spark, "quality")).select(*docs.columns)
+    texts go; of rows that share a doc_id each is judged by its own text; an empty table stays empty.
+    The statistics are written beside their rows, which the rules then filter: nothing is joined."""
+    whole = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    judged = quality_rules.judged(whole, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=("row",))
+    return judged.where("kept").select("row.*")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows in one of the learned languages. Null texts and those without a letter go; of rows
     that share a doc_id each is judged by its own text; where nothing can be learned all go."""
-    rows = _Rows(docs)
-    predicted = language_id.predict(rows.keyed, language_id.training_text(docs), carry=rows.hashes)
-    known = (F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("rate") <= language_id.MAX_RATE)
-    return rows.without(predicted, known, Scratch(spark, "language")).select(*docs.columns)
+    return language_id.known(docs, language_id.training_text(docs))
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of linked rows: the one with the smallest doc_id (a null comes after
     all others), of several with that doc_id the one with the smallest hash of its text, of rows
-    equal in both any one. Rows without words link with nothing and stay."""
+    equal in both the one whose other columns come first as JSON. Rows without words link with nothing and stay."""
     rows, scratch = _Rows(docs), Scratch(spark, "jaccard")
     groups = jaccard_join.join(rows.keyed, carry=rows.hashes).where("group IS NOT NULL")
     place = F.struct(F.col("doc_id").isNull(), *rows.key)
@@ -99,8 +97,10 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     # rows equal in doc_id and text are compared with each other only
     repeated = scratch.cut(judged.where("first").groupBy(*rows.key).agg(F.count("*").alias("rows")).where("rows > 1").drop("rows"), "repeated")
     repeated = scratch.small(repeated)
-    one = rows.matched(left, repeated, "left_semi").dropDuplicates(list(rows.key))
-    return rows.matched(left, repeated, "left_anti").unionByName(one).select(*docs.columns)
+    # combined before they are shuffled, however many they are
+    others = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "text"]))
+    one = rows.matched(left, repeated, "left_semi").groupBy(*rows.key).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), others).alias("row")).select("row.*")
+    return rows.matched(left, repeated, "left_anti").select(*docs.columns).unionByName(one)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -151,12 +151,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. A stage's own tables, and its predecessor's result, go once its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     scratch = Scratch(spark, "pipeline")
     before = None
     for name, stage in STAGES:
-        after = scratch.cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = scratch.folder(name.replace(" ", "-"))
+        with cleared(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
         if before is not None:
             scratch.drop(before)
-        docs = before = after
+        docs = before = spark.read.schema(out.schema).parquet(path)
     return docs
