@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from twinlathe.storage import materialized
+
 MAX_OFFSET = 32
 DURATION_SECONDS, DURATION_PART = 2.0, 0.05
 
@@ -49,6 +51,51 @@ def with_text_sims(df: DataFrame, **pairs: tuple[Column, Column]) -> DataFrame:
     return same.unionByName(other)
 
 
+#: Buckets of characters in a signature, and how many of a bucket's characters have planes of their own.
+_BUCKETS, _PLANES = 64, 8
+#: What Python's split takes for white space, besides single spaces between words.
+_SPACED = "^ | $|  |[\t-\r\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
+def character_planes(text: Column) -> Column:
+    """planes: bit b of plane k says whether more than k of the text's characters fall into bucket b;
+    over: characters beyond the last plane; n: length; plain: words are apart by single spaces."""
+    buckets = F.transform(F.split(text, ""), lambda c: F.pmod(F.xxhash64(c), F.lit(_BUCKETS)).cast("int"))
+
+    def counted(all_: Column) -> Column:
+        counts = F.transform(F.array_distinct(all_), lambda b: F.struct(b.alias("b"), F.size(F.filter(all_, lambda x: x == b)).alias("n")))
+        one = lambda b: F.call_function("shiftleft", F.lit(1).cast("long"), b)
+        plane = lambda c, k: F.aggregate(c, F.lit(0).cast("long"), lambda s, x: F.when(x["n"] > k, s.bitwiseOR(one(x["b"]))).otherwise(s))
+        over = lambda c: F.aggregate(c, F.lit(0), lambda s, x: s + F.greatest(x["n"] - _PLANES, F.lit(0)))
+        return F.transform(F.array(counts), lambda c: F.struct(F.array(*[plane(c, k) for k in range(_PLANES)]).alias("planes"), over(c).alias("over"), F.length(text).alias("n"), (~text.rlike(_SPACED)).alias("plain")))[0]
+
+    return F.transform(F.array(F.filter(buckets, lambda _, i: i < F.length(text))), counted)[0]
+
+
+def most_alike(a: Column, b: Column) -> Column:
+    """An upper bound of the text similarity of two texts, from their ``character_planes``: no more
+    characters can be matched than both have. The order of words doesn't matter to it."""
+    common = sum([F.bit_count(a["planes"][k].bitwiseAND(b["planes"][k])) for k in range(_PLANES)], F.least(a["over"], b["over"]))
+    return F.when(a["plain"] & b["plain"], 2.0 * common / (a["n"] + b["n"])).otherwise(1.0)
+
+
+def bounded(pairs: DataFrame) -> DataFrame:
+    """a, b (a <= b) of the distinct pairs of texts that aren't empty, with ``bound``. A text's
+    signature is made once, however many pairs it is in."""
+    distinct = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> '' AND b <> ''").distinct()
+    texts = distinct.select(F.col("a").alias("t")).unionByName(distinct.select(F.col("b").alias("t"))).distinct()
+    signed = materialized(texts.select("t", character_planes(F.col("t")).alias("s")), "signatures")
+    side = lambda c: signed.select(F.col("t").alias(c), F.col("s").alias(f"s_{c}"))
+    return distinct.join(side("a"), "a").join(side("b"), "b").select("a", "b", most_alike(F.col("s_a"), F.col("s_b")).alias("bound"))
+
+
+def alike(pairs: DataFrame, least: float) -> DataFrame:
+    """a, b (a <= b), sim of the distinct pairs of texts with a similarity of at least ``least``.
+    Pairs whose characters alone refute it are never aligned, and none is aligned twice."""
+    possible = bounded(pairs).where(F.col("bound") >= least - 1e-9)
+    return with_text_sims(possible.select("a", "b"), sim=(F.col("a"), F.col("b"))).where(F.col("sim") >= least)
+
+
 def duration_diff(a: Column, b: Column) -> Column:
     return F.abs(a - b)
 

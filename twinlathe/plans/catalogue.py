@@ -122,13 +122,25 @@ def _lcs_sql(x: str, y: str) -> str:
 _SORTED = "array_to_string(list_sort(string_split({}, ' ')), ' ')"
 
 
-@query(f"""WITH parts AS (SELECT DISTINCT p_name, p_brand FROM part), pairs AS (SELECT DISTINCT x.p_name AS a, y.p_name AS b FROM parts x JOIN parts y ON x.p_brand = y.p_brand AND x.p_name < y.p_name),
-codes AS (SELECT a, b, {_codes("a")} AS ca, {_codes("b")} AS cb, {_codes(_SORTED.format("a"))} AS sa, {_codes(_SORTED.format("b"))} AS sb FROM pairs)
-SELECT a, b, round(2.0::DOUBLE * greatest({_lcs_sql("ca", "cb")}, {_lcs_sql("sa", "sb")}) / (length(a) + length(b)), 6) AS sim FROM codes""")
-def text_similarity(spark: SparkSession, d: str) -> DataFrame:
+_NAME_PAIRS = f"""WITH parts AS (SELECT DISTINCT p_name, p_brand FROM part), pairs AS (SELECT DISTINCT x.p_name AS a, y.p_name AS b FROM parts x JOIN parts y ON x.p_brand = y.p_brand AND x.p_name < y.p_name),
+codes AS (SELECT a, b, {_codes("a")} AS ca, {_codes("b")} AS cb, {_codes(_SORTED.format("a"))} AS sa, {_codes(_SORTED.format("b"))} AS sb FROM pairs),
+sims AS (SELECT a, b, 2.0::DOUBLE * greatest({_lcs_sql("ca", "cb")}, {_lcs_sql("sa", "sb")}) / (length(a) + length(b)) AS sim FROM codes)"""
+
+
+def _name_pairs(spark: SparkSession, d: str) -> DataFrame:
     parts = fx.table(spark, d, "part").select("p_name", "p_brand").distinct()
-    pairs = parts.alias("x").join(parts.alias("y"), F.expr("x.p_brand = y.p_brand AND x.p_name < y.p_name")).select(F.col("x.p_name").alias("a"), F.col("y.p_name").alias("b")).distinct()
-    return similarity.with_text_sims(pairs, sim=(F.col("a"), F.col("b"))).select("a", "b", F.round("sim", 6).alias("sim"))
+    return parts.alias("x").join(parts.alias("y"), F.expr("x.p_brand = y.p_brand AND x.p_name < y.p_name")).select(F.col("x.p_name").alias("a"), F.col("y.p_name").alias("b"))
+
+
+@query(f"{_NAME_PAIRS} SELECT a, b, round(sim, 6) AS sim FROM sims")
+def text_similarity(spark: SparkSession, d: str) -> DataFrame:
+    return similarity.with_text_sims(_name_pairs(spark, d).distinct(), sim=(F.col("a"), F.col("b"))).select("a", "b", F.round("sim", 6).alias("sim"))
+
+
+@query(f"{_NAME_PAIRS} SELECT a, b, round(sim, 6) AS sim FROM sims WHERE sim >= 0.6::DOUBLE")
+def text_alike(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of at least 0.6; those that characters alone refute are never aligned."""
+    return similarity.alike(_name_pairs(spark, d), 0.6).select("a", "b", F.round("sim", 6).alias("sim"))
 
 
 # --- pairs ------------------------------------------------------------------------------

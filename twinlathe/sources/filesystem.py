@@ -98,16 +98,66 @@ def sha256_of(path: str) -> str | None:
         return None
 
 
+#: Bytes at a file's begin and end, and of each of ``PEEKS`` places between, that tell most files apart.
+PEEK, PEEKS, PEEK_BETWEEN = 1 << 16, 8, 1 << 12
+
+
+def peek_of(path: str, size: int) -> tuple[str | None, int]:
+    """(digest of a file's begin, end and places between, bytes read); a file of no more than
+    those is read whole. None where the file can't be read."""
+    try:
+        digest, read = hashlib.sha256(), 0
+        places = [(0, size)] if size <= 2 * PEEK + PEEKS * PEEK_BETWEEN else [
+            (0, PEEK), *[(PEEK + k * (size - 2 * PEEK) // PEEKS, PEEK_BETWEEN) for k in range(PEEKS)], (size - PEEK, PEEK)
+        ]
+        with open(path, "rb") as f:
+            for at, n in places:
+                f.seek(at)
+                part = f.read(n)
+                digest.update(part)
+                read += len(part)
+        return digest.hexdigest(), read
+    except OSError:
+        return None, 0
+
+
+def _peek(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        found = [peek_of(p, n) for p, n in zip(batch["path"], batch["size"])]
+        yield pd.DataFrame({"rel": batch["rel"], "size": batch["size"], "fresh": batch["fresh"], "peek": [d for d, _ in found], "peeked": [n for _, n in found]})
+
+
 def _hash(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         yield pd.DataFrame({"rel": batch["rel"], "sha256": [sha256_of(p) for p in batch["path"]]})
 
 
+def peeks(tracks: DataFrame) -> DataFrame:
+    """rel, size, fresh (its hash isn't known), peeked (bytes read for it) and whole (whether it has
+    to be read whole) of the files that share a size with a fresh one. Files of which another one
+    looks the same, or that couldn't be peeked at, have to be."""
+    shared = tracks.groupBy("size").agg(F.count("*").alias("n"), F.count_if(F.col("sha256").isNull()).alias("fresh")).where("n > 1 AND fresh > 0").select("size")
+    looked = tracks.join(shared, "size", "left_semi").select("rel", "path", "size", F.col("sha256").isNull().alias("fresh"))
+    seen = materialized(looked.mapInPandas(_peek, "rel string, size long, fresh boolean, peek string, peeked long"), "peeks")
+    same = seen.where("peek IS NOT NULL").groupBy("size", "peek").agg(F.count("*").alias("n")).where("n > 1").select(F.col("size").alias("same_size"), F.col("peek").alias("same_peek"))
+    alike = seen.join(same, (F.col("size") == F.col("same_size")) & (F.col("peek") == F.col("same_peek")), "left")
+    return alike.select("rel", "size", "fresh", "peeked", (F.col("fresh") & (F.col("same_peek").isNotNull() | F.col("peek").isNull())).alias("whole"))
+
+
+def hash_counters(seen: DataFrame) -> DataFrame:
+    """files, peeked_bytes, whole_files, whole_bytes of ``peeks``, and saved_bytes: of fresh files never read whole."""
+    return seen.agg(
+        F.count("*").alias("files"), F.coalesce(F.sum("peeked"), F.lit(0)).alias("peeked_bytes"), F.count_if("whole").alias("whole_files"),
+        F.coalesce(F.sum(F.when(F.col("whole"), F.col("size"))), F.lit(0)).alias("whole_bytes"), F.coalesce(F.sum(F.when(F.col("fresh") & ~F.col("whole"), F.col("size"))), F.lit(0)).alias("saved_bytes"),
+    )
+
+
 def with_hashes(tracks: DataFrame) -> DataFrame:
-    """``tracks`` (path, rel, size, sha256 or null) hashed where another file has the size
-    and no hash is known. Files are read on the executors, which must see the paths."""
-    shared = tracks.groupBy("size").agg(F.count("*").alias("n")).where("n > 1").select("size")
-    todo = tracks.where(F.col("sha256").isNull()).join(shared, "size", "left_semi").select("rel", "path")
+    """``tracks`` (path, rel, size, sha256 or null) hashed where another file has the size and
+    looks the same at a few places, and no hash is known; a file that differs there from all
+    others of its size has no duplicate and keeps no hash. Files are read on the executors,
+    which must see the paths."""
+    todo = tracks.join(peeks(tracks).where("whole").select("rel"), "rel", "left_semi").select("rel", "path")
     found = todo.mapInPandas(_hash, "rel string, sha256 string").withColumnRenamed("sha256", "_new")
     return tracks.join(found, "rel", "left").withColumn("sha256", F.coalesce("sha256", "_new")).drop("_new").select(*tracks.columns)
 
