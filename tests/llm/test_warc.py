@@ -70,3 +70,19 @@ def test_read_back_finds_blocks_through_the_directories(spark):
         first.setdefault(html, i)
     got = warc.read_back(manifest.select("archive", "first_key"), folder).collect()
     assert sorted((r["page_id"], r["payload_bytes"], r["refers_to"]) for r in got) == [(i, len(h), None if first[h] == i else first[h]) for i, _, h in rows]
+
+
+def test_an_archive_is_opened_once(spark, monkeypatch):
+    """Directory reads, counted, of all blocks of several archives; archives are sized by bytes."""
+    rows = [(i, f"http://h{i % 700}.example.com/{i}", f"<p>{i} " + "word " * 30) for i in range(6000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    scratch = Scratch(spark, "test")
+    folder = scratch.folder("archives")
+    manifest = warc.write(pages, folder, scratch, archive_bytes=100_000)
+    archives = manifest.select("archive").distinct().count()
+    assert archives >= 9 and manifest.count() > archives
+    reads, read = [], warc.read_directory
+    monkeypatch.setattr(warc, "read_directory", lambda f: reads.append(1) or read(f))
+    blocks = manifest.select("archive", "first_key").distinct().orderBy("archive", "first_key").toArrow().to_batches()
+    found = [i for b in warc._read(folder, iter(blocks)) for i in b.column(0).to_pylist()]
+    assert sorted(found) == list(range(6000)) and len(reads) == archives

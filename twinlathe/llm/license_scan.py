@@ -201,5 +201,22 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))[0].drop("uid")
 
 
-QUERIES = {"op7_license_scan": op7_license_scan}
-ORACLE_SQL: dict[str, str] = {}
+def license_base_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op7 finds without its method: the base columns, which SQL can tell."""
+    return op7_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_PLACES = ", ".join(
+    "list_transform(list_filter(range(1, len(w) + 1), lambda i: " + " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(phrase.split())) + f"), lambda i: {{'at': i - 1, 'label': '{label}'}})"
+    for phrase, label in BASE
+)
+
+QUERIES = {"op7_license_scan": op7_license_scan, "license_base_places": license_base_places}
+ORACLE_SQL: dict[str, str] = {
+    "license_base_places": f"""
+WITH words AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+places AS (SELECT doc_id, len(w)::BIGINT AS n_words, flatten([{_PLACES}]) AS p FROM words)
+SELECT doc_id, n_words, len(p)::BIGINT AS n_base, list_min(list_transform(p, lambda x: x.at))::BIGINT AS first_word, list_max(list_transform(p, lambda x: x.at))::BIGINT AS last_word,
+       array_to_string(list_sort(list_distinct(list_transform(p, lambda x: x.label))), ',') AS base_labels FROM places"""
+}

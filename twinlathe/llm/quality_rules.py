@@ -196,5 +196,23 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
-QUERIES = {"op10_quality_rules": op10_quality_rules}
-ORACLE_SQL: dict[str, str] = {}
+def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op10 counts, and the base rules' verdict, which SQL can tell."""
+    counts = statistics(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumn("base_failed", base_failed())
+    return counts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+QUERIES = {"op10_quality_rules": op10_quality_rules, "quality_base_counts": quality_base_counts}
+ORACLE_SQL: dict[str, str] = {
+    "quality_base_counts": rf"""
+WITH t AS (
+  SELECT row_number() OVER () AS row_, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+windows AS (SELECT row_, i, list_aggregate(w[i : i + {WINDOW - 1}], 'string_agg', ' ') AS g FROM (SELECT row_, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM t)),
+twice AS (SELECT row_, i FROM (SELECT row_, i, count(*) OVER (PARTITION BY row_, g) AS n FROM windows) WHERE n > 1),
+covered AS (SELECT row_, count(DISTINCT at_) AS n FROM (SELECT row_, unnest(range(i, i + {WINDOW})) AS at_ FROM twice) GROUP BY row_),
+counted AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words FROM t LEFT JOIN covered USING (row_))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counted"""
+}

@@ -1,16 +1,16 @@
 """Operator 6: WARC archives with a two-level capture index.
 
 ``write`` stores one WARC/1.1 record per page, each its own gzip member. Pages are
-range-partitioned by their reversed-host URL key, so a partition makes one archive in
-key order and one index file: sorted capture lines in compressed blocks of
+range-partitioned by their reversed-host URL key, as many partitions as their bytes ask for,
+so a partition makes one archive of about ``ARCHIVE_BYTES`` in key order and one index file: sorted capture lines in compressed blocks of
 ``BLOCK_LINES``, then a sparse directory (the first key and place of each block) and the
 directory's length. A manifest with one row per block, committed by Spark, names the
 files that count; names are unique, so retried tasks only leave orphans.
 
 ``CaptureIndex`` finds a URL by binary search over the files, then over a file's
 directory, then within one block, and range-reads the record. ``read_back`` asks for the
-first key of each block: it finds the blocks by binary search in the file's directory, and
-reads each block and its span of the archive in one piece. Of the manifest it uses the
+first key of each block: a task opens an archive and reads its directory once, finds the
+blocks by binary search in it, and reads each block and its span of the archive in one piece. Of the manifest it uses the
 names and the first keys only, no places.
 
 Payloads are compared by SHA-256. Of records with equal payloads of at least
@@ -33,7 +33,9 @@ import functools
 import gzip
 import hashlib
 import io
+import itertools
 import json
+import operator
 import re
 import struct
 import uuid
@@ -50,6 +52,8 @@ from pyspark.sql import functions as F
 from twinlathe.llm.storage import Scratch
 
 MIN_REVISIT = 100
+#: Payloads that one archive holds, about, before they are compressed.
+ARCHIVE_BYTES = 1 << 30
 BLOCK_LINES = 512
 GZIP_LEVEL = 5
 DATE = "2000-01-01T00:00:00Z"
@@ -162,7 +166,7 @@ def _write(folder: str, level: int, batches: Iterator[pa.RecordBatch]) -> Iterat
     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [c.split()[0] for c in _MANIFEST.split(", ")])
 
 
-def write(pages: DataFrame, folder: str, scratch: Scratch, min_revisit: int = MIN_REVISIT, level: int = GZIP_LEVEL) -> DataFrame:
+def write(pages: DataFrame, folder: str, scratch: Scratch, min_revisit: int = MIN_REVISIT, level: int = GZIP_LEVEL, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes archives and indexes below ``folder``; returns the manifest (one row per index block)."""
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.sha2(html.cast("binary"), 256).alias("digest"))
@@ -172,7 +176,10 @@ def write(pages: DataFrame, folder: str, scratch: Scratch, min_revisit: int = MI
     refers_to = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     marked = rows.join(firsts, F.col("digest") == F.col("of"), "left").select("page_id", "url", "html", surt_column(F.col("url")).alias("key"), "digest", refers_to.alias("refers_to"))
     order = [F.col("key"), F.col("page_id").asc_nulls_last()]
-    placed = marked.repartitionByRange(*order).sortWithinPartitions(*order, "digest")
+    # as many archives as their bytes ask for, but work for every core
+    size = rows.agg(F.sum(F.octet_length("html"))).first()[0] or 0
+    archives = max(pages.sparkSession.sparkContext.defaultParallelism, -(-size // archive_bytes))
+    placed = marked.repartitionByRange(archives, *order).sortWithinPartitions(*order, "digest")
     return scratch.cut(placed.mapInArrow(functools.partial(_write, folder, level), _MANIFEST), "manifest")
 
 
@@ -193,17 +200,18 @@ def read_directory(f) -> list[list]:
 
 
 def _read(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of the blocks (archive, first key), sorted: an archive is opened, and its directory read, once."""
     fs, root = pa.fs.FileSystem.from_uri(folder)
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-    for batch in batches:
-        for row in batch.to_pylist():
-            key = row["first_key"]
-            with fs.open_input_file(f"{root}/{row['archive']}.idx") as index, fs.open_input_file(f"{root}/{row['archive']}.warc.gz") as archive:
-                directory = read_directory(index)
+    rows = ((row["archive"], row["first_key"]) for batch in batches for row in batch.to_pylist())
+    for name, mine in itertools.groupby(rows, operator.itemgetter(0)):
+        with fs.open_input_file(f"{root}/{name}.idx") as index, fs.open_input_file(f"{root}/{name}.warc.gz") as archive:
+            directory = read_directory(index)
+            for _, key in mine:
                 k = bisect.bisect_left(directory, key, key=lambda b: b[0])
                 if k == len(directory) or directory[k][0] != key:
-                    raise ValueError(f"no block of {row['archive']} begins with {key!r}")
+                    raise ValueError(f"no block of {name} begins with {key!r}")
                 while k < len(directory) and directory[k][0] == key:
                     lines = index_lines(_range(index, directory[k][1], directory[k][2]))
                     begin, end = lines[0][2], lines[-1][2] + lines[-1][3]
@@ -215,8 +223,8 @@ def _read(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 def read_back(manifest: DataFrame, folder: str) -> DataFrame:
     """Every record of the archives: page_id, payload_bytes, payload_digest, record_type, refers_to."""
-    blocks = max(1, min(manifest.count(), 4096))
-    spread = manifest.select("archive", "first_key").distinct().repartition(blocks, "archive", "first_key")
+    archives = manifest.agg(F.countDistinct("archive")).first()[0]
+    spread = manifest.select("archive", "first_key").distinct().repartition(max(1, archives), "archive").sortWithinPartitions("archive", "first_key")
     return spread.mapInArrow(functools.partial(_read, folder), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
