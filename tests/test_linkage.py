@@ -103,3 +103,26 @@ def test_track_names(spark):
     ]
     named = actions.with_track_names(tracks(spark, *[track(r, title=t, artist=a) for r, t, a, _ in rows]))
     assert {r["rel"]: r["name"] for r in named.collect()} == {r: n for r, _, _, n in rows}
+
+
+def test_classes_count_pairs_that_are_never_made(spark):
+    import random
+
+    from twinlathe.schema import CATEGORIES
+
+    rng = random.Random(7)
+    rows = [track(f"{rng.choice(['Library', 'Tracks', 'Incoming'])}/{k}.flac", title=rng.choice(["Song (Live)", "Song", "Song [Remix]", ""]), artist="X", duration=rng.choice([100.0, 101.0, 150.0, None]),
+                  sha256=rng.choice(["s", "t", None, None, None, ""])) for k in range(120)]
+    t = tracks(spark, *rows)
+    resolved = spark.createDataFrame([(r["rel"], rng.choice(rows)["rel"]) for r in rows[:60]] + [("Library/none", rows[0]["rel"])], "a string, b string")
+    for done in (None, resolved):
+        found = linkage.candidates(t, done)
+        plain = {r["category"]: r["n"] for r in linkage.category_counts(found).collect()}
+        assert {r["category"]: r["n"] for r in linkage.class_category_counts(t, done).collect()} == plain and len(plain) >= 3
+    made = linkage.expanded(linkage.class_pairs(t), t)
+    assert sorted(map(tuple, made.collect())) == sorted((r["a_rel"], r["b_rel"], r["category"]) for r in linkage.candidates(t).collect() if r["stage"] == 1)
+    # three thousand copies without a hash: one class, one row, millions of pairs
+    copies = spark.range(3000).select(F.concat(F.lit("Library/"), F.col("id").cast("string"), F.lit(".flac")).alias("rel"), F.lit("library").alias("source"), F.lit("Song").alias("title"), F.lit("X").alias("artist"),
+                                      F.lit(1.5).alias("duration"), F.lit(None).cast("string").alias("sha256"), F.lit(None).cast("string").alias("fingerprint"))
+    one = linkage.class_pairs(scan.featured(copies)).collect()
+    assert [(r["a_class"] == r["b_class"], r["pairs"], r["category"]) for r in one] == [(True, 3000 * 2999 // 2, CATEGORIES[2])]

@@ -118,6 +118,63 @@ def candidates(tracks: DataFrame, resolved: DataFrame | None = None) -> DataFram
     return classified(qualified.withColumn("fp_sim", F.lit(None).cast("double")))
 
 
+#: What decides a pair's category: tracks equal in these make a class.
+CLASS = ("block_key", "sha256", "core_title", "core_artist", "norm_title", "duration")
+
+
+def membership(tracks: DataFrame) -> DataFrame:
+    """``tracks`` (featured) with class, which names those equal in all of ``CLASS``, nulls too."""
+    known = F.concat_ws("", *[F.col(c).isNotNull().cast("int").cast("string") for c in CLASS])
+    return tracks.withColumn("class", F.sha2(F.concat_ws("\x00", known, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in CLASS]), 256))
+
+
+def classes(tracks: DataFrame) -> DataFrame:
+    """One row for each class of tracks with a block key: ``CLASS``, rel and source of the first member, n."""
+    keyed = membership(tracks).where(F.coalesce("block_key", F.lit("")) != "").withColumn("ord", order_key(F.col("source"), F.col("rel")))
+    return keyed.groupBy("class", *CLASS).agg(F.count("*").alias("n"), F.min_by(F.struct("rel", "source"), "ord").alias("first")).select("class", *CLASS, "n", "first.rel", "first.source")
+
+
+def class_pairs(tracks: DataFrame) -> DataFrame:
+    """a_ and b_ columns of classes (a class with itself, too) whose members make blocked pairs, with
+    their category and pairs, how many. A block of many copies makes few rows here, where the
+    pairs themselves grow with its square; ``expanded`` gives those of the rows that are wanted."""
+    rows = materialized(classes(tracks), "classes")
+    a, b = _side(rows, "a"), _side(rows, "b")
+    joined = a.join(b, (F.col("a_block_key") == F.col("b_block_key")) & (F.col("a_class") <= F.col("b_class")))
+    same_hash = F.coalesce((F.col("a_sha256") == F.col("b_sha256")) & (F.col("a_sha256") != ""), F.lit(False))
+    within = F.col("a_class") == F.col("b_class")
+    pairs = F.when(within, F.col("a_n") * (F.col("a_n") - 1) / 2).otherwise(F.col("a_n") * F.col("b_n")).cast("long")
+    made = joined.where(~same_hash).withColumn("pairs", pairs).where("pairs > 0").withColumn("stage", F.lit(1))
+    return classified(scored(made).where(is_candidate()).withColumn("fp_sim", F.lit(None).cast("double")))
+
+
+def expanded(pairs: DataFrame, tracks: DataFrame) -> DataFrame:
+    """a_rel, b_rel, category of the members' pairs of rows of ``class_pairs``, the one before in
+    the order of sources and paths first."""
+    member = membership(tracks).select("class", "rel", order_key(F.col("source"), F.col("rel")).alias("ord"))
+    side = lambda s: member.select(F.col("class").alias(f"{s}_class"), F.col("rel").alias(f"{s}_rel"), F.col("ord").alias(f"{s}_ord"))
+    made = pairs.select("a_class", "b_class", "category").join(side("a"), "a_class").join(side("b"), "b_class")
+    made = made.where((F.col("a_class") != F.col("b_class")) | (F.col("a_ord") < F.col("b_ord")))
+    turned = F.col("a_ord") > F.col("b_ord")
+    return made.select(F.when(turned, F.col("b_rel")).otherwise(F.col("a_rel")).alias("a_rel"), F.when(turned, F.col("a_rel")).otherwise(F.col("b_rel")).alias("b_rel"), "category")
+
+
+def class_category_counts(tracks: DataFrame, resolved: DataFrame | None = None) -> DataFrame:
+    """category, n as ``category_counts`` has them of all candidates, without making the pairs: those of
+    classes are multiplied, those of equal files follow from their groups, resolved ones are taken off."""
+    groups = tracks.where(F.coalesce("sha256", F.lit("")) != "").groupBy("sha256").agg(F.count("*").alias("n"))
+    exact = groups.select(F.lit(CATEGORIES[0]).alias("category"), (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("n"))
+    every = exact.unionByName(class_pairs(tracks).select("category", F.col("pairs").alias("n")))
+    if resolved is not None:
+        done = resolved.select(pair_key(F.col("a"), F.col("b")).alias("key")).distinct().select(F.col("key")[0].alias("a_rel"), F.col("key")[1].alias("b_rel")).where("a_rel <> b_rel")
+        known = done.join(_side(tracks, "a"), "a_rel").join(_side(tracks, "b"), "b_rel")
+        same_hash = F.coalesce((F.col("a_sha256") == F.col("b_sha256")) & (F.col("a_sha256") != ""), F.lit(False))
+        same_block = F.coalesce((F.col("a_block_key") == F.col("b_block_key")) & (F.col("a_block_key") != ""), F.lit(False))
+        known = scored(materialized(known.where(same_hash | same_block), "resolved")).where(same_hash | is_candidate())
+        every = every.unionByName(classified(known.withColumn("fp_sim", F.lit(None).cast("double"))).select("category", F.lit(-1).cast("long").alias("n")))
+    return every.groupBy("category").agg(F.sum("n").alias("n")).where("n > 0")
+
+
 def files_to_print(pairs: DataFrame) -> DataFrame:
     """Distinct files (rel, path) of pairs that aren't exact and that have no fingerprint yet."""
     open_ = pairs.where(F.col("category") != CATEGORIES[0])

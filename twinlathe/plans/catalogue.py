@@ -190,6 +190,35 @@ def category_counts(spark: SparkSession, d: str) -> DataFrame:
     return linkage.category_counts(linkage.candidates(fx.part_featured(spark, d)))
 
 
+@query(f"{_CLASSES} SELECT category, count(*) AS n FROM classed GROUP BY category")
+def category_counts_by_class(spark: SparkSession, d: str) -> DataFrame:
+    """The same counts without the pairs."""
+    return linkage.class_category_counts(fx.part_featured(spark, d))
+
+
+@query(f"""{_CLASSES}, {fx.RESOLVED_SQL}, done AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM resolved)
+SELECT category, count(*) AS n FROM classed c WHERE NOT EXISTS (SELECT 1 FROM done d WHERE d.a = least(c.a_rel, c.b_rel) AND d.b = greatest(c.a_rel, c.b_rel)) GROUP BY category""")
+def open_counts_by_class(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates not yet decided, by category, without the pairs."""
+    return linkage.class_category_counts(fx.part_featured(spark, d), fx.resolved(spark, d))
+
+
+@query(f"""WITH {fx.PART_SQL} SELECT rel, count(*) OVER c AS members, first_value(rel) OVER (c ORDER BY rank, path) AS first
+FROM tracks WINDOW c AS (PARTITION BY block_key, sha256, core_title, core_artist, norm_title, duration)""")
+def class_members(spark: SparkSession, d: str) -> DataFrame:
+    tracks = fx.part_featured(spark, d)
+    found = linkage.membership(tracks).select("rel", "class", linkage.order_key(F.col("source"), F.col("rel")).alias("ord"))
+    sizes = found.groupBy("class").agg(F.count("*").alias("members"), F.min_by("rel", "ord").alias("first"))
+    return found.join(sizes, "class").select("rel", "members", "first")
+
+
+@query(f"{_CLASSES} SELECT a_rel, b_rel, category FROM classed WHERE category = 'POSSIBLE_ALTERNATE_VERSION'")
+def alternate_versions_on_demand(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs of one category, made from the classes that have it."""
+    tracks = fx.part_featured(spark, d)
+    return linkage.expanded(linkage.class_pairs(tracks).where("category = 'POSSIBLE_ALTERNATE_VERSION'"), tracks)
+
+
 @query(f"""{_CLASSES}, keyed AS (SELECT *, CASE category WHEN 'EXACT_DUPLICATE' THEN 0 WHEN 'POSSIBLE_SAME_RECORDING' THEN 2 ELSE 3 END AS severity,
  CASE WHEN a_source = 'library' OR b_source = 'library' THEN 0 ELSE 1 END AS lib, min((ra, pa)) OVER (PARTITION BY stage, grp) AS first FROM classed)
 SELECT a_rel, b_rel, category, row_number() OVER (ORDER BY severity, lib, stage, first, ra, pa, rb, pb)::INTEGER AS rank FROM keyed""")
