@@ -5,6 +5,11 @@ Plans are DataFrames; ``twinlathe.sources.filesystem.apply_moves`` carries them
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,19 +70,72 @@ def version_plan(pairs: DataFrame, choices: DataFrame) -> DataFrame:
     return named.select("id", "side", "rel", F.concat(folder, F.col("name")).alias("dest"))
 
 
+#: The largest number that a taken name gets.
+LAST_NUMBER = 999
+#: Endings that numbering may have given: ' - 2' to ' - 999', also several.
+_NUMBERED = r"(?: - (?:[2-9]|[1-9][0-9]{1,2}))+$"
+
+
+def _allocate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """rel, dest of files sorted by family and order; names that are there come first in a family."""
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            yield from zip(*[c.to_pylist() for c in batch.columns])
+
+    for _, mine in groupby(rows(), itemgetter(0)):
+        taken: set[str] = set()
+        reached: dict[str, int] = {}  # names don't become free again
+        out: list[tuple[str, str | None]] = []
+        for _, rel, want, start, ext in mine:
+            if rel is None:
+                taken.add(want)
+                continue
+            name, n = want, reached.get(want, 1)
+            while n <= LAST_NUMBER and (name := want if n == 1 else f"{start} - {n}{ext}") in taken:
+                n += 1
+            reached[want] = n
+            if n > LAST_NUMBER:
+                name = None
+            else:
+                taken.add(name)
+            out.append((rel, name))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)], ["rel", "dest"])
+
+
+def allocated(files: DataFrame, taken: DataFrame | None = None) -> DataFrame:
+    """rel, dest: the names that files (rel, source, want, start, ext; want is start and ext) get one
+    after another in path order: the wanted one, or the first of 'start - 2' to 'start - 999' that
+    neither is there (``taken``: dest) nor was given before; null where none is free.
+
+    A numbered name may be another file's wanted one, so names that differ in such endings form a
+    family, which is gone through in order by one task. Of a name's files the first 999 are all
+    that can get one; the others are told apart while the names are ranked, by every task for
+    itself, so that a name that many files want doesn't land in one task."""
+    order = order_key(F.col("source"), F.col("rel"))
+    placed = files.withColumn("ord", order).withColumn("nth", F.row_number().over(Window.partitionBy("want").orderBy("ord")))
+    first = placed.where(F.col("nth") <= LAST_NUMBER).drop("nth")
+    family = lambda start, ext: F.struct(F.regexp_replace(start, _NUMBERED, "").alias("start"), ext.alias("ext"))
+    rows = first.select(family(F.col("start"), F.col("ext")).alias("family"), "rel", "want", "start", "ext", "ord")
+    if taken is not None:
+        there = taken.select(F.col("dest").alias("want")).distinct().withColumn("ext", F.regexp_extract("want", r"(?<=[^/])(\.[^./]+)$", 1))
+        there = there.withColumn("start", F.expr("substring(want, 1, length(want) - length(ext))"))
+        names = rows.select("family").distinct()
+        known = there.select(family(F.col("start"), F.col("ext")).alias("family"), F.lit(None).cast("string").alias("rel"), "want", "start", "ext", F.lit(None).cast(rows.schema["ord"].dataType).alias("ord"))
+        rows = rows.unionByName(known.join(names, "family", "left_semi"))
+    sorted_ = rows.repartition("family").sortWithinPartitions("family", F.col("ord").asc_nulls_first())
+    given = sorted_.select(F.to_json("family").alias("family"), "rel", "want", "start", "ext").mapInArrow(_allocate, "rel string, dest string")
+    return files.select("rel").join(given, "rel", "left")
+
+
 def quarantine_plan(files: DataFrame, day: str, taken: DataFrame | None = None) -> DataFrame:
-    """rel, dest below the trash; a taken name gets ' - 2', ' - 3', ... in path order.
+    """rel, dest below the trash; a taken name gets ' - 2', ' - 3', ... in path order (``allocated``).
     ``taken``: dest of what the trash already holds (the executor checks again)."""
     name = file_name(F.col("rel"))
     base = F.concat(F.lit(f"{TRASH_DIR}/{day}/"), F.col("source"), F.lit("/"))
-    plan = files.select("rel", "source", F.concat(base, name).alias("want"), stem(F.col("rel")).alias("stem"), F.regexp_extract(name, r"^.+?(\.[^.]+)$", 1).alias("ext"), base.alias("base"))
-    if taken is not None:
-        plan = plan.join(taken.select(F.col("dest").alias("want"), F.lit(1).alias("there")).distinct(), "want", "left")
-    else:
-        plan = plan.withColumn("there", F.lit(None).cast("int"))
-    place = F.row_number().over(Window.partitionBy("want").orderBy(order_key(F.col("source"), F.col("rel")))) + F.coalesce("there", F.lit(0))
-    numbered = F.concat("base", "stem", F.lit(" - "), place.cast("string"), "ext")
-    return plan.select("rel", F.when(place == 1, F.col("want")).otherwise(numbered).alias("dest"))
+    ext = F.regexp_extract(name, r"^.+?(\.[^.]+)$", 1)
+    wanted = files.select("rel", "source", F.concat(base, name).alias("want"), F.concat(base, stem(F.col("rel"))).alias("start"), ext.alias("ext"))
+    return allocated(wanted, taken)
 
 
 def trash_by_day(entries: DataFrame) -> DataFrame:

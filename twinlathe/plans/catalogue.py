@@ -477,6 +477,25 @@ def quarantine_plan(spark: SparkSession, d: str) -> DataFrame:
     return actions.quarantine_plan(files, "2024-05-01")
 
 
+@query("""WITH f AS (SELECT 'X/' || p_partkey || '/n' || p_partkey % 7 || ['', ' - 2', ' - 3 - 2'][p_partkey % 3 + 1] || '.flac' AS rel, '.Trash/2024-05-01/' || ['library', 'tracks', 'incoming'][p_partkey // 3 % 3 + 1] || '/' AS base,
+         p_partkey // 3 % 3 AS rank, 'n' || p_partkey % 7 AS root, 'n' || p_partkey % 7 || ['', ' - 2', ' - 3 - 2'][p_partkey % 3 + 1] AS stem FROM part),
+there AS (SELECT base, root, list(DISTINCT base || root || ' - 4.flac') AS have FROM f GROUP BY base, root),
+told AS (SELECT base, root, list({'rel': rel, 'stem': base || stem} ORDER BY string_split(rel, '/')) AS files FROM f GROUP BY base, root),
+folded AS (
+  SELECT files, list_reduce(files, lambda acc, x: list_transform([
+      list_filter(list_concat([x.stem || '.flac'], list_transform(range(2, 1000), lambda n: x.stem || ' - ' || n || '.flac')), lambda c: NOT list_contains(acc.have, c))[1]],
+      lambda name: {'have': list_append(acc.have, name), 'said': list_append(acc.said, name)})[1], {'have': have, 'said': []::VARCHAR[]}) AS r FROM told JOIN there USING (base, root))
+SELECT unnest(files).rel AS rel, unnest(r.said) AS dest FROM folded""")
+def quarantine_names(spark: SparkSession, d: str) -> DataFrame:
+    """Files some of whose names look numbered already, into a trash that holds numbered names."""
+    k = F.col("p_partkey")
+    source = fx.pick(("library", "tracks", "incoming"), F.floor(k / 3))
+    name = F.concat(F.lit("n"), (k % 7).cast("string"), fx.pick(("", " - 2", " - 3 - 2"), k), F.lit(".flac"))
+    files = fx.table(spark, d, "part").select(F.concat(F.lit("X/"), k.cast("string"), F.lit("/"), name).alias("rel"), source.alias("source"), (k % 7).alias("root"))
+    there = files.select(F.concat(F.lit(".Trash/2024-05-01/"), "source", F.lit("/n"), F.col("root").cast("string"), F.lit(" - 4.flac")).alias("dest"))
+    return actions.quarantine_plan(files.drop("root"), "2024-05-01", there)
+
+
 @query("SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS files, sum(user_id)::BIGINT AS bytes FROM events GROUP BY day")
 def trash_by_day(spark: SparkSession, d: str) -> DataFrame:
     return actions.trash_by_day(fx.table(spark, d, "events").select(report.day_folder(F.col("ts")).alias("day"), F.col("user_id").alias("size")))
