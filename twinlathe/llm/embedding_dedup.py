@@ -20,7 +20,8 @@ Linked pairs never become rows: a task sums each node's links over its tiles and
 nodes that they connect, and sends one row for each node it has met, with the sum and one
 node of its part of a component.
 
-Defined cases: vectors that are null, empty, zero or hold null or non-finite components,
+Defined cases: vec_id is an integer or casts to one (other strings are an error);
+vectors that are null, empty, zero or hold null or non-finite components,
 and rows with null label, link with nothing and are their own component; vectors of
 different dimension do not link; repeated rows are equal vectors (told apart by 128 bits)
 and count as links of each other; an empty table gives no rows. Only vec_id, embedding and label are read.

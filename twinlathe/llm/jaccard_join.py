@@ -34,7 +34,8 @@ link and still lie apart are compared exactly. After that every two nodes that s
 are in one component or have been refuted: components are exact, up to equal 64-bit
 hashes of different n-grams in one pair of documents.
 
-Defined cases: null, empty or wordless text has an empty set, links with nothing and is
+Defined cases: doc_id is an integer or casts to one (other strings are an error);
+null, empty or wordless text has an empty set, links with nothing and is
 its own component; texts with fewer words than n have their whole sequence as one
 n-gram; a very long text forms a slice of its own, so memory is bounded by the longest
 text; repeated rows are equal sets and link; a null doc_id takes part, but a component's

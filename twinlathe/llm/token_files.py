@@ -19,7 +19,8 @@ A manifest table (one row per block, written with Spark's commit protocol) names
 files that count. Files have unique names, so a retried or speculative task leaves an
 orphan that no row names. Starts come from sums per file and block.
 
-Defined cases: null text is empty and holds only the end id; null doc_ids come first;
+Defined cases: doc_id is an integer or casts to one (other strings are an error);
+null text is empty and holds only the end id; null doc_ids come first;
 rows with equal doc_id are ordered by their number of ids, then by a digest of the ids, and
 may lie in several files; a very long text forms a slice and a block of its own; an empty
 table gives no files and no rows. Only doc_id and text are read.

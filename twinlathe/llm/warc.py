@@ -19,7 +19,8 @@ revisit it. First holders are found by an aggregate (combined before the shuffle
 table of repeated digests is written first, so that its size decides on a broadcast, and
 beyond that Spark's skew join splits a digest that many pages share.
 
-Defined cases: null html is an empty payload; null url has an empty key and no target
+Defined cases: page_id is an integer or casts to one (other strings are an error);
+null html is an empty payload; null url has an empty key and no target
 header; control characters and spaces in a URL are percent-encoded; null page_ids come
 last and have no id header; rows that share the smallest page_id of a payload are all
 responses; an empty table gives no archive and no rows. Only page_id, url and html are
