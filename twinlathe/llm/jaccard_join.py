@@ -20,7 +20,8 @@ there: every buffer first reports the n-grams of which it holds more than its sh
 those above ``load`` / 2 in all (at most 2 * n-grams / load, so a list of bounded size is
 broadcast) come last in the order; each buffer knows by itself which of them are keys.
 
-Keys are joined to their smallest node (a star, not all pairs). Bounds: a bitmap of 4 to 8
+Of keys that the same nodes have one is kept, and joined to its smallest node (a star, not
+all pairs). Bounds: a bitmap of 4 to 8
 bits for each n-gram; the bits in which two bitmaps differ bound the differing n-grams
 from below and so the intersection from above. Pairs that pass are compared exactly, by
 intersecting sorted arrays; a star's centre sends its array once for up to 64 pairs.
@@ -29,7 +30,8 @@ Completion. Where the members of a key end in different components, links betwee
 be hidden. Of each such key, the members outside its largest component are compared with
 the members of other components by sizes and bitmaps, in tiles of at most ``BLOCK`` by
 ``BLOCK``. At first each takes only its nearest in a tile, which is compared exactly, and
-components are joined again, until that finds nothing new; only then all pairs that may
+components are joined again, until that finds nothing new (a round takes the keys of which
+a member has moved in the one before); only then all pairs that may
 link and still lie apart are compared exactly. After that every two nodes that share a key
 are in one component or have been refuted: components are exact, up to equal 64-bit
 hashes of different n-grams in one pair of documents.
@@ -57,7 +59,7 @@ from pyspark.sql import functions as F
 from twinlathe.llm import bytetext
 from twinlathe.llm.bytetext import U64, mix
 from twinlathe.llm.components import components
-from twinlathe.llm.storage import Scratch, carried
+from twinlathe.llm.storage import BROADCAST_ROWS, Scratch, carried
 
 BAND_RATIO = 1.25
 #: Least number of n-grams that a task holds at once, and most ranges into which hashes are cut.
@@ -557,12 +559,18 @@ class Join:
         keys = counted.repartition(route.dests, "dest").sortWithinPartitions("dest").mapInArrow(functools.partial(_keys, self.percent, route), "key long, node binary")
         return self.scratch.cut(keys, "postings")
 
-    def stars(self, postings: DataFrame) -> DataFrame:
-        """a, b: the smallest node of each key with its other nodes."""
-        centres = postings.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a <> last").select("key", "a")
+    def members(self, postings: DataFrame) -> DataFrame:
+        """key, node of the keys that several nodes have; of keys with the same nodes (told apart by
+        their number and 128 bits), one. Near copies share very many such keys."""
+        sizes = postings.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+        keys = sizes.where("size > 1").groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key")
         # written first: joined to a table of its own, Spark may split a key that many nodes have
-        centres = self.scratch.small(self.scratch.cut(centres, "centres"))
-        return self.scratch.cut(postings.join(centres, "key").where("a <> node").select("a", F.col("node").alias("b")).distinct(), "pairs")
+        return self.scratch.cut(postings.join(self.scratch.small(self.scratch.cut(keys, "keys")), "key", "left_semi"), "members")
+
+    def stars(self, members: DataFrame) -> DataFrame:
+        """a, b: the smallest node of each key with its other nodes."""
+        centres = self.scratch.small(self.scratch.cut(members.groupBy("key").agg(F.min("node").alias("a")), "centres"))
+        return self.scratch.cut(members.join(centres, "key").where("a <> node").select("a", F.col("node").alias("b")).distinct(), "pairs")
 
     def sets_of(self, pairs: DataFrame) -> DataFrame:
         """node, n, bitmap and grams of the ends of ``pairs``. Texts are those with the smallest
@@ -573,6 +581,10 @@ class Join:
         found = texts.mapInArrow(functools.partial(_arrays, self.n), _SETS).join(self.scratch.small(ends), "node", "left_semi")
         return self.scratch.cut(found.dropDuplicates(["node"]), "arrays")
 
+    def rooted(self, links: DataFrame) -> DataFrame:
+        """node, root of the nodes that link, broadcast by joins if there are few enough."""
+        return self.scratch.small(components(links, self.scratch))
+
     def linked(self, pairs: DataFrame) -> DataFrame:
         """The pairs that link."""
         a = self.sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("bitmap_a"))
@@ -582,20 +594,26 @@ class Join:
         shares = bounded.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_PER_COPY).alias("shares"))
         lefts = shares.select("a", F.explode(F.sequence(F.lit(0), F.col("shares").cast("int") - 1)).alias("share"))
         rights = bounded.join(shares, "a").select("a", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int").alias("share"), "b")
+        if bounded.count() <= BROADCAST_ROWS:  # neither side has more rows: arrays stay where they are until they are dealt
+            lefts, rights = F.broadcast(lefts), F.broadcast(rights)
         grams = self.sets.select("node", "grams")
         lefts = lefts.join(grams, F.col("a") == F.col("node")).select("a", "share", F.lit(None).cast("binary").alias("b"), "grams")
         rights = rights.join(grams, F.col("b") == F.col("node")).select("a", "share", "b", "grams")
         dealt = lefts.unionByName(rights).repartition("a", "share").sortWithinPartitions("a", "share", F.col("b").asc_nulls_first())
         return self.scratch.cut(dealt.mapInArrow(functools.partial(_intersect, self.percent), "a binary, b binary"), "links")
 
-    def unsettled(self, postings: DataFrame, roots: DataFrame) -> DataFrame:
-        """key, node of the keys whose nodes lie in different components; of keys with the same nodes, one."""
-        placed = postings.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        keys = placed.groupBy("key").agg(
-            F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("size"),
-            F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"),
-        ).where("least <> most").groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key")
-        return self.scratch.cut(postings.join(self.scratch.cut(keys, "keys"), "key", "left_semi"), "members")
+    def unsettled(self, members: DataFrame, roots: DataFrame) -> DataFrame:
+        """key, node of the keys whose nodes lie in different components."""
+        placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        keys = placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
+        return self.scratch.cut(members.join(self.scratch.small(self.scratch.cut(keys, "apart-keys")), "key", "left_semi"), "unsettled")
+
+    def touched(self, members: DataFrame, before: DataFrame, roots: DataFrame) -> DataFrame:
+        """The members of keys of which a node has another root than before. The nearest of all others stay as they were."""
+        moved = roots.join(before.withColumnRenamed("root", "was"), "node", "left").where("was IS NULL OR was <> root").select("node")
+        moved = self.scratch.small(self.scratch.cut(moved, "moved"))
+        keys = self.scratch.cut(members.join(moved, "node", "left_semi").select("key").distinct(), "touched-keys")
+        return self.scratch.cut(members.join(self.scratch.small(keys), "key", "left_semi"), "touched")
 
     def tiles(self, members: DataFrame, roots: DataFrame) -> DataFrame:
         """Members of keys with several components, dealt to tiles."""
@@ -620,14 +638,16 @@ class Join:
         every = members.isEmpty()
         if every:
             return roots
+        near = members
         while True:
-            pairs = self.tiles(members, roots).mapInArrow(functools.partial(_tiles, self.percent, every), "a binary, b binary").distinct()
+            pairs = self.tiles(members if every else near, roots).mapInArrow(functools.partial(_tiles, self.percent, every), "a binary, b binary").distinct()
             pairs = self.scratch.cut(pairs.join(tested, ["a", "b"], "left_anti"), "apart")
             found = None if pairs.isEmpty() else self.linked(pairs)
             tested = tested.unionByName(pairs)
             if found is not None and not found.isEmpty():
                 links = links.unionByName(found)
-                roots = components(links, self.scratch)
+                before, roots = roots, self.rooted(links)
+                near = near if every else self.touched(members, before, roots)
             elif not every:
                 every = True  # the nearest are exhausted: now all that still lie apart
                 continue
@@ -638,12 +658,14 @@ class Join:
         """doc_id, n_shingles, component_id; with columns to carry these too, and group."""
         postings = self.postings()
         self.scratch.release()
-        pairs = self.stars(postings)
+        members = self.members(postings)
+        self.scratch.drop(postings)
+        pairs = self.stars(members)
         self.sets = self.sets_of(pairs)
         links = self.linked(pairs)
         self.scratch.release()
-        roots = components(links, self.scratch)
-        roots = self.completed(self.unsettled(postings, roots), links, roots, pairs)
+        roots = self.rooted(links)
+        roots = self.completed(self.unsettled(members, roots), links, roots, pairs)
         placed = self.nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         ids = placed.groupBy("root").agg(F.min("min_id").alias("component"))
         of_node = placed.join(ids, "root").select("node", "component", "root")
