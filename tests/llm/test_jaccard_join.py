@@ -174,3 +174,22 @@ def test_near_copies_with_null_doc_id_link(spark):
     got = ours(spark, rows, 3, 90)
     assert got == brute(rows, 3, 90)
     assert ("2", 58, "1") in got and ("None", 58, "3") in got
+
+
+def test_keys_with_the_same_nodes_and_keys_that_moved(spark):
+    join = jj.Join(spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string"), 5, 80)
+    a, b, c, d = (bytes([k]) * 16 for k in range(4))
+    held = {1: [a, b], 2: [b, a], 3: [a, b, c], 4: [c], 5: [c, d], 6: [d, c], 7: [a, d]}
+    postings = join.scratch.cut(spark.createDataFrame([(k, n) for k, nodes in held.items() for n in nodes], "key long, node binary"), "given")
+    members = join.members(postings)
+    rows = {}
+    for r in members.collect():
+        rows.setdefault(r["key"], set()).add(bytes(r["node"]))
+    assert rows == {1: {a, b}, 3: {a, b, c}, 5: {c, d}, 7: {a, d}}
+    assert {(bytes(r["a"]), bytes(r["b"])) for r in join.stars(members).collect()} == {(a, b), (a, c), (c, d), (a, d)}
+    roots = lambda pairs: spark.createDataFrame(pairs, "node binary, root binary")
+    before, after = roots([(a, a), (b, a)]), roots([(a, a), (b, a), (c, c), (d, c)])
+    assert {r["key"] for r in join.unsettled(members, after).collect()} == {3, 7}
+    assert {r["key"] for r in join.touched(members, before, after).collect()} == {3, 5, 7}
+    assert join.touched(members, after, after).count() == 0
+    join.scratch.close()
