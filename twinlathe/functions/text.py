@@ -64,10 +64,11 @@ def _normalize_any(s: pd.Series) -> pd.Series:
     return s.map(normalize_text, na_action=None)
 
 
-def with_normalized(df: DataFrame, **columns: Column) -> DataFrame:
-    """``df`` with a normalised column for each name."""
+def with_normalized(df: DataFrame, raw: tuple[Column, ...] | None = None, **columns: Column) -> DataFrame:
+    """``df`` with a normalised column for each name. ``raw``: what they are made of, looked at for
+    characters beyond ASCII in their place where making them takes long."""
     plain = F.lit(True)
-    for c in columns.values():
+    for c in raw or columns.values():
         plain = plain & F.coalesce(c, F.lit("")).rlike(ASCII_PATTERN)
     native = df.where(plain).withColumns({k: normalize(c) for k, c in columns.items()})
     other = df.where(~plain).withColumns({k: _normalize_any(c) for k, c in columns.items()})

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinlathe.functions.text import core_or_whole, guess_from_stem, stem, suffix, with_normalized
+from twinlathe.functions.text import core_or_whole, file_name, guess_from_stem, stem, suffix, with_normalized
 from twinlathe.schema import AUDIO_LABELS, SOURCE_DIRS, SOURCES
 from twinlathe.storage import materialized
 
@@ -101,7 +101,7 @@ def featured(tracks: DataFrame) -> DataFrame:
         "filename_artist": F.coalesce(F.col("_guess.artist"), F.lit("")), "filename_title": F.coalesce(F.col("_guess.title"), F.lit("")),
     }).drop("_guess")
     tag_or = lambda tag, other: F.coalesce(F.nullif(F.col(tag), F.lit("")), F.col(other))
-    df = materialized(with_normalized(df, norm_title=tag_or("title", "filename_title"), norm_artist=tag_or("artist", "filename_artist")), "normalized")
+    df = materialized(with_normalized(df, (file_name(F.col("rel")), F.col("title"), F.col("artist")), norm_title=tag_or("title", "filename_title"), norm_artist=tag_or("artist", "filename_artist")), "normalized")
     df = df.withColumns({"core_title": core_or_whole(F.col("norm_title")), "core_artist": core_or_whole(F.col("norm_artist"))})
     key = F.concat_ws("|", F.nullif(F.col("core_artist"), F.lit("")), F.nullif(F.col("core_title"), F.lit("")))
     # Both self-joins read the features twice, and pushed-down conditions would repeat their

@@ -50,7 +50,7 @@ def scan_root(spark: SparkSession, root: str | Path, state_folder: str | Path, u
     full = full.drop(*[c for c in full.columns if c.startswith("_")])
     tracks = scan.featured(filesystem.with_hashes(materialized(full, "files")))
     resolved = decisions.resolved_pairs(state.load_decisions(spark, state_folder, root), tracks)
-    pairs = linkage.candidates(tracks, resolved)
+    pairs = materialized(linkage.candidates(tracks, resolved), "pairs")
     state.save_cache(tracks, state_folder, root)
     return Scan(tracks, scan.scan_counters(listed, known), scan.source_counts(tracks), pairs, resolved)
 

@@ -53,14 +53,16 @@ DOCS_SQL = """docs AS (
 VERSIONS = (" (Radio Edit)", " (Live)", " - Remastered", "")
 
 
-def part_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def part_tracks(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
     """Tagged tracks whose titles carry versions; some without title or duration. Copies
-    share a hash where name, brand and size class agree."""
+    share a hash where name, brand and size class agree. ``spread``: over tasks, as a table that is
+    one small file is read by one."""
     k = F.col("p_partkey")
+    parts = table(spark, sf_dir, "part")
     rel = F.concat(pick(DIRS, k), F.lit("/"), F.regexp_replace("p_brand", "#", " "), F.lit("/"), k.cast("string"), F.lit(".flac"))
     title = F.when(k % 11 == 0, "").otherwise(F.concat("p_name", pick(VERSIONS, F.col("p_size").cast("long"))))
     words = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: ((k % 64 * 67108859 + i * 2654435) % 4294967296).cast("string")), ",")
-    return table(spark, sf_dir, "part").select(
+    return (parts.repartition("p_partkey") if spread else parts).select(
         rel.alias("rel"), F.lower(pick(DIRS, k)).alias("source"), title.alias("title"), F.col("p_brand").alias("artist"),
         F.when(k % 13 != 0, 180.0 + F.floor(F.col("p_retailprice")).cast("long") % 60).alias("duration"),
         F.sha2(F.concat_ws("|", "p_name", "p_brand", (F.col("p_size") % 8).cast("string"), F.when(k % 11 == 0, k.cast("string")).otherwise("")), 256).alias("sha256"),
@@ -69,7 +71,7 @@ def part_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def part_featured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return featured(part_tracks(spark, sf_dir))
+    return featured(part_tracks(spark, sf_dir, spread=True))
 
 
 #: The version terms for RE2. The text is ASCII here, so its ASCII word boundary will do.
