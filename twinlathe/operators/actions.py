@@ -179,7 +179,7 @@ def resolved_collisions(collisions: DataFrame, resolutions: DataFrame) -> DataFr
 
 def remaining_incoming(incoming: DataFrame, moved: DataFrame, pairs: DataFrame) -> DataFrame:
     """Incoming files that no review moved; had_candidate tells those that were in a pair."""
-    members = pairs.select(F.col("a_rel").alias("rel")).unionByName(pairs.select(F.col("b_rel").alias("rel"))).distinct().withColumn("had_candidate", F.lit(True))
+    members = pairs.select(F.explode(F.array("a_rel", "b_rel")).alias("rel")).distinct().withColumn("had_candidate", F.lit(True))
     return incoming.join(moved.select("rel"), "rel", "left_anti").join(members, "rel", "left").withColumn("had_candidate", F.coalesce("had_candidate", F.lit(False)))
 
 
