@@ -47,19 +47,24 @@ def describe_format(path: Column, sample_rate: Column, bits: Column, bitrate: Co
     )
 
 
-def pair_report(pairs: DataFrame) -> DataFrame:
-    """Pairs as they are shown for review: both members, the measures as text, and the choices
-    that are open (removing the library's copy of a cross-source pair is not)."""
-    side = lambda s: F.concat(
-        display(F.col(f"{s}_artist"), F.col(f"{s}_filename_artist")), F.lit(" - "), display(F.col(f"{s}_title"), F.col(f"{s}_filename_title")), F.lit("  "), fmt_duration(F.col(f"{s}_duration"))
-    )
+def pair_measures() -> list[Column]:
+    """The measures of a pair as text, and the choices that are open (removing the library's copy of a
+    cross-source pair is not). They need no column of a single file, so pairs of groups have them too."""
     share = lambda c: F.when(F.col(c).isNull(), "n/a").otherwise(F.format_string("%.1f%%", F.col(c) * 100))
     seconds = F.when(F.col("duration_diff").isNull(), "n/a").otherwise(F.format_string("%.1f s", F.col("duration_diff")))
     protected = (F.col("a_source") == "library") & (F.col("b_source") != "library")
-    return pairs.select(
-        "a_rel", "b_rel", "category", side("a").alias("a_text"), side("b").alias("b_text"), share("title_sim").alias("title"), share("artist_sim").alias("artist"),
-        seconds.alias("duration"), share("fp_sim").alias("fingerprint"), F.when(protected, "a,k,v,s").otherwise("a,b,k,v,s").alias("choices"), "note",
+    return [
+        share("title_sim").alias("title"), share("artist_sim").alias("artist"), seconds.alias("duration"), share("fp_sim").alias("fingerprint"),
+        F.when(protected, "a,k,v,s").otherwise("a,b,k,v,s").alias("choices"),
+    ]
+
+
+def pair_report(pairs: DataFrame) -> DataFrame:
+    """Pairs as they are shown for review: both members and ``pair_measures``."""
+    side = lambda s: F.concat(
+        display(F.col(f"{s}_artist"), F.col(f"{s}_filename_artist")), F.lit(" - "), display(F.col(f"{s}_title"), F.col(f"{s}_filename_title")), F.lit("  "), fmt_duration(F.col(f"{s}_duration"))
     )
+    return pairs.select("a_rel", "b_rel", "category", side("a").alias("a_text"), side("b").alias("b_text"), *pair_measures(), "note")
 
 
 def file_report(tracks: DataFrame) -> DataFrame:
