@@ -26,6 +26,11 @@ def review_outcomes(pairs: DataFrame, choices: DataFrame, mode: str = "dedupe")
     ``choices``: id, choice (a: keep a, b: keep b, k: keep both, v: version, s: skip). The
     library's copy of a cross-source pair is protected: removing it is refused.
     """
+    return outcomes(pairs.join(choices, "id", "left"), mode)
+
+
+def outcomes(pairs: DataFrame, mode: str = "dedupe") -> DataFrame:
+    """``review_outcomes`` of pairs that have their choice with them."""
     remove = F.when(F.col("choice") == "a", F.col("b_rel")).when(F.col("choice") == "b", F.col("a_rel"))
     removed_source = F.when(F.col("choice") == "a", F.col("b_source")).when(F.col("choice") == "b", F.col("a_source"))
     has_incoming = (F.col("a_source") == "incoming") | (F.col("b_source") == "incoming")
@@ -38,7 +43,7 @@ def review_outcomes(pairs: DataFrame, choices: DataFrame, mode: str = "dedupe")
         .when(F.col("choice") == "v", "renamed")
         .otherwise("skipped")
     )
-    joined = pairs.join(choices, "id", "left").withColumn("outcome", outcome)
+    joined = pairs.withColumn("outcome", outcome)
     recorded = ((F.col("outcome") == "quarantined") & library_pair()) | F.col("outcome").isin("promoted", "kept", "renamed")
     return joined.withColumns({"remove_rel": F.when(F.col("outcome") == "quarantined", remove), "recorded": recorded})
 
