@@ -5,7 +5,7 @@ import random
 from pathlib import Path
 
 from twinlathe import storage
-from twinlathe.operators import linkage, scan
+from twinlathe.operators import actions, linkage, scan
 
 DDL = "rel string, source string, title string, artist string, duration double, sha256 string, fingerprint string"
 
@@ -39,3 +39,9 @@ def test_no_pair_is_written(spark):
     before = {p.name for p in folder.glob("pairs-*")}
     assert linkage.candidates(scan.featured(spark.createDataFrame(_rows(30), DDL))).count() == 30 * 29 // 2
     assert {p.name for p in folder.glob("pairs-*")} == before
+
+
+def test_pairs_that_share_an_id_are_named_once(spark):
+    pairs = spark.createDataFrame([("1", f"Tracks/{k}.flac", "Song", "X", "", "", f"Tracks/{k}b.flac", "Song", "X", "", "") for k in "pq"], ", ".join(["id string"] + [f"{s}_{c} string" for s in "ab" for c in ("rel", "title", "artist", "filename_title", "filename_artist")]))
+    choices = spark.createDataFrame([("1", "v", "x", "live", "club mix")] * 2, "id string, choice string, which string, label_a string, label_b string")
+    assert sorted(r["rel"] for r in actions.version_plan(pairs, choices).collect()) == ["Tracks/p.flac", "Tracks/pb.flac", "Tracks/q.flac", "Tracks/qb.flac"]

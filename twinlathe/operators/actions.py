@@ -63,16 +63,28 @@ def version_plan(pairs: DataFrame, choices: DataFrame) -> DataFrame:
     label_b. ``pairs``: id and both members' rel, title, artist, filename_title, filename_artist.
     One row for each member to name: id, side, rel, dest (in the same folder). A side without a
     label has no row, so a choice without usable labels plans nothing."""
-    wanted = choices.where("choice = 'v'").select("id", "which", "label_a", "label_b").join(pairs, "id")
+    wanted = choices.where("choice = 'v'").select("id", "which", "label_a", "label_b").dropDuplicates(["id"]).join(pairs, "id")
     fields = ("rel", "title", "artist", "filename_title", "filename_artist")
 
     def side(s: str) -> DataFrame:
         mine = wanted.where(F.col("which").isin(s, "x") & (F.trim(F.coalesce(f"label_{s}", F.lit(""))) != ""))
         return mine.select("id", F.lit(s).alias("side"), F.col(f"label_{s}").alias("qualifier"), *[F.col(f"{s}_{f}").alias(f) for f in fields])
 
-    named = with_track_names(side("a").unionByName(side("b")), F.col("qualifier"))
+    return with_version_name(side("a").unionByName(side("b")), F.col("qualifier")).select("id", "side", "rel", "dest")
+
+
+def with_version_name(files: DataFrame, qualifier: Column) -> DataFrame:
+    """``files`` with dest, the name with the label ``qualifier`` in the same folder."""
     folder = F.regexp_extract("rel", r"^(.*/)[^/]*$", 1)
-    return named.select("id", "side", "rel", F.concat(folder, F.col("name")).alias("dest"))
+    return with_track_names(files, qualifier).withColumn("dest", F.concat(folder, F.col("name"))).drop("name")
+
+
+def version_sides(pairs: DataFrame) -> DataFrame:
+    """``version_plan`` of pairs that have their choice with them: id, which, and both members' rel and
+    dest. Nothing is joined by id, which is short enough for two pairs of many millions to share one."""
+    side = lambda s: F.struct(F.lit(s).alias("side"), F.col(f"{s}_rel").alias("rel"), F.col(f"{s}_dest").alias("dest"))
+    each = pairs.select("id", "which", F.explode(F.array(side("a"), side("b"))).alias("s"))
+    return each.where((F.col("which") == "x") | (F.col("which") == F.col("s.side"))).select("id", "s.side", "s.rel", "s.dest")
 
 
 #: The largest number that a taken name gets.
