@@ -4,6 +4,8 @@ import itertools
 import random
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
 from twinlathe import storage
 from twinlathe.operators import actions, linkage, scan
 
@@ -45,3 +47,10 @@ def test_pairs_that_share_an_id_are_named_once(spark):
     pairs = spark.createDataFrame([("1", f"Tracks/{k}.flac", "Song", "X", "", "", f"Tracks/{k}b.flac", "Song", "X", "", "") for k in "pq"], ", ".join(["id string"] + [f"{s}_{c} string" for s in "ab" for c in ("rel", "title", "artist", "filename_title", "filename_artist")]))
     choices = spark.createDataFrame([("1", "v", "x", "live", "club mix")] * 2, "id string, choice string, which string, label_a string, label_b string")
     assert sorted(r["rel"] for r in actions.version_plan(pairs, choices).collect()) == ["Tracks/p.flac", "Tracks/pb.flac", "Tracks/q.flac", "Tracks/qb.flac"]
+
+
+def test_numbers_without_an_end(spark):
+    files = spark.range(1500).select(F.format_string("X/%05d/same.flac", "id").alias("rel"), F.lit("library").alias("source"))
+    got = {r["rel"]: r["dest"] for r in actions.quarantine_plan(files, "D", last=None).collect()}
+    assert got["X/00998/same.flac"] == ".Trash/D/library/same - 999.flac" and got["X/01499/same.flac"] == ".Trash/D/library/same - 1500.flac"
+    assert len(set(got.values())) == 1500

@@ -6,6 +6,7 @@ Plans are DataFrames; ``twinlathe.sources.filesystem.apply_moves`` carries them
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from itertools import groupby
 from operator import itemgetter
 
@@ -89,11 +90,11 @@ def version_sides(pairs: DataFrame) -> DataFrame:
 
 #: The largest number that a taken name gets.
 LAST_NUMBER = 999
-#: Endings that numbering may have given: ' - 2' to ' - 999', also several.
-_NUMBERED = r"(?: - (?:[2-9]|[1-9][0-9]{1,2}))+$"
+#: Endings that numbering may have given: ' - 2' and on, also several.
+_NUMBERED = r"(?: - (?:[2-9]|[1-9][0-9]+))+$"
 
 
-def _allocate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _allocate(last: int | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """rel, dest of files sorted by family and order; names that are there come first in a family."""
     def rows() -> Iterator[tuple]:
         for batch in batches:
@@ -108,10 +109,10 @@ def _allocate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 taken.add(want)
                 continue
             name, n = want, reached.get(want, 1)
-            while n <= LAST_NUMBER and (name := want if n == 1 else f"{start} - {n}{ext}") in taken:
+            while (last is None or n <= last) and (name := want if n == 1 else f"{start} - {n}{ext}") in taken:
                 n += 1
             reached[want] = n
-            if n > LAST_NUMBER:
+            if last is not None and n > last:
                 name = None
             else:
                 taken.add(name)
@@ -120,18 +121,20 @@ def _allocate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)], ["rel", "dest"])
 
 
-def allocated(files: DataFrame, taken: DataFrame | None = None) -> DataFrame:
+def allocated(files: DataFrame, taken: DataFrame | None = None, last: int | None = LAST_NUMBER) -> DataFrame:
     """rel, dest: the names that files (rel, source, want, start, ext; want is start and ext) get one
-    after another in path order: the wanted one, or the first of 'start - 2' to 'start - 999' that
-    neither is there (``taken``: dest) nor was given before; null where none is free.
+    after another in path order: the wanted one, or the first of 'start - 2' to 'start - {last}' that
+    neither is there (``taken``: dest) nor was given before; null where none is free. With ``last``
+    None the numbers don't end.
 
     A numbered name may be another file's wanted one, so names that differ in such endings form a
-    family, which is gone through in order by one task. Of a name's files the first 999 are all
+    family, which is gone through in order by one task. Of a name's files the first ``last`` are all
     that can get one; the others are told apart while the names are ranked, by every task for
     itself, so that a name that many files want doesn't land in one task."""
     order = order_key(F.col("source"), F.col("rel"))
-    placed = files.withColumn("ord", order).withColumn("nth", F.row_number().over(Window.partitionBy("want").orderBy("ord")))
-    first = placed.where(F.col("nth") <= LAST_NUMBER).drop("nth")
+    first = files.withColumn("ord", order)
+    if last is not None:
+        first = first.withColumn("nth", F.row_number().over(Window.partitionBy("want").orderBy("ord"))).where(F.col("nth") <= last).drop("nth")
     family = lambda start, ext: F.struct(F.regexp_replace(start, _NUMBERED, "").alias("start"), ext.alias("ext"))
     rows = first.select(family(F.col("start"), F.col("ext")).alias("family"), "rel", "want", "start", "ext", "ord")
     if taken is not None:
@@ -141,18 +144,18 @@ def allocated(files: DataFrame, taken: DataFrame | None = None) -> DataFrame:
         known = there.select(family(F.col("start"), F.col("ext")).alias("family"), F.lit(None).cast("string").alias("rel"), "want", "start", "ext", F.lit(None).cast(rows.schema["ord"].dataType).alias("ord"))
         rows = rows.unionByName(known.join(names, "family", "left_semi"))
     sorted_ = rows.repartition("family").sortWithinPartitions("family", F.col("ord").asc_nulls_first())
-    given = sorted_.select(F.to_json("family").alias("family"), "rel", "want", "start", "ext").mapInArrow(_allocate, "rel string, dest string")
+    given = sorted_.select(F.to_json("family").alias("family"), "rel", "want", "start", "ext").mapInArrow(partial(_allocate, last), "rel string, dest string")
     return files.select("rel").join(given, "rel", "left")
 
 
-def quarantine_plan(files: DataFrame, day: str, taken: DataFrame | None = None) -> DataFrame:
-    """rel, dest below the trash; a taken name gets ' - 2', ' - 3', ... in path order (``allocated``).
+def quarantine_plan(files: DataFrame, day: str, taken: DataFrame | None = None, last: int | None = LAST_NUMBER) -> DataFrame:
+    """rel, dest below the trash; a taken name gets ' - 2', ' - 3', ... up to ``last`` in path order (``allocated``).
     ``taken``: dest of what the trash already holds (the executor checks again)."""
     name = file_name(F.col("rel"))
     base = F.concat(F.lit(f"{TRASH_DIR}/{day}/"), F.col("source"), F.lit("/"))
     ext = F.regexp_extract(name, r"^.+?(\.[^.]+)$", 1)
     wanted = files.select("rel", "source", F.concat(base, name).alias("want"), F.concat(base, stem(F.col("rel"))).alias("start"), ext.alias("ext"))
-    return allocated(wanted, taken)
+    return allocated(wanted, taken, last)
 
 
 def trash_by_day(entries: DataFrame) -> DataFrame:
