@@ -83,8 +83,8 @@ def test_the_queue_writes_no_pairs(spark, tmp_path):
     part = spark.read.parquet("/root/testdata/sf0.001/part.parquet").limit(1)
     spark.range(300).crossJoin(part.drop("p_partkey")).withColumnRenamed("id", "p_partkey").write.parquet(f"{tmp_path}/part.parquet")
     folder = Path(storage.shared_dir(spark).removeprefix("file:"))
-    before = {p.name for p in folder.iterdir()}
+    before = {p.name for p in folder.glob("*")}
     queue = catalogue.QUERIES["ranked_review_queue"](spark, str(tmp_path))
-    written = {p.name: spark.read.parquet(f"file:{p}").count() for p in folder.iterdir() if p.name not in before}
+    written = {p.name: spark.read.parquet(f"file:{p}").count() for p in folder.glob("*") if p.name not in before}
     assert queue.count() == 272 * 271 // 2
     assert written and max(written.values()) <= 300
